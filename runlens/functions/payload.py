@@ -51,7 +51,7 @@ def _canonical(value) -> str:
     if isinstance(value, list):
         return "[" + ",".join(map(_canonical, value)) + "]"
     if isinstance(value, str):
-        text = json.dumps(value, ensure_ascii=False).replace("\x7f", "\x7f")
+        text = json.dumps(value, ensure_ascii=False)
         for char, escape in _ESCAPES:
             text = text.replace(char, escape)
         return text
@@ -73,8 +73,7 @@ def _canonical_or_none(text: str | None) -> str | None:
     return _canonical(value)
 
 
-@F.pandas_udf("string")
-def _canonical_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _canonical_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:
         yield batch.map(_canonical_or_none)
 
@@ -84,7 +83,7 @@ def canonical_json(body: str | Column) -> Column:
 
     VARIANT would rewrite ``1.50`` as ``1.5``, so this one step runs in Arrow batches.
     """
-    return _canonical_udf(as_col(body))
+    return F.pandas_udf(_canonical_batches, "string")(as_col(body))
 
 
 def canonical_hash(body: str | Column) -> Column:

@@ -176,7 +176,7 @@ def clean_path(path: str | Column) -> Column:
     rooted = p.startswith("/")
 
     def step(kept: Column, part: Column) -> Column:
-        last = F.element_at(kept, -1)
+        last = F.try_element_at(kept, F.lit(-1))
         climb = (
             F.when((F.size(kept) > 0) & (last != ".."), F.slice(kept, 1, F.size(kept) - 1))
             .when(rooted, kept)
@@ -189,7 +189,6 @@ def clean_path(path: str | Column) -> Column:
         )
 
     empty = F.array().cast("array<string>")
-    # element_at on an empty array must not be reached, so size is tested first
     body = F.array_join(F.aggregate(F.split(p, "/"), empty, step), "/")
     return F.when(rooted, F.concat(F.lit("/"), body)).when(body == "", ".").otherwise(body)
 
@@ -221,33 +220,42 @@ def rfc3339_ms(ts: str | Column) -> Column:
     return F.concat(F.regexp_replace(text, r"\.?0+$", ""), F.lit("Z"))
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def float_text(value: str | Column) -> Column:
     """Shortest decimal text; exponent form below 1e-4 and from 1e6 up (``1e+06``)."""
     v = as_col(value).cast("double")
-    text = F.abs(v).cast("string")
-    mantissa = F.substring_index(text, "E", 1)
-    shift = F.when(text.contains("E"), F.substring_index(text, "E", -1).cast("int")).otherwise(0)
-    whole = F.substring_index(mantissa, ".", 1)
-    fraction = F.when(mantissa.contains("."), F.substring_index(mantissa, ".", -1)).otherwise("")
-    digits = F.rtrim(F.ltrim(F.concat(whole, fraction), F.lit("0")), F.lit("0"))
-    lead = F.length(fraction) - F.length(F.ltrim(fraction, F.lit("0")))
-    exponent = shift + F.when(whole != "0", F.length(whole) - 1).otherwise(-lead - 1)
-    scientific = F.concat(
-        F.substring(digits, 1, 1),
-        F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise(""),
-        F.when(exponent < 0, "e-").otherwise("e+"),
-        F.lpad(F.abs(exponent).cast("string"), F.greatest(F.lit(2), F.length(F.abs(exponent).cast("string"))), F.lit("0")),
-    )
-    size = F.length(digits)
-    big = F.when(
-        size > exponent + 1,
-        F.concat(F.substr(digits, F.lit(1), exponent + 1), F.lit("."), F.substr(digits, exponent + 2)),
-    ).otherwise(F.rpad(digits, exponent + 1, F.lit("0")))
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
-    plain = F.when(exponent < 0, small).otherwise(big)
-    body = (
-        F.when(v == 0, "0")
-        .when((exponent < -4) | (exponent >= 6), scientific)
-        .otherwise(plain)
-    )
-    return F.when(v < 0, F.concat(F.lit("-"), body)).otherwise(body)
+
+    def parts(text: Column) -> Column:
+        mantissa = F.substring_index(text, "E", 1)
+        shift = F.when(text.contains("E"), F.substring_index(text, "E", -1).cast("int")).otherwise(0)
+        whole = F.substring_index(mantissa, ".", 1)
+        fraction = F.when(mantissa.contains("."), F.substring_index(mantissa, ".", -1)).otherwise("")
+        lead = F.length(fraction) - F.length(F.ltrim(fraction, F.lit("0")))
+        return F.struct(
+            F.rtrim(F.ltrim(F.concat(whole, fraction), F.lit("0")), F.lit("0")).alias("digits"),
+            (shift + F.when(whole != "0", F.length(whole) - 1).otherwise(-lead - 1)).alias("exp"),
+        )
+
+    def render(p: Column) -> Column:
+        digits, exponent = p["digits"], p["exp"]
+        power = F.abs(exponent).cast("string")
+        scientific = F.concat(
+            F.substring(digits, 1, 1),
+            F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise(""),
+            F.when(exponent < 0, "e-").otherwise("e+"),
+            F.when(F.length(power) < 2, F.concat(F.lit("0"), power)).otherwise(power),
+        )
+        whole = F.rpad(F.substr(digits, F.lit(1), exponent + 1), exponent + 1, F.lit("0"))
+        rest = F.substr(digits, exponent + 2)
+        big = F.when(rest != "", F.concat(whole, F.lit("."), rest)).otherwise(whole)
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
+        plain = F.when(exponent < 0, small).otherwise(big)
+        return F.when((exponent < -4) | (exponent >= 6), scientific).otherwise(plain)
+
+    body = bind(bind(F.abs(v).cast("string"), parts), render)
+    sign = F.when(v < 0, "-").otherwise("")
+    return F.when(v == 0, "0").otherwise(F.concat(sign, body))

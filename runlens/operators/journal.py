@@ -79,9 +79,13 @@ def retention_cut(
         totals.withColumn("newer", F.coalesce(F.sum("bytes").over(newest_first), F.lit(0)))
         .filter((F.col("newer") <= max_bytes) & (F.col("newer") + F.col("bytes") > max_bytes))
         .agg(F.max("b").alias("b"), F.max_by("newer", "b").alias("newer"))
+        .select(
+            (F.col("b") * bucket_rows).alias("low"),
+            ((F.col("b") + 1) * bucket_rows).alias("high"),
+            "newer",
+        )
     )
-    b, newer = edge.select("b").scalar(), edge.select("newer").scalar()
-    low, high = b * F.lit(bucket_rows), (b + 1) * F.lit(bucket_rows)
+    low, high, newer = (edge.select(c).scalar() for c in ("low", "high", "newer"))
     inside = Window.orderBy(F.col("seq").desc()).rowsBetween(Window.unboundedPreceding, 0)
     kept = (
         rows.filter((F.col("seq") >= low) & (F.col("seq") < high))

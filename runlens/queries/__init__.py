@@ -11,7 +11,7 @@ from runlens.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_AREAS = ("journal",)
+_AREAS = ("journal", "runs", "metrics", "keyed", "logs", "streams")
 
 
 def _areas():

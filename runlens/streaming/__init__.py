@@ -1 +1 @@
-"""runlens.streaming"""
+"""Structured Streaming forms of the operators."""
