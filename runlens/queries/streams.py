@@ -16,7 +16,8 @@ from runlens.streaming import jobs as S
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     schema = tables.load(spark, sf, name).schema
-    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parquet")
+    # a glob lets the source be one file or a folder of files
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def stream_run_state(spark: SparkSession, sf: str) -> DataFrame:
