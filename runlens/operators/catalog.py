@@ -264,7 +264,10 @@ def segment_candidates(commands: DataFrame) -> DataFrame:
 
 
 def flag_candidates(flags: DataFrame) -> DataFrame:
-    """``--name`` and ``-s`` candidates from ``(name, usage, shorthand, hidden)`` flags."""
+    """``--name`` and ``-s`` candidates from ``(name, usage, shorthand, hidden)`` flags.
+
+    Forms that differ in case only count once; the first flag by name keeps the form.
+    """
     display = F.coalesce(F.nullif("usage", F.lit("")), F.col("name"))
     forms = F.array_compact(
         F.array(
@@ -272,9 +275,14 @@ def flag_candidates(flags: DataFrame) -> DataFrame:
             F.when(F.coalesce(F.col("shorthand"), F.lit("")) != "", F.concat(F.lit("-"), F.col("shorthand"))),
         )
     )
-    return flags.filter(~F.coalesce("hidden", F.lit(False))).select(
-        F.explode(forms).alias("insert"), display.alias("display")
-    ).dropDuplicates(["insert"])
+    shown = flags.filter(~F.coalesce("hidden", F.lit(False))).select(
+        "name", F.explode(forms).alias("insert"), display.alias("display")
+    )
+    return (
+        shown.groupBy(F.lower("insert").alias("k"))
+        .agg(F.min_by(F.struct("insert", "display"), "name").alias("f"))
+        .select("f.*")
+    )
 
 
 def value_hints(arg: str | Column) -> Column:

@@ -1 +1 @@
-"""runlens.plans"""
+"""Plan tables composed from the other operators."""

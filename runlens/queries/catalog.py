@@ -399,7 +399,8 @@ SQL = {
     "flag_suggest": """
         WITH flags AS (SELECT DISTINCT replace(p_name, ' ', '-') AS name, starts_with(p_name, 'red') AS short
                        FROM part WHERE p_name <> 'hot gear'),
-        forms AS (SELECT '--' || name AS "insert", name AS display FROM flags),
+        forms AS (SELECT '--' || name AS "insert", name AS display FROM flags
+                  UNION ALL SELECT '-r', min(name) FROM flags WHERE short HAVING count(*) > 0),
         asked AS (SELECT DISTINCT CASE n_nationkey % 3 WHEN 0 THEN '--R' WHEN 1 THEN '-r' ELSE '--hot' END AS query FROM nation)
         SELECT query, "insert", display FROM asked JOIN forms ON starts_with(lower("insert"), lower(query))""",
     "source_names": r"""
