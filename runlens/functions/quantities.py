@@ -132,3 +132,20 @@ def executor_mode(executor: Column, interpreter: Column) -> Column:
         F.when(interpreter.startswith("container:"), "container"),
         F.lit("shell"),
     )
+
+
+def quantity_facts(cpu: Column, memory: Column) -> Column:
+    """Both quantities of a request, parsed once: amounts, errors, and whether they are asked."""
+    return F.struct(
+        non_blank(cpu).isNotNull().alias("cpu_asked"),
+        cpu_millicores(cpu).alias("cpu"),
+        cpu_error(cpu).alias("cpu_error"),
+        non_blank(memory).isNotNull().alias("memory_asked"),
+        memory_bytes(memory).alias("memory"),
+        memory_error(memory).alias("memory_error"),
+    )
+
+
+def image_facts(image: Column) -> Column:
+    """Registry and error of an image reference, worked out once."""
+    return F.struct(image_registry(image).alias("registry"), image_error(image).alias("error"))

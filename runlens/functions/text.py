@@ -28,6 +28,11 @@ def as_col(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trim_ws(value: str | Column) -> Column:
     return F.btrim(as_col(value), F.lit(_SPACE))
 
@@ -189,14 +194,22 @@ def clean_path(path: str | Column) -> Column:
         )
 
     empty = F.array().cast("array<string>")
-    body = F.array_join(F.aggregate(F.split(p, "/"), empty, step), "/")
-    return F.when(rooted, F.concat(F.lit("/"), body)).when(body == "", ".").otherwise(body)
+    parts = F.aggregate(F.split(p, "/"), empty, step)
+
+    def joined(kept: Column) -> Column:
+        body = F.array_join(kept, "/")
+        return F.when(rooted, F.concat(F.lit("/"), body)).when(F.size(kept) == 0, ".").otherwise(body)
+
+    return bind(parts, joined)
 
 
 def is_sub_path(path: str | Column, root: str | Column) -> Column:
-    p, r = clean_path(path), clean_path(root)
-    below = F.when(r == "/", p.startswith("/")).otherwise(p.startswith(F.concat(r, F.lit("/"))))
-    return (p == r) | below
+    def inside(both: Column) -> Column:
+        p, r = both["p"], both["r"]
+        below = F.when(r == "/", p.startswith("/")).otherwise(p.startswith(F.concat(r, F.lit("/"))))
+        return (p == r) | below
+
+    return bind(F.struct(clean_path(path).alias("p"), clean_path(root).alias("r")), inside)
 
 
 def host_allowed(host: Column, allow: list[str]) -> Column:
@@ -220,11 +233,6 @@ def rfc3339_ms(ts: str | Column) -> Column:
     return F.concat(F.regexp_replace(text, r"\.?0+$", ""), F.lit("Z"))
 
 
-def bind(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def float_text(value: str | Column) -> Column:
     """Shortest decimal text; exponent form below 1e-4 and from 1e6 up (``1e+06``)."""
     v = as_col(value).cast("double")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import posixpath
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runlens.functions import quantities as Q
 from runlens.functions import text as X
 from runlens.operators import policy as P
 
@@ -30,12 +32,11 @@ def _refuse(code: str, detail: str | Column) -> Column:
     return F.struct(F.lit(code).alias("code"), text.alias("detail"))
 
 
-def _below_any(path: Column, roots: list[str]) -> Column:
-    tests = [X.is_sub_path(path, F.lit(r)) for r in roots if r]
-    allowed = F.lit(False)
-    for test in tests:
-        allowed = allowed | test
-    return allowed
+def _below(path: Column, root: str) -> Column:
+    """Whether an already cleaned path is ``root`` or lies inside it."""
+    base = posixpath.normpath(root)
+    inside = path.startswith("/") if base == "/" else path.startswith(base + "/")
+    return inside | (path == base)
 
 
 def check_sources(requests: DataFrame, rules: SourceRules) -> DataFrame:
@@ -59,15 +60,29 @@ def check_sources(requests: DataFrame, rules: SourceRules) -> DataFrame:
     clean, repo, image = F.col("__clean"), F.col("__repo"), F.col("__image")
 
     # relative local paths are taken below each allowed root in turn
-    inside = F.lit(False)
-    resolved = F.lit(None).cast("string")
-    for root in reversed([r for r in rules.local_roots if r]):
-        full = F.when(clean.startswith("/"), clean).otherwise(
-            X.clean_path(F.concat(F.lit(root.rstrip("/") + "/"), clean))
-        )
-        fits = X.is_sub_path(full, F.lit(root))
-        resolved = F.when(fits, full).otherwise(resolved)
-        inside = inside | fits
+    roots = [r for r in rules.local_roots if r]
+    staged = staged.withColumns(
+        {
+            f"__full{i}": F.when(clean.startswith("/"), clean).otherwise(
+                X.clean_path(F.concat(F.lit(root.rstrip("/") + "/"), clean))
+            )
+            for i, root in enumerate(roots)
+        }
+        | {
+            "__scheme": F.lower(F.regexp_extract(repo, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)),
+            "__disk": X.clean_path(F.regexp_replace(repo, "^(?i:file)://", "")),
+            "__host": X.url_host(repo),
+            "__image_facts": Q.image_facts(image),
+        }
+    )
+    inside, resolved = F.lit(False), F.lit(None).cast("string")
+    for i, root in reversed(list(enumerate(roots))):
+        full = F.col(f"__full{i}")
+        inside = inside | _below(full, root)
+        resolved = F.when(_below(full, root), full).otherwise(resolved)
+    disk_inside = F.lit(False)
+    for root in roots:
+        disk_inside = disk_inside | _below(F.col("__disk"), root)
 
     bad_expose = F.when(
         F.col("__expose").isNull(), _refuse("invalid_expose", F.concat(F.lit("invalid expose value "), X.quoted("expose")))
@@ -77,13 +92,10 @@ def check_sources(requests: DataFrame, rules: SourceRules) -> DataFrame:
         F.when(~inside, _refuse(NOT_ALLOWED, "local path outside allow-list")),
         bad_expose,
     )
-    scheme = F.lower(F.regexp_extract(repo, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    on_disk = (scheme == "file") | (scheme == "")
-    disk_path = X.clean_path(F.regexp_replace(repo, "^(?i:file)://", ""))
-    host = X.url_host(repo)
+    on_disk, host = F.col("__scheme").isin("file", ""), F.col("__host")
     git = F.coalesce(
         F.when(repo == "", _refuse("url_required", "url is required for git sources")),
-        F.when(on_disk & ~_below_any(disk_path, rules.local_roots), _refuse(NOT_ALLOWED, "git path outside allow-list")),
+        F.when(on_disk & ~disk_inside, _refuse(NOT_ALLOWED, "git path outside allow-list")),
         F.when(
             ~on_disk & ~X.host_allowed(host, rules.git_hosts),
             _refuse(NOT_ALLOWED, F.concat(F.lit("git host "), host, F.lit(" not allowed"))),
@@ -103,7 +115,7 @@ def check_sources(requests: DataFrame, rules: SourceRules) -> DataFrame:
             _refuse("invalid_pull_policy", F.concat(F.lit("invalid pull policy "), X.quoted("pull_policy"))),
         ),
         bad_expose,
-        P.registry_problem(image, rules.policy),
+        P.registry_problem(F.col("__image_facts"), rules.policy),
         F.when(mode.isNull(), _refuse(P.POLICY_ERROR, "invalid verify mode")),
         F.when(
             wants & (mode == "disabled"),
@@ -135,16 +147,16 @@ def check_sources(requests: DataFrame, rules: SourceRules) -> DataFrame:
                 "stored_pull_policy": F.when(kind == "oci", F.col("__pull")),
             }
         )
-        .drop("__repo", "__image", "__clean", "__expose", "__pull", "__mode")
+        .select(*requests.columns, "problem", "source_name", "resolved_path", "stored_expose", "stored_pull_policy")
     )
 
 
 def with_created(checked: DataFrame, existing: DataFrame, order: str = "seq") -> DataFrame:
     """Add ``created``: the first accepted request of a name no source had before."""
-    accepted = checked.filter("problem IS NULL")
     first = (
-        accepted.groupBy("source_name")
-        .agg(F.min(order).alias(order))
+        checked.groupBy("source_name")
+        .agg(F.min(F.when(F.col("problem").isNull(), F.col(order))).alias(order))
+        .filter(F.col(order).isNotNull())
         .join(existing.select(F.col("name").alias("source_name")), "source_name", "left_anti")
         .withColumn("__new", F.lit(True))
     )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions.payload import redact_args
-from runlens.functions.text import arg_env_name, quoted, trim_ws
+from runlens.functions.text import arg_env_name, bind, quoted, trim_ws
 
 # Supported argument types.
 TYPES = ("string", "boolean", "integer", "array", "object")
@@ -43,159 +43,176 @@ def _list(values: Column) -> Column:
     return F.coalesce(values, F.array().cast(_NONE))
 
 
-def _is_secret(arg: Column) -> Column:
-    return _truthy(arg["secret"]) | _truthy(arg["format"] == "secret")
+def _facts(arg: Column, given: Column) -> Column:
+    """What a rule needs to know about one argument, worked out once.
 
-
-def _has_default(arg: Column) -> Column:
-    return arg["default"].isNotNull() & (_kind(arg["default"]) != "null")
-
-
-def _type_error(arg: Column, value: Column, given: Column) -> Column:
-    """Why a given value does not have the type of its argument."""
-    kind, name = _kind(value), arg["name"]
-    items = _as(value, "array<variant>")
-    members = _as(value, "map<string,variant>")
-    start = F.concat(F.lit("argument "), name)
-    wrong = (
-        F.when((arg["type"] == "string") & (kind != "string"), " must be a string")
-        .when((arg["type"] == "boolean") & (kind != "boolean"), " must be a boolean")
-        .when((arg["type"] == "integer") & (kind != "number"), " must be an integer")
-        .when((arg["type"] == "array") & (kind != "array"), " must be an array of strings")
-        .when(
-            (arg["type"] == "array") & _truthy(F.exists(items, lambda i: _kind(i) != "string")),
-            " array items must be strings",
-        )
-        .when((arg["type"] == "object") & (kind != "object"), " must be an object")
-        .when(
-            (arg["type"] == "object")
-            & _truthy(F.exists(F.map_values(members), lambda i: _kind(i) != "string")),
-            " values must be strings",
-        )
+    ``given`` is the MAP of sent arguments.
+    """
+    value = F.element_at(given, arg["name"])
+    return F.struct(
+        *[arg[n].alias(n) for n in ("name", "type", "default")],
+        _truthy(arg["required"]).alias("required"),
+        (_truthy(arg["secret"]) | _truthy(arg["format"] == "secret")).alias("secret"),
+        _list(arg["enum"]).alias("enum"),
+        _list(arg["items_enum"]).alias("items_enum"),
+        F.coalesce(arg["items_type"], F.lit("")).alias("items_type"),
+        F.coalesce(arg["value_type"], F.lit("")).alias("value_type"),
+        F.map_contains_key(given, arg["name"]).alias("sent"),
+        value.alias("value"),
+        _kind(value).alias("kind"),
+        _kind(arg["default"]).alias("default_kind"),
     )
-    return F.when(given & wrong.isNotNull(), F.concat(start, wrong))
 
 
-def _string_value(arg: Column, value: Column, given: Column) -> Column:
-    default = F.when(_kind(arg["default"]) == "string", _as(arg["default"], "string"))
-    return F.coalesce(F.when(given, _as(value, "string")).otherwise(default), F.lit(""))
+def _typed(f: Column) -> Column:
+    """Facts with the value read as the argument's type."""
+    sent, value, default = f["sent"], f["value"], f["default"]
 
+    def chosen(kind: str, read) -> Column:
+        fallback = F.when(f["default_kind"] == kind, read(default))
+        return F.when(f["type"] == _SCALARS[kind], F.when(sent, read(value)).otherwise(fallback))
 
-def _boolean_value(arg: Column, value: Column, given: Column) -> Column:
-    default = F.when(_kind(arg["default"]) == "boolean", _as(arg["default"], "boolean"))
-    return F.coalesce(F.when(given, _as(value, "boolean")).otherwise(default), F.lit(False))
-
-
-def _integer_value(arg: Column, value: Column, given: Column) -> Column:
     def whole(v: Column) -> Column:
         number = _as(v, "double")
-        return F.when(
-            _kind(v) == "number",
-            F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)).cast("bigint"),
-        )
+        return F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)).cast("bigint")
 
-    return F.coalesce(
-        F.when(given, whole(value)).otherwise(whole(arg["default"])), F.lit(0).cast("bigint")
-    )
-
-
-def _array_value(arg: Column, value: Column, given: Column) -> Column:
-    sent = F.when(given, _as(value, "array<string>"))
     listed = F.transform(
-        F.filter(_as(arg["default"], "array<variant>"), lambda i: _kind(i) == "string"),
+        F.filter(_as(default, "array<variant>"), lambda i: _kind(i) == "string"),
         lambda i: _as(i, "string"),
     )
-    text = _as(arg["default"], "string")
-    default = F.when(_kind(arg["default"]) == "array", listed).when(
-        (_kind(arg["default"]) == "string") & (text != ""), F.split(text, ",")
+    text = _as(default, "string")
+    fallback = F.when(f["default_kind"] == "array", listed).when(
+        (f["default_kind"] == "string") & (text != ""), F.split(text, ",")
+    )
+    items = F.when(sent, F.nullif(_as(value, _NONE), F.array().cast(_NONE)))
+    return F.struct(
+        *[f[n].alias(n) for n in _FACTS],
+        F.coalesce(chosen("string", lambda v: _as(v, "string")), F.lit("")).alias("text"),
+        F.coalesce(chosen("boolean", lambda v: _as(v, "boolean")), F.lit(False)).alias("flag"),
+        F.coalesce(chosen("number", whole), F.lit(0).cast("bigint")).alias("number"),
+        F.when(f["type"] == "array", _list(F.coalesce(items, fallback))).alias("items"),
+        F.when((f["type"] == "object") & sent, _pairs(value)).alias("pairs"),
     )
-    return F.when(_list(sent) != F.array().cast(_NONE), sent).otherwise(_list(default))
 
 
-def _object_pairs(value: Column, given: Column) -> Column:
-    """Key=value pairs; a key is cut at its first ``=`` and trimmed."""
-    members = F.when(given, _as(value, "map<string,string>"))
+_SCALARS = {"string": "string", "boolean": "boolean", "number": "integer"}
+_FACTS = (
+    "name", "type", "required", "secret", "enum", "items_enum", "items_type", "value_type", "sent",
+    "value", "kind", "default_kind",
+)
+
+
+def _pairs(value: Column) -> Column:
+    """Key=value pairs; a key is cut at its first ``=`` and trimmed, the last of equal keys stays."""
+    members = _as(value, "map<string,string>")
     pairs = F.transform(
         F.array_sort(F.map_keys(members)),
         lambda k: F.concat(k, F.lit("="), F.element_at(members, k)),
     )
-    cut = F.transform(
-        _list(pairs),
-        lambda p: F.struct(
+
+    def split(p: Column) -> Column:
+        return F.struct(
             trim_ws(F.substring_index(p, "=", 1)).alias("k"),
             F.regexp_replace(p, "(?s)^[^=]*=", "").alias("v"),
-        ),
-    )
+        )
 
-    def later(i: Column) -> Column:
-        return F.transform(F.slice(cut, i + 2, F.size(cut) + 1), lambda o: o["k"])
+    def last_only(cut: Column) -> Column:
+        def later(i: Column) -> Column:
+            return F.transform(F.slice(cut, i + 2, F.size(cut) + 1), lambda o: o["k"])
 
-    return F.filter(cut, lambda p, i: ~F.array_contains(later(i), p["k"]))
+        return F.filter(cut, lambda p, i: ~F.array_contains(later(i), p["k"]))
 
+    return bind(F.transform(pairs, split), last_only)
 
-def _rule_error(arg: Column, value: Column, given: Column) -> Column:
-    """First broken rule of one argument, in checking order (null when fine)."""
-    kind = arg["type"]
-    required = _truthy(arg["required"])
-    text = _string_value(arg, value, given)
-    items = _array_value(arg, value, given)
-    pairs = _object_pairs(value, given)
-    enum, items_enum = _list(arg["enum"]), _list(arg["items_enum"])
-    absent = ~given & ~_has_default(arg)
-    odd = F.filter(items, lambda i: ~F.array_contains(items_enum, i))
-
-    def other(name: str) -> Column:
-        return ~F.coalesce(arg[name], F.lit("")).isin("", "string")
 
+def _type_error(f: Column) -> Column:
+    """Why a sent value does not have the type of its argument."""
+    kind, name = f["kind"], f["type"]
+    wrong = (
+        F.when((name == "string") & (kind != "string"), " must be a string")
+        .when((name == "boolean") & (kind != "boolean"), " must be a boolean")
+        .when((name == "integer") & (kind != "number"), " must be an integer")
+        .when((name == "array") & (kind != "array"), " must be an array of strings")
+        .when(
+            (name == "array")
+            & _truthy(F.exists(_as(f["value"], "array<variant>"), lambda i: _kind(i) != "string")),
+            " array items must be strings",
+        )
+        .when((name == "object") & (kind != "object"), " must be an object")
+        .when(
+            (name == "object")
+            & _truthy(
+                F.exists(
+                    F.map_values(_as(f["value"], "map<string,variant>")), lambda i: _kind(i) != "string"
+                )
+            ),
+            " values must be strings",
+        )
+    )
+    return F.when(f["sent"], F.concat(F.lit("argument "), f["name"], wrong))
+
+
+def _rule_error(f: Column) -> Column:
+    """First broken rule of one argument, in checking order (null when fine)."""
+    kind, required = f["type"], f["required"]
+    has_default = f["default_kind"] != "null"
+    odd = F.filter(f["items"], lambda i: ~F.array_contains(f["items_enum"], i))
+    no_pairs = F.coalesce(F.size(f["pairs"]), F.lit(0)) <= 0
     return (
-        F.when(_is_secret(arg) & _has_default(arg), "default forbidden for secret")
-        .when(~kind.isin(*TYPES) | kind.isNull(), F.concat(F.lit("unsupported type "), quoted(kind)))
-        .when((kind == "string") & required & (text == ""), "required")
+        F.when(f["secret"] & has_default, "default forbidden for secret")
+        .when((kind == "string") & required & (f["text"] == ""), "required")
+        .when(
+            (kind == "string") & (F.size(f["enum"]) > 0) & (f["text"] != "")
+            & ~F.array_contains(f["enum"], f["text"]),
+            F.concat(F.lit("value "), quoted(f["text"]), F.lit(" not in enum")),
+        )
+        .when(kind.isin("boolean", "integer") & required & ~f["sent"] & ~has_default, "required")
+        .when((kind == "array") & required & (F.size(f["items"]) == 0), "required")
         .when(
-            (kind == "string") & (F.size(enum) > 0) & (text != "") & ~F.array_contains(enum, text),
-            F.concat(F.lit("value "), quoted(text), F.lit(" not in enum")),
+            (kind == "array") & ~f["items_type"].isin("", "string"), "items_type not supported in Phase 1"
         )
-        .when(kind.isin("boolean", "integer") & required & absent, "required")
-        .when((kind == "array") & required & (F.size(items) == 0), "required")
-        .when((kind == "array") & other("items_type"), "items_type not supported in Phase 1")
         .when(
-            (kind == "array") & (F.size(items_enum) > 0) & (F.size(odd) > 0),
+            (kind == "array") & (F.size(f["items_enum"]) > 0) & (F.size(odd) > 0),
             F.concat(F.lit("item "), quoted(F.get(odd, F.lit(0))), F.lit(" not in items_enum")),
         )
-        .when((kind == "object") & F.exists(pairs, lambda p: p["k"] == ""), "empty key")
-        .when((kind == "object") & required & (F.size(pairs) == 0), "required")
-        .when((kind == "object") & other("value_type"), "value_type not supported in Phase 1")
+        .when((kind == "object") & _truthy(F.exists(f["pairs"], lambda p: p["k"] == "")), "empty key")
+        .when((kind == "object") & required & no_pairs, "required")
+        .when(
+            (kind == "object") & ~f["value_type"].isin("", "string"), "value_type not supported in Phase 1"
+        )
     )
 
 
-def _value_text(arg: Column, value: Column, given: Column) -> Column:
+def _value_text(f: Column) -> Column:
     """Bound value as text: scalars plain, arrays and objects as JSON."""
-    pairs = _object_pairs(value, given)
+    none = F.create_map().cast("map<string,string>")
     return (
-        F.when(arg["type"] == "string", _string_value(arg, value, given))
-        .when(arg["type"] == "boolean", _boolean_value(arg, value, given).cast("string"))
-        .when(arg["type"] == "integer", _integer_value(arg, value, given).cast("string"))
-        .when(arg["type"] == "array", F.to_json(_array_value(arg, value, given)))
-        .otherwise(F.to_json(F.map_from_entries(pairs)))
+        F.when(f["type"] == "string", f["text"])
+        .when(f["type"] == "boolean", f["flag"].cast("string"))
+        .when(f["type"] == "integer", f["number"].cast("string"))
+        .when(f["type"] == "array", F.to_json(f["items"]))
+        .otherwise(F.to_json(F.coalesce(F.map_from_entries(f["pairs"]), none)))
     )
 
 
+def _given(args: str) -> Column:
+    sent = F.from_json(args, "map<string,variant>")
+    return F.coalesce(sent, F.create_map().cast("map<string,variant>"))
+
+
+def _argument_facts(spec: str) -> Column:
+    facts = F.transform(spec, lambda a: _facts(a, F.col("__given")))
+    return F.transform(facts, _typed)
+
+
 def with_argument_check(requests: DataFrame, args: str = "args", spec: str = "spec") -> DataFrame:
     """Add ``arg_error STRUCT<arg, message>``, null when the arguments bind.
 
     Checked in this order: unsupported types, unknown arguments (first by name), value types in
-    list order, then the rules of each argument in list order.
+    list order, then the rules of each argument in list order. ``__facts`` carries what is known
+    about each argument on to :func:`with_binding`.
     """
-    staged = requests.withColumn(
-        "__given", F.coalesce(F.from_json(args, "map<string,variant>"), F.create_map().cast("map<string,variant>"))
-    ).withColumn("__names", F.array_sort(F.map_keys("__given")))
-    listed = F.transform(spec, lambda a: a["name"])
-
-    def sent(a: Column) -> Column:
-        return F.element_at(F.col("__given"), a["name"])
-
-    def has(a: Column) -> Column:
-        return F.array_contains(F.col("__names"), a["name"])
+    null = F.lit(None).cast("string")
 
     def error(arg: Column, message: Column) -> Column:
         return F.struct(arg.alias("arg"), message.alias("message"))
@@ -203,21 +220,30 @@ def with_argument_check(requests: DataFrame, args: str = "args", spec: str = "sp
     def first(found: Column) -> Column:
         return F.get(F.filter(found, lambda e: e["message"].isNotNull()), F.lit(0))
 
-    null = F.lit(None).cast("string")
+    staged = (
+        requests.withColumn("__given", _given(args))
+        .withColumn("__names", F.array_sort(F.map_keys("__given")))
+        .withColumn("__facts", _argument_facts(spec))
+    )
     unsupported = first(
         F.transform(
             spec,
             lambda a: error(
-                null, F.when(~a["type"].isin(*TYPES), F.concat(F.lit("unsupported arg type: "), a["type"]))
+                null,
+                F.when(
+                    ~F.coalesce(a["type"], F.lit("")).isin(*TYPES),
+                    F.concat(F.lit("unsupported arg type: "), F.coalesce(a["type"], F.lit(""))),
+                ),
             ),
         )
     )
-    unknown = F.get(F.array_except("__names", listed), F.lit(0))
-    unknown_error = F.when(
-        unknown.isNotNull(), error(null, F.concat(F.lit("unknown argument: "), unknown))
+    unknown = F.get(F.array_except("__names", F.transform(spec, lambda a: a["name"])), F.lit(0))
+    unknown_error = bind(
+        unknown,
+        lambda n: F.when(n.isNotNull(), error(null, F.concat(F.lit("unknown argument: "), n))),
     )
-    typed = first(F.transform(spec, lambda a: error(null, _type_error(a, sent(a), has(a)))))
-    ruled = first(F.transform(spec, lambda a: error(a["name"], _rule_error(a, sent(a), has(a)))))
+    typed = first(F.transform("__facts", lambda f: error(null, _type_error(f))))
+    ruled = first(F.transform("__facts", lambda f: error(f["name"], _rule_error(f))))
     # a job without an argument list takes no arguments at all
     bare = F.coalesce(F.size(spec), F.lit(0)) <= 0
     none_allowed = F.when(
@@ -229,32 +255,23 @@ def with_argument_check(requests: DataFrame, args: str = "args", spec: str = "sp
     return staged.withColumn("arg_error", checked).drop("__given", "__names")
 
 
-def with_binding(checked: DataFrame, args: str = "args", spec: str = "spec") -> DataFrame:
-    """Add bound values, environment, secret names and values to fault-free requests.
+def with_binding(checked: DataFrame) -> DataFrame:
+    """Add bound values, environment, secret names and values to checked requests.
 
-    ``bound`` maps names to value text; ``env`` holds scalars that are no secrets.
+    ``bound`` maps names to value text (null when the arguments do not bind or the job takes
+    none), ``resolved`` hides secrets, ``env`` holds the scalars that are no secrets.
     """
-    staged = checked.withColumn(
-        "__given", F.coalesce(F.from_json(args, "map<string,variant>"), F.create_map().cast("map<string,variant>"))
-    )
-
-    def sent(a: Column) -> Column:
-        return F.element_at(F.col("__given"), a["name"])
-
-    def has(a: Column) -> Column:
-        return F.map_contains_key(F.col("__given"), a["name"])
-
-    fine = F.col("arg_error").isNull() & (F.coalesce(F.size(spec), F.lit(0)) > 0)
+    fine = F.col("arg_error").isNull() & (F.coalesce(F.size("__facts"), F.lit(0)) > 0)
     rows = F.transform(
-        spec,
-        lambda a: F.struct(
-            a["name"].alias("name"),
-            _value_text(a, sent(a), has(a)).alias("value"),
-            (_is_secret(a) & (a["type"] == "string")).alias("secret"),
-            a["type"].isin("string", "boolean", "integer").alias("scalar"),
+        "__facts",
+        lambda f: F.struct(
+            f["name"].alias("name"),
+            _value_text(f).alias("value"),
+            (f["secret"] & (f["type"] == "string")).alias("secret"),
+            f["type"].isin("string", "boolean", "integer").alias("scalar"),
         ),
     )
-    staged = staged.withColumn("__bound", F.when(fine, rows))
+    staged = checked.withColumn("__bound", F.when(fine, rows))
     secrets = F.filter("__bound", lambda b: b["secret"])
     plain = F.filter("__bound", lambda b: b["scalar"] & ~b["secret"])
     return (
@@ -273,5 +290,5 @@ def with_binding(checked: DataFrame, args: str = "args", spec: str = "spec") ->
             }
         )
         .withColumn("resolved", redact_args("bound", "secret_names"))
-        .drop("__given", "__bound")
+        .drop("__facts", "__bound")
     )

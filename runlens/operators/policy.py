@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions import quantities as Q
-from runlens.functions.text import PROFILES, VERIFY_MODES, non_blank, quoted, trim_ws
+from runlens.functions.text import VERIFY_MODES, bind, non_blank, quoted, trim_ws
 
 # Decision and finding codes.
 DENIED = "policy.denied"
@@ -71,14 +71,12 @@ def verify_mode(profile: Column, policy: Policy) -> Column:
 
 
 def registry_problem(image: Column, policy: Policy) -> Column:
+    """Registry refusal from :func:`image_facts`."""
     if not policy.allowed_registries:
         return F.lit(None).cast(PROBLEM)
-    registry = Q.image_registry(image)
-    return F.when(
-        Q.image_error(image).isNotNull(), _problem(IMAGE_POLICY, Q.image_error(image))
-    ).when(
-        ~registry_allowed(registry, policy.allowed_registries),
-        _problem(REGISTRY_DENIED, _text("registry ", registry, " not allowed")),
+    return F.when(image["error"].isNotNull(), _problem(IMAGE_POLICY, image["error"])).when(
+        ~registry_allowed(image["registry"], policy.allowed_registries),
+        _problem(REGISTRY_DENIED, _text("registry ", image["registry"], " not allowed")),
     )
 
 
@@ -103,39 +101,30 @@ def signature_findings(mode: Column, verified: Column, reason: Column) -> Column
     return F.when(unverified, F.array(warning)).otherwise(F.array().cast(f"array<{FINDING}>"))
 
 
-def ceiling_problem(cpu: Column, memory: Column, policy: Policy) -> Column:
-    """CPU is checked before memory; blank requests pass."""
-    null = F.lit(None).cast(PROBLEM)
-    cpu_rule = memory_rule = null
+def ceiling_problem(asked: Column, policy: Policy) -> Column:
+    """Ceiling refusal from :func:`quantity_facts`: cpu before memory; blank requests pass."""
+    rules = [F.lit(None).cast(PROBLEM)]
     if policy.cpu_ceiling and policy.cpu_ceiling.strip():
         limit = Q.cpu_millicores(F.lit(policy.cpu_ceiling))
-        asked = Q.cpu_millicores(cpu)
-        cpu_rule = F.when(
-            non_blank(cpu).isNull(), null
-        ).when(
-            asked.isNull(), _problem(IMAGE_POLICY, Q.cpu_error(cpu))
-        ).when(
-            asked > limit,
-            _problem(
-                IMAGE_POLICY,
-                _text("requested cpu ", asked.cast("string"), "m exceeds ceiling ", limit.cast("string"), "m"),
-            ),
+        over = _text(
+            "requested cpu ", asked["cpu"].cast("string"), "m exceeds ceiling ", limit.cast("string"), "m"
+        )
+        rules.append(
+            F.when(~asked["cpu_asked"], None)
+            .when(asked["cpu"].isNull(), _problem(IMAGE_POLICY, asked["cpu_error"]))
+            .when(asked["cpu"] > limit, _problem(IMAGE_POLICY, over))
         )
     if policy.memory_ceiling and policy.memory_ceiling.strip():
         limit = Q.memory_bytes(F.lit(policy.memory_ceiling))
-        asked = Q.memory_bytes(memory)
-        memory_rule = F.when(
-            non_blank(memory).isNull(), null
-        ).when(
-            asked.isNull(), _problem(IMAGE_POLICY, Q.memory_error(memory))
-        ).when(
-            asked > limit,
-            _problem(
-                IMAGE_POLICY,
-                _text("requested memory ", Q.memory_text(asked), " exceeds ceiling ", Q.memory_text(limit)),
-            ),
+        over = _text(
+            "requested memory ", Q.memory_text(asked["memory"]), " exceeds ceiling ", Q.memory_text(limit)
+        )
+        rules.append(
+            F.when(~asked["memory_asked"], None)
+            .when(asked["memory"].isNull(), _problem(IMAGE_POLICY, asked["memory_error"]))
+            .when(asked["memory"] > limit, _problem(IMAGE_POLICY, over))
         )
-    return F.coalesce(cpu_rule, memory_rule)
+    return F.coalesce(*rules)
 
 
 def override_decisions(
@@ -148,7 +137,20 @@ def override_decisions(
     env_inheritance: Column,
 ) -> Column:
     """ARRAY of decisions in subject order, ending with the first denial."""
-    prof = F.lower(trim_ws(profile))
+    asked = F.struct(
+        F.lower(trim_ws(profile)).alias("profile"),
+        F.lower(trim_ws(F.coalesce(network, F.lit("")))).alias("network"),
+        F.coalesce(rootfs_writable, F.lit(False)).alias("rootfs"),
+        F.transform(
+            F.coalesce(capabilities, F.array().cast("array<string>")), lambda c: F.upper(trim_ws(c))
+        ).alias("caps"),
+        F.coalesce(env_inheritance, F.lit(False)).alias("env"),
+    )
+    return bind(bind(asked, lambda a: _all_decisions(a, policy)), _until_denied)
+
+
+def _all_decisions(settings: Column, policy: Policy) -> Column:
+    prof, net, caps = settings["profile"], settings["network"], settings["caps"]
 
     def decide(subject: str, asked: Column, secure: Column, refused: Column, listed: Column, fine: Column, off: Column) -> Column:
         def row(decision: str, code: str, reason: Column) -> Column:
@@ -165,11 +167,7 @@ def override_decisions(
             .when(prof == "disabled", row("allowed", ALLOWED, off)),
         )
 
-    net = F.lower(trim_ws(F.coalesce(network, F.lit(""))))
     net_text = quoted(net)
-    caps = F.transform(
-        F.coalesce(capabilities, F.array().cast("array<string>")), lambda c: F.upper(trim_ws(c))
-    )
     allowed_caps = sorted({c.strip().upper() for c in policy.capabilities})
     unlisted = F.filter(caps, lambda c: ~c.isin(*allowed_caps)) if allowed_caps else caps
     cap_list = _text("[", F.array_join(caps, " "), "]")
@@ -190,7 +188,7 @@ def override_decisions(
         ),
         decide(
             "container.rootfs",
-            F.coalesce(rootfs_writable, F.lit(False)),
+            settings["rootfs"],
             F.lit("writable rootfs not permitted in secure profile"),
             F.lit("writable rootfs not allowed by policy"),
             F.lit(bool(policy.rootfs_writable)),
@@ -208,7 +206,7 @@ def override_decisions(
         ),
         decide(
             "env.inheritance",
-            F.coalesce(env_inheritance, F.lit(False)),
+            settings["env"],
             F.lit("environment inheritance not permitted in secure profile"),
             F.lit("environment inheritance not allowed by policy"),
             F.lit(bool(policy.env_inheritance)),
@@ -216,17 +214,12 @@ def override_decisions(
             F.lit("environment inheritance allowed (profile disabled)"),
         ),
     )
-    return _until_denied(F.array_compact(steps))
+    return F.array_compact(steps)
 
 
 def _until_denied(decisions: Column) -> Column:
-    from runlens.functions.text import bind
-
-    def cut(d: Column) -> Column:
-        denied = F.array_position(F.transform(d, lambda x: x["decision"]), F.lit("denied"))
-        return F.when(denied > 0, F.slice(d, F.lit(1), denied.cast("int"))).otherwise(d)
-
-    return bind(decisions, cut)
+    denied = F.array_position(F.transform(decisions, lambda d: d["decision"]), F.lit("denied"))
+    return F.when(denied > 0, F.slice(decisions, F.lit(1), denied.cast("int"))).otherwise(decisions)
 
 
 def decision_problem(decisions: Column) -> Column:
@@ -290,16 +283,24 @@ def image_verdicts(rows: DataFrame, policy: Policy) -> DataFrame:
 
     Registry, then signature, then cpu, then memory; the first refusal is the problem.
     """
-    staged = rows.withColumn("mode", verify_mode(F.col("profile"), policy))
+    staged = rows.withColumns(
+        {
+            "mode": verify_mode(F.col("profile"), policy),
+            "__image": Q.image_facts(F.col("image")),
+            "__asked": Q.quantity_facts(F.col("cpu"), F.col("memory")),
+        }
+    )
     mode, verified, reason = F.col("mode"), F.col("verified"), F.col("reason")
     problem = F.coalesce(
-        registry_problem(F.col("image"), policy),
+        registry_problem(F.col("__image"), policy),
         F.when(mode.isNull(), _problem(POLICY_ERROR, "invalid verify mode")),
         signature_problem(mode, verified, reason),
-        ceiling_problem(F.col("cpu"), F.col("memory"), policy),
+        ceiling_problem(F.col("__asked"), policy),
     )
-    return staged.withColumn("problem", problem).withColumn(
-        "findings", signature_findings(mode, verified, reason)
+    return (
+        staged.withColumn("problem", problem)
+        .withColumn("findings", signature_findings(mode, verified, reason))
+        .drop("__image", "__asked")
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions import quantities as Q
-from runlens.functions.text import effective_profile, trim_ws
+from runlens.functions.text import bind, effective_profile, trim_ws
 from runlens.operators import graphs as G
 from runlens.operators import policy as P
 from runlens.operators.binding import with_argument_check, with_binding
@@ -24,7 +24,9 @@ def _stop(stage: str, code: str | Column, detail: str | Column) -> Column:
 
 
 def _from_problem(stage: str, problem: Column) -> Column:
-    return F.when(problem.isNotNull(), _stop(stage, problem["code"], problem["detail"]))
+    return bind(
+        problem, lambda p: F.when(p.isNotNull(), _stop(stage, p["code"], p["detail"]))
+    )
 
 
 def _at_step(i: Column, findings: Column) -> Column:
@@ -54,15 +56,14 @@ def _step_rows(policy: P.Policy) -> Column:
         )
 
     def staged(row: Column) -> Column:
-        s, m, d = row["step"], row["merged"], row["decisions"]
-        image = m["image"]
+        s, d, image = row["step"], row["decisions"], row["image"]
         problem = F.coalesce(
             F.when(
                 run_by == "container",
                 F.coalesce(
-                    P.registry_problem(image, policy),
+                    P.registry_problem(row["image_facts"], policy),
                     P.signature_problem(mode, verified, reason),
-                    P.ceiling_problem(m["resources"]["cpu"], m["resources"]["memory"], policy),
+                    P.ceiling_problem(row["asked"], policy),
                 ),
             ),
             P.decision_problem(d),
@@ -83,7 +84,11 @@ def _step_rows(policy: P.Policy) -> Column:
     with_decisions = F.transform(
         with_merged,
         lambda r: F.struct(
-            r["step"].alias("step"), r["merged"].alias("merged"), decide(r["merged"]).alias("decisions")
+            r["step"].alias("step"),
+            r["merged"]["image"].alias("image"),
+            Q.image_facts(r["merged"]["image"]).alias("image_facts"),
+            Q.quantity_facts(r["merged"]["resources"]["cpu"], r["merged"]["resources"]["memory"]).alias("asked"),
+            decide(r["merged"]).alias("decisions"),
         ),
     )
     return F.transform(with_decisions, staged)
@@ -124,13 +129,16 @@ def plan_table(
     rows = rows.withColumn("graph", G.is_step_graph(F.col("composition"), F.col("steps")))
     graph, mode = F.col("graph"), F.col("mode")
     image = Q.container_image(F.col("container.image"), F.coalesce("interpreter", F.lit("")))
-    rows = rows.withColumn("image", image).withColumn(
-        "decisions",
-        P.override_decisions(
-            F.col("profile"), policy, network=F.col("container.network"),
-            rootfs_writable=F.col("container.rootfs_writable"),
-            capabilities=F.col("container.capabilities"), env_inheritance=F.col("env_inheritance"),
-        ),
+    rows = rows.withColumn("image", image).withColumns(
+        {
+            "decisions": P.override_decisions(
+                F.col("profile"), policy, network=F.col("container.network"),
+                rootfs_writable=F.col("container.rootfs_writable"),
+                capabilities=F.col("container.capabilities"), env_inheritance=F.col("env_inheritance"),
+            ),
+            "image_facts": Q.image_facts(F.col("image")),
+            "asked": Q.quantity_facts(F.col("container.resources.cpu"), F.col("container.resources.memory")),
+        }
     )
     staged_steps = F.when(graph & F.lit(preview), _step_rows(policy))
     rows = rows.withColumn("plan_steps", staged_steps)
@@ -158,13 +166,10 @@ def plan_table(
         F.when(
             has_image,
             F.coalesce(
-                _from_problem("image", P.registry_problem(F.col("image"), policy)),
+                _from_problem("image", P.registry_problem(F.col("image_facts"), policy)),
                 verify,
                 _from_problem("image", P.signature_problem(mode, F.col("verified"), F.col("reason"))),
-                _from_problem(
-                    "image",
-                    P.ceiling_problem(F.col("container.resources.cpu"), F.col("container.resources.memory"), policy),
-                ),
+                _from_problem("image", P.ceiling_problem(F.col("asked"), policy)),
             ),
         ),
         _from_problem("override", P.decision_problem(F.col("decisions"))),
@@ -236,7 +241,9 @@ def addon_plans(
     rows = with_binding(with_argument_check(requests.join(jobs, "name")))
     rows = rows.withColumn(
         "profile", effective_profile(F.col("requested_profile"), F.lit(""), F.lit(profile))
-    ).withColumn("mode", P.verify_mode(F.col("profile"), policy))
+    ).withColumns(
+        {"mode": P.verify_mode(F.col("profile"), policy), "image_facts": Q.image_facts(F.col("image"))}
+    )
     mode, verified, reason = F.col("mode"), F.col("verified"), F.col("reason")
     pinned = F.when(F.col("digest") != "", Q.pin_digest("image", "digest")).otherwise(F.col("image"))
     stop = F.coalesce(
@@ -246,7 +253,7 @@ def addon_plans(
             _stop("arguments", F.coalesce(F.col("arg_error.arg"), F.lit("")), F.col("arg_error.message")),
         ),
         F.when(F.col("image") == "", _stop("image", "ref_missing", "oci source ref missing")),
-        _from_problem("image", P.registry_problem(F.col("image"), policy)),
+        _from_problem("image", P.registry_problem(F.col("image_facts"), policy)),
         F.when(mode.isNull(), _stop("image", P.POLICY_ERROR, "invalid verify mode")),
         _from_problem("image", P.signature_problem(mode, verified, reason)),
     )

@@ -687,7 +687,7 @@ FROM texts
 SQL = {
     "quantity_parse": """
         SELECT p_partkey,
-               CASE p_partkey % 6 WHEN 0 THEN p_size WHEN 1 THEN p_size * 1000 + 251 END AS millicores,
+               CASE p_partkey % 6 WHEN 0 THEN p_size WHEN 1 THEN CAST(round(CAST(p_size || '.2505' AS DOUBLE) * 1000) AS BIGINT) END AS millicores,
                CASE p_partkey % 6 WHEN 2 THEN 'cpu value must be positive' WHEN 3 THEN 'parse cores "abc"'
                     WHEN 4 THEN 'empty cpu value' WHEN 5 THEN 'parse millicores "' || p_size || '.5M"' END AS cpu_error,
                b AS bytes,
