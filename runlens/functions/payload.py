@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from runlens.functions.text import as_col
+from runlens.functions.text import as_col, bind
 
 # Fixed value: what a hidden value is replaced by.
 SECRET = "[secret]"
@@ -96,31 +96,34 @@ def global_envelope(run_id: str | Column, payload: str | Column) -> Column:
     Keys come out sorted and numbers are read as numbers, not kept as text.
     """
     rid, body = as_col(run_id), as_col(payload)
-    fields = F.from_json(body, "map<string,variant>")
-    is_object = F.schema_of_variant(F.try_parse_json(body)).startswith("OBJECT")
-    keys = F.array_sort(F.array_union(F.map_keys(fields), F.array(F.lit("run_id"))))
-    members = F.transform(
-        keys,
-        lambda k: F.concat(
-            F.to_json(F.array(k)).substr(F.lit(2), F.length(F.to_json(F.array(k))) - 2),
-            F.lit(":"),
-            F.when(k == "run_id", _json_string(rid)).otherwise(
-                F.to_json(F.element_at(fields, k))
+    fields = F.when(F.ltrim(body).startswith("{"), F.from_json(body, "map<string,variant>"))
+
+    def merged(both: Column) -> Column:
+        known, rid_text = both["fields"], both["rid"]
+        keys = F.array_sort(F.array_union(F.map_keys(known), F.array(F.lit("run_id"))))
+        members = F.transform(
+            keys,
+            lambda k: F.concat(
+                _json_string(k),
+                F.lit(":"),
+                F.when(k == "run_id", rid_text).otherwise(
+                    F.coalesce(F.to_json(F.element_at(known, k)), F.lit("null"))
+                ),
             ),
-        ),
-    )
-    merged = F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
-    wrapped = F.concat(
-        F.lit('{"data":'), _json_string(body), F.lit(',"run_id":'), _json_string(rid), F.lit("}")
-    )
-    return F.when(
-        rid.isNull() | (rid == ""), body
-    ).otherwise(escape_markup(F.when(F.coalesce(is_object, F.lit(False)), merged).otherwise(wrapped)))
+        )
+        wrapped = F.concat(
+            F.lit('{"data":'), _json_string(body), F.lit(',"run_id":'), rid_text, F.lit("}")
+        )
+        return F.when(known.isNull(), wrapped).otherwise(
+            F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
+        )
+
+    whole = bind(F.struct(fields.alias("fields"), _json_string(rid).alias("rid")), merged)
+    return F.when(rid.isNull() | (rid == ""), body).otherwise(escape_markup(whole))
 
 
 def _json_string(text: Column) -> Column:
-    quoted = F.to_json(F.array(text))
-    return quoted.substr(F.lit(2), F.length(quoted) - 2)
+    return F.regexp_replace(F.to_json(F.array(text)), r"^\[|\]$", "")
 
 
 def redact_args(args: str | Column, secret_names: str | Column) -> Column:

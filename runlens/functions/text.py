@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SPACE = " \t\n\r\x0b\x0c\x85\xa0"
@@ -33,6 +33,16 @@ def bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def compute_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are evaluated once per row however often they are used.
+
+    A plain ``withColumn`` may be copied into every expression and pushed-down filter that
+    mentions it; a generated row is not.
+    """
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def trim_ws(value: str | Column) -> Column:
     return F.btrim(as_col(value), F.lit(_SPACE))
 

@@ -47,7 +47,8 @@ def check_sources(requests: DataFrame, rules: SourceRules) -> DataFrame:
     """
     text = lambda c: F.coalesce(X.trim_ws(c), F.lit(""))
     kind, given = F.col("type"), F.coalesce(F.col("name"), F.lit(""))
-    staged = requests.withColumns(
+    staged = X.compute_once(
+        requests,
         {
             "__repo": F.when(text("url") != "", text("url")).otherwise(text("ref")),
             "__image": F.when(text("ref") != "", text("ref")).otherwise(text("url")),
@@ -55,13 +56,14 @@ def check_sources(requests: DataFrame, rules: SourceRules) -> DataFrame:
             "__expose": X.normalize_expose("expose"),
             "__pull": X.normalize_pull_policy("pull_policy"),
             "__mode": P.verify_mode(F.lit(rules.profile), rules.policy),
-        }
+        },
     )
     clean, repo, image = F.col("__clean"), F.col("__repo"), F.col("__image")
 
     # relative local paths are taken below each allowed root in turn
     roots = [r for r in rules.local_roots if r]
-    staged = staged.withColumns(
+    staged = X.compute_once(
+        staged,
         {
             f"__full{i}": F.when(clean.startswith("/"), clean).otherwise(
                 X.clean_path(F.concat(F.lit(root.rstrip("/") + "/"), clean))
@@ -73,7 +75,7 @@ def check_sources(requests: DataFrame, rules: SourceRules) -> DataFrame:
             "__disk": X.clean_path(F.regexp_replace(repo, "^(?i:file)://", "")),
             "__host": X.url_host(repo),
             "__image_facts": Q.image_facts(image),
-        }
+        },
     )
     inside, resolved = F.lit(False), F.lit(None).cast("string")
     for i, root in reversed(list(enumerate(roots))):
@@ -138,7 +140,7 @@ def check_sources(requests: DataFrame, rules: SourceRules) -> DataFrame:
         .otherwise(X.image_source_name(image))
     )
     return (
-        staged.withColumn("problem", problem)
+        X.compute_once(staged, {"problem": problem})
         .withColumns(
             {
                 "source_name": F.when(given != "", given).otherwise(derived),

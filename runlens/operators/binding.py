@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions.payload import redact_args
-from runlens.functions.text import arg_env_name, bind, quoted, trim_ws
+from runlens.functions.text import arg_env_name, bind, compute_once, quoted, trim_ws
 
 # Supported argument types.
 TYPES = ("string", "boolean", "integer", "array", "object")
@@ -18,17 +18,15 @@ TYPES = ("string", "boolean", "integer", "array", "object")
 _NONE = "array<string>"
 
 
+# VARIANT type names and the JSON kind they stand for; all others are numbers.
+_KINDS = {"VOID": "null", "STRING": "string", "BOOLEAN": "boolean", "ARRAY": "array", "OBJECT": "object"}
+
+
 def _kind(value: Column) -> Column:
     """JSON kind of a VARIANT: string, boolean, number, array, object or null."""
-    name = F.schema_of_variant(value)
-    return (
-        F.when(value.isNull() | (name == "VOID"), "null")
-        .when(name == "STRING", "string")
-        .when(name == "BOOLEAN", "boolean")
-        .when(name.startswith("ARRAY"), "array")
-        .when(name.startswith("OBJECT"), "object")
-        .otherwise("number")
-    )
+    pairs = [F.lit(x) for pair in _KINDS.items() for x in pair]
+    name = F.regexp_extract(F.coalesce(F.schema_of_variant(value), F.lit("VOID")), "^[A-Z]+", 0)
+    return F.coalesce(F.element_at(F.create_map(*pairs), name), F.lit("number"))
 
 
 def _as(value: Column, kind: str) -> Column:
@@ -220,10 +218,9 @@ def with_argument_check(requests: DataFrame, args: str = "args", spec: str = "sp
     def first(found: Column) -> Column:
         return F.get(F.filter(found, lambda e: e["message"].isNotNull()), F.lit(0))
 
-    staged = (
-        requests.withColumn("__given", _given(args))
-        .withColumn("__names", F.array_sort(F.map_keys("__given")))
-        .withColumn("__facts", _argument_facts(spec))
+    sent = compute_once(requests, {"__given": _given(args)})
+    staged = compute_once(
+        sent, {"__names": F.array_sort(F.map_keys("__given")), "__facts": _argument_facts(spec)}
     )
     unsupported = first(
         F.transform(
@@ -252,7 +249,7 @@ def with_argument_check(requests: DataFrame, args: str = "args", spec: str = "sp
     checked = F.when(bare, none_allowed).otherwise(
         F.coalesce(unsupported, unknown_error, typed, ruled)
     )
-    return staged.withColumn("arg_error", checked).drop("__given", "__names")
+    return compute_once(staged, {"arg_error": checked}).drop("__given", "__names")
 
 
 def with_binding(checked: DataFrame) -> DataFrame:
@@ -271,7 +268,7 @@ def with_binding(checked: DataFrame) -> DataFrame:
             f["type"].isin("string", "boolean", "integer").alias("scalar"),
         ),
     )
-    staged = checked.withColumn("__bound", F.when(fine, rows))
+    staged = compute_once(checked, {"__bound": F.when(fine, rows)})
     secrets = F.filter("__bound", lambda b: b["secret"])
     plain = F.filter("__bound", lambda b: b["scalar"] & ~b["secret"])
     return (

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from runlens.functions.access import kv_check
 from runlens.operators.folds import CHUNK_ROWS, chunked_fold
 from runlens.operators.running import BUCKET_ROWS, running
+from runlens.session import written
 
 # Quota per namespace and page limit.
 NAMESPACE_MAX_BYTES = 32 * 1024 * 1024
@@ -164,11 +165,15 @@ def admission(
         previous, ["namespace"], "ord", {"used": ("sum", F.col("size") - F.col("old"))},
         bucket_rows=bucket_rows,
     )
+    # read several times below: slim rows without values, written once
+    totals = written(totals.select("namespace", "ord", "k", "op", "size", "used"), "quota")
     overflow = (
         totals.filter((F.col("op") == "put") & (F.col("used") > limit))
         .groupBy("namespace")
         .agg(F.min("ord").alias("first_over"))
     )
+    if overflow.isEmpty():
+        return totals.select("namespace", "ord", F.lit("ok").alias("decision")).unionByName(refused)
     marked = totals.join(overflow, "namespace", "left")
     head = F.col("first_over").isNull() | (F.col("ord") < F.col("first_over"))
     accepted = marked.filter(head)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.functions.text import is_blank, quoted, trim_ws
+from runlens.functions.text import bind, compute_once, is_blank, quoted, trim_ws
 from runlens.operators.binding import _as, _kind
 
 # Patterns, sets, limits and allowed keys of a manifest.
@@ -167,49 +167,41 @@ def _typed_errors(m: Column, api_version: str, kind: str, ref: str) -> Column:
 def _schema_errors(raw: Column, ref: str, runner_key: str | None) -> Column:
     """Shape and allowed-key checks on the untyped document; keys are reported in order."""
 
-    def fields(value: Column) -> Column:
-        return _as(value, "map<string,variant>")
-
-    def unknown(value: Column, level: str, path: str | Column) -> Column:
+    def unknown(fields: Column, level: str, path: str | Column) -> Column:
         allowed = ALLOWED_KEYS[level].split()
         if level == "requires" and runner_key:
             allowed.append(runner_key)
-        odd = F.array_sort(
-            F.array_except(F.map_keys(fields(value)), F.array(*[F.lit(k) for k in allowed]))
-        )
-        return F.coalesce(
-            F.transform(odd, lambda k: _msg(path, ".", k, f" is not allowed per {ref}")), _none()
+        odd = F.array_sort(F.array_except(F.map_keys(fields), F.array(*[F.lit(k) for k in allowed])))
+        return F.transform(odd, lambda k: _msg(path, ".", k, f" is not allowed per {ref}"))
+
+    def read(value: Column, kind: str, label: Column, check) -> Column:
+        """Check a value that must be an object (its fields) or an array (its items)."""
+        form, article = {
+            "object": ("map<string,variant>", "an object"), "array": ("array<variant>", "an array"),
+        }[kind]
+        return bind(
+            _as(value, form),
+            lambda content: F.when(
+                content.isNull(), F.array(_msg(label, f" must be {article} per {ref}"))
+            ).otherwise(check(content, label)),
         )
 
-    def part(value: Column, key: str, kind: str, path: str | Column, check) -> Column:
-        """Check ``value[key]`` when the key is there: its kind, then its content."""
-        inside = F.try_variant_get(value, f"$.{key}", "variant")
-        there = F.coalesce(F.map_contains_key(fields(value), F.lit(key)), F.lit(False))
-        label = _msg(path, f".{key}") if isinstance(path, Column) or path else F.lit(key)
-        article = "an array" if kind == "array" else "an object"
+    def part(fields: Column, key: str, kind: str, path: str | Column, check) -> Column:
+        """Check the value under ``key`` when the key is there."""
+        label = _msg(path, f".{key}") if isinstance(path, Column) else F.lit(key)
         return F.when(
-            there,
-            F.when(
-                _kind(inside) != kind, F.array(_msg(label, f" must be {article} per {ref}"))
-            ).otherwise(check(inside, label)),
+            F.map_contains_key(fields, F.lit(key)),
+            read(F.element_at(fields, key), kind, label, check),
         ).otherwise(_none())
 
     def members(check):
         """Check array items that must be objects."""
+        return lambda items, label: _each(
+            items, lambda v, i: read(v, "object", _at(label, i), check)
+        )
 
-        def run(items: Column, label: Column) -> Column:
-            def one(v: Column, i: Column) -> Column:
-                at = _at(label, i)
-                return F.when(
-                    _kind(v) != "object", F.array(_msg(at, f" must be an object per {ref}"))
-                ).otherwise(check(v, at))
-
-            return _each(_as(items, "array<variant>"), one)
-
-        return run
-
-    def blank_text(value: Column, key: str, at: Column) -> Column:
-        text = F.try_variant_get(value, f"$.{key}", "string")
+    def blank_text(fields: Column, key: str, at: Column) -> Column:
+        text = _as(F.element_at(fields, key), "string")
         return F.when(text.isNotNull() & is_blank(text), _msg(at, f".{key} is required per {ref}"))
 
     def maintainer(v: Column, at: Column) -> Column:
@@ -222,12 +214,12 @@ def _schema_errors(raw: Column, ref: str, runner_key: str | None) -> Column:
 
     def permission_list(items: Column, label: Column) -> Column:
         return _each(
-            _as(items, "array<variant>"),
+            items,
             lambda v, i: _rules(F.when(_kind(v) != "string", _msg(_at(label, i), f" must be a string per {ref}"))),
         )
 
     def container(v: Column, at: Column) -> Column:
-        mode = F.try_variant_get(v, "$.verify_signatures", "variant")
+        mode = F.element_at(v, "verify_signatures")
         text = F.lower(trim_ws(_as(mode, "string")))
         wrong = (
             F.when(_kind(mode) == "null", F.lit(None).cast("string"))
@@ -274,9 +266,13 @@ def _schema_errors(raw: Column, ref: str, runner_key: str | None) -> Column:
 
 
 def parsed(documents: DataFrame, doc: str = "doc") -> DataFrame:
-    """Add the typed ``manifest`` and the untyped ``raw`` form of JSON documents."""
-    return documents.withColumn("manifest", F.from_json(doc, MANIFEST)).withColumn(
-        "raw", F.try_parse_json(F.col(doc))
+    """Add the typed ``manifest`` and the untyped top-level fields ``raw`` of JSON documents."""
+    return compute_once(
+        documents,
+        {
+            "manifest": F.from_json(doc, MANIFEST),
+            "raw": _as(F.try_parse_json(F.col(doc)), "map<string,variant>"),
+        },
     )
 
 
@@ -291,12 +287,11 @@ def lint(
 ) -> DataFrame:
     """Add ``errors ARRAY<STRING>`` to manifest documents; empty when the manifest is valid."""
     staged = parsed(documents, doc)
-    readable = _kind(F.col("raw")) == "object"
-    errors = F.when(readable, F.concat(
+    errors = F.when(F.col("raw").isNotNull(), F.concat(
         _typed_errors(F.col("manifest"), api_version, kind, schema_ref),
         _schema_errors(F.col("raw"), schema_ref, runner_key),
     )).otherwise(F.array(F.lit("manifest must be an object")))
-    return staged.withColumn("errors", errors)
+    return compute_once(staged, {"errors": errors})
 
 
 def lint_rows(linted: DataFrame, keys: list[str]) -> DataFrame:

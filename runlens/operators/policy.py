@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions import quantities as Q
-from runlens.functions.text import VERIFY_MODES, bind, non_blank, quoted, trim_ws
+from runlens.functions.text import VERIFY_MODES, bind, compute_once, non_blank, quoted, trim_ws
 
 # Decision and finding codes.
 DENIED = "policy.denied"
@@ -283,12 +283,13 @@ def image_verdicts(rows: DataFrame, policy: Policy) -> DataFrame:
 
     Registry, then signature, then cpu, then memory; the first refusal is the problem.
     """
-    staged = rows.withColumns(
+    staged = compute_once(
+        rows,
         {
             "mode": verify_mode(F.col("profile"), policy),
             "__image": Q.image_facts(F.col("image")),
             "__asked": Q.quantity_facts(F.col("cpu"), F.col("memory")),
-        }
+        },
     )
     mode, verified, reason = F.col("mode"), F.col("verified"), F.col("reason")
     problem = F.coalesce(
@@ -306,16 +307,18 @@ def image_verdicts(rows: DataFrame, policy: Policy) -> DataFrame:
 
 def override_verdicts(rows: DataFrame, policy: Policy) -> DataFrame:
     """Decisions for ``(profile, network, rootfs_writable, capabilities, env_inheritance)``."""
-    decided = rows.withColumn(
-        "decisions",
-        override_decisions(
-            F.col("profile"),
-            policy,
-            network=F.col("network"),
-            rootfs_writable=F.col("rootfs_writable"),
-            capabilities=F.col("capabilities"),
-            env_inheritance=F.col("env_inheritance"),
-        ),
+    decided = compute_once(
+        rows,
+        {
+            "decisions": override_decisions(
+                F.col("profile"),
+                policy,
+                network=F.col("network"),
+                rootfs_writable=F.col("rootfs_writable"),
+                capabilities=F.col("capabilities"),
+                env_inheritance=F.col("env_inheritance"),
+            )
+        },
     )
     return decided.withColumn("problem", decision_problem(F.col("decisions"))).withColumn(
         "findings", decision_findings(F.col("profile"), F.col("decisions"))

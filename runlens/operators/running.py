@@ -106,13 +106,27 @@ def clamped_gauge(
 ) -> DataFrame:
     """Gauge that is set back to 0 whenever a delta would make it negative.
 
-    With running sum ``s`` the value is ``s - min(0, lowest s so far)``.
+    With running sum ``s`` the value is ``s - min(0, lowest s so far)``. A bucket passes on its
+    sum and its lowest inner running sum, so rows are shuffled once, by (key, bucket).
     """
-    summed = running(
-        df, keys, order, {"__sum": ("sum", delta)}, bucket_rows=bucket_rows
+    keys = list(keys)
+    by = [*keys, _BUCKET]
+    inside = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = (
+        with_bucket(df, order, bucket_rows)
+        .withColumn("__d", delta)
+        .withColumn("__s", F.sum("__d").over(inside))
+        .withColumn("__m", F.min("__s").over(inside))
+    )
+    totals = rows.groupBy(*by).agg(F.sum("__d").alias("__t"), F.min("__s").alias("__l"))
+    across = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        totals.withColumn("__o", F.coalesce(F.sum("__t").over(across), F.lit(0)))
+        .withColumn("__g", F.min(F.col("__o") + F.col("__l")).over(across))
+        .select(*by, "__o", "__g")
     )
-    lowest = running(
-        summed, keys, order, {"__low": ("min", F.col("__sum"))}, bucket_rows=bucket_rows
+    value = (
+        F.col("__o") + F.col("__s")
+        - F.least(F.lit(0).cast("long"), F.col("__g"), F.col("__o") + F.col("__m"))
     )
-    value = F.col("__sum") - F.least(F.lit(0).cast("long"), F.col("__low"))
-    return lowest.withColumn(out, value).select(*df.columns, out)
+    return rows.join(carried, by).withColumn(out, value).select(*df.columns, out)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions import quantities as Q
-from runlens.functions.text import bind, effective_profile, trim_ws
+from runlens.functions.text import bind, compute_once, effective_profile, trim_ws
 from runlens.operators import graphs as G
 from runlens.operators import policy as P
 from runlens.operators.binding import with_argument_check, with_binding
@@ -122,15 +122,21 @@ def plan_table(
         .select(*found.columns, *[F.col(f"job.{c}").alias(c) for c in jobs.columns if c not in ("ord", "id", "name")])
     )
     rows = with_binding(with_argument_check(rows))
-    rows = rows.withColumn(
-        "profile",
-        effective_profile(F.col("requested_profile"), F.lit(environment_profile), F.lit(configured_profile)),
-    ).withColumn("mode", P.verify_mode(F.col("profile"), policy))
-    rows = rows.withColumn("graph", G.is_step_graph(F.col("composition"), F.col("steps")))
+    rows = compute_once(
+        rows,
+        {
+            "profile": effective_profile(
+                F.col("requested_profile"), F.lit(environment_profile), F.lit(configured_profile)
+            ),
+            "graph": G.is_step_graph(F.col("composition"), F.col("steps")),
+            "image": Q.container_image(F.col("container.image"), F.coalesce("interpreter", F.lit(""))),
+        },
+    )
     graph, mode = F.col("graph"), F.col("mode")
-    image = Q.container_image(F.col("container.image"), F.coalesce("interpreter", F.lit("")))
-    rows = rows.withColumn("image", image).withColumns(
+    rows = compute_once(
+        rows,
         {
+            "mode": P.verify_mode(F.col("profile"), policy),
             "decisions": P.override_decisions(
                 F.col("profile"), policy, network=F.col("container.network"),
                 rootfs_writable=F.col("container.rootfs_writable"),
@@ -138,10 +144,10 @@ def plan_table(
             ),
             "image_facts": Q.image_facts(F.col("image")),
             "asked": Q.quantity_facts(F.col("container.resources.cpu"), F.col("container.resources.memory")),
-        }
+        },
     )
     staged_steps = F.when(graph & F.lit(preview), _step_rows(policy))
-    rows = rows.withColumn("plan_steps", staged_steps)
+    rows = compute_once(rows, {"plan_steps": staged_steps})
 
     resolution = F.col("resolution")
     unresolved = F.coalesce(
@@ -181,7 +187,7 @@ def plan_table(
     stop = F.coalesce(
         unresolved, lint, argument, profile, F.when(graph & F.lit(preview), by_step).otherwise(single)
     )
-    rows = rows.withColumn("stop", stop)
+    rows = compute_once(rows, {"stop": stop})
     fine = F.col("stop").isNull()
     signed = F.when(
         has_image, P.signature_findings(mode, F.col("verified"), F.col("reason"))
@@ -239,10 +245,12 @@ def addon_plans(
         .withColumn("name", F.concat_ws("/", trim_ws("source_name"), trim_ws("job_id")))
     )
     rows = with_binding(with_argument_check(requests.join(jobs, "name")))
-    rows = rows.withColumn(
-        "profile", effective_profile(F.col("requested_profile"), F.lit(""), F.lit(profile))
-    ).withColumns(
-        {"mode": P.verify_mode(F.col("profile"), policy), "image_facts": Q.image_facts(F.col("image"))}
+    rows = compute_once(
+        rows, {"profile": effective_profile(F.col("requested_profile"), F.lit(""), F.lit(profile))}
+    )
+    rows = compute_once(
+        rows,
+        {"mode": P.verify_mode(F.col("profile"), policy), "image_facts": Q.image_facts(F.col("image"))},
     )
     mode, verified, reason = F.col("mode"), F.col("verified"), F.col("reason")
     pinned = F.when(F.col("digest") != "", Q.pin_digest("image", "digest")).otherwise(F.col("image"))
@@ -268,7 +276,7 @@ def addon_plans(
             F.array().cast(_NO_FINDINGS)
         ),
     )
-    return rows.withColumn("stop", stop).select(
+    return compute_once(rows, {"stop": stop}).select(
         "request", F.col("name").alias("job_id"),
         F.col("stop.stage").alias("stage"), F.col("stop.code").alias("code"), F.col("stop.detail").alias("detail"),
         "image", pinned.alias("verified_image"), findings.alias("findings"), "resolved",
