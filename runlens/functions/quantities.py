@@ -136,13 +136,14 @@ def executor_mode(executor: Column, interpreter: Column) -> Column:
 
 def quantity_facts(cpu: Column, memory: Column) -> Column:
     """Both quantities of a request, parsed once: amounts, errors, and whether they are asked."""
+    cpu_asked, memory_asked = non_blank(cpu).isNotNull(), non_blank(memory).isNotNull()
     return F.struct(
-        non_blank(cpu).isNotNull().alias("cpu_asked"),
-        cpu_millicores(cpu).alias("cpu"),
-        cpu_error(cpu).alias("cpu_error"),
-        non_blank(memory).isNotNull().alias("memory_asked"),
-        memory_bytes(memory).alias("memory"),
-        memory_error(memory).alias("memory_error"),
+        cpu_asked.alias("cpu_asked"),
+        F.when(cpu_asked, cpu_millicores(cpu)).alias("cpu"),
+        F.when(cpu_asked, cpu_error(cpu)).alias("cpu_error"),
+        memory_asked.alias("memory_asked"),
+        F.when(memory_asked, memory_bytes(memory)).alias("memory"),
+        F.when(memory_asked, memory_error(memory)).alias("memory_error"),
     )
 
 

@@ -58,7 +58,7 @@ def chunked_fold(
     out_names = [f.name for f in out_type.fields]
     state_names = [f.name for f in state_type.fields]
 
-    def step(key, rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+    def step(key: tuple, rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         if rows.empty:
             out, kept = pd.DataFrame(columns=out_names), state[state_names]
         else:

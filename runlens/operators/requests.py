@@ -64,7 +64,7 @@ def _next(times: np.ndarray, ttl: int) -> np.ndarray:
 def _transfer(ttl: int, span: int):
     """Per slice: which last anchor follows from each possible first admissible time."""
 
-    def per_slice(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def per_slice(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         times = np.sort(rows["ms"].to_numpy())
         n, start = len(times), int(key[2]) * span
         step = _next(times, ttl)
@@ -90,7 +90,7 @@ def _transfer(ttl: int, span: int):
 def _entries(ttl: int):
     """Per key: walk the slices and note the first admissible time of each."""
 
-    def per_key(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def per_key(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["slice", "upto"])
         found, anchor = [], None
         for part, steps in rows.groupby("slice", sort=True):
@@ -106,7 +106,7 @@ def _entries(ttl: int):
 
 
 def _anchors_in_slice(ttl: int):
-    def per_slice(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def per_slice(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         times = np.sort(rows["ms"].to_numpy())
         step, at = _next(times, ttl), int(np.searchsorted(times, rows["entry"].iloc[0]))
         marks = []
