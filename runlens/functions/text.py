@@ -36,11 +36,13 @@ def bind(value: Column, body) -> Column:
 def compute_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Add columns that are evaluated once per row however often they are used.
 
-    A plain ``withColumn`` may be copied into every expression and pushed-down filter that
-    mentions it; a generated row is not.
+    A plain ``withColumn`` may be copied into every later expression and pushed-down filter that
+    mentions it. Here the projection computes the columns and a one-row generator hands them
+    on, which later expressions are not pushed through.
     """
-    row = F.struct(*[c.alias(name) for name, c in columns.items()])
-    return df.select("*", F.inline(F.array(row)))
+    held = df.withColumns({f"__once_{name}": column for name, column in columns.items()})
+    row = F.struct(*[F.col(f"__once_{name}").alias(name) for name in columns])
+    return held.select(*df.columns, F.inline(F.array(row)))
 
 
 def trim_ws(value: str | Column) -> Column:

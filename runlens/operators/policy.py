@@ -127,17 +127,16 @@ def ceiling_problem(asked: Column, policy: Policy) -> Column:
     return F.coalesce(*rules)
 
 
-def override_decisions(
+def override_settings(
     profile: Column,
-    policy: Policy,
     *,
     network: Column,
     rootfs_writable: Column,
     capabilities: Column,
     env_inheritance: Column,
 ) -> Column:
-    """ARRAY of decisions in subject order, ending with the first denial."""
-    asked = F.struct(
+    """Normalised settings the override rules look at."""
+    return F.struct(
         F.lower(trim_ws(profile)).alias("profile"),
         F.lower(trim_ws(F.coalesce(network, F.lit("")))).alias("network"),
         F.coalesce(rootfs_writable, F.lit(False)).alias("rootfs"),
@@ -146,10 +145,21 @@ def override_decisions(
         ).alias("caps"),
         F.coalesce(env_inheritance, F.lit(False)).alias("env"),
     )
-    return bind(bind(asked, lambda a: _all_decisions(a, policy)), _until_denied)
 
 
-def _all_decisions(settings: Column, policy: Policy) -> Column:
+def override_decisions(settings: Column, policy: Policy) -> Column:
+    """ARRAY of decisions in subject order, ending with the first denial."""
+    return bind(bind(settings, lambda s: all_decisions(s, policy)), until_denied)
+
+
+def with_override_decisions(df: DataFrame, policy: Policy, settings: Column) -> DataFrame:
+    """Add ``decisions``, each stage computed once."""
+    staged = compute_once(df, {"__settings": settings})
+    staged = compute_once(staged, {"__all": all_decisions(F.col("__settings"), policy)})
+    return compute_once(staged, {"decisions": until_denied(F.col("__all"))}).drop("__settings", "__all")
+
+
+def all_decisions(settings: Column, policy: Policy) -> Column:
     prof, net, caps = settings["profile"], settings["network"], settings["caps"]
 
     def decide(subject: str, asked: Column, secure: Column, refused: Column, listed: Column, fine: Column, off: Column) -> Column:
@@ -217,7 +227,7 @@ def _all_decisions(settings: Column, policy: Policy) -> Column:
     return F.array_compact(steps)
 
 
-def _until_denied(decisions: Column) -> Column:
+def until_denied(decisions: Column) -> Column:
     denied = F.array_position(F.transform(decisions, lambda d: d["decision"]), F.lit("denied"))
     return F.when(denied > 0, F.slice(decisions, F.lit(1), denied.cast("int"))).otherwise(decisions)
 
@@ -307,19 +317,14 @@ def image_verdicts(rows: DataFrame, policy: Policy) -> DataFrame:
 
 def override_verdicts(rows: DataFrame, policy: Policy) -> DataFrame:
     """Decisions for ``(profile, network, rootfs_writable, capabilities, env_inheritance)``."""
-    decided = compute_once(
-        rows,
-        {
-            "decisions": override_decisions(
-                F.col("profile"),
-                policy,
-                network=F.col("network"),
-                rootfs_writable=F.col("rootfs_writable"),
-                capabilities=F.col("capabilities"),
-                env_inheritance=F.col("env_inheritance"),
-            )
-        },
+    settings = override_settings(
+        F.col("profile"),
+        network=F.col("network"),
+        rootfs_writable=F.col("rootfs_writable"),
+        capabilities=F.col("capabilities"),
+        env_inheritance=F.col("env_inheritance"),
     )
+    decided = with_override_decisions(rows, policy, settings)
     return decided.withColumn("problem", decision_problem(F.col("decisions"))).withColumn(
         "findings", decision_findings(F.col("profile"), F.col("decisions"))
     )

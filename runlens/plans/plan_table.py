@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions import quantities as Q
-from runlens.functions.text import bind, compute_once, effective_profile, trim_ws
+from runlens.functions.text import compute_once, effective_profile, trim_ws
 from runlens.operators import graphs as G
 from runlens.operators import policy as P
 from runlens.operators.binding import with_argument_check, with_binding
@@ -23,10 +23,9 @@ def _stop(stage: str, code: str | Column, detail: str | Column) -> Column:
     return F.struct(F.lit(stage).alias("stage"), col(code).alias("code"), col(detail).alias("detail"))
 
 
-def _from_problem(stage: str, problem: Column) -> Column:
-    return bind(
-        problem, lambda p: F.when(p.isNotNull(), _stop(stage, p["code"], p["detail"]))
-    )
+def _from_problem(stage: str, name: str) -> Column:
+    problem = F.col(name)
+    return F.when(problem.isNotNull(), _stop(stage, problem["code"], problem["detail"]))
 
 
 def _at_step(i: Column, findings: Column) -> Column:
@@ -50,10 +49,11 @@ def _step_rows(policy: P.Policy) -> Column:
         return P.overlay_container(container, s["container"])
 
     def decide(m: Column) -> Column:
-        return P.override_decisions(
-            F.col("profile"), policy, network=m["network"], rootfs_writable=m["rootfs_writable"],
+        settings = P.override_settings(
+            F.col("profile"), network=m["network"], rootfs_writable=m["rootfs_writable"],
             capabilities=m["capabilities"], env_inheritance=F.lit(False),
         )
+        return P.override_decisions(settings, policy)
 
     def staged(row: Column) -> Column:
         s, d, image = row["step"], row["decisions"], row["image"]
@@ -137,17 +137,32 @@ def plan_table(
         rows,
         {
             "mode": P.verify_mode(F.col("profile"), policy),
-            "decisions": P.override_decisions(
-                F.col("profile"), policy, network=F.col("container.network"),
-                rootfs_writable=F.col("container.rootfs_writable"),
-                capabilities=F.col("container.capabilities"), env_inheritance=F.col("env_inheritance"),
-            ),
             "image_facts": Q.image_facts(F.col("image")),
             "asked": Q.quantity_facts(F.col("container.resources.cpu"), F.col("container.resources.memory")),
         },
     )
-    staged_steps = F.when(graph & F.lit(preview), _step_rows(policy))
-    rows = compute_once(rows, {"plan_steps": staged_steps})
+    settings = P.override_settings(
+        F.col("profile"), network=F.col("container.network"),
+        rootfs_writable=F.col("container.rootfs_writable"),
+        capabilities=F.col("container.capabilities"), env_inheritance=F.col("env_inheritance"),
+    )
+    rows = P.with_override_decisions(rows, policy, settings)
+    rows = compute_once(rows, {"plan_steps": F.when(graph & F.lit(preview), _step_rows(policy))})
+    verified, reason = F.col("verified"), F.col("reason")
+    lint = G.graph_problem(
+        F.col("interpreter"), F.col("executor"), F.col("composition"), F.col("container"), F.col("steps")
+    )
+    rows = compute_once(
+        rows,
+        {
+            "p_graph": lint if preview else F.lit(None).cast(P.PROBLEM),
+            "p_registry": P.registry_problem(F.col("image_facts"), policy),
+            "p_signature": P.signature_problem(mode, verified, reason),
+            "p_ceiling": P.ceiling_problem(F.col("asked"), policy),
+            "p_override": P.decision_problem(F.col("decisions")),
+            "p_step": F.get(F.filter("plan_steps", lambda s: s["problem"].isNotNull()), F.lit(0))["problem"],
+        },
+    )
 
     resolution = F.col("resolution")
     unresolved = F.coalesce(
@@ -155,12 +170,6 @@ def plan_table(
         F.when(resolution == "collision", _stop("resolve", "alias.collision", F.col("name"))),
         F.when(resolution == "invalid", _stop("resolve", "alias.invalid", F.col("detail"))),
     )
-    lint = _from_problem(
-        "graph",
-        G.graph_problem(
-            F.col("interpreter"), F.col("executor"), F.col("composition"), F.col("container"), F.col("steps")
-        ),
-    ) if preview else F.lit(None).cast(_STAGE)
     argument = F.when(
         F.col("arg_error").isNotNull(),
         _stop("arguments", F.coalesce(F.col("arg_error.arg"), F.lit("")), F.col("arg_error.message")),
@@ -172,25 +181,23 @@ def plan_table(
         F.when(
             has_image,
             F.coalesce(
-                _from_problem("image", P.registry_problem(F.col("image_facts"), policy)),
+                _from_problem("image", "p_registry"),
                 verify,
-                _from_problem("image", P.signature_problem(mode, F.col("verified"), F.col("reason"))),
-                _from_problem("image", P.ceiling_problem(F.col("asked"), policy)),
+                _from_problem("image", "p_signature"),
+                _from_problem("image", "p_ceiling"),
             ),
         ),
-        _from_problem("override", P.decision_problem(F.col("decisions"))),
+        _from_problem("override", "p_override"),
     )
-    first_step = F.get(
-        F.filter("plan_steps", lambda s: s["problem"].isNotNull()), F.lit(0)
-    )["problem"]
-    by_step = F.coalesce(verify, _from_problem("step", first_step))
+    by_step = F.coalesce(verify, _from_problem("step", "p_step"))
     stop = F.coalesce(
-        unresolved, lint, argument, profile, F.when(graph & F.lit(preview), by_step).otherwise(single)
+        unresolved, _from_problem("graph", "p_graph"), argument, profile,
+        F.when(graph & F.lit(preview), by_step).otherwise(single),
     )
     rows = compute_once(rows, {"stop": stop})
     fine = F.col("stop").isNull()
     signed = F.when(
-        has_image, P.signature_findings(mode, F.col("verified"), F.col("reason"))
+        has_image, P.signature_findings(mode, verified, reason)
     ).otherwise(F.array().cast(_NO_FINDINGS))
     findings = F.when(
         graph & F.lit(preview),
@@ -254,6 +261,13 @@ def addon_plans(
     )
     mode, verified, reason = F.col("mode"), F.col("verified"), F.col("reason")
     pinned = F.when(F.col("digest") != "", Q.pin_digest("image", "digest")).otherwise(F.col("image"))
+    rows = compute_once(
+        rows,
+        {
+            "p_registry": P.registry_problem(F.col("image_facts"), policy),
+            "p_signature": P.signature_problem(mode, verified, reason),
+        },
+    )
     stop = F.coalesce(
         F.when(F.col("profile").isNull(), _stop("profile", P.POLICY_ERROR, "invalid security profile")),
         F.when(
@@ -261,9 +275,9 @@ def addon_plans(
             _stop("arguments", F.coalesce(F.col("arg_error.arg"), F.lit("")), F.col("arg_error.message")),
         ),
         F.when(F.col("image") == "", _stop("image", "ref_missing", "oci source ref missing")),
-        _from_problem("image", P.registry_problem(F.col("image_facts"), policy)),
+        _from_problem("image", "p_registry"),
         F.when(mode.isNull(), _stop("image", P.POLICY_ERROR, "invalid verify mode")),
-        _from_problem("image", P.signature_problem(mode, verified, reason)),
+        _from_problem("image", "p_signature"),
     )
     undigested = F.struct(
         F.lit("oci.digest.missing").alias("code"), F.lit("warning").alias("level"),

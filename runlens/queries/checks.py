@@ -31,7 +31,8 @@ def _pick(selector: Column, *choices: Column | str | None) -> Column:
 
 
 def _part(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.load(spark, sf, "part")
+    columns = ["p_partkey", "p_name", "p_brand", "p_size"]
+    return tables.spread(tables.load(spark, sf, "part").select(*columns))
 
 
 # --- quantities and images --------------------------------------------------------------
@@ -274,7 +275,8 @@ def _argument_requests(spark: SparkSession, sf: str) -> DataFrame:
         '{"count":"x","priority":"2-HIGH"}',
         '{"zzz":1,"flag":true}',
     )
-    return tables.load(spark, sf, "orders").select(
+    columns = ["o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", "o_totalprice"]
+    return tables.spread(tables.load(spark, sf, "orders").select(*columns)).select(
         "o_orderkey", args.alias("args"), _pick(F.col("o_orderkey") % 4, *specs).alias("spec")
     )
 
@@ -593,7 +595,8 @@ def plan_table(spark: SparkSession, sf: str) -> DataFrame:
     )
     checked = C.check_aliases(declared, jobs.select("id", "ord"))
     order = F.col("o_orderkey")
-    requests = tables.load(spark, sf, "orders").select(
+    asked = tables.spread(tables.load(spark, sf, "orders").select("o_orderkey", "o_custkey"))
+    requests = asked.select(
         order.alias("request"),
         F.when(order % 3 == 0, F.concat(F.lit("go-"), F.col("o_custkey").cast("string")))
         .otherwise(F.concat(F.lit("job."), F.col("o_custkey").cast("string"))).alias("name"),

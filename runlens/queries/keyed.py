@@ -180,7 +180,8 @@ def canonical_bodies(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(', "args": '), F.col("props"),
         F.lit(', "job": "<'), F.col("event_type"), F.lit('>" }'),
     )
-    return tables.load(spark, sf, "events").select("event_id", canonical_hash(body).alias("hash"))
+    events = tables.load(spark, sf, "events").select("event_id", "event_type", "value", "props")
+    return tables.spread(events).select("event_id", canonical_hash(body).alias("hash"))
 
 
 QUERIES = {

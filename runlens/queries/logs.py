@@ -44,7 +44,7 @@ def _secrets(spark: SparkSession, sf: str) -> DataFrame:
 
 def redacted_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Whole documents as log messages with the secrets of their argument set hidden."""
-    lines = tables.load(spark, sf, "documents").select(
+    lines = tables.spread(tables.load(spark, sf, "documents").select("doc_id", "text")).select(
         "doc_id", (F.col("doc_id") % 4).alias("set_id"), F.col("text").alias("line")
     )
     hidden = L.redact_lines(lines, L.secrets_by_run(_secrets(spark, sf), "set_id"), "set_id")
@@ -68,7 +68,7 @@ def redacted_args(spark: SparkSession, sf: str) -> DataFrame:
 
 def global_envelope(spark: SparkSession, sf: str) -> DataFrame:
     """Event payloads with their run id; error events carry plain text and are wrapped."""
-    log = tables.journal(spark, sf).withColumn(
+    log = tables.spread(tables.journal(spark, sf).drop("ts")).withColumn(
         "payload", F.when(F.col("event_type") == "error", F.col("event_type")).otherwise(F.col("payload"))
     )
     return L.with_envelope(log).select("seq", "payload")

@@ -10,6 +10,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread an input over all cores when it comes in fewer splits than there are cores.
+
+    For row work that costs far more than moving the rows; large inputs have splits enough and
+    are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def journal_view(events: DataFrame) -> DataFrame:
     return events.select(
         F.col("event_id").alias("seq"),
