@@ -35,19 +35,24 @@ SELECT {keys}, i - 1 AS line_no, lines[i] AS line FROM (
 """
 
 
+SET_SIZE = 10
+
+
 def _secrets(spark: SparkSession, sf: str) -> DataFrame:
-    """Benchmark passages as the secret values of four argument sets."""
+    """Benchmark passages as the secret values of argument sets, ten to a set."""
     return tables.load(spark, sf, "benchmark").select(
-        (F.col("item_id") % 4).alias("set_id"), F.col("item_id").alias("ord"), F.col("text").alias("value")
+        F.expr(f"item_id div {SET_SIZE}").alias("set_id"), F.col("item_id").alias("ord"), F.col("text").alias("value")
     )
 
 
 def redacted_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Whole documents as log messages with the secrets of their argument set hidden."""
+    secrets = _secrets(spark, sf)
+    sets = secrets.agg((F.max("set_id") + 1).alias("n")).scalar()
     lines = tables.spread(tables.load(spark, sf, "documents").select("doc_id", "text")).select(
-        "doc_id", (F.col("doc_id") % 4).alias("set_id"), F.col("text").alias("line")
+        "doc_id", (F.col("doc_id") % sets).alias("set_id"), F.col("text").alias("line")
     )
-    hidden = L.redact_lines(lines, L.secrets_by_run(_secrets(spark, sf), "set_id"), "set_id")
+    hidden = L.redact_lines(lines, L.secrets_by_run(secrets, "set_id"), "set_id")
     return hidden.select("doc_id", F.md5("line").alias("digest"), F.octet_length("line").alias("size"))
 
 
@@ -90,10 +95,10 @@ SQL = {
     ),
     "redacted_lines": """
         WITH sets AS (
-          SELECT item_id % 4 AS set_id, list(text ORDER BY item_id) AS secrets FROM benchmark GROUP BY 1
+          SELECT item_id // 10 AS set_id, list(text ORDER BY item_id) AS secrets FROM benchmark GROUP BY 1
         ), hidden AS (
           SELECT doc_id, list_reduce(list_concat([text], secrets), lambda acc, s: replace(acc, s, '[secret]')) AS line
-          FROM documents JOIN sets ON set_id = doc_id % 4
+          FROM documents JOIN sets ON set_id = doc_id % (SELECT max(item_id) // 10 + 1 FROM benchmark)
         )
         SELECT doc_id, md5(line) AS digest, CAST(strlen(line) AS INTEGER) AS size FROM hidden""",
     "redacted_args": """
