@@ -58,24 +58,26 @@ def _canonical(value) -> str:
     return json.dumps(value)
 
 
-_DECODER = json.JSONDecoder(parse_float=_Number, parse_int=_Number, parse_constant=_Number)
-
-
-def _canonical_or_none(text: str | None) -> str | None:
+def _canonical_or_none(text: str | None, decoder: json.JSONDecoder) -> str | None:
     if text is None:
         return None
     try:
-        value, _ = _DECODER.raw_decode(text.lstrip(" \t\r\n"))
+        value, _ = decoder.raw_decode(text.lstrip(" \t\r\n"))
     except ValueError:
         return None
-    if isinstance(value, _Number) and value in ("NaN", "Infinity", "-Infinity"):
-        return None
     return _canonical(value)
 
 
+def _refuse_constant(name: str):
+    raise ValueError(f"{name} is no JSON number")
+
+
 def _canonical_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    decoder = json.JSONDecoder(
+        parse_float=_Number, parse_int=_Number, parse_constant=_refuse_constant
+    )
     for batch in batches:
-        yield batch.map(_canonical_or_none)
+        yield batch.map(lambda text: _canonical_or_none(text, decoder))
 
 
 def canonical_json(body: str | Column) -> Column:

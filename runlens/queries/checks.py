@@ -138,7 +138,8 @@ def _overrides(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def policy_decisions(spark: SparkSession, sf: str) -> DataFrame:
-    return P.decision_rows(P.override_verdicts(_overrides(spark, sf), OVERRIDES), ["p_partkey"])
+    rows = P.decision_rows(P.override_verdicts(_overrides(spark, sf), OVERRIDES), ["p_partkey"])
+    return rows.withColumn("pos", F.col("pos").cast("long"))
 
 
 def policy_rollup(spark: SparkSession, sf: str) -> DataFrame:

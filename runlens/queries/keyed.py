@@ -53,7 +53,7 @@ def kv_namespace_size(spark: SparkSession, sf: str) -> DataFrame:
 
 def kv_prefix_page(spark: SparkSession, sf: str) -> DataFrame:
     page = K.prefix_page(
-        tables.kv_documents(spark, sf).select("namespace", "k", F.octet_length("v").alias("size")),
+        tables.kv_documents(spark, sf).select("namespace", "k", F.octet_length("v").cast("long").alias("size")),
         "en", "src1", "src1:", 25,
     )
     return page.select("k", "size", "next_cursor")

@@ -215,7 +215,7 @@ def exposition_text(spark: SparkSession, sf: str) -> DataFrame:
         M.expose_header(hits, "event_value", "", "histogram"),
         M.expose_histogram(wide, "event_value", ["event_type"], M.LATENCY_BUCKETS),
     ]
-    return reduce(DataFrame.unionByName, parts).select("metric", "pos", "line")
+    return reduce(DataFrame.unionByName, parts).select("metric", F.col("pos").cast("long").alias("pos"), "line")
 
 
 QUERIES = {

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,10 +16,6 @@ from runlens.operators.runs import status_fold
 from runlens.session import ROCKSDB_PROVIDER, scratch_path
 from runlens.streaming import processors as P
 
-# The process that opens a query's state does not see shipped packages, so the state machines
-# travel with their code.
-cloudpickle.register_pickle_by_value(P)
-
 Sink = Callable[[DataFrame, int], None]
 
 
