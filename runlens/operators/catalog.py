@@ -22,15 +22,19 @@ def _text(*parts: str | Column) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def check_aliases(declarations: DataFrame, jobs: DataFrame) -> DataFrame:
+def check_aliases(
+    declarations: DataFrame, jobs: DataFrame, *, scope: str | None = None
+) -> DataFrame:
     """Verdict per alias declaration ``(source, ord, from, to, description)``.
 
-    ``jobs(id, ord)`` are matched without regard to case; of equal ids the last one counts.
+    ``jobs(id, ord)`` are matched without regard to case; of equal ids the last one counts. With
+    ``scope`` (a column of both sides) an alias only finds jobs of its own scope.
     Output: source, ord, name, target_path, target_id, description, code (null when fine),
     detail and error text.
     """
+    by = [scope] if scope else []
     known = (
-        jobs.groupBy(F.lower("id").alias("__key"))
+        jobs.groupBy(*by, F.lower("id").alias("__key"))
         .agg(F.max_by("id", "ord").alias("job_id"))
     )
     from_text, name = trim_ws("from"), trim_ws("to")
@@ -41,7 +45,7 @@ def check_aliases(declarations: DataFrame, jobs: DataFrame) -> DataFrame:
              "target_path": F.coalesce(path, F.lit(""))}
         )
         .withColumn("__key", F.lower(path_to_id(F.col("target_path"))))
-        .join(known, "__key", "left")
+        .join(known, [*by, "__key"], "left")
     )
     alias, origin = quoted("name"), quoted("__from")
     rules = [
@@ -77,21 +81,22 @@ def check_aliases(declarations: DataFrame, jobs: DataFrame) -> DataFrame:
         ]
     )
     return staged.withColumn("__v", verdict).select(
-        "source", "ord", "name", "target_path", F.col("job_id").alias("target_id"), "description",
+        *by, "source", "ord", "name", "target_path", F.col("job_id").alias("target_id"), "description",
         F.col("__v.code").alias("code"), F.col("__v.detail").alias("detail"), F.col("__v.error").alias("error"),
     )
 
 
-def alias_entries(checked: DataFrame) -> DataFrame:
+def alias_entries(checked: DataFrame, *, scope: str | None = None) -> DataFrame:
     """First declaration per name (any case) with the number of contenders."""
+    by = [scope] if scope else []
     return (
         checked.filter("code IS NULL")
-        .groupBy(F.lower("name").alias("alias_key"))
+        .groupBy(*by, F.lower("name").alias("alias_key"))
         .agg(
             F.min_by(F.struct("name", "source", "target_path", "target_id", "description"), "ord").alias("e"),
             F.count(F.lit(1)).alias("contenders"),
         )
-        .select("alias_key", "e.*", "contenders")
+        .select(*by, "alias_key", "e.*", "contenders")
     )
 
 
@@ -108,13 +113,14 @@ def alias_collisions(checked: DataFrame, *, bucket_rows: int = BUCKET_ROWS) -> D
     )
 
 
-def alias_invalid(checked: DataFrame) -> DataFrame:
+def alias_invalid(checked: DataFrame, *, scope: str | None = None) -> DataFrame:
     """Verdict per name of invalid aliases; the last one declared stands."""
+    by = [scope] if scope else []
     coded = checked.filter(F.col("code").isin(RESERVED, TARGET_INVALID, NAME_CONFLICT))
     return (
-        coded.groupBy(F.lower("name").alias("alias_key"))
+        coded.groupBy(*by, F.lower("name").alias("alias_key"))
         .agg(F.max_by(F.struct("code", "detail"), "ord").alias("v"))
-        .select("alias_key", "v.code", "v.detail")
+        .select(*by, "alias_key", "v.code", "v.detail")
     )
 
 
@@ -125,17 +131,28 @@ def alias_errors(checked: DataFrame, file_name: str) -> DataFrame:
     )
 
 
-def resolve(requests: DataFrame, jobs: DataFrame, checked: DataFrame, name: str = "name") -> DataFrame:
+def resolve(
+    requests: DataFrame,
+    jobs: DataFrame,
+    checked: DataFrame,
+    name: str = "name",
+    *,
+    scope: str | None = None,
+) -> DataFrame:
     """Resolve requested names: a job id wins, then invalid, collision, alias.
 
-    Adds ``resolution``, ``effective_id``, ``alias_path`` and ``detail``.
+    Adds ``resolution``, ``effective_id``, ``alias_path`` and ``detail``. With ``scope`` (a
+    column of all three inputs) names are only looked up in the scope of the request.
     """
-    known = jobs.select(F.lower("id").alias("__key")).distinct().withColumn("__job", F.lit(True))
+    by = [scope] if scope else []
+    known = (
+        jobs.select(*by, F.lower("id").alias("__key")).distinct().withColumn("__job", F.lit(True))
+    )
     aliases = (
-        alias_entries(checked)
-        .join(alias_invalid(checked), "alias_key", "full")
+        alias_entries(checked, scope=scope)
+        .join(alias_invalid(checked, scope=scope), [*by, "alias_key"], "full")
         .select(
-            F.col("alias_key").alias("__key"), "contenders", "target_id", "target_path",
+            *by, F.col("alias_key").alias("__key"), "contenders", "target_id", "target_path",
             F.col("source").alias("alias_source"), F.col("description").alias("alias_description"),
             F.col("code").alias("invalid_code"), F.col("detail").alias("invalid_detail"),
         )
@@ -149,8 +166,8 @@ def resolve(requests: DataFrame, jobs: DataFrame, checked: DataFrame, name: str
     )
     return (
         requests.withColumn("__key", F.lower(name))
-        .join(known, "__key", "left")
-        .join(aliases, "__key", "left")
+        .join(known, [*by, "__key"], "left")
+        .join(aliases, [*by, "__key"], "left")
         .withColumn("resolution", resolution)
         .withColumns(
             {
@@ -165,6 +182,34 @@ def resolve(requests: DataFrame, jobs: DataFrame, checked: DataFrame, name: str
     )
 
 
+def resolve_from_source(
+    requests: DataFrame, jobs: DataFrame, checked: DataFrame, sources: DataFrame
+) -> DataFrame:
+    """Resolve requests that may name a source: its own jobs and aliases first, then the root's.
+
+    ``requests(request, name, source)``; jobs and checked aliases carry ``scope``, the name of
+    their source or empty for the root. A source that is unknown, or has no local path, stops
+    the request (``source_not_found``, ``source_not_materialized``).
+    """
+    meta = sources.select(
+        F.col("name").alias("source"), (F.coalesce("local_path", F.lit("")) != "").alias("__there")
+    )
+    named = requests.withColumn("source", F.coalesce("source", F.lit(""))).join(meta, "source", "left")
+    attempts = named.withColumn("scope", F.explode(F.array_distinct(F.array(F.col("source"), F.lit("")))))
+    found = resolve(attempts, jobs, checked, scope="scope")
+    own = F.col("scope") == F.col("source")
+    rank = F.when(F.col("resolution") != "not_found", F.when(own, 0).otherwise(1)).otherwise(2)
+    best = found.groupBy("request").agg(F.min_by(F.struct(*found.columns), rank).alias("f")).select("f.*")
+    stop = F.when(F.col("source") == "", None).when(
+        F.col("__there").isNull(), "source_not_found"
+    ).when(~F.col("__there"), "source_not_materialized")
+    return (
+        best.withColumn("resolution", F.coalesce(stop, F.col("resolution")))
+        .withColumn("effective_id", F.when(stop.isNull(), F.col("effective_id")))
+        .drop("__there")
+    )
+
+
 def catalog(
     jobs: DataFrame, addon_jobs: DataFrame | None, checked: DataFrame, *, expose_aliases: bool = True
 ) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions.access import kv_check
@@ -105,6 +105,12 @@ def prefix_page(
     )
 
 
+def change_check() -> Column:
+    """Row checks of a change; a delete has no value to check."""
+    value = F.when(F.col("op") == "delete", "").otherwise(F.col("v"))
+    return kv_check("namespace", "k", value)
+
+
 def _quota_fold(limit: int):
     def fold(key, rows: pd.DataFrame, state: pd.DataFrame):
         held = dict(zip(state["k"], state["size"]))
@@ -145,7 +151,7 @@ def admission(
     """
     checked = changes.withColumn(
         "check",
-        F.when(F.col("op") == "delete", "ok").otherwise(kv_check("namespace", "k", "v")),
+        change_check(),
     )
     refused = checked.filter(F.col("check") != "ok").select(
         "namespace", "ord", F.col("check").alias("decision")

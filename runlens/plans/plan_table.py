@@ -10,7 +10,7 @@ from runlens.functions.text import compute_once, effective_profile, trim_ws
 from runlens.operators import graphs as G
 from runlens.operators import policy as P
 from runlens.operators.binding import with_argument_check, with_binding
-from runlens.operators.catalog import provenance, resolve
+from runlens.operators.catalog import provenance, resolve, resolve_from_source
 
 _STAGE = "struct<stage:string,code:string,detail:string>"
 _NO_FINDINGS = f"array<{P.FINDING}>"
@@ -103,6 +103,7 @@ def plan_table(
     environment_profile: str = "",
     configured_profile: str = "",
     preview: bool = True,
+    sources: DataFrame | None = None,
 ) -> DataFrame:
     """One plan per ``(request, name, args, requested_profile, verified, reason)`` request.
 
@@ -110,16 +111,22 @@ def plan_table(
     executor, container, env_inheritance, composition, steps, spec). The columns ``stage``,
     ``code`` and ``detail`` tell where a request stopped; they are null for an accepted plan.
     A preview checks step graphs before arguments; a submission (``preview=False``) does not
-    check them at all. Jobs are joined by id; everything after is a projection.
+    check them at all. Jobs are joined by id; everything after is a projection. With ``sources``
+    a request may name one in ``source``; jobs and aliases then carry their ``scope``.
     """
-    newest = jobs.groupBy(F.lower("id").alias("__key")).agg(
-        F.max_by(F.struct(*[c for c in jobs.columns if c != "ord"]), "ord").alias("job")
+    by = ["scope"] if sources is not None else []
+    settings = [c for c in jobs.columns if c not in ("ord", "id", "name", *by)]
+    newest = jobs.groupBy(*by, F.lower("id").alias("__key")).agg(
+        F.max_by(F.struct(*settings), "ord").alias("job")
     )
-    found = resolve(requests, jobs, checked_aliases)
+    if sources is None:
+        found = resolve(requests, jobs, checked_aliases)
+    else:
+        found = resolve_from_source(requests, jobs, checked_aliases, sources)
     rows = (
         found.withColumn("__key", F.lower("effective_id"))
-        .join(newest, "__key", "left")
-        .select(*found.columns, *[F.col(f"job.{c}").alias(c) for c in jobs.columns if c not in ("ord", "id", "name")])
+        .join(newest, [*by, "__key"], "left")
+        .select(*found.columns, *[F.col(f"job.{c}").alias(c) for c in settings])
     )
     rows = with_binding(with_argument_check(rows))
     rows = compute_once(
@@ -166,6 +173,7 @@ def plan_table(
 
     resolution = F.col("resolution")
     unresolved = F.coalesce(
+        F.when(resolution.startswith("source_"), _stop("source", resolution, F.col("name"))),
         F.when(resolution == "not_found", _stop("resolve", "job.not_found", F.col("name"))),
         F.when(resolution == "collision", _stop("resolve", "alias.collision", F.col("name"))),
         F.when(resolution == "invalid", _stop("resolve", "alias.invalid", F.col("detail"))),

@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from runlens.functions.access import kv_check
 from runlens.operators.journal import BUFFER_EVENTS, BUFFER_SECONDS, append_outcome, assign_seq
-from runlens.operators.keyed import NAMESPACE_MAX_BYTES, entry_bytes
+from runlens.operators.keyed import NAMESPACE_MAX_BYTES, change_check, entry_bytes
 from runlens.operators.requests import TTL_MS
 from runlens.operators.runs import status_fold
 from runlens.session import ROCKSDB_PROVIDER, scratch_path
@@ -139,9 +138,8 @@ def admit_requests(requests: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
 
 
 def admit_changes(changes: DataFrame, limit: int = NAMESPACE_MAX_BYTES) -> DataFrame:
-    check = F.when(F.col("op") == "delete", "ok").otherwise(kv_check("namespace", "k", "v"))
     rows = changes.select(
-        "namespace", "ord", "k", "op", entry_bytes().alias("size"), check.alias("check")
+        "namespace", "ord", "k", "op", entry_bytes().alias("size"), change_check().alias("check")
     )
     return rows.groupBy("namespace").transformWithStateInPandas(
         P.KvQuota(limit), P.KV_SCHEMA, "append", "none"

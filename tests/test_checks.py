@@ -101,3 +101,41 @@ def test_manifest_that_is_no_object(spark):
     assert linted[0].errors == linted[1].errors == ["manifest must be an object"]
     assert "metadata must be an object per manifest schema" in linted[2].errors
     assert "jobs must be an array per manifest schema" in linted[2].errors
+
+
+def test_plans_look_in_the_named_source_first(spark):
+    from runlens.operators import catalog as C
+    from runlens.plans.plan_table import plan_table
+    from runlens.sources.discovery import CONFIG
+
+    jobs = spark.createDataFrame(
+        [("", "build", 0, "root"), ("s1", "build", 1, "one"), ("", "only.root", 2, "root"), ("s1", "deep", 3, "one")],
+        "scope string, id string, ord long, source_ref string",
+    )
+    none = F.lit("{}")
+    jobs = jobs.select(
+        "scope", "id", "ord", F.col("scope").alias("source_name"), "source_ref",
+        F.lit(None).cast(f"array<{N.ARG}>").alias("spec"), F.from_json(none, CONFIG).alias("c"),
+    ).select("scope", "id", "ord", "source_name", "source_ref", "spec", "c.interpreter", "c.executor",
+             "c.container", "c.env_inheritance", "c.composition", "c.steps")
+    declared = spark.createDataFrame(
+        [("s1", "s1", 0, "deep", "go", ""), ("", "", 1, "build", "go", ""), ("", "", 2, "deep", "lost", "")],
+        "scope string, source string, ord long, from string, to string, description string",
+    )
+    checked = C.check_aliases(declared, jobs, scope="scope")
+    sources = spark.createDataFrame([("s1", "/srv/s1"), ("s2", "")], "name string, local_path string")
+    asked = [
+        (1, "build", "s1"), (2, "build", None), (3, "only.root", "s1"), (4, "go", "s1"), (5, "go", ""),
+        (6, "build", "s2"), (7, "build", "s9"), (8, "deep", ""), (9, "lost", ""),
+    ]
+    requests = spark.createDataFrame(asked, "request long, name string, source string").withColumns(
+        {"args": none, "requested_profile": F.lit("secure"), "verified": F.lit(True), "reason": F.lit("")}
+    )
+    plans = plan_table(requests, jobs, checked, P.Policy(), sources=sources).collect()
+    got = {r.request: (r.effective_id, r.stage, r.code, (r.provenance or {}).get("source_ref")) for r in plans}
+    assert got == {
+        1: ("build", None, None, "one"), 2: ("build", None, None, "root"), 3: ("only.root", None, None, "root"),
+        4: ("deep", None, None, "one"), 5: ("build", None, None, "root"),
+        6: (None, "source", "source_not_materialized", None), 7: (None, "source", "source_not_found", None),
+        8: (None, "resolve", "job.not_found", None), 9: (None, "resolve", "alias.invalid", None),
+    }
