@@ -1,10 +1,11 @@
 """Running aggregates that never put one whole group into one task.
 
 A plain ``sum(x) OVER (PARTITION BY key ORDER BY seq)`` sends every row of a key to one
-task. Here rows are cut into buckets of the integer order column, partial results per
-(key, bucket) are combined on the map side, a window over that small bucket table gives the
-value carried into each bucket, and the row-level window runs per (key, bucket). No task
-sees more than ``bucket_rows`` rows of a key, however hot the key is.
+task. Here keys with more than ``bucket_rows`` rows (at most ``rows / bucket_rows`` of them) are
+cut into buckets of the integer order column: partial results per (key, bucket) are combined on
+the map side, a window over that small table gives the value carried into each bucket, and the
+row-level window runs per (key, bucket). All other keys are one bucket and carry nothing. Rows
+are shuffled once, and no task sees much more than ``bucket_rows`` rows of a key.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 BUCKET_ROWS = 1 << 18
 
-_BUCKET = "__bucket"
+_BUCKET, _HOT = "__bucket", "__hot"
 
 _AGG = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}
 _CARRY = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
@@ -32,6 +33,17 @@ def with_bucket(df: DataFrame, order: str, bucket_rows: int, name: str = _BUCKET
     return df.withColumn(name, F.expr(f"`{order}` div {int(bucket_rows)}L"))
 
 
+def _cut(df: DataFrame, keys: list[str], order: str, bucket_rows: int) -> DataFrame:
+    """Rows with their bucket; only keys with more than ``bucket_rows`` rows get several."""
+    if not keys:
+        return with_bucket(df, order, bucket_rows).withColumn(_HOT, F.lit(True))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
+    hot = sizes.filter(F.col("__size") > bucket_rows).select(*keys, F.lit(True).alias(_HOT))
+    marked = df.join(hot, keys, "left")
+    bucket = F.expr(f"`{order}` div {int(bucket_rows)}L")
+    return marked.withColumn(_BUCKET, F.when(F.col(_HOT), bucket).otherwise(F.lit(0).cast("long")))
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -46,13 +58,13 @@ def running(
 
     ``specs`` maps an output column to (sum | count | max | min, expression). With ``before``
     the current row is left out (first row: null, or 0 for sum and count); ``reverse`` runs
-    from the highest order value down. Key columns must not be null.
+    from the highest order value down.
     """
     keys = list(keys)
     args = {f"__in_{out}": expr for out, (_, expr) in specs.items()}
-    rows = with_bucket(df, order, bucket_rows).withColumns(args)
+    rows = _cut(df, keys, order, bucket_rows).withColumns(args)
 
-    totals = rows.groupBy(*keys, _BUCKET).agg(
+    totals = rows.filter(_HOT).groupBy(*keys, _BUCKET).agg(
         *[_AGG[fn](f"__in_{out}").alias(f"__t_{out}") for out, (fn, _) in specs.items()]
     )
     step = F.col(_BUCKET).desc() if reverse else F.col(_BUCKET).asc()
@@ -71,7 +83,7 @@ def running(
         .orderBy(row_step)
         .rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     )
-    joined = rows.join(carried, [*keys, _BUCKET])
+    joined = rows.join(carried, [*keys, _BUCKET], "left")
     result = {
         out: _combine(fn, F.col(f"__c_{out}"), _AGG[fn](f"__in_{out}").over(inside))
         for out, (fn, _) in specs.items()
@@ -113,20 +125,23 @@ def clamped_gauge(
     by = [*keys, _BUCKET]
     inside = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     rows = (
-        with_bucket(df, order, bucket_rows)
+        _cut(df, keys, order, bucket_rows)
         .withColumn("__d", delta)
         .withColumn("__s", F.sum("__d").over(inside))
         .withColumn("__m", F.min("__s").over(inside))
     )
-    totals = rows.groupBy(*by).agg(F.sum("__d").alias("__t"), F.min("__s").alias("__l"))
+    totals = (
+        rows.filter(_HOT).groupBy(*by).agg(F.sum("__d").alias("__t"), F.min("__s").alias("__l"))
+    )
     across = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         totals.withColumn("__o", F.coalesce(F.sum("__t").over(across), F.lit(0)))
         .withColumn("__g", F.min(F.col("__o") + F.col("__l")).over(across))
         .select(*by, "__o", "__g")
     )
+    offset = F.coalesce(F.col("__o"), F.lit(0))
     value = (
-        F.col("__o") + F.col("__s")
-        - F.least(F.lit(0).cast("long"), F.col("__g"), F.col("__o") + F.col("__m"))
+        offset + F.col("__s")
+        - F.least(F.lit(0).cast("long"), F.col("__g"), offset + F.col("__m"))
     )
-    return rows.join(carried, by).withColumn(out, value).select(*df.columns, out)
+    return rows.join(carried, by, "left").withColumn(out, value).select(*df.columns, out)
