@@ -12,7 +12,6 @@ from runlens.operators import policy as P
 from runlens.operators.binding import with_argument_check, with_binding
 from runlens.operators.catalog import provenance, resolve, resolve_from_source
 
-_STAGE = "struct<stage:string,code:string,detail:string>"
 _NO_FINDINGS = f"array<{P.FINDING}>"
 
 

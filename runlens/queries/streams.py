@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from runlens import tables
 from runlens.operators.logs import with_envelope
-from runlens.queries.keyed import IDEM_TTL_SQL, QUOTA, SQL as KEYED_SQL, TTL_MS, _requests
+from runlens.queries.keyed import IDEM_TTL_SQL, QUOTA, SQL as KEYED_SQL, TTL_MS
 from runlens.queries.logs import SQL as LOG_SQL
 from runlens.queries.runs import RUN_STATUS_SQL
 from runlens.session import scratch_path
