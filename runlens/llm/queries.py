@@ -2,17 +2,43 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from runlens.llm import exact_dedup, quality
+from runlens.llm import bpe, exact_dedup, line_dedup, quality, token_files
 from runlens.llm.common import prepared
+from runlens.session import scratch_path
 from runlens.tables import load
 
+# The vocabulary file, installed on every machine.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return load(prepared(spark), sf_dir, name)
 
 
+def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded again, as digests."""
+    encoded = bpe.encode(_table(spark, sf_dir, "documents"), TOKENIZER)
+    return bpe.digests(bpe.decode(encoded, TOKENIZER))
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded to token files in id order, and what the files hold."""
+    path = scratch_path(spark, "tokens")
+    token_files.write(_table(spark, sf_dir, "documents"), path, TOKENIZER)
+    return token_files.checksums(token_files.with_start(spark, path))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines found in ten documents or more, dropped everywhere."""
+    docs = _table(spark, sf_dir, "documents")
+    cut = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of texts equal up to the case of A-Z, the row with the largest id stays."""
     return exact_dedup.duplicates(_table(spark, sf_dir, "documents"), keep="largest")
@@ -24,11 +50,29 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_bpe_codec": op1_bpe_codec,
+    "op2_token_files": op2_token_files,
+    "op3_line_dedup": op3_line_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 
 SQL = {
+    "op3_line_dedup": r"""
+        WITH l AS (SELECT doc_id, i, line, lower_key AS key FROM (
+                     SELECT doc_id, i, line,
+                            translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_key
+                     FROM (SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) AS i
+                           FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s
+                                 FROM documents)))),
+             k AS (SELECT key FROM l WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+        SELECT doc_id, count(*) AS n_lines,
+               count(*) FILTER (key IN (SELECT key FROM k)) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i)
+                               FILTER (key NOT IN (SELECT key FROM k)), '')) AS kept_sha256
+        FROM l GROUP BY doc_id
+    """,
     "op4_exact_dedup": """
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                           'abcdefghijklmnopqrstuvwxyz') AS body FROM documents),
