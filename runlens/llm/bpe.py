@@ -13,6 +13,10 @@ Texts are shuffled once; everything else stays within its task.
 
 from __future__ import annotations
 
+import json
+import os
+import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,14 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from runlens.llm.common import read_columns, slices
+from runlens.llm.common import per_process, read_columns, slices
 
 # Cut after a byte whose rolling hash starts with so many zero bits: chunks of 2**10 bytes.
 CUT_BITS = 10
-# Bounds of the tables that a task keeps; both are emptied when full.
-MAX_WORDS = 200_000
-MAX_WORD_BYTES = 128
-MAX_CHUNK_BYTES = 16 << 20
+# Bounds of the tables that a Python worker keeps; a full one is emptied.
+MAX_WORD_TABLE_BYTES = 192 << 20
+MAX_CHUNK_TABLE_BYTES = 32 << 20
 
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -52,79 +55,127 @@ def chunks(raw: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
 
+# Words made of these letters with a run of ASCII symbols behind them are two pieces at most.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+_SIMPLE = re.compile(f"([{_LETTERS}]+)([!-/:-@\\[-`{{-~]*)")
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder:
-    """Encodes whole texts to little-endian unsigned 32-bit ids; tables are bounded."""
+    """Encodes whole texts to little-endian unsigned 32-bit ids.
+
+    The vocabulary drops white space and never joins over ASCII white space, so ids are kept by
+    word, and by chunk. ``learn`` has to see the texts of a batch first; it empties the table of
+    words when that is full.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.plain = self._plain()
         self.words: dict[bytes, bytes] = {}
-        self.long: dict[bytes, bytes] = {}
-        self.table: dict[bytes, tuple] = {}
+        self.word_bytes = 0
+        self.table: dict[bytes, tuple | None] = {}
         self.table_bytes = 0
 
-    def _whole(self, texts: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(
-            [t.decode() for t in texts], add_special_tokens=False
-        )
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def by_words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word; a word is encoded when it is first met."""
-        new = [w for w in set(words) if w not in self.words]
-        if not new:
-            return [self.words[w] for w in words]
-        if len(self.words) + len(new) > MAX_WORDS:
-            self.words.clear()
-            new = list(set(words))
-        found = dict(zip(new, self._whole(new), strict=True))
-        self.words.update((w, i) for w, i in found.items() if len(w) <= MAX_WORD_BYTES)
-        if len(self.words) > MAX_WORDS:  # one text with more words than the table takes
+    def _plain(self) -> Tokenizer | None:
+        """The tokenizer without normalising and splitting, for pieces that these leave alone;
+        None unless its own steps show that simple words are such pieces."""
+        letters = "".join(chr(c) for c in range(0x180) if _SIMPLE.fullmatch(chr(c)))
+        steps = json.loads(self.tokenizer.to_str())
+        split = (steps["pre_tokenizer"] or {}).get("pretokenizers", [])
+        full = self.tokenizer
+        if not full.normalizer or not full.pre_tokenizer:
+            return None
+        if full.normalizer.normalize_str(letters) != letters.lower():
+            return None
+        marks = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+        pieces = full.pre_tokenizer.pre_tokenize_str
+        if [at for _, at in pieces("abc" + marks)] != [(0, 3), (3, 3 + len(marks))]:
+            return None
+        if len(pieces(letters.lower())) != 1:
+            return None
+        steps["normalizer"] = None
+        steps["added_tokens"] = []
+        steps["pre_tokenizer"]["pretokenizers"] = [x for x in split if x["type"] != "Split"]
+        return Tokenizer.from_str(json.dumps(steps))
+
+    def _ids(self, texts: list[str], plain: bool = False) -> list[bytes]:
+        tokenizer = self.plain if plain else self.tokenizer
+        return [_packed(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, texts: list[bytes]) -> None:
+        """Encode the words of ``texts`` that are not known yet, each once."""
+        words = set().union(*(raw.split() for raw in texts))
+        if self.word_bytes > MAX_WORD_TABLE_BYTES:
             self.words.clear()
+            self.word_bytes = 0
         known = self.words
-        return [found[w] if w in found else known[w] for w in words]
+        new = [w for w in words if w not in known]
+        parts, other = {}, []
+        for w in new:
+            if w.isalpha() and self.plain:  # ASCII letters only
+                parts[w] = w.lower(), b""
+                continue
+            simple = _SIMPLE.fullmatch(w.decode()) if self.plain else None
+            if simple:
+                parts[w] = simple[1].lower().encode(), simple[2].encode()
+            else:
+                other.append(w)
+        cores = list({core for core, _ in parts.values() if core not in known})
+        other += {tail for _, tail in parts.values() if tail and tail not in known}
+        found = dict(zip(cores, self._ids([c.decode() for c in cores], plain=True), strict=True))
+        found.update(zip(other, self._ids([w.decode() for w in other]), strict=True))
+        known.update(found)
+        for w, (core, tail) in parts.items():
+            known[w] = found[w] = known[core] + (known[tail] if tail else b"")
+        self.word_bytes += sum(200 + len(w) + len(i) for w, i in found.items())
 
     def text(self, raw: bytes) -> bytes:
-        """Ids of a text, word by word. The vocabulary drops white space and never joins over it."""
-        return b"".join(self.by_words(raw.split()))
+        """Ids of a learnt text, word by word."""
+        return b"".join(map(self.words.__getitem__, raw.split()))
 
     def _chunk(self, chunk: bytes) -> tuple | None:
         """(broken word at the start, ids, first and last word, broken word at the end), or None
         when the chunk has no white space."""
         words = chunk.split()
-        opens = not chunk[:1].isspace()
-        ends = not chunk[-1:].isspace()
         if not words:
             return b"", b"", b"", b"", b""
+        opens, ends = not chunk[:1].isspace(), not chunk[-1:].isspace()
         if len(words) == 1 and opens and ends:
             return None
         head = words.pop(0) if opens else b""
         tail = words.pop() if ends else b""
-        ids = b"".join(self.by_words(words))
+        ids = b"".join(map(self.words.__getitem__, words))
         return head, ids, words[0] if words else b"", words[-1] if words else b"", tail
 
     def _known(self, chunk: bytes) -> tuple | None:
         if chunk not in self.table:
-            if self.table_bytes > MAX_CHUNK_BYTES:
+            if self.table_bytes > MAX_CHUNK_TABLE_BYTES:
                 self.table.clear()
                 self.table_bytes = 0
             self.table[chunk] = self._chunk(chunk)
-            self.table_bytes += 3 * len(chunk)
+            self.table_bytes += 200 + 3 * len(chunk)
         return self.table[chunk]
 
     def _repair(self, left: bytes, word: bytes, right: bytes) -> bytes | None:
         """Ids of a word broken by a cut, or None if its neighbours come out differently."""
-        window = self._whole([b" ".join((left, word, right))])[0]
-        before, after = self.by_words([left, right])
+        window = self._ids([b" ".join((left, word, right)).decode()])[0]
+        before = self.words[left] if left else b""
+        after = self.words[right] if right else b""
         end = len(window) - len(after)
         agrees = len(before) <= end and window.startswith(before) and window.endswith(after)
         return window[len(before) : end] if agrees else None
 
     def document(self, raw: bytes) -> bytes:
-        """Ids of a text from its chunks, joins repaired."""
+        """Ids of a learnt text from its chunks, joins repaired."""
         out, carry, left = [], b"", b""
-        for chunk in chunks(raw):
+        for chunk in [*chunks(raw), b" "]:  # the space ends a last open word
             known = self._known(chunk)
             if known is None:
                 carry += chunk
@@ -133,19 +184,19 @@ class Encoder:
             if carry or head:
                 repaired = self._repair(left, carry + head, first)
                 if repaired is None:
-                    return self._whole([raw])[0]
+                    return self._ids([raw.decode()])[0]
                 out.append(repaired)
                 left = carry + head
             out.append(ids)
             left, carry = last or left, tail
-        if carry:
-            repaired = self._repair(left, carry, b"")
-            if repaired is None:
-                return self._whole([raw])[0]
-            out.append(repaired)
         return b"".join(out)
 
 
+def encoder(path: str) -> Encoder:
+    """The process's encoder: tasks that run in one Python worker share its bounded tables."""
+    return per_process(("encoder", path), lambda: Encoder(path))
+
+
 def _route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the smallest chunk hash of each text."""
     for batch in slices(batches):
@@ -168,10 +219,11 @@ def ids_column(encoded: list[bytes], end: int | None = None) -> pa.ListArray:
 
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        codec = encoder(path)
         for batch in slices(batches):
-            texts = batch.column("text").to_pylist()
-            found = [encoder.document((t or "").encode()) for t in texts]
+            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
+            codec.learn(texts)
+            found = [codec.document(t) for t in texts]
             yield pa.record_batch(
                 {
                     "id": batch.column("id"),
@@ -233,7 +285,7 @@ def lists(column: pa.ListArray) -> Iterator[np.ndarray]:
 
 def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(path)
+        decoder = per_process(("decoder", path), lambda: Decoder(path))
         for batch in slices(batches, "ids"):
             texts = [decoder.text(ids) for ids in lists(batch.column("ids"))]
             yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], ["id", "ids", "text"])

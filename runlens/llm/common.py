@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import sys
+import types
+from collections.abc import Callable, Hashable, Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +20,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 # Text rows handed to Python at a time; long texts make batches of a few MB either way.
 BATCH_ROWS = 2000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -55,3 +58,15 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[
         step = max(1, batch.num_rows * BATCH_BYTES // max(size, 1))
         for start in range(0, batch.num_rows, step):
             yield batch.slice(start, step)
+
+
+def per_process(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What ``make`` gave when this Python worker first asked for ``key``.
+
+    Functions reach the workers with their module's code, so module variables start anew with
+    each task; what is costly to load is kept in a module of its own.
+    """
+    held = sys.modules.setdefault("runlens_worker_state", types.ModuleType("runlens_worker_state"))
+    if key not in held.__dict__:
+        held.__dict__[key] = make()
+    return held.__dict__[key]

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from runlens.llm.bpe import Encoder, ids_column, lists
+from runlens.llm.bpe import encoder, ids_column, lists
 from runlens.llm.common import read_columns, slices
 
 ROW_GROUP_BYTES = 16 << 20
@@ -41,9 +41,11 @@ SCHEMA = "doc_id long, file_no int, file_start long, n_tokens long, ids array<in
 
 def _encode(path: str, end_id: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, file_no, start = Encoder(path), TaskContext.get().partitionId(), 0
+        codec, file_no, start = encoder(path), TaskContext.get().partitionId(), 0
         for batch in slices(batches):
-            found = [encoder.text((t or "").encode()) for t in batch.column("text").to_pylist()]
+            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
+            codec.learn(texts)
+            found = [codec.text(t) for t in texts]
             ids = ids_column(found, end_id)
             counts = np.diff(ids.offsets.to_numpy()).astype(np.int64)
             ends = start + np.cumsum(counts)
