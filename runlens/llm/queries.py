@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import bpe, exact_dedup, line_dedup, quality, token_files
+from runlens.llm import bpe, exact_dedup, language_id, line_dedup, quality, token_files
 from runlens.llm.common import prepared
 from runlens.session import scratch_path
 from runlens.tables import load
@@ -44,6 +44,16 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learnt from two thirds of the documents."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    part = F.crc32(F.col("doc_id").cast("string")) % 3
+    found = language_id.identify(docs, part != 1)
+    return found.select(
+        "doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected"
+    )
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line-first cleaning verdict of every document."""
     return quality.verdicts(_table(spark, sf_dir, "documents"))
@@ -54,6 +64,7 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_line_dedup": op3_line_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
 }
 
