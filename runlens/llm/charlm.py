@@ -1,17 +1,22 @@
-"""Character n-grams as packed integers, counted by Spark over all texts.
+"""Character models: n-grams as packed integers, counted by Spark over all texts.
 
 A character is a code of 9 bits: 0 for anything that is no letter (runs count once), the code
 point itself below U+0180, a hash into the rest above. An n-gram of up to 7 codes fits into a long,
 newest character in the lowest bits, so its context is a shift and its suffix a mask. Each text is
-preceded by ORDER - 1 zeros.
+preceded by zeros that fill the first context.
+
+A model stores each order as a sorted array of n-gram hashes with one interpolated log probability
+per label, and its contexts with their back-off logs; it is built from bounded counts.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -141,3 +146,99 @@ def bounded(levels: DataFrame, most: int, dims: list[str]) -> DataFrame:
     fits = sizes.withColumn("total", F.sum("size").over(above)).filter(F.col("total") <= most)
     cut = fits.groupBy(*dims).agg(F.min("power").alias("cut"))
     return levels.join(cut, dims).filter(power >= F.col("cut")).drop("cut")
+
+
+@dataclass
+class Order:
+    """N-grams of one order, sorted, with their log probabilities; contexts with back-off logs."""
+
+    keys: np.ndarray
+    logp: np.ndarray
+    contexts: np.ndarray
+    backoff: np.ndarray
+
+
+@dataclass
+class Model:
+    labels: list[str]
+    orders: list[Order]
+    floor: np.ndarray  # log probability of any code below order 1
+    expected: np.ndarray  # cross-entropy per character in learning texts
+    spread: np.ndarray  # standard deviation of a character's log probability
+
+    def logs_of(self, texts: list[str], codes_of: Callable) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability of each text under each label, and the characters it covers."""
+        key, counts = grams(texts, len(self.orders), codes_of)
+        out = np.zeros((len(texts), len(self.labels)))
+        some = np.flatnonzero(counts)
+        if len(some):
+            starts = np.cumsum(counts)[some] - counts[some]
+            each = _logs(self.orders, self.floor, key, len(self.orders))
+            out[some] = np.add.reduceat(each, starts, axis=0, dtype=np.float64)
+        return out, counts
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the wanted hashes in a sorted array, and which are there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def _logs(orders: list[Order], floor: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
+    """Log probability of each n-gram's newest character, one column per label.
+
+    What an order does not hold comes from the next lower one with the context's back-off.
+    """
+    if n == 0:
+        return np.broadcast_to(floor, (len(keys), len(floor)))
+    order = orders[n - 1]
+    at, there = _find(order.keys, keys)
+    out = order.logp[at] if len(order.keys) else np.zeros((len(keys), len(floor)), np.float32)
+    missing = np.flatnonzero(~there)
+    if len(missing):
+        rest = keys[missing]
+        low = _logs(orders, floor, rest & ((1 << (BITS * (n - 1))) - 1), n - 1)
+        at, known = _find(order.contexts, rest >> BITS)
+        out[missing] = low
+        known = np.flatnonzero(known)
+        out[missing[known]] += order.backoff[at[known]]
+    return out
+
+
+def build(rows: pd.DataFrame, order: int, smoothing: Callable) -> Model:
+    """The model of bounded counts (label, level, gram, n).
+
+    ``smoothing(count, cell, number, total, types, size)`` gives each n-gram's own probability and
+    the mass that each (context, label) leaves to the lower order; ``cell`` is the n-gram's place
+    in the flattened (context, label) tables, ``number`` its label.
+    """
+    labels = sorted(rows["label"].unique())
+    size = len(labels)
+    numbers = rows["label"].map({x: i for i, x in enumerate(labels)}).to_numpy()
+    floor = np.full(size, -np.log(CODES), np.float32)
+    orders: list[Order] = []
+    expected, spread = np.zeros(size), np.ones(size)
+    for n in range(1, order + 1):
+        here = (rows["level"] == n).to_numpy()
+        number, gram = numbers[here], rows["gram"].to_numpy()[here]
+        count = rows["n"].to_numpy()[here].astype(np.float64)
+        keys = np.unique(gram)
+        contexts = np.unique(keys >> BITS)
+        cell = np.searchsorted(contexts, gram >> BITS) * size + number
+        total = np.bincount(cell, count, len(contexts) * size).reshape(-1, size)
+        types = np.bincount(cell, minlength=len(contexts) * size).reshape(-1, size)
+        own, left = smoothing(count, cell, number, total, types, size)
+        low = _logs(orders, floor, keys & ((1 << (BITS * (n - 1))) - 1), n - 1)
+        p = left[np.searchsorted(contexts, keys >> BITS)] * np.exp(low.astype(np.float64))
+        at = np.searchsorted(keys, gram)
+        p[at, number] += own
+        logp = np.log(p)
+        orders.append(Order(keys, logp.astype(np.float32), contexts, np.log(left).astype(np.float32)))
+        if n == order:
+            mine, weight = logp[at, number], np.bincount(number, count, size)
+            expected = -np.bincount(number, count * mine, size) / weight
+            square = np.bincount(number, count * (mine + expected[number]) ** 2, size)
+            spread = np.sqrt(square / weight)
+    return Model(labels, orders, floor, expected, spread)

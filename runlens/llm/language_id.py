@@ -13,16 +13,14 @@ lead to expect for that length.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from runlens.llm.charlm import BITS, CODES, bounded, count_grams, grams, suffix
+from runlens.llm.charlm import CODES, Model, bounded, build, count_grams, letter_codes, suffix
 from runlens.llm.common import fresh, slices
 from runlens.session import written
 
@@ -35,105 +33,20 @@ UNKNOWN = "und"
 SURE_CHARS = 64
 
 
-@dataclass
-class Order:
-    """N-grams of one order, sorted, with their log probabilities; contexts with back-off logs."""
-
-    keys: np.ndarray
-    logp: np.ndarray
-    contexts: np.ndarray
-    backoff: np.ndarray
-
-
-@dataclass
-class Model:
-    languages: list[str]
-    orders: list[Order]
-    floor: np.ndarray  # log probability of any code below order 1
-    expected: np.ndarray  # cross-entropy per character in learning texts
-    spread: np.ndarray  # standard deviation of a character's log probability
-
-    def logs(self, keys: np.ndarray) -> np.ndarray:
-        """Log probability of each n-gram's newest character, one row per n-gram."""
-        return _logs(self.orders, self.floor, keys, len(self.orders))
-
-    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy per character of each text in each language, and the characters."""
-        key, counts = grams([t.lower() for t in texts], len(self.orders))
-        out = np.zeros((len(texts), len(self.languages)))
-        some = np.flatnonzero(counts)
-        if len(some):
-            starts = np.cumsum(counts)[some] - counts[some]
-            out[some] = -np.add.reduceat(self.logs(key), starts, axis=0, dtype=np.float64)
-            out[some] /= counts[some, None]
-        return out, counts
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the wanted hashes in a sorted array, and which are there."""
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
-
-
-def _logs(orders: list[Order], floor: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
-    if n == 0:
-        return np.broadcast_to(floor, (len(keys), len(floor)))
-    order = orders[n - 1]
-    at, there = _find(order.keys, keys)
-    out = order.logp[at] if len(order.keys) else np.zeros((len(keys), len(floor)), np.float32)
-    missing = np.flatnonzero(~there)
-    if len(missing):
-        rest = keys[missing]
-        low = _logs(orders, floor, rest & ((1 << (BITS * (n - 1))) - 1), n - 1)
-        at, known = _find(order.contexts, rest >> BITS)
-        out[missing] = low
-        known = np.flatnonzero(known)
-        out[missing[known]] += order.backoff[at[known]]
-    return out
-
-
-def build(rows: pd.DataFrame, order: int) -> Model:
-    """The model of bounded counts: language, order, gram, n."""
-    languages = sorted(rows["label"].unique())
-    size = len(languages)
-    number = rows["label"].map({x: i for i, x in enumerate(languages)}).to_numpy()
-    floor = np.full(size, -np.log(CODES), np.float32)
-    orders: list[Order] = []
-    expected, spread = np.zeros(size), np.ones(size)
-    for n in range(1, order + 1):
-        here = (rows["level"] == n).to_numpy()
-        lang, gram = number[here], rows["gram"].to_numpy()[here]
-        count = rows["n"].to_numpy()[here].astype(np.float64)
-        keys = np.unique(gram)
-        contexts = np.unique(keys >> BITS)
-        once = np.bincount(lang[count == 1], minlength=size)
-        twice = np.bincount(lang[count == 2], minlength=size)
-        discount = np.clip(once / np.maximum(once + 2.0 * twice, 1), 0.1, 0.95)
-        ctx = np.searchsorted(contexts, gram >> BITS)
-        cell = ctx * size + lang
-        total = np.bincount(cell, count, len(contexts) * size).reshape(-1, size)
-        types = np.bincount(cell, minlength=len(contexts) * size).reshape(-1, size)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            left = np.where(total > 0, discount * types / total, 1.0)
-        low = np.exp(_logs(orders, floor, keys & ((1 << (BITS * (n - 1))) - 1), n - 1).astype(np.float64))
-        p = left[np.searchsorted(contexts, keys >> BITS)] * low
-        at = np.searchsorted(keys, gram)
-        p[at, lang] += (count - discount[lang]).clip(0) / total[ctx, lang]
-        logp = np.log(p)
-        orders.append(Order(keys, logp.astype(np.float32), contexts, np.log(left).astype(np.float32)))
-        if n == order:
-            own, weight = logp[at, lang], np.bincount(lang, count, size)
-            expected = -np.bincount(lang, count * own, size) / weight
-            spread = np.sqrt(np.bincount(lang, count * (own + expected[lang]) ** 2, size) / weight)
-    return Model(languages, orders, floor, expected, spread)
+def kneser_ney(count, cell, number, total, types, size):
+    """Absolute discounts, one per language, spread over the next lower order."""
+    once = np.bincount(number[count == 1], minlength=size)
+    twice = np.bincount(number[count == 2], minlength=size)
+    discount = np.clip(once / np.maximum(once + 2.0 * twice, 1), 0.1, 0.95)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        left = np.where(total > 0, discount * types / total, 1.0)
+    return (count - discount[number]).clip(0) / total.ravel()[cell], left
 
 
 def learn(texts: DataFrame, *, order: int = ORDER, cells: int = CELLS) -> Model | None:
     """A model of the rows (label, text); rows with a null in either are left out.
 
-    None when there is nothing to learn from.
+    None when there is nothing to learn from. The model holds at most ``cells`` numbers.
     """
     given = texts.filter(F.col("label").isNotNull() & F.col("text").isNotNull())
     top = written(count_grams(given, order), "language-grams")
@@ -151,7 +64,7 @@ def learn(texts: DataFrame, *, order: int = ORDER, cells: int = CELLS) -> Model
         levels = levels.unionByName(lower.withColumn("level", F.lit(n)))
     most = max(CODES, cells // (order * languages * languages))
     model = bounded(levels, most, ["label", "level"])
-    return build(model.select("label", "level", "gram", "n").toPandas(), order)
+    return build(model.select("label", "level", "gram", "n").toPandas(), order, kneser_ney)
 
 
 def predictions(
@@ -163,14 +76,15 @@ def predictions(
     lettered = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
     if model is None or not lettered:
         return names, scores, rejected
-    entropy, chars = model.entropies([texts[i] for i in lettered])
+    logs, chars = model.logs_of([texts[i].lower() for i in lettered], letter_codes)
+    entropy = -logs / chars[:, None]
     best = entropy.argmin(1)
     lowest = entropy.min(1)
     weight = np.minimum(chars, SURE_CHARS)[:, None]
     sure = 1 / np.exp(-(entropy - lowest[:, None]) * weight).sum(1)
     allowed = model.expected[best] + margin + deviations * model.spread[best] / np.sqrt(chars)
     for i, b, s, bad in zip(lettered, best, sure, lowest > allowed, strict=True):
-        names[i], scores[i], rejected[i] = model.languages[b], float(s), bool(bad)
+        names[i], scores[i], rejected[i] = model.labels[b], float(s), bool(bad)
     return names, scores, rejected
 
 

@@ -6,11 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import bpe, exact_dedup, language_id, line_dedup, quality, token_files
+from runlens.llm import bpe, exact_dedup, language_id, line_dedup, quality, token_files, url_filter
 from runlens.llm.common import prepared
 from runlens.session import scratch_path
 from runlens.tables import load
 
+URL_RULES = (
+    url_filter.rule("allow", "com/"),
+    url_filter.rule("block", "example.com/en/"),
+    url_filter.rule("allow", "www.example.com/en/"),
+    url_filter.rule("block", "net/es/"),
+    url_filter.rule("block", "net/fr/"),
+)
+
 # The vocabulary file, installed on every machine.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -44,6 +52,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's URL."""
+    return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every text, learnt from two thirds of the documents."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -64,6 +77,7 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_line_dedup": op3_line_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op8_url_filter": op8_url_filter,
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
 }
