@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import bpe, exact_dedup, language_id, line_dedup, quality, token_files, url_filter
+from runlens.llm import bpe, exact_dedup, language_id, line_dedup, near_dedup, quality, token_files, url_filter
 from runlens.llm.common import prepared
 from runlens.session import scratch_path
 from runlens.tables import load
@@ -52,6 +52,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of word pairs are 0.8 similar or more."""
+    found = near_dedup.members(_table(spark, sf_dir, "documents"), words=2)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page's URL."""
     return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
@@ -77,6 +83,7 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_line_dedup": op3_line_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op7_near_dedup": op7_near_dedup,
     "op8_url_filter": op8_url_filter,
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
