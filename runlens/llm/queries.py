@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import bpe, exact_dedup, language_id, line_dedup, near_dedup, quality, token_files, url_filter
+from runlens.llm import bpe, exact_dedup, language_id, license_scan, line_dedup, near_dedup, quality, token_files, url_filter
 from runlens.llm.common import prepared
 from runlens.session import scratch_path
 from runlens.tables import load
@@ -52,6 +52,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every text."""
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of word pairs are 0.8 similar or more."""
     found = near_dedup.members(_table(spark, sf_dir, "documents"), words=2)
@@ -83,13 +88,46 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_line_dedup": op3_line_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_license_scan": op5_license_scan,
     "op7_near_dedup": op7_near_dedup,
     "op8_url_filter": op8_url_filter,
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
 }
 
+def _license_sql() -> str:
+    """Exact counts in all windows of the grid, without bands."""
+    quoted = ", ".join(
+        "('{}', '{}')".format(n.replace("'", "''"), t.replace("'", "''"))
+        for n, t in license_scan.TEMPLATES
+    )
+    return rf"""
+        WITH n(license, notice) AS (VALUES {quoted}),
+             tw AS (SELECT license, list_filter(regexp_split_to_array(lower(notice), '[^\p{{L}}\p{{N}}]+'),
+                                                lambda x: x <> '') AS w FROM n),
+             t AS (SELECT license, len(w) AS size, unnest(list_distinct(list_transform(
+                          range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))) AS s FROM tw),
+             c AS (SELECT license, size, count(*) AS n_shingles FROM t GROUP BY ALL),
+             dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')),
+                           '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
+             d AS (SELECT doc_id, unnest(range(0, len(w) - 4)) AS i,
+                          unnest(list_transform(range(1, len(w) - 3),
+                                 lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM dw WHERE len(w) >= 5),
+             m AS (SELECT doc_id, license, size, i, s,
+                          unnest(range(greatest(0, cast(ceil((i - 2 * size + 5) / size) AS BIGINT)),
+                                       i // size + 1)) AS place
+                   FROM d JOIN t USING (s)),
+             p AS (SELECT doc_id, license, place, count(DISTINCT s) AS n_shared, min(i) AS first_word
+                   FROM m GROUP BY doc_id, license, place),
+             r AS (SELECT doc_id, license, n_shared, n_shingles, first_word,
+                          row_number() OVER (PARTITION BY doc_id, license ORDER BY n_shared DESC, place) AS k
+                   FROM p JOIN c USING (license) WHERE n_shared * 100 >= n_shingles * 80)
+        SELECT doc_id, license, n_shared, n_shingles, first_word FROM r WHERE k = 1
+    """
+
+
 SQL = {
+    "op5_license_scan": _license_sql(),
     "op3_line_dedup": r"""
         WITH l AS (SELECT doc_id, i, line, lower_key AS key FROM (
                      SELECT doc_id, i, line,
