@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import bpe, exact_dedup, language_id, license_scan, line_dedup, near_dedup, quality, token_files, url_filter
+from runlens.llm import bpe, exact_dedup, language_id, license_scan, line_dedup, near_dedup, packing, quality, token_files, url_filter
 from runlens.llm.common import prepared
 from runlens.session import scratch_path
 from runlens.tables import load
@@ -57,6 +57,12 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's pieces in padded batches."""
+    measured = packing.lengths(_table(spark, sf_dir, "documents"), TOKENIZER)
+    return packing.pack(measured)
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of word pairs are 0.8 similar or more."""
     found = near_dedup.members(_table(spark, sf_dir, "documents"), words=2)
@@ -89,6 +95,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_license_scan": op5_license_scan,
+    "op6_packing": op6_packing,
     "op7_near_dedup": op7_near_dedup,
     "op8_url_filter": op8_url_filter,
     "op9_language_id": op9_language_id,
