@@ -31,7 +31,7 @@ from runlens.llm.common import per_process, read_columns, slices
 # Cut after a byte whose rolling hash starts with so many zero bits: chunks of 2**10 bytes.
 CUT_BITS = 10
 # Bounds of the tables that a Python worker keeps; a full one is emptied.
-MAX_WORD_TABLE_BYTES = 192 << 20
+MAX_WORD_TABLE_BYTES = 128 << 20
 MAX_CHUNK_TABLE_BYTES = 32 << 20
 
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -111,7 +111,9 @@ class Encoder:
 
     def learn(self, texts: list[bytes]) -> None:
         """Encode the words of ``texts`` that are not known yet, each once."""
-        words = set().union(*(raw.split() for raw in texts))
+        words: set[bytes] = set()
+        for raw in texts:
+            words.update(raw.split())
         if self.word_bytes > MAX_WORD_TABLE_BYTES:
             self.words.clear()
             self.word_bytes = 0

@@ -93,7 +93,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def with_start(spark: SparkSession, path: str) -> DataFrame:
     """The rows with ``start``, the ids of all documents before them.
 
-    Only the counters are read for the files' totals; the window sees one row per file.
+    Only the counters are read for the files' totals. The window and the broadcast see one row
+    per file, and there are no more files than range partitions.
     """
     rows = read(spark, path)
     totals = rows.groupBy("file_no").agg(F.sum("n_tokens").alias("file_tokens"))
@@ -101,7 +102,7 @@ def with_start(spark: SparkSession, path: str) -> DataFrame:
     base = totals.select(
         "file_no", F.coalesce(F.sum("file_tokens").over(before), F.lit(0)).alias("file_base")
     )
-    joined = rows.join(base, "file_no")
+    joined = rows.join(F.broadcast(base), "file_no")
     return joined.withColumn("start", F.col("file_base") + F.col("file_start"))
 
 
