@@ -13,6 +13,7 @@ Texts are shuffled once; everything else stays within its task.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
@@ -23,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from runlens.llm.common import per_process, read_columns, slices
@@ -31,8 +31,8 @@ from runlens.llm.common import per_process, read_columns, slices
 # Cut after a byte whose rolling hash starts with so many zero bits: chunks of 2**10 bytes.
 CUT_BITS = 10
 # Bounds of the tables that a Python worker keeps; a full one is emptied.
-MAX_WORD_TABLE_BYTES = 128 << 20
-MAX_CHUNK_TABLE_BYTES = 32 << 20
+MAX_WORD_TABLE_BYTES = 96 << 20
+MAX_CHUNK_TABLE_BYTES = 24 << 20
 
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -305,25 +305,30 @@ def decode(
     return texts.withColumnsRenamed({"id": id_col, "ids": ids_col})
 
 
-def digests(decoded: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """id, n_tokens, SHA-256 of the ids (little-endian 32 bits) and of the decoded text."""
+def digests(encoded: DataFrame, tokenizer: str, *, id_col: str = "doc_id") -> DataFrame:
+    """id, n_tokens, SHA-256 of the ids (little-endian 32 bits) and of the decoded text.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
+    Decodes and digests in one pass, so that the texts stay in the Python worker.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = per_process(("decoder", tokenizer), lambda: Decoder(tokenizer))
         for batch in slices(batches, "ids"):
             found = list(lists(batch.column("ids")))
-            texts = batch.column("text").to_pylist()
             yield pa.record_batch(
                 {
                     "id": batch.column("id"),
                     "n_tokens": pa.array([len(x) for x in found], pa.int64()),
-                    "ids_sha256": [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in found],
-                    "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in texts],
+                    "ids_sha256": pa.array([_sha256(x.astype("<u4").tobytes()) for x in found]),
+                    "decoded_sha256": pa.array([_sha256(decoder.text(x).encode()) for x in found]),
                 }
             )
 
-    rows = decoded.select(F.col(f"`{id_col}`").alias("id"), "ids", "text")
+    rows = read_columns(encoded, id_col, "ids").toDF("id", "ids")
     kind = rows.schema["id"].dataType.simpleString()
     out = "n_tokens long, ids_sha256 string, decoded_sha256 string"
     return rows.mapInArrow(run, f"id {kind}, {out}").withColumnRenamed("id", id_col)
+
+
+def _sha256(data: bytes) -> str:
+    return hashlib.sha256(data).hexdigest()

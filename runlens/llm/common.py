@@ -20,7 +20,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 # Text rows handed to Python at a time; long texts make batches of a few MB either way.
 BATCH_ROWS = 2000
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def prepared(spark: SparkSession) -> SparkSession:

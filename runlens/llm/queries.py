@@ -30,7 +30,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded again, as digests."""
     encoded = bpe.encode(_table(spark, sf_dir, "documents"), TOKENIZER)
-    return bpe.digests(bpe.decode(encoded, TOKENIZER))
+    return bpe.digests(encoded, TOKENIZER)
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
