@@ -138,14 +138,15 @@ def bounded(levels: DataFrame, most: int, dims: list[str]) -> DataFrame:
     """The rows of each ``dims`` group with the highest counts, ``most`` at the most.
 
     A histogram of the counts by powers of two gives a cut-off per group: all n-grams with at
-    least that count stay. With fewer than ``most`` rows that is all of them.
+    least that count stay. With fewer than ``most`` rows that is all of them. The broadcast has
+    one row per group.
     """
     power = F.floor(F.log2("n")).cast("int")
     sizes = levels.groupBy(*dims, power.alias("power")).agg(F.count(F.lit(1)).alias("size"))
     above = Window.partitionBy(*dims).orderBy(F.desc("power")).rowsBetween(Window.unboundedPreceding, 0)
     fits = sizes.withColumn("total", F.sum("size").over(above)).filter(F.col("total") <= most)
     cut = fits.groupBy(*dims).agg(F.min("power").alias("cut"))
-    return levels.join(cut, dims).filter(power >= F.col("cut")).drop("cut")
+    return levels.join(F.broadcast(cut), dims).filter(power >= F.col("cut")).drop("cut")
 
 
 @dataclass

@@ -26,7 +26,7 @@ from runlens.session import written
 
 ORDER = 5
 # Log probabilities held by a model: languages squared times orders times n-grams of each.
-CELLS = 1 << 25
+CELLS = 1 << 23
 MAX_LANGUAGES = 1000
 UNKNOWN = "und"
 # Characters that count towards the confidence; longer texts are no surer.
