@@ -97,9 +97,14 @@ def count_grams(texts: DataFrame, order: int, codes_of=letter_codes, lower: bool
         held: dict[str, list] = {}
         size = 0
 
-        def flush():
+        def merged() -> int:
             for label, parts in held.items():
-                keys, counts = summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+                held[label] = [summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))]
+            return sum(len(parts[0][0]) for parts in held.values())
+
+        def flush():
+            merged()
+            for label, ((keys, counts),) in held.items():
                 for i in range(0, len(keys), 1 << 18):
                     piece = slice(i, i + (1 << 18))
                     yield pa.record_batch(
@@ -121,8 +126,10 @@ def count_grams(texts: DataFrame, order: int, codes_of=letter_codes, lower: bool
                 held.setdefault(label, []).append(found)
                 size += len(found[0])
             if size > HELD_GRAMS:
-                yield from flush()
-                size = 0
+                size = merged()
+                if size > HELD_GRAMS // 2:
+                    yield from flush()
+                    size = 0
         yield from flush()
 
     counted = texts.select("label", "text").mapInArrow(run, "label string, gram long, n long")
