@@ -2,82 +2,74 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from runlens.functions.text import as_col, bind
+from runlens.functions.json_text import ESCAPES, as_double, rewrite, written_string
+from runlens.functions.text import as_col
 
 # Fixed value: what a hidden value is replaced by.
 SECRET = "[secret]"
 
-# Characters that are written as escapes inside JSON strings.
-_ESCAPES = (
-    ("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"),
-    (" ", "\\u2028"), (" ", "\\u2029"),
-)
-
 
 def escape_markup(text: Column) -> Column:
     """These characters can only occur inside strings of valid JSON."""
-    for char, escape in _ESCAPES:
+    for char, escape in ESCAPES:
         text = F.replace(text, F.lit(char), F.lit(escape))
     return text
 
 
-def is_json(payload: str | Column) -> Column:
-    return F.try_parse_json(as_col(payload)).isNotNull()
+def _valid(text: str | None) -> bool | None:
+    if text is None:
+        return None
+    try:
+        rewrite(text)
+    except ValueError:
+        return False
+    return True
 
 
-def compact_json(payload: str | Column) -> Column:
-    """Drop white space outside strings; number and string text stay as written."""
-    bare = F.regexp_replace(as_col(payload), r'("(?:[^"\\]|\\.)*")|[ \t\r\n]+', "$1")
-    return escape_markup(bare)
+def _valid_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in batches:
+        yield batch.map(_valid)
 
 
-class _Number(str):
-    """A number kept as the text it was written in."""
+def is_json(payload: str | Column) -> Column:
+    """Whether a text is exactly one JSON value; repeated keys are fine.
 
+    A text that reads as the only item of an array and as the only member of an object is one.
+    Only texts that fail there (repeated keys, deep nesting, very large numbers, or no JSON) go
+    through the reader in Python.
+    """
+    text = as_col(payload)
+    in_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    plain = in_array.isNotNull() & in_object.isNotNull()
+    read = F.pandas_udf(_valid_batches, "boolean")(F.when(~plain, text))
+    return F.when(text.isNotNull(), F.coalesce(read, plain)).otherwise(False)
 
-def _canonical(value) -> str:
-    if isinstance(value, _Number):
-        return str(value)
-    if isinstance(value, dict):
-        items = sorted(value.items(), key=lambda kv: kv[0].encode("utf-8", "surrogatepass"))
-        return "{" + ",".join(f"{_canonical(k)}:{_canonical(v)}" for k, v in items) + "}"
-    if isinstance(value, list):
-        return "[" + ",".join(map(_canonical, value)) + "]"
-    if isinstance(value, str):
-        text = json.dumps(value, ensure_ascii=False)
-        for char, escape in _ESCAPES:
-            text = text.replace(char, escape)
-        return text
-    return json.dumps(value)
+
+def compact_json(payload: str | Column) -> Column:
+    """Drop white space outside strings; number and string text stay as written."""
+    bare = F.regexp_replace(as_col(payload), r'("(?:[^"\\]++|\\.)*+")|[ \t\r\n]+', "$1")
+    return escape_markup(bare)
 
 
-def _canonical_or_none(text: str | None, decoder: json.JSONDecoder) -> str | None:
+def _canonical(text: str | None) -> str | None:
     if text is None:
         return None
     try:
-        value, _ = decoder.raw_decode(text.lstrip(" \t\r\n"))
+        return rewrite(text, rest=True)[0]
     except ValueError:
         return None
-    return _canonical(value)
-
-
-def _refuse_constant(name: str):
-    raise ValueError(f"{name} is no JSON number")
 
 
 def _canonical_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    decoder = json.JSONDecoder(
-        parse_float=_Number, parse_int=_Number, parse_constant=_refuse_constant
-    )
     for batch in batches:
-        yield batch.map(lambda text: _canonical_or_none(text, decoder))
+        yield batch.map(_canonical)
 
 
 def canonical_json(body: str | Column) -> Column:
@@ -92,40 +84,33 @@ def canonical_hash(body: str | Column) -> Column:
     return F.sha2(canonical_json(body), 256)
 
 
+def _enveloped(run_id: str | None, payload: str | None) -> str | None:
+    if not run_id or payload is None:
+        return payload
+    try:
+        fields = rewrite(payload, as_double)[1]
+    except ValueError:
+        fields = None
+    if fields is None:
+        fields = {"data": written_string(payload)}
+    fields["run_id"] = written_string(run_id)
+    return "{" + ",".join(f"{written_string(k)}:{fields[k]}" for k in sorted(fields, key=str.encode)) + "}"
+
+
+def _enveloped_batches(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for run_ids, payloads in batches:
+        pairs = zip(run_ids, payloads, strict=True)
+        yield pd.Series([_enveloped(r, p) for r, p in pairs], dtype=object)
+
+
 def global_envelope(run_id: str | Column, payload: str | Column) -> Column:
     """Put ``run_id`` into an event object; a payload that is no object is wrapped.
 
-    Keys come out sorted and numbers are read as numbers, not kept as text.
+    Keys come out sorted, the last of repeated ones counts, and numbers are read as 64-bit floats
+    (one out of range makes the payload text). A null payload stays null.
     """
-    rid, body = as_col(run_id), as_col(payload)
-    fields = F.when(F.ltrim(body).startswith("{"), F.from_json(body, "map<string,variant>"))
-
-    def merged(both: Column) -> Column:
-        known, rid_text = both["fields"], both["rid"]
-        keys = F.array_sort(F.array_union(F.map_keys(known), F.array(F.lit("run_id"))))
-        members = F.transform(
-            keys,
-            lambda k: F.concat(
-                _json_string(k),
-                F.lit(":"),
-                F.when(k == "run_id", rid_text).otherwise(
-                    F.coalesce(F.to_json(F.element_at(known, k)), F.lit("null"))
-                ),
-            ),
-        )
-        wrapped = F.concat(
-            F.lit('{"data":'), _json_string(body), F.lit(',"run_id":'), rid_text, F.lit("}")
-        )
-        return F.when(known.isNull(), wrapped).otherwise(
-            F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
-        )
-
-    whole = bind(F.struct(fields.alias("fields"), _json_string(rid).alias("rid")), merged)
-    return F.when(rid.isNull() | (rid == ""), body).otherwise(escape_markup(whole))
-
-
-def _json_string(text: Column) -> Column:
-    return F.regexp_replace(F.to_json(F.array(text)), r"^\[|\]$", "")
+    wrap = F.pandas_udf(_enveloped_batches, "string")
+    return wrap(as_col(run_id).cast("string"), as_col(payload))
 
 
 def redact_args(args: str | Column, secret_names: str | Column) -> Column:

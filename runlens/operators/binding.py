@@ -194,8 +194,9 @@ def _value_text(f: Column) -> Column:
 
 
 def _given(args: str) -> Column:
-    sent = F.from_json(args, "map<string,variant>")
-    return F.coalesce(sent, F.create_map().cast("map<string,variant>"))
+    sent = F.try_variant_get(F.try_parse_json(args), "$", "map<string,variant>")
+    none = F.create_map().cast("map<string,variant>")
+    return F.when(F.col(args).isNull() | (F.btrim(args, F.lit(" \t\r\n")) == "null"), none).otherwise(sent)
 
 
 def _argument_facts(spec: str) -> Column:
@@ -206,8 +207,9 @@ def _argument_facts(spec: str) -> Column:
 def with_argument_check(requests: DataFrame, args: str = "args", spec: str = "spec") -> DataFrame:
     """Add ``arg_error STRUCT<arg, message>``, null when the arguments bind.
 
-    Checked in this order: unsupported types, unknown arguments (first by name), value types in
-    list order, then the rules of each argument in list order. ``__facts`` carries what is known
+    Checked in this order: text that is no JSON object, unsupported types, arguments declared
+    twice, unknown arguments (first by name), value types in list order, then the rules of each
+    argument in list order. ``__facts`` carries what is known
     about each argument on to :func:`with_binding`.
     """
     null = F.lit(None).cast("string")
@@ -218,7 +220,9 @@ def with_argument_check(requests: DataFrame, args: str = "args", spec: str = "sp
     def first(found: Column) -> Column:
         return F.get(F.filter(found, lambda e: e["message"].isNotNull()), F.lit(0))
 
+    # null where text is given that is no object
     sent = compute_once(requests, {"__given": _given(args)})
+    unread = F.when(F.col("__given").isNull(), error(null, F.lit("arguments are not a JSON object")))
     staged = compute_once(
         sent, {"__names": F.array_sort(F.map_keys("__given")), "__facts": _argument_facts(spec)}
     )
@@ -234,6 +238,9 @@ def with_argument_check(requests: DataFrame, args: str = "args", spec: str = "sp
             ),
         )
     )
+    names = F.transform(spec, lambda a: a["name"])
+    again = F.get(F.filter(names, lambda n, i: F.array_position(names, n) < i + 1), F.lit(0))
+    repeated = F.when(again.isNotNull(), error(null, F.concat(F.lit("argument declared twice: "), again)))
     unknown = F.get(F.array_except("__names", F.transform(spec, lambda a: a["name"])), F.lit(0))
     unknown_error = bind(
         unknown,
@@ -246,12 +253,28 @@ def with_argument_check(requests: DataFrame, args: str = "args", spec: str = "sp
     none_allowed = F.when(
         F.size("__names") > 0, error(null, F.lit("job does not accept arguments"))
     )
-    checked = F.when(bare, none_allowed).otherwise(
-        F.coalesce(unsupported, unknown_error, typed, ruled)
+    checked = F.coalesce(
+        unread,
+        F.when(bare, none_allowed).otherwise(
+            F.coalesce(unsupported, repeated, unknown_error, typed, ruled)
+        ),
     )
     return compute_once(staged, {"arg_error": checked}).drop("__given", "__names")
 
 
+def _last_by_name(entries: Column) -> Column:
+    """Of entries with the same ``k`` the last one: two names may give one variable."""
+    return bind(
+        entries,
+        lambda all_: F.filter(
+            all_,
+            lambda e, i: ~F.exists(
+                F.slice(all_, i + 2, F.greatest(F.size(all_) - i - 1, F.lit(0))), lambda x: x["k"] == e["k"]
+            ),
+        ),
+    )
+
+
 def with_binding(checked: DataFrame) -> DataFrame:
     """Add bound values, environment, secret names and values to checked requests.
 
@@ -277,9 +300,12 @@ def with_binding(checked: DataFrame) -> DataFrame:
                 "bound": F.map_from_entries(
                     F.transform("__bound", lambda b: F.struct(b["name"], b["value"]))
                 ),
-                "env": F.map_from_entries(
-                    F.transform(plain, lambda b: F.struct(arg_env_name(b["name"]), b["value"]))
-                ),
+                "env": F.map_from_entries(_last_by_name(
+                    F.transform(
+                        plain,
+                        lambda b: F.struct(arg_env_name(b["name"]).alias("k"), b["value"].alias("v")),
+                    )
+                )),
                 "secret_names": F.transform(secrets, lambda b: b["name"]),
                 "secret_values": F.transform(
                     F.filter(secrets, lambda b: b["value"] != ""), lambda b: b["value"]

@@ -261,6 +261,8 @@ _SPECS = [
         {"name": "max-level", "type": "integer", "default": 3.9},
     ],
     [],
+    [{"name": "a-b", "type": "string"}, {"name": "a_b", "type": "string"}],
+    [{"name": "x", "type": "string"}, {"name": "x", "type": "integer"}],
 ]
 
 
@@ -268,17 +270,19 @@ def _argument_requests(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("o_orderkey").cast("string")
     specs = [F.from_json(F.lit(json.dumps(s)), f"array<{N.ARG}>") for s in _SPECS]
     args = _pick(
-        F.col("o_custkey") % 6,
+        F.col("o_custkey") % 8,
         F.concat(F.lit('{"priority":"'), "o_orderpriority", F.lit('","count":'), F.col("o_totalprice").cast("string"), F.lit("}")),
         F.concat(F.lit('{"tags":["a","'), "o_orderstatus", F.lit('"],"env":{" k ":"v='), key, F.lit('"}}')),
         F.concat(F.lit('{"token":"t'), key, F.lit('"}')),
         "{}",
         '{"count":"x","priority":"2-HIGH"}',
         '{"zzz":1,"flag":true}',
+        "{not json",
+        F.concat(F.lit('{"a_b":"y'), key, F.lit('","a-b":"x0","a-b":"x1"}')),
     )
     columns = ["o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", "o_totalprice"]
     return tables.spread(tables.load(spark, sf, "orders").select(*columns)).select(
-        "o_orderkey", args.alias("args"), _pick(F.col("o_orderkey") % 4, *specs).alias("spec")
+        "o_orderkey", args.alias("args"), _pick(F.col("o_orderkey") % 6, *specs).alias("spec")
     )
 
 
@@ -288,11 +292,17 @@ def arg_errors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _ARGS = """a AS (
-  SELECT o_orderkey, o_orderkey % 4 AS job, o_custkey % 6 AS kind, o_orderpriority AS priority,
+  SELECT o_orderkey, o_orderkey % 6 AS job, o_custkey % 8 AS kind, o_orderpriority AS priority,
          o_orderstatus AS status, o_totalprice AS total
   FROM orders
 ), e AS (
   SELECT *, CASE
+    WHEN kind = 6 THEN row(NULL, 'arguments are not a JSON object')
+    WHEN job = 5 THEN row(NULL, 'argument declared twice: x')
+    WHEN job <> 4 AND job <> 3 AND kind = 7 THEN row(NULL, 'unknown argument: a-b')
+    WHEN job = 4 THEN CASE kind WHEN 1 THEN row(NULL, 'unknown argument: env') WHEN 2 THEN row(NULL, 'unknown argument: token')
+      WHEN 3 THEN NULL WHEN 5 THEN row(NULL, 'unknown argument: flag') WHEN 7 THEN NULL
+      ELSE row(NULL, 'unknown argument: count') END
     WHEN job = 3 THEN CASE WHEN kind <> 3 THEN row(NULL, 'job does not accept arguments') END
     WHEN job = 0 THEN CASE kind
       WHEN 0 THEN CASE WHEN priority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM')
@@ -757,8 +767,10 @@ SQL = {
         SELECT o_orderkey,
                CASE job WHEN 0 THEN 'count=' || CAST(floor(total) AS BIGINT) || ';note=none;priority=' || priority
                         WHEN 1 THEN 'env={{"k":"v=' || o_orderkey || '"}};flag=true;tags=["a","' || status || '"]'
+                        WHEN 4 THEN CASE kind WHEN 7 THEN 'a-b=x1;a_b=y' || o_orderkey ELSE 'a-b=;a_b=' END
                         ELSE 'max-level=3;token=[secret]' END AS resolved,
                CASE job WHEN 0 THEN 'ARG_COUNT=' || CAST(floor(total) AS BIGINT) || ';ARG_NOTE=none;ARG_PRIORITY=' || priority
+                        WHEN 4 THEN 'ARG_A_B=' || CASE kind WHEN 7 THEN 'y' || o_orderkey ELSE '' END
                         WHEN 1 THEN 'ARG_FLAG=true' ELSE 'ARG_MAX_LEVEL=3' END AS env,
                CASE WHEN job = 2 AND kind = 2 THEN 't' || o_orderkey ELSE '' END AS secrets
         FROM e WHERE err IS NULL AND job <> 3""",

@@ -227,8 +227,15 @@ def point_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ndjson_export(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of the retained journal. Some payloads repeat a key, which is valid; some have text
+    behind their value, which ends their run's export."""
     kept = J.retained(tables.journal(spark, sf), BUDGET, bucket_rows=BUCKET)
-    return ndjson_lines(kept).select("run_id", "seq", "line")
+    payload = (
+        F.when(F.col("seq") % 11 == 3, F.regexp_replace("payload", r"^\{", '{"k": "twice",'))
+        .when((F.col("seq") % 53 == 7) & (F.col("run_id") % 3 == 0), F.concat("payload", F.lit(" x")))
+        .otherwise(F.col("payload"))
+    )
+    return ndjson_lines(kept.withColumn("payload", payload)).select("run_id", "seq", "line")
 
 
 def payload_validity(spark: SparkSession, sf: str) -> DataFrame:
@@ -296,12 +303,17 @@ SQL = {
                count(*) AS n
         FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey * 2 GROUP BY ALL""",
     "ndjson_export": f"""
-        WITH {_KEPT}
+        WITH {_KEPT},
+             body AS (SELECT run_id, seq, event_type, ts, CASE WHEN seq % 11 = 3
+                             THEN '{{"k":"twice",' || substr(CAST(json(payload) AS VARCHAR), 2)
+                             ELSE CAST(json(payload) AS VARCHAR) END AS payload,
+                             seq % 11 <> 3 AND seq % 53 = 7 AND run_id::BIGINT % 3 = 0 AS bad FROM kept),
+             stop AS (SELECT run_id, min(seq) AS cut FROM body WHERE bad GROUP BY run_id)
         SELECT run_id, seq,
                '{{"sequence":' || seq || ',"timestamp":"'
                || regexp_replace(strftime(ts, '%Y-%m-%dT%H:%M:%S.%g'), '\\.?0+$', '')
-               || 'Z","event":"' || event_type || '","data":' || CAST(json(payload) AS VARCHAR) || '}}' AS line
-        FROM kept""",
+               || 'Z","event":"' || event_type || '","data":' || payload || '}}' AS line
+        FROM body LEFT JOIN stop USING (run_id) WHERE cut IS NULL OR seq < cut""",
     "payload_validity": """
         SELECT event_type, count(*) FILTER (WHERE json_valid(props)) AS valid, count(*) AS n
         FROM events GROUP BY event_type""",

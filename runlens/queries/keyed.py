@@ -174,14 +174,26 @@ def declared_hashes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def canonical_bodies(spark: SparkSession, sf: str) -> DataFrame:
-    """Canonical hash of request bodies whose keys come unsorted and number text is kept."""
-    body = F.concat(
+    """Canonical hash of request bodies whose keys come unsorted and number text is kept.
+
+    Some bodies hold a lone surrogate escape, some are nested thousands deep.
+    """
+    deep = F.lit(3000)
+    plain = F.concat(
         F.lit('{"value": '), F.format_string("%.2f", "value"),
         F.lit(', "args": '), F.col("props"),
         F.lit(', "job": "<'), F.col("event_type"), F.lit('>" }'),
     )
+    body = (
+        F.when(F.col("event_id") % 29 == 4, F.concat(F.lit('{"\\ud800b": '), F.col("props"), F.lit(', "a" : 1.50}')))
+        .when(
+            F.col("event_id") % 301 == 5,
+            F.concat(F.repeat(F.lit("[ "), deep), F.col("event_id").cast("string"), F.repeat(F.lit("]"), deep)),
+        )
+        .otherwise(plain)
+    )
     events = tables.load(spark, sf, "events").select("event_id", "event_type", "value", "props")
-    return tables.spread(events).select("event_id", canonical_hash(body).alias("hash"))
+    return events.select("event_id", canonical_hash(body).alias("hash"))
 
 
 QUERIES = {
@@ -285,8 +297,10 @@ SQL = {
                                  ELSE 'invalid_hash' END AS outcome, count(*) AS n
         FROM events GROUP BY 1""",
     "canonical_bodies": r"""
-        SELECT event_id,
-               sha256('{"args":' || replace(props, ' ', '') || ',"job":"\u003c' || event_type || '\u003e","value":'
-                      || printf('%.2f', value) || '}') AS hash
+        SELECT event_id, CASE
+               WHEN event_id % 29 = 4 THEN sha256('{"a":1.50,"' || chr(65533) || 'b":' || replace(props, ' ', '') || '}')
+               WHEN event_id % 301 = 5 THEN sha256(repeat('[', 3000) || event_id || repeat(']', 3000))
+               ELSE sha256('{"args":' || replace(props, ' ', '') || ',"job":"\u003c' || event_type || '\u003e","value":'
+                      || printf('%.2f', value) || '}') END AS hash
         FROM events""",
 }

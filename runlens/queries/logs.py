@@ -72,10 +72,19 @@ def redacted_args(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def global_envelope(spark: SparkSession, sf: str) -> DataFrame:
-    """Event payloads with their run id; error events carry plain text and are wrapped."""
-    log = tables.spread(tables.journal(spark, sf).drop("ts")).withColumn(
-        "payload", F.when(F.col("event_type") == "error", F.col("event_type")).otherwise(F.col("payload"))
+    """Event payloads with their run id; error events carry plain text and are wrapped.
+
+    Some payloads have numbers with an exponent, beyond 53 bits or out of range, and repeated keys.
+    """
+    seq = F.col("seq").cast("string")
+    payload = (
+        F.when(F.col("event_type") == "error", F.col("event_type"))
+        .when(F.col("seq") % 7 == 1, F.concat(F.lit('{"x": '), seq, F.lit("e3, \"a\":1, \"a\": 2.50}")))
+        .when(F.col("seq") % 7 == 2, F.concat(F.lit('{"big": 9007199254740993, "small": '), seq, F.lit("e-1}")))
+        .when(F.col("seq") % 7 == 3, F.concat(F.lit('{"over": 1e400, "seq": '), seq, F.lit("}")))
+        .otherwise(F.col("payload"))
     )
+    log = tables.journal(spark, sf).drop("ts").withColumn("payload", payload)
     return L.with_envelope(log).select("seq", "payload")
 
 
@@ -110,6 +119,11 @@ SQL = {
     "global_envelope": """
         SELECT event_id AS seq,
                CASE WHEN event_type = 'error' THEN '{"data":"error","run_id":"' || user_id || '"}'
+                    WHEN event_id % 7 = 1 THEN '{"a":2.5,"run_id":"' || user_id || '","x":' || event_id * 1000 || '}'
+                    WHEN event_id % 7 = 2 THEN '{"big":9007199254740992,"run_id":"' || user_id || '","small":'
+                         || event_id // 10 || CASE WHEN event_id % 10 = 0 THEN '' ELSE '.' || event_id % 10 END || '}'
+                    WHEN event_id % 7 = 3 THEN '{"data":"{\\"over\\": 1e400, \\"seq\\": ' || event_id
+                         || '}","run_id":"' || user_id || '"}'
                     ELSE '{"k":' || json_extract_string(props, '$.k') || ',"run_id":"' || user_id || '"}'
                END AS payload
         FROM events""",

@@ -25,6 +25,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # of repeated keys in a JSON object the last one counts
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 # Only settable when the session is created. The call site of every expression is not
