@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from runlens.functions.text import as_col
+from runlens.functions.text import as_col, whole_match
 
 # Scopes, key limits and patterns.
 SCOPES = {
@@ -69,7 +69,7 @@ def missing_scopes(required: Column, granted: Column) -> Column:
 
 
 def request_key_valid(key: str | Column) -> Column:
-    return as_col(key).rlike(REQUEST_KEY_PATTERN)
+    return whole_match(key, REQUEST_KEY_PATTERN)
 
 
 def scoped_request_key(principal: str | Column, key: str | Column) -> Column:
@@ -98,6 +98,6 @@ def kv_check(
         .when(bad_text, "value_not_base64")
         .when(F.octet_length(k) > KEY_MAX_BYTES, "key_too_large")
         .when(F.octet_length(v) > VALUE_MAX_BYTES, "value_too_large")
-        .when(~F.coalesce(ns.rlike(NAMESPACE_PATTERN), F.lit(False)), "namespace_invalid")
+        .when(~F.coalesce(whole_match(ns, NAMESPACE_PATTERN), F.lit(False)), "namespace_invalid")
         .otherwise("ok")
     )

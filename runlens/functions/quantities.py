@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from runlens.functions.text import as_col, non_blank, quoted, trim_ws
+from runlens.functions.text import as_col, non_blank, quoted, trim_ws, whole_match
 
 _INTEGER = r"^[+-]?[0-9]+$"
 _DECIMAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$"
@@ -20,7 +20,7 @@ DEFAULT_REGISTRY = "docker.io"
 
 
 def _decimal(text: Column) -> Column:
-    return F.when(text.rlike(_DECIMAL), text.try_cast("double"))
+    return F.when(whole_match(text, _DECIMAL), text.try_cast("double"))
 
 
 def _milli(value: Column) -> tuple[Column, Column, Column]:
@@ -33,7 +33,7 @@ def _milli(value: Column) -> tuple[Column, Column, Column]:
 def cpu_millicores(value: str | Column) -> Column:
     """``500m`` or cores to millicores, rounded half away from zero; null when invalid."""
     _, milli, number = _milli(as_col(value))
-    whole = F.when(number.rlike(_INTEGER), number.try_cast("bigint"))
+    whole = F.when(whole_match(number, _INTEGER), number.try_cast("bigint"))
     cores = F.round(_decimal(number) * 1000).cast("bigint")
     amount = F.when(milli, whole).otherwise(cores)
     return F.when(amount >= 0, amount)
@@ -43,7 +43,7 @@ def cpu_error(value: str | Column) -> Column:
     """Why a CPU text is refused (null when it is fine)."""
     v = as_col(value)
     text, milli, number = _milli(v)
-    whole = F.when(number.rlike(_INTEGER), number.try_cast("bigint"))
+    whole = F.when(whole_match(number, _INTEGER), number.try_cast("bigint"))
     cores = _decimal(number)
     return (
         F.when(text == "", "empty cpu value")

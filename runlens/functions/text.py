@@ -66,11 +66,16 @@ def quoted(value: str | Column) -> Column:
     return F.concat(F.lit('"'), text, F.lit('"'))
 
 
+def whole_match(value: str | Column, pattern: str) -> Column:
+    """Whether a text matches a pattern written ``^...$``, a final line break not being passed over."""
+    return as_col(value).rlike(pattern.removesuffix("$") + r"\z")
+
+
 def parse_cursor(value: str | Column) -> Column:
     """Cursor text to LONG: empty is 0, anything that is no integer is null."""
     text = F.coalesce(trim_ws(value), F.lit(""))
     return F.when(text == "", F.lit(0).cast("long")).when(
-        text.rlike("^[+-]?[0-9]+$"), text.try_cast("bigint")
+        whole_match(text, "^[+-]?[0-9]+$"), text.try_cast("bigint")
     )
 
 

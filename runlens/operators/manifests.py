@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.functions.text import bind, compute_once, is_blank, quoted, trim_ws
+from runlens.functions.text import bind, compute_once, is_blank, quoted, trim_ws, whole_match
 from runlens.operators.binding import _as, _kind
 
 # Patterns, sets, limits and allowed keys of a manifest.
@@ -24,20 +24,23 @@ VERIFY_MODES = ("required", "permissive", "disabled")
 SUMMARY_LIMIT = 240
 NAME_MINIMUM = 3
 ALLOWED_KEYS = {
-    "manifest": "apiVersion kind metadata requires jobs",
-    "metadata": "name id version summary description homepage maintainers license",
-    "maintainer": "name email url",
-    "requires": "permissions containers",
-    "container": "image platform verify_signatures",
-    "job": "id name summary description argspec extends requirements",
-    "requirements": "tools",
-    "tool": "name version",
-    "argspec": "args",
+    "manifest": ("apiVersion", "kind", "metadata", "requires", "jobs"),
+    "metadata": (
+        "name", "id", "version", "summary", "description", "homepage", "maintainers", "license",
+    ),
+    "maintainer": ("name", "email", "url"),
+    "requires": ("permissions", "containers"),
+    "container": ("image", "platform", "verify_signatures"),
+    "job": ("id", "name", "summary", "description", "argspec", "extends", "requirements"),
+    "requirements": ("tools",),
+    "tool": ("name", "version"),
+    "argspec": ("args",),
     "arg": (
-        "name title description type format secret required default enum minLength maxLength "
-        "minimum maximum multipleOf items_type items_enum minItems maxItems value_type deprecated"
+        "name", "title", "description", "type", "format", "secret", "required", "default", "enum",
+        "minLength", "maxLength", "minimum", "maximum", "multipleOf", "items_type", "items_enum",
+        "minItems", "maxItems", "value_type", "deprecated",
     ),
-}
+}
 
 ARG = (
     "struct<name:string,type:string,format:string,secret:boolean,required:boolean,"
@@ -116,7 +119,7 @@ def _typed_errors(m: Column, api_version: str, kind: str, ref: str) -> Column:
         at = _at("jobs", i)
         own = _rules(
             F.when(
-                ~F.coalesce(j["id"].rlike(JOB_ID_PATTERN), F.lit(False)),
+                ~F.coalesce(whole_match(j["id"], JOB_ID_PATTERN), F.lit(False)),
                 _msg(at, f".id must match {JOB_ID_PATTERN}"),
             ),
             F.when(missing(j["name"]), _msg(at, ".name is required")),
@@ -139,11 +142,11 @@ def _typed_errors(m: Column, api_version: str, kind: str, ref: str) -> Column:
             F.lit(f"metadata.name must be at least {NAME_MINIMUM} characters per {ref}"),
         ),
         F.when(
-            ~F.coalesce(meta["id"].rlike(ID_PATTERN), F.lit(False)),
+            ~F.coalesce(whole_match(meta["id"], ID_PATTERN), F.lit(False)),
             F.lit(f"metadata.id must match {ID_PATTERN}"),
         ),
         F.when(
-            ~F.coalesce(meta["version"].rlike(SEMVER_PATTERN), F.lit(False)),
+            ~F.coalesce(whole_match(meta["version"], SEMVER_PATTERN), F.lit(False)),
             F.lit("metadata.version must be a SemVer string (e.g., 1.2.3)"),
         ),
         F.when(
@@ -168,7 +171,7 @@ def _schema_errors(raw: Column, ref: str, runner_key: str | None) -> Column:
     """Shape and allowed-key checks on the untyped document; keys are reported in order."""
 
     def unknown(fields: Column, level: str, path: str | Column) -> Column:
-        allowed = ALLOWED_KEYS[level].split()
+        allowed = list(ALLOWED_KEYS[level])
         if level == "requires" and runner_key:
             allowed.append(runner_key)
         odd = F.array_sort(F.array_except(F.map_keys(fields), F.array(*[F.lit(k) for k in allowed])))

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runlens.functions.text import whole_match
 from runlens.functions.payload import canonical_hash
 
 # How long a stored response answers repeats, and the declared-hash pattern.
@@ -27,7 +28,7 @@ def declared_hash_check(declared: Column, computed: Column) -> Column:
     text = F.lower(F.coalesce(F.trim(declared), F.lit("")))
     return (
         F.when(text == "", "ok")
-        .when(~text.rlike(HASH_PATTERN), "invalid_hash")
+        .when(~whole_match(text, HASH_PATTERN), "invalid_hash")
         .when(text != computed, "conflict")
         .otherwise("ok")
     )

@@ -248,6 +248,8 @@ def addon_plans(
 ) -> DataFrame:
     """Plans for add-on jobs named ``source/job``: image pinned by digest, tools unknown.
 
+    One row per request and job of that name; stage ``resolve`` where there is none.
+
     ``addon_jobs(source_name, job_id, spec, tools)``; ``sources(name, ref, digest, pull_policy)``.
     """
     meta = sources.select(
@@ -258,7 +260,8 @@ def addon_plans(
         addon_jobs.join(meta, "source_name")
         .withColumn("name", F.concat_ws("/", trim_ws("source_name"), trim_ws("job_id")))
     )
-    rows = with_binding(with_argument_check(requests.join(jobs, "name")))
+    # a request for a job that nobody offers gets its row too
+    rows = with_binding(with_argument_check(requests.join(jobs, "name", "left")))
     rows = compute_once(
         rows, {"profile": effective_profile(F.col("requested_profile"), F.lit(""), F.lit(profile))}
     )
@@ -275,7 +278,9 @@ def addon_plans(
             "p_signature": P.signature_problem(mode, verified, reason),
         },
     )
+    missing = F.col("job_id").isNull()
     stop = F.coalesce(
+        F.when(missing, _stop("resolve", "job.not_found", F.col("name"))),
         F.when(F.col("profile").isNull(), _stop("profile", P.POLICY_ERROR, "invalid security profile")),
         F.when(
             F.col("arg_error").isNotNull(),
@@ -300,7 +305,7 @@ def addon_plans(
     return compute_once(rows, {"stop": stop}).select(
         "request", F.col("name").alias("job_id"),
         F.col("stop.stage").alias("stage"), F.col("stop.code").alias("code"), F.col("stop.detail").alias("detail"),
-        "image", pinned.alias("verified_image"), findings.alias("findings"), "resolved",
+        "image", pinned.alias("verified_image"), F.when(~missing, findings).alias("findings"), "resolved",
         F.transform("tools", lambda t: F.struct(t["name"].alias("name"), t["version"].alias("version"), F.lit("unknown").alias("status"))).alias("tools"),
     )
 

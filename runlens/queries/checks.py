@@ -488,7 +488,8 @@ def manifest_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def addon_plans(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders ask for add-on jobs of the valid manifests; brands are the image sources."""
+    """Orders ask for the add-on job of a part; brands are the image sources. Only valid manifests
+    offer their job, other requests find none."""
     linted = _manifests(spark, sf)
     jobs = N.manifest_jobs(linted, ["p_brand"]).withColumnRenamed("p_brand", "source_name")
     sources = _part(spark, sf).select(
@@ -500,7 +501,8 @@ def addon_plans(spark: SparkSession, sf: str) -> DataFrame:
     brand = _part(spark, sf).select(F.col("p_partkey").alias("key"), "p_brand")
     requests = (
         tables.load(spark, sf, "orders")
-        .join(brand, F.col("o_orderkey") % 2000 == F.col("key"))
+        .crossJoin(brand.agg((F.max("key") + 1).alias("parts")))  # one row
+        .join(brand, F.col("o_orderkey") % F.col("parts") == F.col("key"))
         .select(
             F.col("o_orderkey").alias("request"),
             F.concat("p_brand", F.lit("/build-"), F.col("key").cast("string")).alias("name"),
@@ -808,18 +810,19 @@ SQL = {
                  CASE o_custkey % 3 WHEN 0 THEN 'secure' WHEN 1 THEN 'permissive' END AS profile,
                  o_custkey % 2 = 0 AS good_args, o_custkey % 5 <> 0 AS verified,
                  'registry.example.com/' || replace(p_brand, '#', '-') AS ref, suffix(p_brand, '1') AS pinned
-          FROM orders JOIN part ON p_partkey = o_orderkey % 2000 WHERE p_partkey % 8 = 0
+                           , p_partkey % 8 = 0 AS offered
+          FROM orders JOIN part ON p_partkey = o_orderkey % (SELECT max(p_partkey) + 1 FROM part)
         )
         SELECT request, job_id,
-               CASE WHEN profile IS NULL THEN 'profile' WHEN NOT good_args THEN 'arguments'
+               CASE WHEN NOT offered THEN 'resolve' WHEN profile IS NULL THEN 'profile' WHEN NOT good_args THEN 'arguments'
                     WHEN profile = 'secure' AND NOT verified THEN 'image' END AS stage,
-               CASE WHEN profile IS NULL THEN 'invalid security profile' WHEN NOT good_args THEN 'unknown argument: other'
+               CASE WHEN NOT offered THEN job_id WHEN profile IS NULL THEN 'invalid security profile' WHEN NOT good_args THEN 'unknown argument: other'
                     WHEN profile = 'secure' AND NOT verified THEN 'signature verification failed' END AS detail,
-               CASE WHEN pinned THEN ref || '@sha256:' || p_brand ELSE ref END AS verified_image,
-               concat_ws(',', CASE WHEN profile = 'permissive' AND NOT verified THEN 'image.signature.permissive' END,
-                         CASE WHEN NOT pinned THEN 'oci.digest.missing' END) AS findings,
-               CASE WHEN good_args THEN o_orderstatus END AS target,
-               'make:unknown' AS tools
+               CASE WHEN offered THEN CASE WHEN pinned THEN ref || '@sha256:' || p_brand ELSE ref END END AS verified_image,
+               CASE WHEN offered THEN concat_ws(',', CASE WHEN profile = 'permissive' AND NOT verified THEN 'image.signature.permissive' END,
+                         CASE WHEN NOT pinned THEN 'oci.digest.missing' END) END AS findings,
+               CASE WHEN offered AND good_args THEN o_orderstatus END AS target,
+               CASE WHEN offered THEN 'make:unknown' END AS tools
         FROM r""",
     "source_admission": """
         WITH r AS (

@@ -64,6 +64,7 @@ def kv_checks(spark: SparkSession, sf: str) -> DataFrame:
     rows = tables.kv_documents(spark, sf)
     key = F.when(F.col("k").startswith("src3"), F.repeat("k", 60)).otherwise(F.col("k"))
     space = F.when(F.col("namespace") == "es", "e-s").otherwise(F.col("namespace"))
+    space = F.when(F.col("namespace") == "fr", F.concat("namespace", F.lit("\n"))).otherwise(space)
     return rows.groupBy(kv_check(space, key, F.col("v")).alias("outcome")).agg(
         F.count(F.lit(1)).alias("n")
     )
@@ -151,6 +152,7 @@ def idem_keys(spark: SparkSession, sf: str) -> DataFrame:
     """Scoped request keys; every seventh customer is anonymous."""
     key = F.concat(F.lit("order_key_"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0"))
     key = F.when(F.col("o_orderkey") % 11 == 0, "short").otherwise(key)
+    key = F.when(F.col("o_orderkey") % 13 == 1, F.concat(key, F.lit("\n"))).otherwise(key)
     who = F.when(F.col("o_custkey") % 7 == 0, "").otherwise(F.concat(F.lit("c"), F.col("o_custkey").cast("string")))
     return tables.load(spark, sf, "orders").select(
         "o_orderkey", scoped_request_key(who, key).alias("scoped"), request_key_valid(key).alias("valid")
@@ -238,7 +240,7 @@ SQL = {
         SELECT CASE WHEN source = 'src3' OR starts_with(source, 'src3')
                       THEN CASE WHEN strlen(source || ':' || doc_id) * 60 > 256 THEN 'key_too_large' END
                     WHEN strlen(text) > 8192 THEN 'value_too_large'
-                    WHEN lang = 'es' THEN 'namespace_invalid' ELSE 'ok' END AS outcome,
+                    WHEN lang IN ('es', 'fr') THEN 'namespace_invalid' ELSE 'ok' END AS outcome,
                count(*) AS n
         FROM documents GROUP BY 1""",
     "kv_admission": f"""
@@ -285,7 +287,8 @@ SQL = {
         WITH k AS (
           SELECT o_orderkey, o_custkey,
                  CASE WHEN o_orderkey % 11 = 0 THEN 'short'
-                      ELSE 'order_key_' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') END AS key
+                      ELSE 'order_key_' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') END
+                 || CASE WHEN o_orderkey % 13 = 1 THEN chr(10) ELSE '' END AS key
           FROM orders
         )
         SELECT o_orderkey,
