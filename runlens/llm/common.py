@@ -21,6 +21,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Text rows handed to Python at a time; long texts make batches of a few MB either way.
 BATCH_ROWS = 2000
 BATCH_BYTES = 2 << 20
+# Rows of a few longs that may be broadcast: some ten MB.
+BROADCAST_ROWS = 1 << 18
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -51,6 +53,15 @@ def read_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if it has ``BROADCAST_ROWS`` rows or fewer; else left to a shuffle.
+
+    For narrow rows that are cheap to read twice. They are counted first, so what is broadcast is
+    bounded.
+    """
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose ``column`` holds about ``BATCH_BYTES`` at most."""
     for batch in batches:

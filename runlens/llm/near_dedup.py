@@ -6,6 +6,8 @@ one of each collection: 16 + 16 sub-keys of 3 minhashes give 256 tables of 6 min
 of 96 minhashes instead of 1,536. Sub-keys that one node alone has are dropped before pairing, as
 no table can match on them.
 
+Buckets with the same members are kept once, with their number.
+
 Links are found without forming all pairs of a bucket. In a few rounds each node is verified on
 full sets against one root of its buckets, the one it shares most tables with; what is linked is
 contracted. Afterwards every pair of different components that still shares a bucket is verified,
@@ -26,12 +28,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import fresh, slices
+from runlens.llm.common import broadcast_if_small, fresh, slices
 from runlens.session import written
 
 # Sub-keys in each of the two collections, and minhashes in a sub-key.
 SIDE = 16
 ROWS = 3
+# The lowest bits of a sub-key tell which one it is.
+SLOTS = 32
 STAR_ROUNDS = 2
 WORDS = 5
 SIMILAR_PCT = 80
@@ -77,7 +81,7 @@ def _sketch(words: int, side: int, rows: int):
                         a, b = _MIX[:, k * rows + r]
                         low = np.minimum.reduceat((x ^ a) * (b | np.uint64(1)), starts)
                         key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + low)
-                    keys[k, some] = key
+                    keys[k, some] = (key & ~np.uint64(SLOTS - 1)) | np.uint64(k)
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(c) for c in ("id", "rid", "tx")),
@@ -118,9 +122,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     """The pairs (x, y) whose full sets are similar enough."""
     left = sets.select(F.col("nid").alias("x"), F.col("set").alias("sx"))
     right = sets.select(F.col("nid").alias("y"), F.col("set").alias("sy"))
+    roots = broadcast_if_small(pairs.select("y").distinct())
+    right = right.join(roots, "y", "left_semi")
     common = F.size(F.array_intersect("sx", "sy"))
     return (
-        pairs.join(left, "x")
+        left.join(broadcast_if_small(pairs), "x")
         .join(right, "y")
         .select("x", "y", common.alias("common"), (F.size("sx") + F.size("sy")).alias("both"))
         .filter(F.col("common") * 100 >= (F.col("both") - F.col("common")) * pct)
@@ -184,7 +190,7 @@ def _star(rows: DataFrame, number: int, pct: int) -> DataFrame:
         rows.join(roots, "key")
         .filter((F.col("comp") != F.col("ycomp")) & _near_size(pct))
         .groupBy(F.col("nid").alias("x"), "y")
-        .agg(F.count(F.lit(1)).alias("tables"))
+        .agg(F.sum("tables").alias("tables"))
     )
     best = shared.groupBy("x").agg(F.max(F.struct("tables", "y")).alias("best"))
     return best.select("x", F.col("best.y").alias("y"))
@@ -244,30 +250,48 @@ def members(
         .withColumn("nid", F.monotonically_increasing_id()),
         "nodes",
     )
-    spread = nodes.select("nid", "n", F.posexplode(F.array(*slots)).alias("slot", "key"))
-    common = spread.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
+    keyed = nodes.select("nid", F.explode(F.array(*slots)).alias("key"))
+    common = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
+    first_side = F.col("key").bitwiseAND(F.lit(SLOTS - 1)) < SIDE
     both = (
-        spread.join(common, "key", "left_semi")
-        .groupBy("nid", "n")
+        keyed.join(common, "key", "left_semi")
+        .groupBy("nid")
+        .agg(
+            F.collect_list(F.when(first_side, F.col("key"))).alias("a"),
+            F.collect_list(F.when(~first_side, F.col("key"))).alias("b"),
+        )
+    )
+    paired = both.select("nid", "b", F.explode("a").alias("ka")).select(
+        "nid", "ka", F.explode("b").alias("kb")
+    )
+    tables = written(paired.select("nid", F.xxhash64("ka", "kb").alias("key")), "tables")
+    # the same members in several buckets: one of them, found by count and two hashes of the nodes
+    full = (
+        tables.groupBy("key")
         .agg(
-            F.collect_list(F.when(F.col("slot") < SIDE, F.col("key"))).alias("a"),
-            F.collect_list(F.when(F.col("slot") >= SIDE, F.col("key"))).alias("b"),
+            F.count(F.lit(1)).alias("c"),
+            F.bit_xor(F.xxhash64("nid")).alias("h1"),
+            F.bit_xor(F.xxhash64("nid", F.lit(1))).alias("h2"),
         )
+        .filter("c > 1")
+        .groupBy("c", "h1", "h2")
+        .agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("tables"))
+        .select("key", "tables")
     )
-    paired = both.select("nid", "n", "b", F.explode("a").alias("ka")).select(
-        "nid", "n", "ka", F.explode("b").alias("kb")
+    held = tables.join(full, "key").join(nodes.select("nid", "n"), "nid")
+    buckets = written(held.select("key", "nid", "n", "tables"), "buckets")
+    wanted = written(
+        nodes.select("rid", "nid", "node").join(buckets.select("nid").distinct(), "nid", "left_semi"),
+        "wanted",
     )
-    tables = written(paired.select("nid", "n", F.xxhash64("ka", "kb").alias("key")), "tables")
-    full = tables.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
-    buckets = written(tables.join(full, "key", "left_semi").select("key", "nid", "n"), "buckets")
-    wanted = nodes.join(buckets.select("nid").distinct(), "nid", "left_semi")
-    texts = rows.select("rid", "text").join(wanted.select("rid", "nid", "node"), "rid")
+    texts = rows.select("rid", "text").join(broadcast_if_small(wanted), "rid")
     sets = written(texts.mapInArrow(_sets(words), "nid long, set array<long>"), "sets")
 
     links, labels = None, None
     for number in range(STAR_ROUNDS + 1):
         left = _labelled(buckets, labels)
-        pairs = _star(left, number, similar_pct) if number < STAR_ROUNDS else _across(left, similar_pct)
+        found = _star(left, number, similar_pct) if number < STAR_ROUNDS else _across(left, similar_pct)
+        pairs = written(found, "pairs")
         more = written(_verified(pairs, sets, similar_pct), "links")
         links = more if links is None else links.unionByName(more)
         labels = connected(links)

@@ -174,6 +174,15 @@ def test_near_leftover_pairs_are_verified(make, rows, monkeypatch):
     assert got == near_brute(data, 2, 80)
 
 
+def test_near_without_broadcasts(make, rows, monkeypatch):
+    from runlens.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
+    data = variants(6)
+    got = rows(near_dedup.members(make(data), words=2), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == near_brute(data, 2, 80)
+
+
 def test_near_kept_and_empty(make):
     data = variants(4, groups=5)
     docs = make(data).withColumns({"kept": F.lit(1), "__tx": F.lit(2), "component_id": F.lit(3)})
