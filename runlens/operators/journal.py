@@ -14,6 +14,8 @@ from runlens.operators.running import BUCKET_ROWS, numbered, running
 # Default journal budget, replay-buffer size and retention.
 JOURNAL_MAX_BYTES = 64 * 1024 * 1024
 BUFFER_EVENTS = 1000
+# Smallest bucket of sequences by which a run's newest rows are found.
+FINE_ROWS = 1024
 BUFFER_SECONDS = 300
 
 _LONG_MIN = -(1 << 63)
@@ -183,6 +185,26 @@ def resume_rows(cursors: DataFrame, journal: DataFrame) -> DataFrame:
     )
 
 
+def _start_of_newest(rows: DataFrame, limit: int, size: int) -> DataFrame:
+    """(run_id, __start): from here on lie at least the newest ``limit`` rows of a run.
+
+    Whole buckets of ``size`` sequences are counted on the map side and kept from the newest down
+    until they hold enough.
+    """
+    newer = Window.partitionBy("run_id").orderBy(F.col("__b").desc()).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    counts = rows.groupBy("run_id", F.expr(f"seq div {int(size)}L").alias("__b")).agg(
+        F.count(F.lit(1)).alias("__n")
+    )
+    needed = counts.withColumn("__newer", F.coalesce(F.sum("__n").over(newer), F.lit(0)))
+    return (
+        needed.filter(F.col("__newer") < limit)
+        .groupBy("run_id")
+        .agg((F.min("__b") * size).alias("__start"))
+    )
+
+
 def replay_buffer(
     events: DataFrame,
     *,
@@ -196,20 +218,18 @@ def replay_buffer(
     On every add the buffer drops the leading events older than ``now - retention`` and then
     keeps the newest ``max_events``. ``now`` defaults to the run's newest event. The closed
     form looks at the newest ``max_events + 1`` rows of a run, starts at the first of them
-    inside the retention, and keeps ``max_events``. The rank limit is taken per (run, bucket)
-    first, so a hot run reaches its final window already cut down.
+    inside the retention, and keeps ``max_events``. Row counts per (run, bucket of sequences),
+    first coarse, then fine, give a sequence from which a run's newest ``max_events + 1`` rows
+    are complete, so the final window sees at most ``max_events`` and one fine bucket more.
     """
     limit = max_events + 1
-    cut = events.withColumn("__b", F.expr(f"seq div {int(bucket_rows)}L"))
-    per_bucket = Window.partitionBy("run_id", "__b").orderBy(F.col("seq").desc())
     newest = Window.partitionBy("run_id").orderBy(F.col("seq").desc())
     whole = Window.partitionBy("run_id")
-    tail = (
-        cut.withColumn("__r", F.row_number().over(per_bucket))
-        .filter(F.col("__r") <= limit)
-        .withColumn("__r", F.row_number().over(newest))
-        .filter(F.col("__r") <= limit)
-    )
+    held = events
+    for size in (bucket_rows, min(bucket_rows, max(FINE_ROWS, max_events))):
+        start = _start_of_newest(held.select("run_id", "seq"), limit, size)
+        held = events.join(start, "run_id").filter(F.col("seq") >= F.col("__start")).drop("__start")
+    tail = held.withColumn("__r", F.row_number().over(newest)).filter(F.col("__r") <= limit)
     last = now if now is not None else F.max_by("ts", "seq").over(whole)
     cutoff = last - F.make_dt_interval(secs=F.lit(retention_seconds))
     return (

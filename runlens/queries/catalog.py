@@ -21,7 +21,7 @@ def _jobs(spark: SparkSession, sf: str) -> DataFrame:
         key.alias("ord"),
         F.col("c_name").alias("name"),
         F.col("c_mktsegment").alias("summary"),
-        F.when(key % 2 == 1, F.concat(F.lit("Supplier#"), F.lpad((key % 150).cast("string"), 9, "0"))).alias("source_name"),
+        F.when(key % 2 == 1, F.concat(F.lit("Supplier#"), F.lpad((key % tables.key_space(spark, sf, "supplier", "s_suppkey", "1.5")).cast("string"), 9, "0"))).alias("source_name"),
     )
 
 
@@ -43,7 +43,7 @@ def _sources(spark: SparkSession, sf: str) -> DataFrame:
 def _declarations(spark: SparkSession, sf: str) -> DataFrame:
     """Parts as alias declarations; the last digit of the key chooses the fault."""
     key, digit = F.col("p_partkey"), F.col("p_partkey") % 10
-    job = (key % 1500).cast("string")
+    job = (key % tables.key_space(spark, sf, "customer", "c_custkey")).cast("string")
     name = F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), (key % 7).cast("string"))
     to = (
         F.when(digit == 0, F.concat(F.lit(":"), name))
@@ -68,14 +68,17 @@ def _declarations(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_ALIASES = r"""decl AS (
+_JOBS = "(SELECT max(c_custkey) + 1 FROM customer)"
+_SOURCES = "(SELECT CAST(floor(max(s_suppkey) * 1.5) AS BIGINT) + 1 FROM supplier)"
+
+_ALIASES = rf"""decl AS (
   SELECT CASE WHEN p_size % 2 = 0 THEN '' ELSE p_brand END AS source, p_partkey AS ord,
-         CASE p_partkey % 10 WHEN 3 THEN 'lost/' || p_partkey % 1500
-              WHEN 6 THEN 'Job:' || p_partkey % 1500
-              WHEN 7 THEN '/job\' || p_partkey % 1500 || '/'
-              ELSE 'job/' || p_partkey % 1500 END AS origin,
+         CASE p_partkey % 10 WHEN 3 THEN 'lost/' || p_partkey % {_JOBS}
+              WHEN 6 THEN 'Job:' || p_partkey % {_JOBS}
+              WHEN 7 THEN '/job\' || p_partkey % {_JOBS} || '/'
+              ELSE 'job/' || p_partkey % {_JOBS} END AS origin,
          CASE p_partkey % 10 WHEN 0 THEN ':' || n WHEN 1 THEN n || '/x' WHEN 2 THEN ''
-              WHEN 4 THEN 'JOB.' || p_partkey % 1500 WHEN 5 THEN upper(n) ELSE n END AS name,
+              WHEN 4 THEN 'JOB.' || p_partkey % {_JOBS} WHEN 5 THEN upper(n) ELSE n END AS name,
          CASE WHEN p_partkey % 10 = 8 THEN p_type ELSE '' END AS description
   FROM (SELECT *, replace(p_name, ' ', '-') || '-' || p_partkey % 7 AS n FROM part)
 ), pathed AS (
@@ -135,7 +138,8 @@ def alias_resolve(spark: SparkSession, sf: str) -> DataFrame:
     )
     asked = (
         tables.load(spark, sf, "orders")
-        .join(parts, key % 2000 == F.col("key"), "left")
+        .withColumn("__part", key % tables.key_space(spark, sf, "part", "p_partkey"))
+        .join(parts, F.col("__part") == F.col("key"), "left")
         .select(
             key.alias("request"),
             F.when(key % 3 == 0, F.concat(F.lit("Job."), F.col("o_custkey").cast("string")))
@@ -169,10 +173,10 @@ _LISTING = f"""
 WITH {_ALIASES}
 SELECT 'job.' || c_custkey AS id, c_name AS name, c_mktsegment AS description,
        CAST(NULL AS VARCHAR) AS alias_of, CAST(NULL AS VARCHAR) AS alias_detail,
-       CASE WHEN c_custkey % 2 = 1 THEN 'Supplier#' || lpad(CAST(c_custkey % 150 AS VARCHAR), 9, '0') END AS source_name,
+       CASE WHEN c_custkey % 2 = 1 THEN 'Supplier#' || lpad(CAST(c_custkey % {_SOURCES} AS VARCHAR), 9, '0') END AS source_name,
        CASE WHEN s_nationkey % 2 = 0 THEN 'git' WHEN s_nationkey % 2 = 1 THEN 'local' END AS source_type
-FROM customer LEFT JOIN supplier
-  ON c_custkey % 2 = 1 AND s_name = 'Supplier#' || lpad(CAST(c_custkey % 150 AS VARCHAR), 9, '0')
+FROM (SELECT *, {_SOURCES} AS n_sources FROM customer) LEFT JOIN supplier
+  ON c_custkey % 2 = 1 AND s_name = 'Supplier#' || lpad(CAST(c_custkey % n_sources AS VARCHAR), 9, '0')
 UNION ALL
 SELECT p_brand || '/part-' || p_partkey, p_name, p_type, NULL, NULL, p_brand, 'oci' FROM part
 UNION ALL
@@ -334,7 +338,7 @@ SQL = {
                  CASE WHEN o_orderkey % 3 = 0 THEN 'Job.' || o_custkey
                       WHEN o_orderkey % 7 = 1 THEN ':' || n ELSE coalesce(n, 'nothing') END AS name
           FROM orders LEFT JOIN (SELECT p_partkey, replace(p_name, ' ', '-') || '-' || p_partkey % 7 AS n FROM part)
-            ON p_partkey = o_orderkey % 2000
+            ON p_partkey = o_orderkey % (SELECT max(p_partkey) + 1 FROM part)
         ), found AS (
           SELECT request, a.name, c_custkey, i.code, i.detail, contenders, target_id, target_path,
                  CASE WHEN c_custkey IS NOT NULL THEN 'job' WHEN i.code IS NOT NULL THEN 'invalid'
@@ -356,11 +360,11 @@ SQL = {
         SELECT (SELECT count(*) FROM part WHERE p_partkey % 4 = 3)
              + (SELECT count(*) FROM checked WHERE code IS NOT NULL)
              + (SELECT count(*) FROM entries WHERE contenders > 1) AS discovery_errors""",
-    "job_sources": """
+    "job_sources": f"""
         SELECT 'job.' || c_custkey AS id, w AS source_name,
                CASE WHEN s_nationkey % 2 = 0 THEN 'git' WHEN s_nationkey % 2 = 1 THEN 'local' END AS source_type
         FROM (SELECT *, CASE WHEN c_custkey % 2 = 1
-                             THEN 'Supplier#' || lpad(CAST(c_custkey % 150 AS VARCHAR), 9, '0') END AS w FROM customer)
+                             THEN 'Supplier#' || lpad(CAST(c_custkey % {_SOURCES} AS VARCHAR), 9, '0') END AS w FROM customer)
         LEFT JOIN supplier ON s_name = w""",
     "scan_roots": """
         WITH every AS (

@@ -32,7 +32,7 @@ def _pick(selector: Column, *choices: Column | str | None) -> Column:
 
 def _part(spark: SparkSession, sf: str) -> DataFrame:
     columns = ["p_partkey", "p_name", "p_brand", "p_size"]
-    return tables.spread(tables.load(spark, sf, "part").select(*columns))
+    return tables.load(spark, sf, "part").select(*columns)
 
 
 # --- quantities and images --------------------------------------------------------------
@@ -281,7 +281,7 @@ def _argument_requests(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit('{"a_b":"y'), key, F.lit('","a-b":"x0","a-b":"x1"}')),
     )
     columns = ["o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", "o_totalprice"]
-    return tables.spread(tables.load(spark, sf, "orders").select(*columns)).select(
+    return tables.load(spark, sf, "orders").select(*columns).select(
         "o_orderkey", args.alias("args"), _pick(F.col("o_orderkey") % 6, *specs).alias("spec")
     )
 
@@ -549,7 +549,7 @@ def source_admission(spark: SparkSession, sf: str) -> DataFrame:
     url = F.when(case == 4, F.concat(F.lit("https://git.example.com/team/"), name, F.lit(".git"))).when(
         case == 5, "https://evil.example.com/a"
     ).when(case == 7, "file:///srv/jobs/repo.git").otherwise("")
-    asked_name = F.when(case == 1, F.concat(F.lit("Supplier#"), F.lpad((key % 200).cast("string"), 9, "0"))).when(
+    asked_name = F.when(case == 1, F.concat(F.lit("Supplier#"), F.lpad((key % tables.key_space(spark, sf, "supplier", "s_suppkey", "2")).cast("string"), 9, "0"))).when(
         (case == 0) & (key % 40 == 20), "a/b"
     ).otherwise("")
     requests = _part(spark, sf).select(
@@ -608,7 +608,7 @@ def plan_table(spark: SparkSession, sf: str) -> DataFrame:
     )
     checked = C.check_aliases(declared, jobs.select("id", "ord"))
     order = F.col("o_orderkey")
-    asked = tables.spread(tables.load(spark, sf, "orders").select("o_orderkey", "o_custkey"))
+    asked = tables.load(spark, sf, "orders").select("o_orderkey", "o_custkey")
     requests = asked.select(
         order.alias("request"),
         F.when(order % 3 == 0, F.concat(F.lit("go-"), F.col("o_custkey").cast("string")))
@@ -844,7 +844,7 @@ SQL = {
             WHEN c = 16 THEN row('unsupported_type', 'svn')
             WHEN c = 17 THEN row('type_required', 'type is required')
             WHEN c = 19 THEN row('ref_required', 'ref is required for oci sources') END AS p,
-            CASE c WHEN 0 THEN n WHEN 1 THEN 'Supplier#' || lpad(CAST(seq % 200 AS VARCHAR), 9, '0')
+            CASE c WHEN 0 THEN n WHEN 1 THEN 'Supplier#' || lpad(CAST(seq % (SELECT CAST(max(s_suppkey) * 2 AS BIGINT) + 1 FROM supplier) AS VARCHAR), 9, '0')
                    WHEN 4 THEN n WHEN 7 THEN 'repo' WHEN 9 THEN n END AS name
           FROM r
         ), firsts AS (SELECT name, min(seq) AS seq FROM v WHERE p IS NULL GROUP BY name)

@@ -57,8 +57,9 @@ def _cursors(spark: SparkSession, sf: str) -> DataFrame:
         .when(key % 10 == 1, F.concat(F.lit("x"), key.cast("string")))
         .otherwise(F.concat(F.lit(" "), (key * 7).cast("string")))
     )
+    runs = tables.key_space(spark, sf, "events", "user_id", "1.25")
     return tables.load(spark, sf, "customer").select(
-        key.alias("subscriber"), (key % 200).cast("string").alias("run_id"), text.alias("cursor")
+        key.alias("subscriber"), (key % runs).cast("string").alias("run_id"), text.alias("cursor")
     )
 
 
@@ -69,8 +70,10 @@ def cursor_resume(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_CURSORS = """cursors AS (
-  SELECT c_custkey AS subscriber, CAST(c_custkey % 200 AS VARCHAR) AS run_id,
+_RUNS = "(SELECT CAST(floor(max(user_id) * 1.25) AS BIGINT) + 1 FROM events)"
+
+_CURSORS = f"""cursors AS (
+  SELECT c_custkey AS subscriber, CAST(c_custkey % {_RUNS} AS VARCHAR) AS run_id,
          CASE c_custkey % 10 WHEN 0 THEN 0 WHEN 1 THEN NULL ELSE c_custkey * 7 END AS after_seq
   FROM customer
 )"""
@@ -129,6 +132,12 @@ def replay_buffer(spark: SparkSession, sf: str) -> DataFrame:
     return held.select("run_id", "seq")
 
 
+def replay_buffer_hot(spark: SparkSession, sf: str) -> DataFrame:
+    """The buffer at its default size, event types taken as runs: each has a large share of all rows."""
+    log = tables.journal(spark, sf).withColumn("run_id", F.col("event_type"))
+    return J.replay_buffer(log, retention_seconds=20 * 86400, bucket_rows=4096).select("run_id", "seq")
+
+
 _BUFFER = """
 WITH ranked AS (
   SELECT CAST(user_id AS VARCHAR) AS run_id, event_id AS seq, ts,
@@ -147,9 +156,10 @@ SELECT run_id, seq FROM tail WHERE seq >= first_seq AND r <= 20
 def replay_from_id(spark: SparkSession, sf: str) -> DataFrame:
     """Replay of the bounded buffer after a last seen id; unknown ids replay everything."""
     held = replay_buffer(spark, sf)
+    runs = tables.key_space(spark, sf, "events", "user_id", "1.25")
     asked = tables.load(spark, sf, "customer").select(
         F.col("c_custkey").alias("subscriber"),
-        (F.col("c_custkey") % 200).cast("string").alias("run_id"),
+        (F.col("c_custkey") % runs).cast("string").alias("run_id"),
         F.when(F.col("c_custkey") % 3 == 0, "").otherwise((F.col("c_custkey") * 9).cast("string")).alias("last_id"),
     )
     return J.replay_from(held, asked).groupBy("subscriber").agg(
@@ -160,7 +170,7 @@ def replay_from_id(spark: SparkSession, sf: str) -> DataFrame:
 _REPLAY_FROM = f"""
 WITH held AS ({_BUFFER}),
 asked AS (
-  SELECT c_custkey AS subscriber, CAST(c_custkey % 200 AS VARCHAR) AS run_id,
+  SELECT c_custkey AS subscriber, CAST(c_custkey % {_RUNS} AS VARCHAR) AS run_id,
          CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_custkey * 9 END AS last_id
   FROM customer
 ), known AS (
@@ -250,7 +260,7 @@ QUERIES = {
     for f in (
         journal_bytes, journal_admission, journal_retained, journal_evictions, journal_bounds,
         cursor_resume, journal_tail, journal_range_scan, run_sequence, global_sequence,
-        replay_buffer, replay_from_id, delivery_filter, replay_live_union, point_lookup,
+        replay_buffer, replay_buffer_hot, replay_from_id, delivery_filter, replay_live_union, point_lookup,
         ndjson_export, payload_validity,
     )
 }
@@ -286,6 +296,16 @@ SQL = {
                1000 + row_number() OVER (ORDER BY event_id) AS seq
         FROM events WHERE strlen(props) <= 8""",
     "replay_buffer": _BUFFER,
+    "replay_buffer_hot": """
+        WITH ranked AS (
+          SELECT event_type AS run_id, event_id AS seq, ts,
+                 row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS r,
+                 max_by(ts, event_id) OVER (PARTITION BY event_type) AS last_ts FROM events
+        ), tail AS (
+          SELECT *, min(CASE WHEN ts >= last_ts - INTERVAL 20 DAY THEN seq END) OVER (PARTITION BY run_id) AS first_seq
+          FROM ranked WHERE r <= 1001
+        )
+        SELECT run_id, seq FROM tail WHERE seq >= first_seq AND r <= 1000""",
     "replay_from_id": _REPLAY_FROM,
     "delivery_filter": _DELIVERY,
     "replay_live_union": """

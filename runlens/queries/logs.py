@@ -49,7 +49,7 @@ def redacted_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Whole documents as log messages with the secrets of their argument set hidden."""
     secrets = _secrets(spark, sf)
     sets = secrets.agg((F.max("set_id") + 1).alias("n")).scalar()
-    lines = tables.spread(tables.load(spark, sf, "documents").select("doc_id", "text")).select(
+    lines = tables.load(spark, sf, "documents").select("doc_id", "text").select(
         "doc_id", (F.col("doc_id") % sets).alias("set_id"), F.col("text").alias("line")
     )
     hidden = L.redact_lines(lines, L.secrets_by_run(secrets, "set_id"), "set_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -10,14 +10,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread an input over all cores when it comes in fewer splits than there are cores.
+def key_space(spark: SparkSession, sf_dir: str, name: str, column: str, share: str = "1") -> Column:
+    """The largest key of a table times ``share``, plus 1, as a subquery.
 
-    For row work that costs far more than moving the rows; large inputs have splits enough and
-    are left alone.
+    Queries spread rows over another table's keys by it, so they use all of them at every size.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    top = F.expr(f"cast(max({column}) * {share} as bigint) + 1")
+    return load(spark, sf_dir, name).agg(top).scalar()
 
 
 def journal_view(events: DataFrame) -> DataFrame:
