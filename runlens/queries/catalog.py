@@ -280,20 +280,99 @@ def source_names(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Parts as config files; the key decides the shape, every fourth one is broken."""
+    """Parts as config files; the key decides the shape, three of seven are broken."""
     key = F.col("p_partkey").cast("string")
-    kind = F.col("p_partkey") % 4
+    kind = F.col("p_partkey") % 7
     body = (
         F.when(kind == 0, F.concat(F.lit("job:\n  id: part-"), key, F.lit("\n  name: "), F.col("p_name"), F.lit("\n")))
         .when(kind == 1, F.concat(F.lit("jobs:\n  - id: a-"), key, F.lit("\n    summary: s\n  - name: only "), key, F.lit("\n")))
         .when(kind == 2, "version: '1'\n")
-        .otherwise("job: [broken\n")
+        .when(kind == 3, "job: [broken\n")
+        .when(kind == 4, F.concat(F.lit("job:\n  id: 1."), key, F.lit("0\n  name: on\n  summary: 12:30\n")))
+        .when(kind == 5, F.concat(F.lit("job: text "), key, F.lit("\n")))
+        .otherwise("job:\n  id: a\n  id: b\n")
     )
     files = tables.load(spark, sf, "part").select(
         F.concat(F.lit("/jobs/"), F.lower("p_type"), F.lit("/"), key, F.lit("/config.d/config.yaml")).alias("path"),
         F.encode(body, "UTF-8").alias("content"),
     )
-    return D.parse_documents(files)
+    return D.parse_documents(files, D.JOBS)
+
+
+def _alias_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as alias files. Text has to stay as written; three of five files are broken."""
+    key = F.col("p_partkey").cast("string")
+    first = F.concat(F.lit("aliases:\n  - from: job/"), key, F.lit("\n    to: "))
+    body = (
+        F.when(F.col("p_partkey") % 5 == 0, F.concat(first, F.lit("on\n    description: 1.50\n")))
+        .when(
+            F.col("p_partkey") % 5 == 1,
+            F.concat(first, F.lit("' b '\n  - {to: b, from: job/"), key, F.lit(", description: again}\n  - {from: 0x1F, to: 12:30}\n")),
+        )
+        .when(F.col("p_partkey") % 5 == 2, F.concat(first, F.lit("\n")))
+        .when(F.col("p_partkey") % 5 == 3, F.concat(first, F.lit("x\n    to: y\n")))
+        .otherwise(F.concat(F.lit("aliases: "), F.col("p_name"), F.lit("\n")))
+    )
+    return tables.load(spark, sf, "part").select(
+        F.concat(F.lit("/jobs/"), key).alias("path"), F.encode(body, "UTF-8").alias("content")
+    )
+
+
+def alias_declarations(spark: SparkSession, sf: str) -> DataFrame:
+    """Declarations and errors of alias files, one after the other."""
+    declared, errors = D.alias_declarations(D.parse_documents(_alias_files(spark, sf), D.ALIASES), "src")
+    return declared.withColumn("error", F.lit(None).cast("string")).unionByName(errors, allowMissingColumns=True)
+
+
+def discovered_aliases(spark: SparkSession, sf: str) -> DataFrame:
+    """The alias index of discovered jobs: entries of alias files that name parts as targets."""
+    jobs = D.jobs_from_documents(_documents(spark, sf), "/jobs")
+    key = F.col("p_partkey").cast("string")
+    files = tables.load(spark, sf, "part").select(
+        F.concat(F.lit("/jobs/"), key, F.lit("/aliases.yaml")).alias("path"),
+        F.encode(F.concat(F.lit("aliases:\n  - {from: part-"), key, F.lit(", to: p"), key, F.lit("}\n")), "UTF-8").alias("content"),
+    )
+    entries, _, _, errors = D.alias_index(jobs, files, "aliases.yaml")
+    fine = entries.select(F.col("name").alias("subject"), F.col("target_id").alias("result"))
+    return fine.unionByName(errors.select(F.col("path").alias("subject"), F.col("error").alias("result")))
+
+
+def job_configs(spark: SparkSession, sf: str) -> DataFrame:
+    """Typed configs: arguments of the old form are mapped, wrong shapes are errors."""
+    key = F.col("p_partkey").cast("string")
+    kind = F.col("p_partkey") % 4
+    body = (
+        F.when(kind == 0, F.concat(
+            F.lit("interpreter: on\nenv_inheritance: yes\narguments:\n  n: {type: int, default: 3, required: true}\n  b: {type: bool, default: off}\n  t: {type: string, default: '"),
+            key, F.lit("', choices: [1.0, "), key, F.lit("]}\n"),
+        ))
+        .when(kind == 1, F.concat(F.lit("steps: "), F.col("p_name"), F.lit("\n")))
+        .when(kind == 2, F.concat(F.lit("executor: proc\nenv: {A: 010, B: ~}\naliases:\n  - {from: ' a"), key, F.lit("', to: b}\n  - {from: x}\n")))
+        .otherwise(F.concat(F.lit("aliases:\n  - {from: a, to: b/"), key, F.lit("}\n")))
+    )
+    files = tables.load(spark, sf, "part").select(key.alias("path"), F.encode(body, "UTF-8").alias("content"))
+    configs, errors = D.job_configs(D.parse_documents(files, D.CONFIG))
+    shown = F.transform(
+        "args",
+        lambda a: F.concat_ws(":", a["name"], a["type"], F.to_json(a["default"]), a["required"].cast("string"), F.array_join(a["enum"], "|")),
+    )
+    fine = configs.select(
+        "path", "interpreter", "executor", F.array_join(shown, ",").alias("args"),
+        F.col("env_inheritance").alias("inherit"), F.element_at("env", "A").alias("env_a"),
+        F.array_join(F.transform("aliases", lambda a: F.concat(a["from"], F.lit(">"), a["to"])), ",").alias("aliases"),
+    )
+    return fine.withColumn("error", F.lit(None).cast("string")).unionByName(errors, allowMissingColumns=True)
+
+
+def script_inventory(spark: SparkSession, sf: str) -> DataFrame:
+    """Step scripts among files named after page urls."""
+    number = F.element_at(F.array(F.lit("000"), F.lit("100"), F.lit("999"), F.lit("200")), (F.col("page_id") % 4 + 1).cast("int"))
+    path = F.concat(
+        F.lit("/srv/"), F.regexp_replace("url", "^https?://|[?#].*$", ""), F.lit("/"), number,
+        F.when(F.col("page_id") % 5 == 0, "-").otherwise("_"), F.lit("run.sh"),
+    )
+    listing = tables.load(spark, sf, "pages").select(path.alias("path"), F.col("page_id").alias("length"))
+    return D.scripts_of(listing)
 
 
 def discovered_jobs(spark: SparkSession, sf: str) -> DataFrame:
@@ -308,6 +387,7 @@ QUERIES = {
         alias_lint, alias_errors, alias_first, alias_collisions, alias_invalid, alias_resolve,
         catalog_listing, catalog_page, discovery_errors, job_sources, scan_roots, source_listing,
         source_provenance, prefix_suggest, flag_suggest, source_names, discovered_jobs,
+        alias_declarations, discovered_aliases, job_configs, script_inventory,
     )
 }
 
@@ -357,7 +437,7 @@ SQL = {
     "catalog_page": f"SELECT * FROM ({_LISTING}) ORDER BY id, coalesce(source_name, ''), name LIMIT 100 OFFSET 300",
     "discovery_errors": f"""
         WITH {_ALIASES}
-        SELECT (SELECT count(*) FROM part WHERE p_partkey % 4 = 3)
+        SELECT (SELECT count(*) FROM part WHERE p_partkey % 7 IN (3, 5, 6))
              + (SELECT count(*) FROM checked WHERE code IS NOT NULL)
              + (SELECT count(*) FROM entries WHERE contenders > 1) AS discovery_errors""",
     "job_sources": f"""
@@ -430,8 +510,34 @@ SQL = {
     "discovered_jobs": """
         WITH d AS (SELECT *, '/jobs/' || lower(p_type) || '/' || p_partkey || '/config.d/config.yaml' AS path,
                           lower(p_type) || '.' || p_partkey AS derived FROM part)
-        SELECT path, 0 AS pos, 'part-' || p_partkey AS id, p_name AS name, '' AS summary FROM d WHERE p_partkey % 4 = 0
-        UNION ALL SELECT path, 0, 'a-' || p_partkey, 'a-' || p_partkey, 's' FROM d WHERE p_partkey % 4 = 1
-        UNION ALL SELECT path, 1, derived, 'only ' || p_partkey, '' FROM d WHERE p_partkey % 4 = 1
-        UNION ALL SELECT path, 0, derived, derived, '' FROM d WHERE p_partkey % 4 = 2""",
+        SELECT path, 0 AS pos, 'part-' || p_partkey AS id, p_name AS name, '' AS summary FROM d WHERE p_partkey % 7 = 0
+        UNION ALL SELECT path, 0, 'a-' || p_partkey, 'a-' || p_partkey, 's' FROM d WHERE p_partkey % 7 = 1
+        UNION ALL SELECT path, 1, derived, 'only ' || p_partkey, '' FROM d WHERE p_partkey % 7 = 1
+        UNION ALL SELECT path, 0, derived, derived, '' FROM d WHERE p_partkey % 7 = 2
+        UNION ALL SELECT path, 0, '1.' || p_partkey || '0', 'on', '12:30' FROM d WHERE p_partkey % 7 = 4""",
+    "alias_declarations": """
+        WITH d AS (SELECT p_partkey % 5 AS kind, '/jobs/' || p_partkey AS path, 'job/' || p_partkey AS job FROM part)
+        SELECT path, 'src' AS source, job AS "from", 'on' AS "to", '1.50' AS description, NULL AS error FROM d WHERE kind = 0
+        UNION ALL SELECT path, 'src', job, 'b', '', NULL FROM d WHERE kind = 1
+        UNION ALL SELECT path, 'src', '0x1F', '12:30', '', NULL FROM d WHERE kind = 1
+        UNION ALL SELECT path, NULL, NULL, NULL, NULL, 'alias entries must include from and to' FROM d WHERE kind = 2
+        UNION ALL SELECT path, NULL, NULL, NULL, NULL, 'parse yaml: line 4: mapping key "to" already defined' FROM d WHERE kind = 3
+        UNION ALL SELECT path, NULL, NULL, NULL, NULL, 'parse yaml: line 1: cannot read scalar as array' FROM d WHERE kind = 4""",
+    "discovered_aliases": """
+        SELECT 'p' || p_partkey AS subject, 'part-' || p_partkey AS result FROM part WHERE p_partkey % 7 = 0
+        UNION ALL SELECT 'aliases.yaml ()', 'alias target "part-' || p_partkey || '" not found' FROM part WHERE p_partkey % 7 <> 0""",
+    "job_configs": """
+        WITH d AS (SELECT p_partkey % 4 AS kind, p_partkey::VARCHAR AS path FROM part)
+        SELECT path, 'on' AS interpreter, NULL AS executor,
+               'b:boolean:"off":false,n:integer:3:true,t:string:"' || path || '":false:1.0|' || path AS args,
+               true AS inherit, NULL AS env_a, '' AS aliases, NULL AS error FROM d WHERE kind = 0
+        UNION ALL SELECT path, NULL, NULL, NULL, NULL, NULL, NULL, 'parse yaml: line 1: cannot read scalar as array' FROM d WHERE kind = 1
+        UNION ALL SELECT path, NULL, 'proc', NULL, NULL, '010', 'a' || path || '>b', NULL FROM d WHERE kind = 2
+        UNION ALL SELECT path, NULL, NULL, NULL, NULL, NULL, NULL,
+                         'invalid alias "a" -> "b/' || path || '": target must be single-level' FROM d WHERE kind = 3""",
+    "script_inventory": """
+        WITH f AS (SELECT page_id AS length, ['000', '100', '999', '200'][page_id % 4 + 1]
+                          || CASE WHEN page_id % 5 = 0 THEN '-' ELSE '_' END || 'run.sh' AS name,
+                          '/srv/' || regexp_replace(url, '^https?://|[?#].*$', '', 'g') || '/' AS dir FROM pages)
+        SELECT dir || name AS path, name, length FROM f WHERE regexp_matches(name, '^(000|100|999)_')""",
 }

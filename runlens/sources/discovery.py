@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from runlens.functions.text import is_blank, job_id_from_path, quoted, trim_ws
+from runlens.operators import catalog as C
 
 # Where configs live and how step scripts are named.
 CONFIG_GLOB = "[cC][oO][nN][fF][iI][gG].[yY][aA][mM][lL]"
@@ -40,36 +43,117 @@ CONFIG = (
 )
 
 
-def _yaml_to_json(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+JOBS = f"struct<version:string,job:{_JOB},jobs:array<{_JOB}>>"
+ALIASES = f"struct<aliases:array<{_ALIAS}>>"
+# What any of the readers below takes from a document.
+DOCUMENT = f"{CONFIG[:-1]},version:string,job:{_JOB},jobs:array<{_JOB}>>"
+
+# Words that a field of type boolean takes.
+_YES = ("true", "yes", "on", "y")
+_NO = ("false", "no", "off", "n")
+
+
+class _Refused(ValueError):
+    """A document that does not fit its schema."""
+
+
+def _reader(schema: dict):
+    """Reads YAML nodes as ``schema`` (a data type's JSON form) types them.
+
+    Text stays as written, whatever YAML would make of it; unknown fields are passed over; a
+    repeated key, or a value of another shape, refuses the document.
+    """
     import yaml
 
     class Loader(yaml.CSafeLoader if hasattr(yaml, "CSafeLoader") else yaml.SafeLoader):
         pass
 
-    # dates stay text
+    # untyped values: dates and the words of older versions stay text
     Loader.add_constructor("tag:yaml.org,2002:timestamp", Loader.construct_yaml_str)
 
+    def loose_bool(loader, node):
+        return {"true": True, "false": False}.get(node.value.lower(), node.value)
+
+    Loader.add_constructor("tag:yaml.org,2002:bool", loose_bool)
+
+    def refuse(node, what: str):
+        raise _Refused(f"line {node.start_mark.line + 1}: {what}")
+
+    def members(node) -> dict:
+        found, merged = {}, []
+        for key, value in node.value:
+            if key.tag == "tag:yaml.org,2002:merge":
+                merged += value.value if isinstance(value, yaml.SequenceNode) else [value]
+                continue
+            if not isinstance(key, yaml.ScalarNode):
+                refuse(key, "a key must be text")
+            if key.value in found:
+                refuse(key, f'mapping key "{key.value}" already defined')
+            found[key.value] = value
+        for other in merged:
+            if not isinstance(other, yaml.MappingNode):
+                refuse(other, "map merge requires map or sequence of maps as the value")
+            found = {**members(other), **found}
+        return found
+
+    def scalar(node, kind: str):
+        text = node.value
+        if kind == "string":
+            return text
+        if kind == "boolean" and text.lower() in (*_YES, *_NO):
+            return text.lower() in _YES
+        if kind == "integer" and re.fullmatch("[+-]?[0-9]+", text):
+            return int(text)
+        refuse(node, f"cannot read `{text}` as {kind}")
+
+    def read(loader, node, kind):
+        if node.tag == "tag:yaml.org,2002:null":
+            return None
+        if kind == "variant":
+            return loader.construct_object(node, deep=True)
+        name = kind if isinstance(kind, str) else kind["type"]
+        wanted = {"struct": yaml.MappingNode, "map": yaml.MappingNode, "array": yaml.SequenceNode}
+        if not isinstance(node, wanted.get(name, yaml.ScalarNode)):
+            refuse(node, f"cannot read {node.id} as {name}")
+        if name == "struct":
+            have = members(node)
+            return {
+                f["name"]: read(loader, have[f["name"]], f["type"]) for f in kind["fields"] if f["name"] in have
+            }
+        if name == "map":
+            return {k: read(loader, v, kind["valueType"]) for k, v in members(node).items()}
+        if name == "array":
+            return [read(loader, v, kind["elementType"]) for v in node.value]
+        return scalar(node, name)
+
     def convert(content) -> tuple[str | None, str | None]:
         try:
-            doc = yaml.load(bytes(content), Loader)
-            if doc is not None and not isinstance(doc, dict):
-                return None, f"parse yaml: cannot read {type(doc).__name__} as a mapping"
-            return json.dumps(doc or {}, ensure_ascii=False, default=str), None
+            loader = Loader(bytes(content))
+            node = loader.get_node() if loader.check_node() else None  # the first document
+            doc = {} if node is None else read(loader, node, schema) or {}
+            return json.dumps(doc, ensure_ascii=False, default=str), None
         except Exception as error:  # a bad document becomes an error row
             return None, "parse yaml: " + " ".join(str(error).split())
 
-    for batch in batches:
-        parsed = [convert(c) for c in batch["content"]]
-        yield pd.DataFrame(
-            {"path": batch["path"], "doc": [p[0] for p in parsed], "error": [p[1] for p in parsed]}
-        )
+    return convert
 
 
-def parse_documents(files: DataFrame) -> DataFrame:
-    """``(path, content BINARY)`` to ``(path, doc JSON, error)``; the scan never stops."""
-    return files.select("path", "content").mapInPandas(
-        _yaml_to_json, "path string, doc string, error string"
-    )
+def parse_documents(files: DataFrame, schema: str = DOCUMENT) -> DataFrame:
+    """``(path, content BINARY)`` to ``(path, doc JSON, error)``; the scan never stops.
+
+    ``schema`` is the struct that the document is to be read as; what does not fit is an error row.
+    """
+    typed = StructType.fromDDL(f"doc {schema}").jsonValue()["fields"][0]["type"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        convert = _reader(typed)
+        for batch in batches:
+            parsed = [convert(c) for c in batch["content"]]
+            yield pd.DataFrame(
+                {"path": batch["path"], "doc": [p[0] for p in parsed], "error": [p[1] for p in parsed]}
+            )
+
+    return files.select("path", "content").mapInPandas(run, "path string, doc string, error string")
 
 
 def read_tree(spark: SparkSession, root: str, glob: str) -> DataFrame:
@@ -135,22 +219,46 @@ def document_errors(documents: DataFrame) -> DataFrame:
 
 def discover(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """(jobs, errors) of a tree."""
-    documents = parse_documents(config_files(spark, root))
+    documents = parse_documents(config_files(spark, root), JOBS)
     return jobs_from_documents(documents, root.rstrip("/")), document_errors(documents)
 
 
-def script_inventory(spark: SparkSession, root: str) -> DataFrame:
-    """Step scripts in run order; only the listing is read, never the content."""
+def alias_index(
+    jobs: DataFrame, files: DataFrame, file_name: str
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(entries, collisions, invalid, errors) of a tree's alias file against its jobs.
+
+    ``jobs`` are those discovered; ``files`` (path, content) hold the alias file, whose
+    declarations count in order of (from, to).
+    """
+    declared, errors = alias_declarations(parse_documents(files, ALIASES))
+    listed = Window.partitionBy("path").orderBy("from", "to")
+    ranked = declared.withColumn("ord", F.row_number().over(listed).cast("long"))
+    checked = C.check_aliases(ranked, jobs.select("id", F.col("pos").alias("ord")))
+    return (
+        C.alias_entries(checked),
+        C.alias_collisions(checked),
+        C.alias_invalid(checked),
+        errors.unionByName(C.alias_errors(checked, file_name)),
+    )
+
+
+def scripts_of(listing: DataFrame) -> DataFrame:
+    """Step scripts of a listing (path, length), in run order."""
     name = F.element_at(F.split("path", "/"), -1)
-    files = read_tree(spark, root, "*_*").select("path", "length")
     return (
-        files.withColumn("name", name)
+        listing.withColumn("name", name)
         .filter(F.col("name").rlike(SCRIPT_PATTERN))
         .select("path", "name", "length")
         .orderBy("path")
     )
 
 
+def script_inventory(spark: SparkSession, root: str) -> DataFrame:
+    """Step scripts in run order; only the listing is read, never the content."""
+    return scripts_of(read_tree(spark, root, "*_*").select("path", "length"))
+
+
 def alias_declarations(documents: DataFrame, source: str | Column = "") -> tuple[DataFrame, DataFrame]:
     """(declarations, errors) of parsed alias files.
 
