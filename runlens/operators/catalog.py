@@ -195,11 +195,13 @@ def resolve_from_source(
         F.col("name").alias("source"), (F.coalesce("local_path", F.lit("")) != "").alias("__there")
     )
     named = requests.withColumn("source", F.coalesce("source", F.lit(""))).join(meta, "source", "left")
-    attempts = named.withColumn("scope", F.explode(F.array_distinct(F.array(F.col("source"), F.lit("")))))
-    found = resolve(attempts, jobs, checked, scope="scope")
-    own = F.col("scope") == F.col("source")
-    rank = F.when(F.col("resolution") != "not_found", F.when(own, 0).otherwise(1)).otherwise(2)
-    best = found.groupBy("request").agg(F.min_by(F.struct(*found.columns), rank).alias("f")).select("f.*")
+    found = ("scope", "resolution", "effective_id", "alias_path", "detail", "alias_source", "alias_description")
+    own = resolve(named.withColumn("scope", F.col("source")), jobs, checked, scope="scope")
+    held = own.withColumn("__own", F.struct(*found)).drop(*found)
+    root = resolve(held.withColumn("scope", F.lit("")), jobs, checked, scope="scope")
+    # the root only counts where the source has nothing, so no request has to be regrouped
+    keep = (F.col("__own.resolution") != "not_found") | (F.col("resolution") == "not_found")
+    best = root.withColumns({c: F.when(keep, F.col(f"__own.{c}")).otherwise(F.col(c)) for c in found}).drop("__own")
     stop = F.when(F.col("source") == "", None).when(
         F.col("__there").isNull(), "source_not_found"
     ).when(~F.col("__there"), "source_not_materialized")

@@ -38,59 +38,94 @@ def _at_step(i: Column, findings: Column) -> Column:
     )
 
 
+def _job_steps(policy: P.Policy) -> Column:
+    """Per step of a job: merged settings and the problems that no request can change."""
+    container = F.col("container")
+
+    def facts(s: Column) -> Column:
+        merged = P.overlay_container(container, s["container"])
+        return F.struct(trim_ws(s["id"]).alias("id"), trim_ws(s["name"]).alias("name"), merged.alias("merged"))
+
+    def checked(r: Column) -> Column:
+        m = r["merged"]
+        return F.struct(
+            r["id"].alias("id"),
+            r["name"].alias("name"),
+            m["image"].alias("image"),
+            m["network"].alias("network"),
+            m["rootfs_writable"].alias("rootfs_writable"),
+            m["capabilities"].alias("capabilities"),
+            P.registry_problem(Q.image_facts(m["image"]), policy).alias("registry"),
+            P.ceiling_problem(Q.quantity_facts(m["resources"]["cpu"], m["resources"]["memory"]), policy).alias("ceiling"),
+        )
+
+    return F.transform(F.transform("steps", facts), checked)
+
+
 def _step_rows(policy: P.Policy) -> Column:
-    """Per step: merged settings, decisions and the first problem."""
-    container, steps = F.col("container"), F.col("steps")
+    """Per step of a request's job: decisions for its profile, the first problem, findings."""
     run_by = F.lower(trim_ws(F.coalesce("executor", F.lit(""))))
     mode, verified, reason = F.col("mode"), F.col("verified"), F.col("reason")
+    in_container = run_by == "container"
 
-    def merged(s: Column) -> Column:
-        return P.overlay_container(container, s["container"])
-
-    def decide(m: Column) -> Column:
+    def decide(s: Column) -> Column:
         settings = P.override_settings(
-            F.col("profile"), network=m["network"], rootfs_writable=m["rootfs_writable"],
-            capabilities=m["capabilities"], env_inheritance=F.lit(False),
+            F.col("profile"), network=s["network"], rootfs_writable=s["rootfs_writable"],
+            capabilities=s["capabilities"], env_inheritance=F.lit(False),
         )
         return P.override_decisions(settings, policy)
 
-    def staged(row: Column) -> Column:
-        s, d, image = row["step"], row["decisions"], row["image"]
+    def row(both: Column) -> Column:
+        s, d = both["step"], both["decisions"]
         problem = F.coalesce(
             F.when(
-                run_by == "container",
-                F.coalesce(
-                    P.registry_problem(row["image_facts"], policy),
-                    P.signature_problem(mode, verified, reason),
-                    P.ceiling_problem(row["asked"], policy),
-                ),
+                in_container,
+                F.coalesce(s["registry"], P.signature_problem(mode, verified, reason), s["ceiling"]),
             ),
             P.decision_problem(d),
         )
-        signed = F.when(
-            run_by == "container", P.signature_findings(mode, verified, reason)
-        ).otherwise(F.array().cast(_NO_FINDINGS))
+        signed = F.when(in_container, P.signature_findings(mode, verified, reason)).otherwise(
+            F.array().cast(_NO_FINDINGS)
+        )
         return F.struct(
-            trim_ws(s["id"]).alias("id"),
-            trim_ws(s["name"]).alias("name"),
+            s["id"].alias("id"),
+            s["name"].alias("name"),
             run_by.alias("executor"),
-            F.when(run_by == "container", image).alias("container_image"),
+            F.when(in_container, s["image"]).alias("container_image"),
             problem.alias("problem"),
             F.concat(signed, P.decision_findings(F.col("profile"), d)).alias("findings"),
         )
 
-    with_merged = F.transform(steps, lambda s: F.struct(s.alias("step"), merged(s).alias("merged")))
-    with_decisions = F.transform(
-        with_merged,
-        lambda r: F.struct(
-            r["step"].alias("step"),
-            r["merged"]["image"].alias("image"),
-            Q.image_facts(r["merged"]["image"]).alias("image_facts"),
-            Q.quantity_facts(r["merged"]["resources"]["cpu"], r["merged"]["resources"]["memory"]).alias("asked"),
-            decide(r["merged"]).alias("decisions"),
-        ),
+    decided = F.transform("job_steps", lambda s: F.struct(s.alias("step"), decide(s).alias("decisions")))
+    return F.transform(decided, row)
+
+
+def _job_facts(jobs: DataFrame, by: list[str], policy: P.Policy, preview: bool) -> DataFrame:
+    """The last job of each id with all that does not depend on a request, worked out once."""
+    settings = [c for c in jobs.columns if c not in ("ord", "id", "name", *by)]
+    newest = jobs.groupBy(*by, F.lower("id").alias("__key")).agg(
+        F.max_by(F.struct(*settings), "ord").alias("job")
+    )
+    rows = compute_once(
+        newest.select(*by, "__key", "job.*"),
+        {
+            "graph": G.is_step_graph(F.col("composition"), F.col("steps")),
+            "image": Q.container_image(F.col("container.image"), F.coalesce("interpreter", F.lit(""))),
+        },
+    )
+    lint = G.graph_problem(
+        F.col("interpreter"), F.col("executor"), F.col("composition"), F.col("container"), F.col("steps")
     )
-    return F.transform(with_decisions, staged)
+    asked = Q.quantity_facts(F.col("container.resources.cpu"), F.col("container.resources.memory"))
+    return compute_once(
+        rows,
+        {
+            "p_graph": lint if preview else F.lit(None).cast(P.PROBLEM),
+            "p_registry": P.registry_problem(Q.image_facts(F.col("image")), policy),
+            "p_ceiling": P.ceiling_problem(asked, policy),
+            "job_steps": F.when(F.col("graph") & F.lit(preview), _job_steps(policy)),
+        },
+    ).drop("steps", "composition")
 
 
 def plan_table(
@@ -114,57 +149,35 @@ def plan_table(
     a request may name one in ``source``; jobs and aliases then carry their ``scope``.
     """
     by = ["scope"] if sources is not None else []
-    settings = [c for c in jobs.columns if c not in ("ord", "id", "name", *by)]
-    newest = jobs.groupBy(*by, F.lower("id").alias("__key")).agg(
-        F.max_by(F.struct(*settings), "ord").alias("job")
-    )
+    facts = _job_facts(jobs, by, policy, preview)
     if sources is None:
         found = resolve(requests, jobs, checked_aliases)
     else:
         found = resolve_from_source(requests, jobs, checked_aliases, sources)
-    rows = (
-        found.withColumn("__key", F.lower("effective_id"))
-        .join(newest, [*by, "__key"], "left")
-        .select(*found.columns, *[F.col(f"job.{c}").alias(c) for c in settings])
-    )
-    rows = with_binding(with_argument_check(rows))
+    rows = found.withColumn("__key", F.lower("effective_id")).join(facts, [*by, "__key"], "left")
+    rows = with_binding(with_argument_check(rows.drop("__key")))
     rows = compute_once(
         rows,
         {
             "profile": effective_profile(
                 F.col("requested_profile"), F.lit(environment_profile), F.lit(configured_profile)
             ),
-            "graph": G.is_step_graph(F.col("composition"), F.col("steps")),
-            "image": Q.container_image(F.col("container.image"), F.coalesce("interpreter", F.lit(""))),
         },
     )
     graph, mode = F.col("graph"), F.col("mode")
-    rows = compute_once(
-        rows,
-        {
-            "mode": P.verify_mode(F.col("profile"), policy),
-            "image_facts": Q.image_facts(F.col("image")),
-            "asked": Q.quantity_facts(F.col("container.resources.cpu"), F.col("container.resources.memory")),
-        },
-    )
+    rows = compute_once(rows, {"mode": P.verify_mode(F.col("profile"), policy)})
     settings = P.override_settings(
         F.col("profile"), network=F.col("container.network"),
         rootfs_writable=F.col("container.rootfs_writable"),
         capabilities=F.col("container.capabilities"), env_inheritance=F.col("env_inheritance"),
     )
     rows = P.with_override_decisions(rows, policy, settings)
-    rows = compute_once(rows, {"plan_steps": F.when(graph & F.lit(preview), _step_rows(policy))})
+    rows = compute_once(rows, {"plan_steps": F.when(F.col("job_steps").isNotNull(), _step_rows(policy))})
     verified, reason = F.col("verified"), F.col("reason")
-    lint = G.graph_problem(
-        F.col("interpreter"), F.col("executor"), F.col("composition"), F.col("container"), F.col("steps")
-    )
     rows = compute_once(
         rows,
         {
-            "p_graph": lint if preview else F.lit(None).cast(P.PROBLEM),
-            "p_registry": P.registry_problem(F.col("image_facts"), policy),
             "p_signature": P.signature_problem(mode, verified, reason),
-            "p_ceiling": P.ceiling_problem(F.col("asked"), policy),
             "p_override": P.decision_problem(F.col("decisions")),
             "p_step": F.get(F.filter("plan_steps", lambda s: s["problem"].isNotNull()), F.lit(0))["problem"],
         },

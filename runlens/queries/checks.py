@@ -589,7 +589,7 @@ _JOB_CONFIGS = [
 ]
 
 
-def plan_table(spark: SparkSession, sf: str) -> DataFrame:
+def _plans(spark: SparkSession, sf: str, preview: bool) -> DataFrame:
     """Orders as plan requests for customer jobs, by id or by alias."""
     key = F.col("c_custkey")
     config = F.from_json(_pick(key % 7, *[json.dumps(c) for c in _JOB_CONFIGS]), CONFIG)
@@ -617,7 +617,9 @@ def plan_table(spark: SparkSession, sf: str) -> DataFrame:
         _pick(order % 4, "secure", "permissive", "disabled", "").alias("requested_profile"),
         (order % 11 != 0).alias("verified"), F.lit("").alias("reason"),
     )
-    plans = PT.plan_table(requests, jobs, checked, PLAN_POLICY, configured_profile="permissive")
+    plans = PT.plan_table(
+        requests, jobs, checked, PLAN_POLICY, configured_profile="permissive", preview=preview
+    )
     return plans.select(
         "request", "effective_id", "stage", "code", "profile", "executor", "image",
         F.array_join(F.transform("findings", lambda f: F.concat(f["code"], F.lit("|"), f["message"])), ";").alias("findings"),
@@ -628,12 +630,68 @@ def plan_table(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def plan_table(spark: SparkSession, sf: str) -> DataFrame:
+    return _plans(spark, sf, True)
+
+
+def submit_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The same requests submitted: step graphs are not looked at."""
+    return _plans(spark, sf, False)
+
+
+def source_plans(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests that name a source: its own jobs first, then the root's; every second job is in one."""
+    key = F.col("c_custkey")
+    jobs = tables.load(spark, sf, "customer").select(
+        F.concat(F.lit("job."), key.cast("string")).alias("id"), key.alias("ord"),
+        F.when(key % 2 == 0, "").otherwise("here").alias("scope"),
+        F.lit("local").alias("source_name"), F.lit("").alias("source_ref"),
+        F.from_json(F.lit("[]"), f"array<{N.ARG}>").alias("spec"),
+        F.from_json(F.lit(json.dumps(_JOB_CONFIGS[0])), CONFIG).alias("c"),
+    ).select("id", "ord", "scope", "source_name", "source_ref", "spec", "c.interpreter", "c.executor", "c.container",
+             "c.env_inheritance", "c.composition", "c.steps")
+    declared = tables.load(spark, sf, "customer").select(
+        F.when(key % 3 == 0, "here").otherwise("").alias("scope"), F.lit("").alias("source"), key.alias("ord"),
+        F.concat(F.lit("job/"), key.cast("string")).alias("from"), F.concat(F.lit("go-"), key.cast("string")).alias("to"),
+        F.lit("").alias("description"),
+    )
+    checked = C.check_aliases(declared, jobs.select("id", "ord", "scope"), scope="scope")
+    sources = spark.range(1).select(
+        F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("local_path")) for n, p in (("here", "/srv"), ("remote", ""))]))
+    )
+    order = F.col("o_orderkey")
+    requests = tables.load(spark, sf, "orders").select(
+        order.alias("request"),
+        F.concat(F.when(order % 3 == 0, "go-").otherwise("job."), F.col("o_custkey").cast("string")).alias("name"),
+        _pick(F.expr("o_orderkey div 4") % 4, "", "here", "remote", "lost").alias("source"),
+        F.lit("{}").alias("args"), F.lit("").alias("requested_profile"),
+        F.lit(True).alias("verified"), F.lit("").alias("reason"),
+    )
+    plans = PT.plan_table(requests, jobs, checked, PLAN_POLICY, configured_profile="permissive", sources=sources)
+    return plans.select("request", "effective_id", "stage", "code", "detail")
+
+
+def addon_refusals(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of add-on jobs are refused; all other requests are none of this check's."""
+    jobs = N.manifest_jobs(_manifests(spark, sf), ["p_brand"]).withColumnRenamed("p_brand", "source_name")
+    parts = _part(spark, sf).select(F.col("p_partkey").alias("key"), "p_brand")
+    requests = (
+        tables.load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+        .join(parts, F.col("l_partkey") == F.col("key"))
+        .select(
+            F.concat_ws("-", "l_orderkey", "l_linenumber").alias("request"),
+            F.concat("p_brand", F.lit("/build-"), F.col("key").cast("string")).alias("name"),
+        )
+    )
+    return PT.addon_run_refusals(requests, jobs)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         quantity_parse, registry_check, image_policy, policy_decisions, policy_rollup, container_overlay,
         effective_profiles, arg_errors, arg_bindings, graph_lint, step_needs_missing, manifest_lint,
-        manifest_summary, addon_plans, source_admission, plan_table,
+        manifest_summary, addon_plans, addon_refusals, source_admission, plan_table, submit_table, source_plans,
     )
 }
 
@@ -700,7 +758,56 @@ SELECT request, CASE WHEN job IS NOT NULL THEN 'job.' || job END AS effective_id
 FROM texts
 """
 
+_SUBMIT_SQL = _PLAN_SQL
+for _preview, _submitted in (
+    ("    WHEN job % 7 = 6 THEN row('graph', 'E_CONFIG')\n", ""),
+    ("WHEN job % 7 IN (1, 3, 4) AND", "WHEN job % 7 IN (1, 3, 4, 5) AND"),
+    (
+        "\n    WHEN job % 7 = 5 AND profile = 'secure' AND NOT verified THEN row('step', 'image.signature.required')"
+        "\n    WHEN job % 7 = 5 AND profile = 'secure' THEN row('step', 'policy.denied') END",
+        " END",
+    ),
+    ("         WHEN 0 THEN ''\n", "         WHEN 0 THEN '' WHEN 6 THEN ''\n"),
+    (
+        "concat_ws(';', replace(unsigned, '|', '|step 0: '), replace(unsigned, '|', '|step 1: '),\n"
+        "                               replace(net, '|', '|step 1: '))",
+        "concat_ws(';', unsigned)",
+    ),
+    ("CASE WHEN fine AND cfg = 5 THEN 'a,b' END", "CAST(NULL AS VARCHAR)"),
+):
+    assert _preview in _SUBMIT_SQL
+    _SUBMIT_SQL = _SUBMIT_SQL.replace(_preview, _submitted)
+
 SQL = {
+    "submit_table": _SUBMIT_SQL,
+    "source_plans": """
+        WITH r AS (
+          SELECT o_orderkey AS request, ['', 'here', 'remote', 'lost'][o_orderkey // 4 % 4 + 1] AS source,
+                 CASE WHEN o_orderkey % 3 = 0 THEN 'go-' ELSE 'job.' END || o_custkey AS name,
+                 o_orderkey % 3 = 0 AS by_alias, c_custkey AS key,
+                 c_custkey % 2 = 1 AS job_here, c_custkey % 3 = 0 AS alias_here
+          FROM orders LEFT JOIN customer ON c_custkey = o_custkey
+        ), v AS (
+          SELECT *, key IS NOT NULL AND CASE
+              -- an alias finds jobs of its own scope only
+              WHEN by_alias THEN job_here = alias_here AND (source = 'here' OR NOT alias_here)
+              ELSE source = 'here' OR NOT job_here END AS found,
+            by_alias AND key IS NOT NULL AND job_here <> alias_here AND (source = 'here' OR NOT alias_here) AS bad
+          FROM r
+        )
+        SELECT request, CASE WHEN source IN ('', 'here') AND found THEN 'job.' || key END AS effective_id,
+               CASE WHEN source IN ('remote', 'lost') THEN 'source' WHEN NOT found THEN 'resolve' END AS stage,
+               CASE WHEN source = 'remote' THEN 'source_not_materialized' WHEN source = 'lost' THEN 'source_not_found'
+                    WHEN bad THEN 'alias.invalid' WHEN NOT found THEN 'job.not_found' END AS code,
+               CASE WHEN source IN ('remote', 'lost') THEN name
+                    WHEN bad THEN 'alias "' || name || '" target "job/' || key || '" not found'
+                    WHEN NOT found THEN name END AS detail
+        FROM v""",
+    "addon_refusals": """
+        SELECT l_orderkey || '-' || l_linenumber AS request, 'E_OCI_RUN_UNSUPPORTED' AS code,
+               'OCI add-on job ' || p_brand || '/build-' || p_partkey || ' from source ' || p_brand
+               || ' cannot be executed in this phase.' AS detail
+        FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_partkey % 8 = 0""",
     "quantity_parse": """
         SELECT p_partkey,
                CASE p_partkey % 6 WHEN 0 THEN p_size WHEN 1 THEN CAST(round(CAST(p_size || '.2505' AS DOUBLE) * 1000) AS BIGINT) END AS millicores,
