@@ -36,6 +36,14 @@ EVICTION_KINDS = (("journal",), ("idempotency",))
 _EXACT = "decimal(28,9)"
 
 
+def _exact_sum(v: Column) -> Column:
+    """Sum of durations, the same whatever the order of the tasks; what is no duration in range
+    (infinite, not a number, above 10**19) is added as it is."""
+    exact = v.try_cast(_EXACT)
+    odd = F.sum(F.when(exact.isNull(), v))
+    return F.coalesce(F.sum(exact).cast("double"), F.lit(0.0)) + F.coalesce(odd, F.lit(0.0))
+
+
 def _zero_rows(df: DataFrame, labels: Sequence[str], known: Sequence[Sequence[str]]) -> DataFrame:
     schema = ", ".join(f"{c} string" for c in labels)
     return df.sparkSession.createDataFrame([tuple(k) for k in known], schema)
@@ -82,6 +90,28 @@ def denial_counters(df: DataFrame) -> DataFrame:
     return counters(df.filter(F.col("reason") != ""), ["reason"])
 
 
+def cursor_counters(resumed: DataFrame) -> DataFrame:
+    """One row: resume attempts, and those whose cursor had expired, of resume outcomes."""
+    return resumed.agg(
+        F.count(F.lit(1)).alias("resumes"), F.count_if(F.col("outcome") == "expired").alias("expired")
+    )
+
+
+def container_counters(runs: DataFrame, pulls: DataFrame) -> DataFrame:
+    """One row: container runs and image pulls."""
+    both = runs.select(F.lit(1).alias("r"), F.lit(0).alias("p")).unionAll(
+        pulls.select(F.lit(0).alias("r"), F.lit(1).alias("p"))
+    )
+    return both.agg(
+        F.coalesce(F.sum("r"), F.lit(0)).alias("runs"), F.coalesce(F.sum("p"), F.lit(0)).alias("pulls")
+    )
+
+
+def invalid_manifests(lint: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row: manifests with at least one error."""
+    return lint.select(*keys).distinct().agg(F.count(F.lit(1)).alias("invalid"))
+
+
 def source_counters(df: DataFrame) -> DataFrame:
     kinds = df.select(F.lower(trim_ws("type")).alias("type")).filter(F.col("type") != "")
     return counters(kinds, ["type"])
@@ -113,7 +143,7 @@ def histogram(
         .agg(
             *[F.count_if(v <= float(b)).alias(f"__b{i}") for i, b in enumerate(buckets)],
             F.count(v).alias("count"),
-            F.coalesce(F.sum(v.cast(_EXACT)).cast("double"), F.lit(0.0)).alias("sum"),
+            _exact_sum(v).alias("sum"),
         )
         .select(
             *labels,
@@ -160,7 +190,7 @@ def span_rollup(spans: DataFrame, quantiles: Sequence[float] = (0.5, 0.95, 0.99)
     keys = ["span", "outcome"]
     totals = spans.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("count"),
-        F.sum(F.col("duration_ms").cast(_EXACT)).cast("double").alias("total_ms"),
+        _exact_sum(F.col("duration_ms").cast("double")).alias("total_ms"),
     )
     ranks = nearest_rank(spans, keys, "duration_ms", quantiles)
     wide = ranks.groupBy(*keys).agg(
@@ -249,6 +279,20 @@ def expose_counter(
     )
 
 
+def expose_info(df: DataFrame, name: str, labels: dict[str, str], value: int = 1) -> DataFrame:
+    """The one line of an information gauge, its labels by name."""
+    text = _label_text([(k, F.lit(labels[k])) for k in sorted(labels)])
+    return df.sparkSession.range(1).select(
+        F.lit(name).alias("metric"), F.lit("").alias("series"), F.lit(0).alias("pos"),
+        F.concat(F.lit(name), text if labels else F.lit("{}"), F.lit(f" {value}")).alias("line"),
+    )
+
+
+def expose_profile(df: DataFrame, name: str, profile: str) -> DataFrame:
+    """The active security profile: 1 with its name, 0 while there is none."""
+    return expose_info(df, name, {"profile": profile}, 1 if profile else 0)
+
+
 def expose_histogram(
     wide: DataFrame, name: str, labels: Sequence[str], buckets: Sequence[float]
 ) -> DataFrame:

@@ -11,6 +11,7 @@ from runlens import tables
 from runlens.operators import journal as J
 from runlens.operators import metrics as M
 from runlens.operators.quantiles import nearest_rank
+from runlens.queries import checks, journal
 
 BUCKET = 1 << 16
 QUANTILES = (0.5, 0.95, 0.99)
@@ -218,18 +219,69 @@ def exposition_text(spark: SparkSession, sf: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).select("metric", F.col("pos").cast("long").alias("pos"), "line")
 
 
+def runner_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """Denials, added sources, resumes, container runs, invalid manifests and information gauges as text."""
+    events = tables.load(spark, sf, "events")
+    denials = M.denial_counters(events.select(
+        F.when(F.col("event_type") == "error", "policy.denied").when(F.col("event_type") == "view", "")
+        .otherwise(F.col("event_type")).alias("reason")
+    ))
+    added = M.source_counters(tables.load(spark, sf, "supplier").select(
+        F.when(F.col("s_nationkey") % 3 == 0, " Git ").when(F.col("s_nationkey") % 3 == 1, " ").otherwise("OCI").alias("type")
+    ))
+    resumed = M.cursor_counters(journal.cursor_resume(spark, sf))
+    lines = tables.load(spark, sf, "lineitem")
+    containers = M.container_counters(lines, lines.filter("l_returnflag = 'R'"))
+    invalid = M.invalid_manifests(checks.manifest_lint(spark, sf), ["p_partkey"])
+    parts = [
+        M.expose_header(events, "policy_denials_total", "Policy denials by reason", "counter"),
+        M.expose_counter(denials, "policy_denials_total", ["reason"]),
+        M.expose_counter(added, "sources_added_total", ["type"]),
+        M.expose_counter(resumed, "sse_resume_total", [], "resumes"),
+        M.expose_counter(resumed, "sse_cursor_expired_total", [], "expired"),
+        M.expose_counter(containers, "container_runs_total", [], "runs"),
+        M.expose_counter(containers, "container_pulls_total", [], "pulls"),
+        M.expose_counter(invalid, "addon_manifest_invalid_total", [], "invalid"),
+        M.expose_info(events, "build_info", {"version": "1.2", "commit": 'a"b'}),
+        M.expose_profile(events, "security_profile", "secure"),
+        M.expose_profile(events, "idle_profile", ""),
+    ]
+    return reduce(DataFrame.unionByName, parts).select("metric", F.col("pos").cast("long").alias("pos"), "line")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         event_counters, eviction_counters, value_histogram, histogram_totals, container_histogram,
         gauge_clamped, latency_quantiles, span_rollup, route_counts, access_audit, storage_health,
-        exposition_text,
+        exposition_text, runner_counters,
     )
 }
 
 _LE = ["1", "2", "5", "10", "25", "50", "100", "250", "500", "1000", "2500", "5000"]
 
 SQL = {
+    "runner_counters": f"""
+        WITH denied AS (SELECT CASE event_type WHEN 'error' THEN 'policy.denied' ELSE event_type END AS reason, count(*) AS n
+                        FROM events WHERE event_type <> 'view' GROUP BY 1),
+             added AS (SELECT CASE s_nationkey % 3 WHEN 0 THEN 'git' ELSE 'oci' END AS type, count(*) AS n
+                       FROM supplier WHERE s_nationkey % 3 <> 1 GROUP BY 1),
+             resumed AS ({journal.SQL["cursor_resume"]}),
+             one(metric, line) AS (
+               SELECT 'sse_resume_total', 'sse_resume_total ' || count(*) FROM resumed
+               UNION ALL SELECT 'sse_cursor_expired_total', 'sse_cursor_expired_total ' || count(*) FILTER (outcome = 'expired') FROM resumed
+               UNION ALL SELECT 'container_runs_total', 'container_runs_total ' || count(*) FROM lineitem
+               UNION ALL SELECT 'container_pulls_total', 'container_pulls_total ' || count(*) FROM lineitem WHERE l_returnflag = 'R'
+               UNION ALL SELECT 'addon_manifest_invalid_total', 'addon_manifest_invalid_total ' || count(DISTINCT p_partkey)
+                         FROM ({checks.SQL["manifest_lint"]})
+               UNION ALL SELECT 'policy_denials_total', 'policy_denials_total{{reason="' || reason || '"}} ' || n FROM denied
+               UNION ALL SELECT 'sources_added_total', 'sources_added_total{{type="' || type || '"}} ' || n FROM added
+               UNION ALL SELECT 'build_info', 'build_info{{commit="a\\"b",version="1.2"}} 1'
+               UNION ALL SELECT 'security_profile', 'security_profile{{profile="secure"}} 1'
+               UNION ALL SELECT 'idle_profile', 'idle_profile{{profile=""}} 0')
+        SELECT metric, 0 AS pos, line FROM one
+        UNION ALL SELECT 'policy_denials_total', -2, '# HELP policy_denials_total Policy denials by reason'
+        UNION ALL SELECT 'policy_denials_total', -1, '# TYPE policy_denials_total counter'""",
     "event_counters": """
         SELECT event_type, CAST(sum(n) AS BIGINT) AS count, CAST(sum(a) AS BIGINT) AS amount FROM (
           SELECT event_type, 1 AS n, strlen(props) AS a FROM events
