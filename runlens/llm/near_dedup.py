@@ -10,8 +10,9 @@ Buckets with the same members are kept once, with their number.
 
 Links are found without forming all pairs of a bucket. In a few rounds each node is verified on
 full sets against one root of its buckets, the one it shares most tables with; what is linked is
-contracted. Afterwards every pair of different components that still shares a bucket is verified,
-so no candidate link is lost: inside a component a further link changes nothing.
+contracted. Afterwards the pairs of different components that still share a bucket are verified,
+but for those that their numbers of rare shingles rule out, so no candidate link is lost: inside
+a component a further link changes nothing.
 
 At a similarity of 0.8 a pair misses both a first and a second sub-key with probability
 2 * (1 - 0.8 ** 3) ** 16 = 2e-5; at 0.85 it is 5e-7.
@@ -37,6 +38,8 @@ ROWS = 3
 # The lowest bits of a sub-key tell which one it is.
 SLOTS = 32
 STAR_ROUNDS = 2
+# Shingles of so many nodes or fewer are looked up one by one.
+RARE = 16
 WORDS = 5
 SIMILAR_PCT = 80
 
@@ -196,22 +199,60 @@ def _star(rows: DataFrame, number: int, pct: int) -> DataFrame:
     return best.select("x", F.col("best.y").alias("y"))
 
 
-def _across(rows: DataFrame, pct: int) -> DataFrame:
-    """All pairs of different components that share a bucket.
+def _can_match(common: Column, pct: int) -> Column:
+    """Whether sets of sizes n and yn can be similar enough with so many shingles in common."""
+    return common * 100 >= (F.col("n") + F.col("yn") - common) * pct
 
-    Per bucket, the rows outside its largest component meet all its rows, so a large component is
-    never paired with itself.
+
+def _across(rows: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """The pairs of different components that share a bucket and can be similar enough.
+
+    Shingles that at most ``RARE`` of the nodes concerned have are rare. A pair with a rare
+    shingle in common is found by that shingle, in groups of at most ``RARE`` nodes. A pair without
+    has no more in common than either node has shingles that aren't rare; that bound drops nearly
+    all of what the buckets hold, before any pair is formed. Per bucket, the rows outside its
+    largest component meet all its rows, so a large component is never paired with itself.
     """
     sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
     major = sizes.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("top"))
-    minor = rows.join(major.select("key", F.col("top.comp").alias("major")), "key").filter(
-        "comp <> major"
-    )
-    right = rows.select(
-        "key", F.col("nid").alias("y"), F.col("n").alias("yn"), F.col("comp").alias("ycomp")
+    split = rows.join(major.select("key", F.col("top.comp").alias("major")), "key")
+    minor = split.filter("comp <> major")
+    nodes = written(
+        split.groupBy("nid").agg(
+            F.min("n").alias("n"), F.min("comp").alias("comp"), F.max(F.col("comp") != F.col("major")).alias("outside")
+        ),
+        "unlinked",
     )
-    met = minor.join(right, "key").filter((F.col("comp") != F.col("ycomp")) & _near_size(pct))
-    return met.select(F.least("nid", "y").alias("x"), F.greatest("nid", "y").alias("y")).distinct()
+    concerned = sets.join(broadcast_if_small(nodes.select("nid")), "nid", "left_semi")
+    shingles_of = concerned.select("nid", F.explode("set").alias("s"))
+    few = shingles_of.groupBy("s").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") <= RARE)
+    rare = written(shingles_of.join(few, "s"), "rare-shingles")
+    held = rare.groupBy("nid").agg(F.count(F.lit(1)).alias("rare"), F.count_if(F.col("c") == 1).alias("alone"))
+    known = written(
+        nodes.join(held, "nid", "left").select(
+            "nid", "n", "comp", "outside",
+            (F.col("n") - F.coalesce("rare", F.lit(0))).alias("frequent"),
+            (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"),
+        ),
+        "bounds",
+    )
+    # a node with too many shingles of its own is linked with nothing
+    open_ = known.filter(F.col("shared") * 100 >= F.col("n") * pct)
+    left = open_.select("nid", "n", "comp", "outside", "shared", "frequent")
+    right = open_.select(
+        F.col("nid").alias("y"), F.col("n").alias("yn"), F.col("comp").alias("ycomp"),
+        F.col("shared").alias("yshared"), F.col("frequent").alias("yfrequent"),
+    )
+    apart = F.col("comp") != F.col("ycomp")
+    seen = rare.filter("c > 1").select("s", "nid")
+    x = seen.join(left.filter("outside"), "nid")
+    y = seen.select("s", F.col("nid").alias("y")).join(right, "y")
+    by_shingle = x.join(y, "s").filter(apart & _can_match(F.least("shared", "yshared"), pct))
+    outer = minor.select("key", "nid").join(left, "nid")
+    inner = split.select("key", F.col("nid").alias("y")).join(right, "y")
+    by_bucket = outer.join(inner, "key").filter(apart & _can_match(F.least("frequent", "yfrequent"), pct))
+    pair = [F.least("nid", "y").alias("x"), F.greatest("nid", "y").alias("y")]
+    return by_shingle.select(*pair).unionByName(by_bucket.select(*pair)).distinct()
 
 
 def members(
@@ -290,7 +331,7 @@ def members(
     links, labels = None, None
     for number in range(STAR_ROUNDS + 1):
         left = _labelled(buckets, labels)
-        found = _star(left, number, similar_pct) if number < STAR_ROUNDS else _across(left, similar_pct)
+        found = _star(left, number, similar_pct) if number < STAR_ROUNDS else _across(left, sets, similar_pct)
         pairs = written(found, "pairs")
         more = written(_verified(pairs, sets, similar_pct), "links")
         links = more if links is None else links.unionByName(more)
