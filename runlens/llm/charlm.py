@@ -6,7 +6,8 @@ newest character in the lowest bits, so its context is a shift and its suffix a
 preceded by zeros that fill the first context.
 
 A model stores each order as a sorted array of n-gram hashes with one interpolated log probability
-per label, and its contexts with their back-off logs; it is built from bounded counts.
+per label, and its contexts with their back-off logs; it is built where all counts fit into one
+place. Larger ones stay tables in Spark, whose joins give the same log probabilities.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.llm.common import per_process, slices
+from runlens.session import written
 
 BITS = 9
 CODES = 1 << BITS
@@ -156,6 +158,84 @@ def bounded(levels: DataFrame, most: int, dims: list[str]) -> DataFrame:
     return levels.join(F.broadcast(cut), dims).filter(power >= F.col("cut")).drop("cut")
 
 
+def all_orders(top: DataFrame, order: int, counted: Column) -> DataFrame:
+    """(label, gram, n, level) of every order; ``counted`` makes each out of the one above."""
+    levels, lower = top.withColumn("level", F.lit(order)), top
+    for n in range(order - 1, 0, -1):
+        lower = lower.groupBy("label", suffix(F.col("gram"), n + 1).alias("gram")).agg(counted.alias("n"))
+        levels = levels.unionByName(lower.withColumn("level", F.lit(n)))
+    return written(levels, "gram-levels")
+
+
+def joined_logs(wanted: DataFrame, levels: DataFrame, order: int, smoothing: Callable) -> DataFrame:
+    """(label, gram, logp) of the distinct (label, gram) of ``wanted``, out of all counts.
+
+    What ``build`` and ``_logs`` work out in arrays, by joins on the n-gram and on its context.
+    ``smoothing(n, total, types, once, twice)`` gives an n-gram's own probability and the mass its
+    context leaves to the lower order; once and twice are the n-grams of the label and order with
+    these counts. The broadcast has a row per label.
+    """
+    low = None
+    for n in range(1, order + 1):
+        context = F.shiftright("gram", BITS).alias("context")
+        here = levels.filter(F.col("level") == n).select("label", "gram", "n", context)
+        few = here.groupBy("label").agg(
+            F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")
+        )
+        sums = here.groupBy("label", "context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("types"))
+        asked = wanted.select("label", suffix(F.col("gram"), n + 1).alias("gram")).distinct()
+        found = (
+            asked.select("label", "gram", context, suffix(F.col("gram"), n).alias("rest"))
+            .join(here.drop("context"), ["label", "gram"], "left")
+            .join(sums.join(F.broadcast(few), "label"), ["label", "context"], "left")
+        )
+        if low is None:
+            found = found.withColumn("low", F.lit(1 / CODES))
+        else:
+            found = found.join(low, ["label", "rest"])
+        own, left = smoothing(*(F.col(c) for c in ("n", "total", "types", "once", "twice")))
+        p = F.coalesce(own, F.lit(0.0)) + F.coalesce(left, F.lit(1.0)) * F.col("low")
+        low = written(found.select("label", F.col("gram").alias("rest"), p.alias("low")), "gram-logs")
+    return low.select("label", F.col("rest").alias("gram"), F.log("low").alias("logp"))
+
+
+def text_key(text: Column) -> Column:
+    """16 bytes that stand for a text in joins."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def joined_scores(
+    texts: DataFrame, levels: DataFrame, order: int, smoothing: Callable, codes_of: Callable, clean: Callable
+) -> DataFrame:
+    """(key, label, logp, chars) per distinct text of (text): mean log probability of a character.
+
+    ``clean`` is applied to each text, None included; texts without a character give no row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = [clean(t) for t in batch.column("text").to_pylist()]
+            key, counts = grams(rows, order, codes_of)
+            found = [np.unique(k, return_counts=True) for k in np.split(key, np.cumsum(counts)[:-1])]
+            number = np.repeat(np.arange(len(rows)), [len(k) for k, _ in found])
+            yield pa.record_batch(
+                {
+                    "key": batch.column("key").take(pa.array(number)),
+                    "gram": pa.array(np.concatenate([k for k, _ in found])),
+                    "n": pa.array(np.concatenate([n for _, n in found]).astype(np.int64)),
+                    "chars": pa.array(counts[number]),
+                }
+            )
+
+    keyed = texts.select(text_key(F.col("text")).alias("key"), "text")
+    held = written(keyed.mapInArrow(run, "key binary, gram long, n long, chars long"), "text-grams")
+    wanted = held.select("gram").distinct().crossJoin(F.broadcast(levels.select("label").distinct()))
+    logs = joined_logs(wanted, levels, order, smoothing)
+    # copies of a text add to both sums
+    mean = F.sum(F.col("n") * F.col("logp")) / F.sum("n")
+    return held.join(logs, "gram").groupBy("key", "label").agg(mean.alias("logp"), F.max("chars").alias("chars"))
+
+
 @dataclass
 class Order:
     """N-grams of one order, sorted, with their log probabilities; contexts with back-off logs."""
@@ -216,7 +296,7 @@ def _logs(orders: list[Order], floor: np.ndarray, keys: np.ndarray, n: int) -> n
 
 
 def build(rows: pd.DataFrame, order: int, smoothing: Callable) -> Model:
-    """The model of bounded counts (label, level, gram, n).
+    """The model of counts (label, level, gram, n).
 
     ``smoothing(count, cell, number, total, types, size)`` gives each n-gram's own probability and
     the mass that each (context, label) leaves to the lower order; ``cell`` is the n-gram's place

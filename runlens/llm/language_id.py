@@ -1,10 +1,11 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 Spark counts the highest-order n-grams per language over all learning documents; each lower order
-is counted by its distinct continuations, out of the order above. The counts that enter the model
-are bounded per language and order, whatever the size of the corpus, so the model can be broadcast.
-Each order is stored as a sorted array of n-gram hashes with one log probability per language;
-a text's score in a language is its cross-entropy per character, and the lowest wins.
+is counted by its distinct continuations, out of the order above. All counts enter the model. While
+they fit into one place, each order is a sorted array of n-gram hashes with one log probability per
+language, which is broadcast; beyond that the counts stay tables in Spark, and the n-grams of the
+texts are joined with them. A text's score in a language is its cross-entropy per character, and
+the lowest wins.
 
 A prediction is rejected when the cross-entropy exceeds what the winning language's own counts
 lead to expect for that length.
@@ -13,6 +14,7 @@ lead to expect for that length.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from runlens.llm.charlm import CODES, Model, bounded, build, count_grams, letter_codes, suffix
-from runlens.llm.common import fresh, slices
+from runlens.llm.charlm import (
+    Model, all_orders, build, count_grams, joined_logs, joined_scores, letter_codes, text_key,
+)
+from runlens.llm.common import broadcast_if_small, fresh, slices
 from runlens.session import written
 
 ORDER = 5
-# Log probabilities held by a model: languages squared times orders times n-grams of each.
+# Log probabilities that a model in arrays may hold: languages times n-grams of all orders.
 CELLS = 1 << 23
 MAX_LANGUAGES = 1000
 UNKNOWN = "und"
@@ -43,10 +47,35 @@ def kneser_ney(count, cell, number, total, types, size):
     return (count - discount[number]).clip(0) / total.ravel()[cell], left
 
 
-def learn(texts: DataFrame, *, order: int = ORDER, cells: int = CELLS) -> Model | None:
+def kneser_ney_columns(n, total, types, once, twice):
+    """The same in Spark."""
+    discount = F.greatest(F.lit(0.1), F.least(F.lit(0.95), once / F.greatest(once + 2 * twice, F.lit(1))))
+    return F.greatest(n - discount, F.lit(0.0)) / total, discount * types / total
+
+
+@dataclass
+class Tables:
+    """A model whose counts (label, gram, n, level) stay in Spark."""
+
+    levels: DataFrame
+    order: int
+    expected: DataFrame  # (label, expected, spread), a row per language
+
+
+def _per_char(grams: DataFrame, logs: DataFrame) -> DataFrame:
+    """(label, expected, spread) of the characters counted in (label, gram, n)."""
+    rows = grams.join(logs, ["label", "gram"])
+    weight, log = F.sum("n"), F.col("logp")
+    mean = F.sum(F.col("n") * log) / weight
+    square = F.sum(F.col("n") * log * log) / weight
+    spread = F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))
+    return rows.groupBy("label").agg((-mean).alias("expected"), spread.alias("spread"))
+
+
+def learn(texts: DataFrame, *, order: int = ORDER, cells: int = CELLS) -> Model | Tables | None:
     """A model of the rows (label, text); rows with a null in either are left out.
 
-    None when there is nothing to learn from. The model holds at most ``cells`` numbers.
+    None when there is nothing to learn from. With more than ``cells`` numbers it is one of tables.
     """
     given = texts.filter(F.col("label").isNotNull() & F.col("text").isNotNull())
     top = written(count_grams(given, order), "language-grams")
@@ -55,16 +84,11 @@ def learn(texts: DataFrame, *, order: int = ORDER, cells: int = CELLS) -> Model
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not languages:
         return None
-    levels = top.withColumn("level", F.lit(order))
-    lower = top
-    for n in range(order - 1, 0, -1):
-        lower = lower.groupBy("label", suffix(F.col("gram"), n + 1).alias("gram")).agg(
-            F.count(F.lit(1)).alias("n")
-        )
-        levels = levels.unionByName(lower.withColumn("level", F.lit(n)))
-    most = max(CODES, cells // (order * languages * languages))
-    model = bounded(levels, most, ["label", "level"])
-    return build(model.select("label", "level", "gram", "n").toPandas(), order, kneser_ney)
+    levels = all_orders(top, order, F.count(F.lit(1)))
+    if levels.count() * languages > cells:
+        logs = joined_logs(top.select("label", "gram"), levels, order, kneser_ney_columns)
+        return Tables(levels, order, written(_per_char(top, logs), "expected"))
+    return build(levels.select("label", "level", "gram", "n").toPandas(), order, kneser_ney)
 
 
 def predictions(
@@ -88,6 +112,42 @@ def predictions(
     return names, scores, rejected
 
 
+def _cleaned(text: str | None) -> str:
+    return text.lower() if text and any(map(str.isalpha, text)) else ""
+
+
+def _joined(docs: DataFrame, model: Tables, text: Column, margin: float, deviations: float, new: list[str]) -> DataFrame:
+    """``docs`` with what ``predictions`` gives, by joins with a model of tables."""
+    scores = joined_scores(
+        docs.select(text.alias("text")), model.levels, model.order, kneser_ney_columns, letter_codes, _cleaned
+    )
+    # sums in another order must not decide a tie
+    entropy = F.round(-F.col("logp"), 9)
+    best = scores.groupBy("key").agg(
+        F.min(F.struct(entropy.alias("entropy"), "label")).alias("best"),
+        F.collect_list(entropy).alias("each"),  # a number per language
+        F.max("chars").alias("chars"),
+    )
+    lowest, chars = F.col("best.entropy"), F.col("chars")
+    others = F.transform("each", lambda e: F.exp(-(e - lowest) * F.least(chars, F.lit(SURE_CHARS))))
+    sure = 1 / F.aggregate(others, F.lit(0.0), lambda a, b: a + b)
+    allowed = F.col("expected") + margin + deviations * F.col("spread") / F.sqrt(chars)
+    name, score, bad = new
+    key = fresh(docs, "key")
+    found = written(
+        best.join(F.broadcast(model.expected), F.col("best.label") == F.col("label")).select(
+            F.col("key").alias(key), F.col("label").alias(name), sure.alias(score), (lowest > allowed).alias(bad)
+        ),
+        "languages",
+    )
+    out = docs.withColumn(key, text_key(text)).join(broadcast_if_small(found), key, "left")
+    other = {name: F.lit(UNKNOWN), score: F.lit(0.0), bad: F.lit(True)}
+    return out.select(
+        *[F.col(f"`{c}`") for c in docs.columns],
+        *[F.coalesce(F.col(f"`{c}`"), x).alias(c) for c, x in other.items()],
+    )
+
+
 def identify(
     docs: DataFrame,
     learn_from: Column,
@@ -97,6 +157,7 @@ def identify(
     margin: float = 1.0,
     deviations: float = 6.0,
     prefix: str = "",
+    cells: int = CELLS,
 ) -> DataFrame:
     """``docs`` with lang_pred, score (0 to 1) and rejected, each name after ``prefix``.
 
@@ -106,10 +167,14 @@ def identify(
     language with the lowest cross-entropy per character wins (ties: the first by name), and the
     row is rejected when that exceeds the expected one by ``margin`` nats and ``deviations``
     standard deviations for its length. Repeated rows get the same answer; an empty table gives
-    no rows; input columns stay as they are.
+    no rows; input columns stay as they are. A model of more than ``cells`` numbers is not broadcast
+    but joined, with the same answers.
     """
     label, text = F.col(f"`{lang_col}`").cast("string"), F.col(f"`{text_col}`")
-    model = learn(docs.filter(learn_from).select(label.alias("label"), text.alias("text")))
+    model = learn(docs.filter(learn_from).select(label.alias("label"), text.alias("text")), cells=cells)
+    new = [f"{prefix}lang_pred", f"{prefix}score", f"{prefix}rejected"]
+    if isinstance(model, Tables):
+        return _joined(docs, model, text, margin, deviations, new)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +186,6 @@ def identify(
                 [*batch.columns, *added], [*batch.schema.names, *new]
             )
 
-    new = [f"{prefix}lang_pred", f"{prefix}score", f"{prefix}rejected"]
     schema = StructType(list(docs.schema.fields))
     for name, kind in zip(new, ("string", "double", "boolean"), strict=True):
         schema = schema.add(name, kind)

@@ -82,6 +82,22 @@ def test_language_of_odd_rows(make):
             assert r["f_rejected"]
 
 
+def test_language_model_of_any_size_keeps_all_counts(make):
+    """A model too large for arrays gives what the arrays give."""
+    words = [f"{a}{b}{c}" for a in "abcdefgh" for b in "aeiouy" for c in ("rst", "lm", "nd", "k")]
+    learn = [(i, " ".join(words[(7 * i + 5 * k * (1 + i % 2)) % len(words)] for k in range(60)), "en" if i % 2 else "de")
+             for i in range(24)]
+    odd = [(100 + i, t, None) for i, (_, t) in enumerate(ODD)] + [(200, EN, "en"), (201, DE, "de"), (202, "qqqq zzzz", None)]
+    docs = make([*learn, *learn[:3], *odd]).withColumns({"key": F.lit(1), "label": F.lit(2)})
+    part = F.coalesce(F.col("doc_id") % 5 != 0, F.lit(True))
+    want, got = (
+        sorted(map(tuple, language_id.identify(docs, part, cells=c).collect()), key=repr) for c in (1 << 23, 0)
+    )
+    assert len(want) == len(got) == len(learn) + 3 + len(odd)
+    for w, g in zip(want, got, strict=True):
+        assert w[:-2] == g[:-2] and w[-1] == g[-1] and w[-2] == pytest.approx(g[-2], abs=1e-4)
+
+
 def test_nothing_to_learn_from(make):
     got = language_id.identify(make([(1, EN, None), (2, None, "en")]), F.lit(True)).collect()
     assert {(r["lang_pred"], r["score"], r["rejected"]) for r in got} == {("und", 0.0, True)}
