@@ -4,7 +4,9 @@ URLs that a rule allows and URLs that a rule blocks train one variable-order Mar
 (Witten-Bell smoothing; a context seen too rarely gives way to a shorter one). A URL without a
 rule is judged by its log-likelihood difference per character. The threshold is calibrated on all
 URLs with a rule: Spark counts their scores in fine bins per verdict, and the cut with the lowest
-balanced error wins.
+balanced error wins. All counts enter the models, which are broadcast as arrays while they fit into
+one place; beyond that the counts stay tables in Spark, and the n-grams of the URLs are joined with
+them.
 """
 
 from __future__ import annotations
@@ -17,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.charlm import CODES, Model, any_codes, bounded, build, count_grams, suffix
-from runlens.llm.common import ascii_lower, read_columns, slices
+from runlens.llm.charlm import Model, all_orders, any_codes, build, count_grams, joined_scores, text_key
+from runlens.llm.common import ascii_lower, broadcast_if_small, read_columns, slices
 from runlens.session import written
 
 ORDER = 5
-# Log probabilities held by a model, two labels together.
+# Log probabilities that a model in arrays may hold, two labels together.
 CELLS = 1 << 23
 # A context seen less often passes on to the shorter one.
 MIN_CONTEXT = 3
@@ -76,23 +78,43 @@ def witten_bell(count, cell, number, total, types, size):
     return count * own.ravel()[cell], left
 
 
-def learn(urls: DataFrame, *, order: int = ORDER, cells: int = CELLS) -> Model | None:
-    """A model of (label, text); None unless both verdicts are there."""
+def witten_bell_columns(n, total, types, once, twice):
+    """The same in Spark."""
+    used = total >= MIN_CONTEXT
+    return F.when(used, n / (total + types)), F.when(used, types / (total + types))
+
+
+def learn(urls: DataFrame, *, order: int = ORDER, cells: int = CELLS) -> Model | DataFrame | None:
+    """A model of (label, text); None unless both verdicts are there.
+
+    With more than ``cells`` numbers it is the table of all counts (label, gram, n, level).
+    """
     top = written(count_grams(urls, order, any_codes, lower=False), "url-grams")
     if top.select("label").distinct().count() < 2:
         return None
-    levels, lower = top.withColumn("level", F.lit(order)), top
-    for n in range(order - 1, 0, -1):
-        lower = lower.groupBy("label", suffix(F.col("gram"), n + 1).alias("gram")).agg(
-            F.sum("n").alias("n")
-        )
-        levels = levels.unionByName(lower.withColumn("level", F.lit(n)))
-    model = bounded(levels, max(CODES, cells // (order * 4)), ["label", "level"])
-    return build(model.select("label", "level", "gram", "n").toPandas(), order, witten_bell)
+    levels = all_orders(top, order, F.sum("n"))
+    if levels.count() * 2 > cells:
+        return levels
+    return build(levels.select("label", "level", "gram", "n").toPandas(), order, witten_bell)
+
+
+def _given(url: str | None) -> str:
+    return url or ""
+
+
+def _joined(urls: DataFrame, levels: DataFrame, order: int) -> DataFrame:
+    """What ``_scored`` gives, by joins with all counts."""
+    texts = urls.select(F.col("url").alias("text"))
+    scores = joined_scores(texts, levels, order, witten_bell_columns, any_codes, _given)
+    sign = F.when(F.col("label") == ALLOW, F.col("logp")).otherwise(-F.col("logp"))
+    found = written(scores.groupBy("key").agg(F.sum(sign).alias("score")), "url-signs")
+    return urls.withColumn("key", text_key(F.col("url"))).join(broadcast_if_small(found), "key", "left").drop("key")
 
 
-def _scored(urls: DataFrame, model: Model | None) -> DataFrame:
+def _scored(urls: DataFrame, model: Model | DataFrame | None, order: int) -> DataFrame:
     """Adds ``score``: log-likelihood, allowed less blocked, per character; null without any."""
+    if isinstance(model, DataFrame):
+        return _joined(urls, model, order)
     held = urls.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,6 +162,7 @@ def judge(
     id_col: str = "page_id",
     url_col: str = "url",
     order: int = ORDER,
+    cells: int = CELLS,
 ) -> DataFrame:
     """One row per input row: id, host, path, rule, verdict, score.
 
@@ -148,7 +171,8 @@ def judge(
     ``score`` is the model's difference per character, null for an empty or null URL. URLs
     without a rule are allowed from the calibrated threshold on; those without a score, and all
     of them when the rules allow or block nothing here, are allowed. Repeated rows get the same
-    answer, an empty table gives no rows, other columns are ignored.
+    answer, an empty table gives no rows, other columns are ignored. Models of more than ``cells``
+    numbers are not broadcast but joined, with the same scores.
     """
     rows = read_columns(pages, id_col, url_col).toDF("id", "url")
     host, path = host_of(F.col("url")), path_of(F.col("url"))
@@ -158,8 +182,9 @@ def judge(
         "id", "url", *[_first_fit(rules, F.col("host"), F.col("path"), v).alias(k) for k, v in fit.items()]
     )
     known = ruled.filter(F.col("given").isNotNull())
-    model = learn(known.select(F.col("given").alias("label"), F.col("url").alias("text")), order=order)
-    scored = written(_scored(ruled, model), "url-scores")
+    taught = known.select(F.col("given").alias("label"), F.col("url").alias("text"))
+    model = learn(taught, order=order, cells=cells)
+    scored = written(_scored(ruled, model, order), "url-scores")
     own = F.when(F.col("score") < F.lit(_threshold(scored)), BLOCK).otherwise(ALLOW)
     return scored.select(
         F.col("id").alias(id_col),

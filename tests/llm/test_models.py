@@ -161,6 +161,19 @@ def test_urls_without_two_verdicts_are_allowed(spark):
     assert url_filter.judge(pages.limit(0), RULES).count() == 0
 
 
+def test_url_models_of_any_size_keep_all_counts(spark):
+    """Models too large for arrays give what the arrays give."""
+    more = [f"http://h{i % 7}.{('com', 'net', 'org')[i % 3]}/{('en', 'es', 'fr', 'x')[i % 4]}/id{i * 7919}?q={i}" for i in range(60)]
+    pages = spark.createDataFrame(list(enumerate(URLS + more)) * 2, "page_id long, url string")
+    want, got = ({r["page_id"]: r for r in url_filter.judge(pages, RULES, cells=c).collect()} for c in (1 << 23, 0))
+    assert want.keys() == got.keys()
+    assert sum(r["score"] is not None for r in want.values()) > 60
+    for i, w in want.items():
+        assert w[:-1] == got[i][:-1]
+        assert got[i]["score"] == (w["score"] if w["score"] is None else pytest.approx(w["score"], abs=1e-4))
+    assert url_filter.judge(pages, RULES, cells=0).count() == 2 * len(want)
+
+
 def test_url_query_separates_what_rules_taught(spark):
     urls = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     got = queries.op8_url_filter(spark, SF).collect()
