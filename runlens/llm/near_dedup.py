@@ -99,7 +99,10 @@ def _sketch(words: int, side: int, rows: int):
 
 
 def _sets(words: int):
-    """(nid, set) of the rows whose text is the one their node stands for, once per task."""
+    """(nid, set) of the rows whose text is the one their node stands for, once per task.
+
+    A row repeated in several tasks gives its set in each of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
@@ -121,6 +124,14 @@ def _sets(words: int):
     return run
 
 
+def _once(sets: DataFrame, again: DataFrame) -> DataFrame:
+    """One row per nid; only the sets of ``again``, which occur more than once, are shuffled."""
+    again = broadcast_if_small(again)
+    single = sets.join(again, "nid", "left_anti")
+    several = sets.join(again, "nid", "left_semi").dropDuplicates(["nid"])
+    return single.unionByName(written(several, "sets"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     """The pairs (x, y) whose full sets are similar enough."""
     left = sets.select(F.col("nid").alias("x"), F.col("set").alias("sx"))
@@ -326,7 +337,9 @@ def members(
         "wanted",
     )
     texts = rows.select("rid", "text").join(broadcast_if_small(wanted), "rid")
-    sets = written(texts.mapInArrow(_sets(words), "nid long, set array<long>"), "sets")
+    found = written(texts.mapInArrow(_sets(words), "nid long, set array<long>"), "found-sets")
+    again = found.groupBy("nid").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("nid")
+    sets = _once(found, written(again, "repeated"))
 
     links, labels = None, None
     for number in range(STAR_ROUNDS + 1):

@@ -174,6 +174,18 @@ def test_near_leftover_pairs_are_verified(make, rows, monkeypatch):
     assert got == near_brute(data, 2, 80)
 
 
+def test_near_repeated_rows_of_a_large_group(spark, rows, monkeypatch):
+    """A row in several partitions has its rare shingles counted once."""
+    monkeypatch.setattr(near_dedup, "STAR_ROUNDS", 0)
+    common = [f"c{i}" for i in range(90)]
+    data = [(n, " ".join([*common, *(f"r{n}x{i}" for i in range(10))])) for n in range(20)]
+    data += [data[0]] * 2 + [data[1]]
+    docs = spark.sparkContext.parallelize(data, len(data)).toDF("doc_id long, text string")
+    got = rows(near_dedup.members(docs, words=1), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == near_brute(data, 1, 80)
+    assert {r[2] for r in got} == {0}
+
+
 def test_near_without_broadcasts(make, rows, monkeypatch):
     from runlens.llm import common
 
