@@ -7,8 +7,9 @@ language, which is broadcast; beyond that the counts stay tables in Spark, and t
 texts are joined with them. A text's score in a language is its cross-entropy per character, and
 the lowest wins.
 
-A prediction is rejected when the cross-entropy exceeds what the winning language's own counts
-lead to expect for that length.
+A prediction is rejected when the cross-entropy exceeds what is expected of the winning language for
+that length. The texts are halved by their hash for that: each half's characters are scored by the
+counts of the other half, so n-grams that a model has not seen enter the expectation.
 """
 
 from __future__ import annotations
@@ -17,13 +18,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from runlens.llm.charlm import (
-    Model, all_orders, build, count_grams, joined_logs, joined_scores, letter_codes, text_key,
+    Model, _logs, all_orders, build, count_grams, joined_logs, joined_scores, letter_codes, text_key,
 )
 from runlens.llm.common import broadcast_if_small, fresh, slices
 from runlens.session import written
@@ -62,33 +64,89 @@ class Tables:
     expected: DataFrame  # (label, expected, spread), a row per language
 
 
-def _per_char(grams: DataFrame, logs: DataFrame) -> DataFrame:
-    """(label, expected, spread) of the characters counted in (label, gram, n)."""
-    rows = grams.join(logs, ["label", "gram"])
-    weight, log = F.sum("n"), F.col("logp")
-    mean = F.sum(F.col("n") * log) / weight
-    square = F.sum(F.col("n") * log * log) / weight
-    spread = F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))
-    return rows.groupBy("label").agg((-mean).alias("expected"), spread.alias("spread"))
+def _sums(grams: DataFrame, logs: DataFrame) -> DataFrame:
+    """(label, weight, total, square) of the log probabilities of (label, gram, n)."""
+    log = F.col("logp")
+    return (
+        grams.join(logs, ["label", "gram"])
+        .groupBy("label")
+        .agg(
+            F.sum("n").cast("double").alias("weight"),
+            F.sum(F.col("n") * log).alias("total"),
+            F.sum(F.col("n") * log * log).alias("square"),
+        )
+    )
+
+
+def _array_sums(grams: pd.DataFrame, model: Model) -> pd.DataFrame:
+    """The same for a model in arrays."""
+    number = grams["label"].map({x: i for i, x in enumerate(model.labels)}).to_numpy()
+    keys, at = np.unique(grams["gram"].to_numpy(), return_inverse=True)
+    logs = _logs(model.orders, model.floor, keys, len(model.orders))[at, number].astype(np.float64)
+    n = grams["n"].to_numpy().astype(np.float64)
+    sums = pd.DataFrame({"label": grams["label"], "weight": n, "total": n * logs, "square": n * logs**2})
+    return sums.groupby("label", as_index=False).sum()
+
+
+def _per_char(sums: pd.DataFrame) -> pd.DataFrame:
+    """Cross-entropy of a character and its deviation, a row (expected, spread) per label."""
+    of = sums.groupby("label")[["weight", "total", "square"]].sum()
+    mean = of["total"] / of["weight"]
+    spread = np.sqrt((of["square"] / of["weight"] - mean**2).clip(lower=0))
+    return pd.DataFrame({"expected": -mean, "spread": spread})
 
 
 def learn(texts: DataFrame, *, order: int = ORDER, cells: int = CELLS) -> Model | Tables | None:
     """A model of the rows (label, text); rows with a null in either are left out.
 
     None when there is nothing to learn from. With more than ``cells`` numbers it is one of tables.
+    A language whose texts all lie in one half has its expectation from its own counts.
     """
     given = texts.filter(F.col("label").isNotNull() & F.col("text").isNotNull())
-    top = written(count_grams(given, order), "language-grams")
+    side = F.pmod(F.xxhash64("text"), F.lit(2)).cast("string")
+    sided = given.select(F.concat(side, "label").alias("label"), "text")
+    counted = written(count_grams(sided, order), "language-grams")
+    name = F.expr("substring(label, 2)").alias("label")
+    halves = [counted.filter(F.col("label").startswith(x)).select(name, "gram", "n") for x in "01"]
+    top = counted.groupBy(name, "gram").agg(F.sum("n").alias("n"))
     languages = top.select("label").distinct().limit(MAX_LANGUAGES + 1).count()
     if languages > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not languages:
         return None
     levels = all_orders(top, order, F.count(F.lit(1)))
-    if levels.count() * languages > cells:
+    small = levels.count() * languages <= cells
+
+    def array_model(counts: DataFrame) -> Model:
+        return build(counts.select("label", "level", "gram", "n").toPandas(), order, kneser_ney)
+
+    sums = []
+    for half, other in (halves, halves[::-1]):
+        known = [r["label"] for r in other.select("label").distinct().collect()]
+        mine = half.filter(F.col("label").isin(known))
+        if not known or mine.isEmpty():
+            continue
+        rest = all_orders(other, order, F.count(F.lit(1)))
+        if small:
+            sums.append(_array_sums(mine.toPandas(), array_model(rest)))
+        else:
+            logs = joined_logs(mine.select("label", "gram"), rest, order, kneser_ney_columns)
+            sums.append(_sums(mine, logs).toPandas())
+    found = [_per_char(pd.concat(sums))] if sums else []
+    if small:
+        model = array_model(levels)
+        own = pd.DataFrame({"expected": model.expected, "spread": model.spread}, index=model.labels)
+    else:
         logs = joined_logs(top.select("label", "gram"), levels, order, kneser_ney_columns)
-        return Tables(levels, order, written(_per_char(top, logs), "expected"))
-    return build(levels.select("label", "level", "gram", "n").toPandas(), order, kneser_ney)
+        own = _per_char(_sums(top, logs).toPandas())
+    left_out = pd.concat([*found, own])
+    limits = left_out[~left_out.index.duplicated()]
+    if small:
+        model.expected, model.spread = limits.loc[model.labels].to_numpy().T
+        return model
+    rows = [(str(x), float(e), float(d)) for x, e, d in limits.itertuples()]
+    expected = top.sparkSession.createDataFrame(rows, "label string, expected double, spread double")
+    return Tables(levels, order, expected)
 
 
 def predictions(

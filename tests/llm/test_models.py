@@ -98,6 +98,25 @@ def test_language_model_of_any_size_keeps_all_counts(make):
         assert w[:-2] == g[:-2] and w[-1] == g[-1] and w[-2] == pytest.approx(g[-2], abs=1e-4)
 
 
+def test_expected_entropy_is_that_of_texts_left_out(make):
+    """Words of one text only are news to the other half; both forms of the model agree."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join("".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(80)) for _ in range(40)]
+    docs = make([(i, t, "xx") for i, t in enumerate(texts)]).select(F.col("lang").alias("label"), "text")
+    model, tables = language_id.learn(docs), language_id.learn(docs, cells=0)
+    logs, chars = model.logs_of(texts, charlm.letter_codes)
+    assert model.expected[0] > -logs.sum() / chars.sum() + 0.5
+    halves = [[r["text"] for r in docs.filter(F.pmod(F.xxhash64("text"), F.lit(2)) == x).collect()] for x in (0, 1)]
+    total = 0
+    for mine, other in (halves, halves[::-1]):
+        taught = make([(i, t, "xx") for i, t in enumerate(other)]).select(F.col("lang").alias("label"), "text")
+        total += language_id.learn(taught).logs_of(mine, charlm.letter_codes)[0].sum()
+    assert model.expected[0] == pytest.approx(-total / chars.sum(), rel=1e-4)
+    limits = tables.expected.first()
+    assert limits["expected"] == pytest.approx(model.expected[0], rel=1e-4)
+    assert limits["spread"] == pytest.approx(model.spread[0], rel=1e-3)
+
+
 def test_nothing_to_learn_from(make):
     got = language_id.identify(make([(1, EN, None), (2, None, "en")]), F.lit(True)).collect()
     assert {(r["lang_pred"], r["score"], r["rejected"]) for r in got} == {("und", 0.0, True)}
