@@ -6,7 +6,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import bpe, exact_dedup, language_id, license_scan, line_dedup, near_dedup, packing, quality, token_files, url_filter
+from runlens.functions.text import compute_once
+from runlens.llm import (
+    bpe,
+    embedding_dedup,
+    exact_dedup,
+    language_id,
+    license_scan,
+    line_dedup,
+    near_dedup,
+    packing,
+    periodic,
+    quality,
+    spelling,
+    token_files,
+    url_filter,
+)
 from runlens.llm.common import prepared
 from runlens.session import scratch_path
 from runlens.tables import load
@@ -89,6 +104,40 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(_table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of vectors of one label whose cosine is 0.93 or more."""
+    return embedding_dedup.members(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words one edit apart and the form each stands for; about one word in 97 loses a letter first."""
+    runs = spelling.runs(_table(spark, sf_dir, "documents"))
+    h = F.crc32(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("word")).cast("binary"))
+    place = (h % F.char_length("word")).cast("int")
+    cut = F.concat(F.substring("word", F.lit(1), place), F.substring("word", place + 2, F.char_length("word")))
+    words = runs.select(F.when(h % 97 == 0, cut).otherwise(F.col("word")).alias("word"))
+    found = spelling.grouped(spelling.vocabulary(words))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def _with_cycles(docs: DataFrame) -> DataFrame:
+    """Documents of which a tenth repeat a stretch of their words up to the end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g, n = F.expr("h div 10"), F.size("words")
+    held = compute_once(docs, {"h": h, "words": F.when(h % 10 == 0, quality.words_of(F.col("text")))})
+    held = compute_once(held, {"a": (g % n).cast("int"), "p": (1 + F.floor((n - g % n) / (3 + g % 8))).cast("int")})
+    times = F.ceil((n - F.col("a")) / F.col("p")).cast("int")
+    cycle = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), times))
+    text = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(cycle, F.lit(1), n - F.col("a"))), " ")
+    return held.select("doc_id", F.when((F.col("h") % 10 == 0) & (n > 0), text).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every text, and the texts without their repetitions, as digests."""
+    docs = _with_cycles(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return periodic.digests(periodic.scan(docs))
+
+
 QUERIES = {
     "op1_bpe_codec": op1_bpe_codec,
     "op2_token_files": op2_token_files,
@@ -100,6 +149,9 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
+    "op11_embedding_dedup": op11_embedding_dedup,
+    "op12_spelling_groups": op12_spelling_groups,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 def _license_sql() -> str:
