@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -296,8 +298,9 @@ def provenance(fields: dict[str, Column], digest: Column | None = None) -> Colum
 # --- suggestions -----------------------------------------------------------------------
 
 
-def segment_candidates(commands: DataFrame) -> DataFrame:
-    """Candidates from ``(name, short, hidden, alias_target, alias_description)`` commands."""
+def segment_candidates(commands: DataFrame, *keys: str) -> DataFrame:
+    """Candidates from ``(name, short, hidden, alias_target, alias_description)`` commands, with
+    their ``keys``."""
     target, text = F.coalesce("alias_target", F.lit("")), F.coalesce("alias_description", F.lit(""))
     plain = F.coalesce(F.nullif("short", F.lit("")), F.col("name"))
     display = (
@@ -306,12 +309,12 @@ def segment_candidates(commands: DataFrame) -> DataFrame:
         .otherwise(plain)
     )
     return commands.filter(~F.coalesce("hidden", F.lit(False)) & (F.col("name") != "")).select(
-        F.col("name").alias("insert"), display.alias("display")
+        *keys, F.col("name").alias("insert"), display.alias("display")
     )
 
 
-def flag_candidates(flags: DataFrame) -> DataFrame:
-    """``--name`` and ``-s`` candidates from ``(name, usage, shorthand, hidden)`` flags.
+def flag_candidates(flags: DataFrame, *keys: str) -> DataFrame:
+    """``--name`` and ``-s`` candidates from ``(name, usage, shorthand, hidden)`` flags, per ``keys``.
 
     Forms that differ in case only count once; the first flag by name keeps the form.
     """
@@ -323,12 +326,12 @@ def flag_candidates(flags: DataFrame) -> DataFrame:
         )
     )
     shown = flags.filter(~F.coalesce("hidden", F.lit(False))).select(
-        "name", F.explode(forms).alias("insert"), display.alias("display")
+        *keys, "name", F.explode(forms).alias("insert"), display.alias("display")
     )
     return (
-        shown.groupBy(F.lower("insert").alias("k"))
+        shown.groupBy(*keys, F.lower("insert").alias("__form"))
         .agg(F.min_by(F.struct("insert", "display"), "name").alias("f"))
-        .select("f.*")
+        .select(*keys, "f.*")
     )
 
 
@@ -344,8 +347,11 @@ def value_hints(arg: str | Column) -> Column:
     )
 
 
-def prefix_suggest(candidates: DataFrame, queries: DataFrame, query: str = "query") -> DataFrame:
-    """Candidates ``(insert, display)`` whose name starts with each query, without regard to case.
+def prefix_suggest(
+    candidates: DataFrame, queries: DataFrame, query: str = "query", *, on: Sequence[str] = ()
+) -> DataFrame:
+    """Candidates ``(insert, display)`` whose name starts with each query, without regard to case;
+    those with the same ``on`` columns only, where given.
 
     Names starting with ``:`` only show for queries that do. The prefix test runs as an equi
     join: candidates are cut to the lengths that occur among the queries (at most the longest
@@ -362,4 +368,4 @@ def prefix_suggest(candidates: DataFrame, queries: DataFrame, query: str = "quer
         .drop("__low", "__n")
     )
     internal = F.col("insert").startswith(":") & ~F.col("__p").startswith(":")
-    return wanted.join(cut, "__p").filter(~internal).drop("__p")
+    return wanted.join(cut, [*on, "__p"]).filter(~internal).drop("__p")

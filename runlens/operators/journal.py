@@ -17,6 +17,8 @@ BUFFER_EVENTS = 1000
 # Smallest bucket of sequences by which a run's newest rows are found.
 FINE_ROWS = 1024
 BUFFER_SECONDS = 300
+# Sequences in a bucket of the grid on which cursors meet rows.
+GRID_ROWS = 1 << 12
 
 _LONG_MIN = -(1 << 63)
 
@@ -171,18 +173,72 @@ def resume_classes(cursors: DataFrame, journal: DataFrame) -> DataFrame:
     )
 
 
-def resume_rows(cursors: DataFrame, journal: DataFrame) -> DataFrame:
-    """Journal rows each ``ok`` cursor still has to see (subscriber, run_id, cursor)."""
-    good = (
-        resume_classes(cursors, journal)
-        .filter(F.col("outcome") == "ok")
-        .select("subscriber", "run_id", "after_seq")
+def _resumable(cursors: DataFrame, journal: DataFrame, bucket_rows: int) -> DataFrame:
+    """(subscriber, run_id, after_seq, __b): ``ok`` cursors and the bucket they lie in."""
+    good = resume_classes(cursors, journal).filter(F.col("outcome") == "ok")
+    bucket = F.expr(f"after_seq div {int(bucket_rows)}L")
+    return good.select("subscriber", "run_id", "after_seq", bucket.alias("__b"))
+
+
+def resume_grid(cursors: DataFrame, journal: DataFrame, bucket_rows: int = GRID_ROWS) -> DataFrame:
+    """(subscriber, run_id, after_seq, __b): every bucket of its run a cursor still has rows in.
+
+    Later buckets than the cursor's are wanted whole. Only bucket numbers are paired here, a
+    ``bucket_rows``-th of the rows.
+    """
+    good = _resumable(cursors, journal, bucket_rows).withColumnRenamed("__b", "__from")
+    held = journal.select("run_id", F.expr(f"seq div {int(bucket_rows)}L").alias("__b")).distinct()
+    return good.join(held, "run_id").filter(F.col("__b") >= F.col("__from")).drop("__from")
+
+
+def resume_rows(cursors: DataFrame, journal: DataFrame, *, bucket_rows: int = GRID_ROWS) -> DataFrame:
+    """Journal rows each ``ok`` cursor still has to see (subscriber, run_id, cursor).
+
+    Rows meet cursors on (run, bucket of sequences), in the buckets where a cursor has rows left. Of
+    the rows formed only those in a cursor's own bucket can be too many, so the join makes no more
+    than its output and ``bucket_rows`` per cursor, and a hot run is spread over its buckets.
+    """
+    wanted = resume_grid(cursors, journal, bucket_rows)
+    rows = journal.withColumn("__b", F.expr(f"seq div {int(bucket_rows)}L"))
+    met = rows.join(wanted, ["run_id", "__b"]).filter(F.col("seq") > F.col("after_seq"))
+    return met.select(*journal.columns, "subscriber")
+
+
+def resume_counts(cursors: DataFrame, journal: DataFrame, *, bucket_rows: int = GRID_ROWS) -> DataFrame:
+    """(subscriber, run_id, n, first_seq, last_seq) of the rows of ``resume_rows``, without them.
+
+    Totals per (run, bucket), added up from the newest down, answer for all buckets after a cursor's
+    own; rows are met in that bucket only. Cursors without rows left are left out.
+    """
+    good = _resumable(cursors, journal, bucket_rows)
+    rows = journal.select("run_id", "seq", F.expr(f"seq div {int(bucket_rows)}L").alias("__b"))
+    totals = rows.groupBy("run_id", "__b").agg(
+        F.count(F.lit(1)).alias("n"), F.min("seq").alias("lo"), F.max("seq").alias("hi")
     )
-    return (
-        journal.join(good, "run_id")
+    none = F.lit(None).cast("long")
+    marks = good.select("run_id", "__b", F.lit(0).cast("long").alias("n"), none.alias("lo"), none.alias("hi"))
+    every = totals.unionByName(marks).groupBy("run_id", "__b").agg(
+        F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
+    )
+    newer = Window.partitionBy("run_id").orderBy(F.col("__b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    after = every.select(
+        "run_id", "__b", F.coalesce(F.sum("n").over(newer), F.lit(0)).alias("__n"),
+        F.min("lo").over(newer).alias("__lo"), F.max("hi").over(newer).alias("__hi"),
+    )
+    edge = (
+        rows.join(good, ["run_id", "__b"])
         .filter(F.col("seq") > F.col("after_seq"))
-        .drop("after_seq")
+        .groupBy("subscriber", "run_id")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("lo"), F.max("seq").alias("hi"))
     )
+    joined = good.join(after, ["run_id", "__b"]).join(edge, ["subscriber", "run_id"], "left")
+    return joined.select(
+        "subscriber",
+        "run_id",
+        (F.col("__n") + F.coalesce("n", F.lit(0))).alias("n"),
+        F.coalesce("lo", "__lo").alias("first_seq"),
+        F.coalesce("__hi", "hi").alias("last_seq"),
+    ).filter("n > 0")
 
 
 def _start_of_newest(rows: DataFrame, limit: int, size: int) -> DataFrame:

@@ -206,6 +206,16 @@ def policy_rollup(decisions: DataFrame) -> DataFrame:
     return counters(decisions, ["profile", "subject", "decision", "code"])
 
 
+def table_files(table: DataFrame) -> DataFrame:
+    """(path, size) of the files a table is read from.
+
+    The file's own metadata stands beside every row; no column is read, and a task hands on one
+    row per file.
+    """
+    meta = F.col("_metadata")
+    return table.select(meta["file_path"].alias("path"), meta["file_size"].alias("size")).distinct()
+
+
 def storage_health(
     files: DataFrame,
     journal_bytes: DataFrame,

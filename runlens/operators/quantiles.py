@@ -1,13 +1,44 @@
-"""Exact nearest-rank percentiles without holding a group's values in one buffer."""
+"""Exact nearest-rank percentiles without holding a group's values in one buffer.
+
+Every wanted rank lies in a window of values, at first all of its key. A round cuts the windows that
+are still too large at values a sketch proposes and counts rows between them; the counts are
+sums, so they are combined per task, and they tell into which part a rank falls and how many
+rows lie below. Windows of at most ``bound`` rows, or of one value, are ranked directly.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 10_000
+from runlens.session import written
+
+ACCURACY = 1000
+# Rows of a window that is ranked by sorting its distinct values.
+BOUND = 1 << 16
+# Points at which a round cuts a window.
+CUTS = 64
+
+
+def _parts(inside: DataFrame, by: list[str], accuracy: int) -> DataFrame:
+    """(by, __part, __n, __plo, __phi) of the parts of all windows: rows, lowest and highest value.
+
+    A proposed value is a part of its own, so a value with many rows is settled by one round; the parts
+    between hold about ``1 / CUTS`` of the window's rows.
+    """
+    points = [i / CUTS for i in range(CUTS + 1)]
+    cuts = inside.groupBy(*by).agg(F.percentile_approx("__v", points, accuracy).alias("__s"))
+    below = F.size(F.filter("__s", lambda s: s < F.col("__v"))) + F.size(F.filter("__s", lambda s: s <= F.col("__v")))
+    cut = inside.join(cuts, by).withColumn("__part", below)
+    return cut.groupBy(*by, "__part").agg(
+        F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__plo"), F.max("__v").alias("__phi")
+    )
+
+
+def _rank(total: Column) -> Column:
+    return F.least(total, F.greatest(F.lit(1), F.ceil(F.col("q") * total)))
 
 
 def nearest_rank(
@@ -17,66 +48,64 @@ def nearest_rank(
     quantiles: Sequence[float],
     *,
     accuracy: int = ACCURACY,
+    bound: int = BOUND,
 ) -> DataFrame:
-    """Value at rank ``ceil(q * n)`` per key and quantile: (keys, q, n, value).
+    """Value at rank ``ceil(q * n)`` per key and quantile: (keys, q, n, value); nulls don't count.
 
-    A sketch gives splitters just below and above every wanted quantile. Exact counts between
-    the splitters locate the slot that holds each wanted rank, and only the distinct values of
-    that slot (normally some ``4 / accuracy`` of the rows) are ranked. The splitters decide
-    how much is ranked, never what the answer is.
+    The answer is exact: a sketch only proposes where to cut. No sort sees more than ``bound`` distinct
+    values of a key's window, and a round leaves about a ``CUTS``-th of a larger one, so the number of rounds
+    is logarithmic in the largest key.
     """
     if not keys:
-        whole = nearest_rank(
-            df.withColumn("__all", F.lit(0)), ["__all"], value, quantiles, accuracy=accuracy
-        )
-        return whole.drop("__all")
+        one = df.withColumn("__all", F.lit(0))
+        return nearest_rank(one, ["__all"], value, quantiles, accuracy=accuracy, bound=bound).drop("__all")
     keys = list(keys)
-    margin = 2.0 / accuracy
-    points = sorted({min(1.0, max(0.0, q + d)) for q in quantiles for d in (-margin, margin)})
     rows = df.select(*keys, F.col(value).cast("double").alias("__v")).filter("__v IS NOT NULL")
-    splitters = rows.groupBy(*keys).agg(
-        F.percentile_approx("__v", points, accuracy).alias("__s")
-    )
-    slotted = rows.join(splitters, keys).withColumn(
-        "__slot", F.size(F.filter("__s", lambda s: s < F.col("__v")))
-    ).drop("__s")
-
-    slots = slotted.groupBy(*keys, "__slot").agg(F.count(F.lit(1)).alias("__n"))
-    below = Window.partitionBy(*keys).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    ranked_slots = slots.select(
-        *keys,
-        "__slot",
-        F.coalesce(F.sum("__n").over(below), F.lit(0)).alias("__below"),
-        "__n",
-        F.sum("__n").over(whole).alias("__total"),
-    )
+    # a window: the key's __size rows from __lo to __hi, with __below rows before them
     wanted = (
-        ranked_slots.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in quantiles])))
-        .withColumn(
-            "__rank",
-            F.least(
-                F.col("__total"),
-                F.greatest(F.lit(1), F.ceil(F.col("q") * F.col("__total"))),
-            ),
-        )
-        .filter(
-            (F.col("__rank") > F.col("__below"))
-            & (F.col("__rank") <= F.col("__below") + F.col("__n"))
+        rows.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+        .withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in quantiles])))
+        .select(
+            *keys, "q", "n", _rank(F.col("n")).alias("__rank"), "__lo", "__hi",
+            F.lit(0).cast("long").alias("__below"), F.col("n").alias("__size"),
         )
-        .select(*keys, "__slot", "q", "__rank", "__below", F.col("__total").alias("n"))
-    )
-    slot_keys = [*keys, "__slot"]
-    inside = slotted.join(wanted.select(*slot_keys).distinct(), slot_keys, "left_semi")
-    up_to = Window.partitionBy(*slot_keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    )
+    wanted = written(wanted, "ranks")
+    large = (F.col("__size") > bound) & (F.col("__lo") < F.col("__hi"))
+    by = [*keys, "__lo", "__hi"]
+    while not wanted.filter(large).isEmpty():
+        open_ = wanted.filter(large)
+        window = open_.select(*by).distinct()
+        inside = rows.join(window, keys).filter(F.col("__v").between(F.col("__lo"), F.col("__hi")))
+        parts = _parts(inside, by, accuracy)
+        before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = parts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+        start = F.col("__below") + F.col("__before")
+        found = (
+            open_.join(parts, by)
+            .filter((F.col("__rank") > start) & (F.col("__rank") <= start + F.col("__n")))
+            .select(
+                *keys, "q", "n", "__rank", F.col("__plo").alias("__lo"), F.col("__phi").alias("__hi"),
+                start.alias("__below"), F.col("__n").alias("__size"),
+            )
+        )
+        wanted = written(wanted.filter(~large).unionByName(found), "ranks")
+    single = wanted.filter(F.col("__lo") == F.col("__hi")).select(*keys, "q", "n", F.col("__lo").alias("value"))
+    several = wanted.filter(F.col("__lo") < F.col("__hi"))
+    window = several.select(*by).distinct()
+    up_to = Window.partitionBy(*by).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     counted = (
-        inside.groupBy(*slot_keys, "__v")
+        rows.join(window, keys)
+        .filter(F.col("__v").between(F.col("__lo"), F.col("__hi")))
+        .groupBy(*by, "__v")
         .agg(F.count(F.lit(1)).alias("__c"))
         .withColumn("__cum", F.sum("__c").over(up_to))
     )
-    return (
-        counted.join(wanted, slot_keys)
+    ranked = (
+        counted.join(several, by)
         .filter(F.col("__below") + F.col("__cum") >= F.col("__rank"))
         .groupBy(*keys, "q", "n")
         .agg(F.min("__v").alias("value"))
     )
+    return single.unionByName(ranked)

@@ -11,7 +11,7 @@ from runlens.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_AREAS = ("journal", "runs", "metrics", "keyed", "logs", "catalog", "checks", "streams")
+_AREAS = ("journal", "runs", "metrics", "keyed", "logs", "catalog", "completion", "checks", "streams")
 
 
 def _areas():

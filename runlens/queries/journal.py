@@ -49,7 +49,7 @@ _KEPT = f"""kept AS (
 )"""
 
 
-def _cursors(spark: SparkSession, sf: str) -> DataFrame:
+def journal_cursors(spark: SparkSession, sf: str) -> DataFrame:
     """One cursor per customer, some blank, some no number."""
     key = F.col("c_custkey")
     text = (
@@ -65,21 +65,21 @@ def _cursors(spark: SparkSession, sf: str) -> DataFrame:
 
 def cursor_resume(spark: SparkSession, sf: str) -> DataFrame:
     kept = J.retained(tables.journal(spark, sf), BUDGET, bucket_rows=BUCKET)
-    return J.resume_classes(_cursors(spark, sf), kept).select(
+    return J.resume_classes(journal_cursors(spark, sf), kept).select(
         "subscriber", "run_id", "after_seq", "earliest", "latest", "outcome"
     )
 
 
 _RUNS = "(SELECT CAST(floor(max(user_id) * 1.25) AS BIGINT) + 1 FROM events)"
 
-_CURSORS = f"""cursors AS (
+CURSORS_SQL = f"""cursors AS (
   SELECT c_custkey AS subscriber, CAST(c_custkey % {_RUNS} AS VARCHAR) AS run_id,
          CASE c_custkey % 10 WHEN 0 THEN 0 WHEN 1 THEN NULL ELSE c_custkey * 7 END AS after_seq
   FROM customer
 )"""
 
 _RESUME = f"""
-WITH {_KEPT}, {_CURSORS},
+WITH {_KEPT}, {CURSORS_SQL},
 bounds AS (SELECT run_id, min(seq) AS earliest, max(seq) AS latest FROM kept GROUP BY run_id)
 SELECT subscriber, c.run_id, after_seq, coalesce(earliest, 0) AS earliest,
        coalesce(latest, 0) AS latest,
@@ -93,11 +93,25 @@ FROM cursors c LEFT JOIN bounds b USING (run_id)
 def journal_tail(spark: SparkSession, sf: str) -> DataFrame:
     """Rows every resumable cursor still has to see."""
     kept = J.retained(tables.journal(spark, sf), BUDGET, bucket_rows=BUCKET)
-    return J.resume_rows(_cursors(spark, sf), kept).groupBy("subscriber", "run_id").agg(
+    return J.resume_rows(journal_cursors(spark, sf), kept).groupBy("subscriber", "run_id").agg(
         F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")
     )
 
 
+def journal_tail_hot(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left for every customer, event types taken as runs: many cursors on each hot run."""
+    log = tables.journal(spark, sf).select("seq", F.col("event_type").alias("run_id"))
+    types = log.select("run_id").distinct().withColumn("number", F.length("run_id") % 4)
+    top = log.agg(F.max("seq")).scalar()
+    cursors = tables.load(spark, sf, "customer").select(
+        F.col("c_custkey").alias("subscriber"),
+        (F.col("c_custkey") % 4).cast("int").alias("number"),
+        (F.col("c_custkey") * 37 % (top + 1)).cast("string").alias("cursor"),
+    )
+    cursors = cursors.join(types, "number").drop("number")
+    return J.resume_counts(cursors, log, bucket_rows=256)
+
+
 _TAIL = f"""
 WITH r AS ({_RESUME}), {_KEPT}
 SELECT subscriber, r.run_id, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq
@@ -259,7 +273,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         journal_bytes, journal_admission, journal_retained, journal_evictions, journal_bounds,
-        cursor_resume, journal_tail, journal_range_scan, run_sequence, global_sequence,
+        cursor_resume, journal_tail, journal_tail_hot, journal_range_scan, run_sequence, global_sequence,
         replay_buffer, replay_buffer_hot, replay_from_id, delivery_filter, replay_live_union, point_lookup,
         ndjson_export, payload_validity,
     )
@@ -284,6 +298,15 @@ SQL = {
         SELECT run_id, min(seq) AS earliest, max(seq) AS latest FROM kept GROUP BY run_id""",
     "cursor_resume": _RESUME,
     "journal_tail": _TAIL,
+    "journal_tail_hot": """
+        WITH log AS (SELECT event_id AS seq, event_type AS run_id FROM events),
+             bounds AS (SELECT run_id, length(run_id) % 4 AS number, min(seq) AS lo, max(seq) AS hi FROM log GROUP BY ALL),
+             asked AS (SELECT c_custkey AS subscriber, c_custkey % 4 AS number,
+                              c_custkey * 37 % ((SELECT max(seq) FROM log) + 1) AS cur FROM customer),
+             good AS (SELECT subscriber, run_id, cur FROM asked JOIN bounds USING (number)
+                      WHERE NOT (cur > 0 AND lo > 0 AND (cur < lo OR cur > hi)))
+        SELECT subscriber, run_id, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq
+        FROM good JOIN log USING (run_id) WHERE seq > cur GROUP BY ALL""",
     "journal_range_scan": """
         SELECT event_id AS seq, event_type, props AS payload FROM events
         WHERE user_id = 42 AND event_id > 500 ORDER BY event_id""",

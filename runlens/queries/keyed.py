@@ -10,6 +10,7 @@ from runlens.functions.access import kv_check, request_key_valid, scoped_request
 from runlens.functions.payload import canonical_hash
 from runlens.operators import keyed as K
 from runlens.operators import requests as Q
+from runlens.operators import snapshots as SN
 
 BUCKET = 1 << 16
 QUOTA = 200_000
@@ -59,6 +60,38 @@ def kv_prefix_page(spark: SparkSession, sf: str) -> DataFrame:
     return page.select("k", "size", "next_cursor")
 
 
+PAGE_LANGS = ("en", "de", "es", "fr")
+
+
+def kv_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """A page of document keys for every customer: prefixes of sources, some with a cursor."""
+    key = F.col("c_custkey")
+    source = F.concat(F.lit("src"), (key % 13).cast("string"), F.lit(":"))
+    requests = tables.load(spark, sf, "customer").select(
+        key.alias("request"),
+        F.element_at(F.array(*[F.lit(x) for x in PAGE_LANGS]), (key % 4 + 1).cast("int")).alias("namespace"),
+        F.when(key % 3 == 0, "src").when(key % 3 == 1, source)
+        .otherwise(F.concat(source, (key % 10).cast("string"))).alias("prefix"),
+        F.when(key % 5 == 0, "").otherwise(F.concat(source, (key % 900).cast("string"))).alias("cursor"),
+        (key % 40).cast("int").alias("limit"),
+    )
+    live = tables.kv_documents(spark, sf).select(
+        "namespace", "k", F.octet_length("v").cast("long").alias("size")
+    )
+    return SN.prefix_pages(live, requests).select("request", "place", "k", "size", "next_cursor")
+
+
+def kv_compacted(spark: SparkSession, sf: str) -> DataFrame:
+    """The change log in three change sets, each folded into the stored snapshot."""
+    changes = tables.kv_changes(spark, sf)
+    top = changes.agg(F.max("ord")).scalar()
+    third = F.least(F.expr("2L"), F.floor(F.col("ord") * 3 / top))
+    snapshot = SN.Snapshot(spark, ["namespace", "k"], "ord", slots=8)
+    for number in range(3):
+        snapshot.apply(changes.filter(third == number))
+    return snapshot.live().select("namespace", "k", "v", "ord")
+
+
 def kv_checks(spark: SparkSession, sf: str) -> DataFrame:
     """Row checks of every document write; keys of source src3 are blown up to be too long."""
     rows = tables.kv_documents(spark, sf)
@@ -98,16 +131,17 @@ def idem_ttl(spark: SparkSession, sf: str) -> DataFrame:
     return decided.select("key", "seq", "decision", "anchor_seq")
 
 
-IDEM_TTL_SQL = f"""
+def idem_sql(key: str, ttl_ms: int) -> str:
+    return f"""
 WITH RECURSIVE rows AS (
-  SELECT 'key-' || user_id % 3 AS key, event_id AS seq, epoch_ms(ts) AS ms, event_type AS hash,
+  SELECT {key} AS key, event_id AS seq, epoch_ms(ts) AS ms, event_type AS hash,
          event_type <> 'error' AS valid
   FROM events
 ), cand AS (
   SELECT key, ms, min(seq) AS seq, min_by(hash, seq) AS hash FROM rows WHERE valid GROUP BY key, ms
 ), nxt AS (
   SELECT key, ms, min(ms) OVER (PARTITION BY key ORDER BY ms
-                                RANGE BETWEEN {TTL_MS + 1} FOLLOWING AND UNBOUNDED FOLLOWING) AS next_ms
+                                RANGE BETWEEN {ttl_ms + 1} FOLLOWING AND UNBOUNDED FOLLOWING) AS next_ms
   FROM cand
 ), chain AS (
   SELECT key, min(ms) AS ms FROM cand GROUP BY key
@@ -122,10 +156,13 @@ SELECT r.key, r.seq,
             WHEN o.hash = r.hash THEN 'replay' ELSE 'conflict' END AS decision,
        o.seq AS anchor_seq
 FROM rows r LEFT JOIN opened o
-  ON o.key = r.key AND r.ms BETWEEN o.ms AND o.ms + {TTL_MS} AND r.seq >= o.seq
+  ON o.key = r.key AND r.ms BETWEEN o.ms AND o.ms + {ttl_ms} AND r.seq >= o.seq
 """
 
 
+IDEM_TTL_SQL = idem_sql("'key-' || user_id % 3", TTL_MS)
+
+
 def idem_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """Order requests against responses stored for customers."""
     store = tables.load(spark, sf, "customer").select(
@@ -201,8 +238,8 @@ def canonical_bodies(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        kv_latest, kv_deletes, kv_upsert, kv_namespace_size, kv_prefix_page, kv_checks,
-        kv_admission, kv_change_admission, idem_lookup, idem_ttl, idem_keys, declared_hashes,
+        kv_latest, kv_deletes, kv_upsert, kv_namespace_size, kv_prefix_page, kv_pages, kv_compacted,
+        kv_checks,         kv_admission, kv_change_admission, idem_lookup, idem_ttl, idem_keys, declared_hashes,
         canonical_bodies,
     )
 }
@@ -236,6 +273,26 @@ SQL = {
         ), numbered AS (SELECT *, row_number() OVER (ORDER BY k) AS r FROM page)
         SELECT k, size, (SELECT max(CASE WHEN r = 25 THEN k END) FROM numbered HAVING count(*) > 25) AS next_cursor
         FROM numbered WHERE r <= 25""",
+    "kv_compacted": f"WITH {_LATEST} SELECT namespace, k, v, ord FROM latest WHERE last_type <> 'error'",
+    "kv_pages": """
+        WITH req AS (
+          SELECT c_custkey AS request,
+                 CASE c_custkey % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'es' ELSE 'fr' END AS namespace,
+                 CASE c_custkey % 3 WHEN 0 THEN 'src' WHEN 1 THEN 'src' || c_custkey % 13 || ':'
+                      ELSE 'src' || c_custkey % 13 || ':' || c_custkey % 10 END AS prefix,
+                 CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'src' || c_custkey % 13 || ':' || c_custkey % 900 END AS cur,
+                 CASE WHEN c_custkey % 40 = 0 THEN 256 ELSE c_custkey % 40 END AS lim
+          FROM customer
+        ), met AS (
+          SELECT request, lim, source || ':' || doc_id AS k, strlen(text) AS size,
+                 row_number() OVER (PARTITION BY request ORDER BY source || ':' || doc_id) AS place,
+                 count(*) OVER (PARTITION BY request) AS total
+          FROM req JOIN documents ON lang = namespace AND starts_with(source || ':' || doc_id, prefix)
+                                 AND source || ':' || doc_id > cur
+        )
+        SELECT request, place, k, size,
+               CASE WHEN total > lim THEN max(CASE WHEN place = lim THEN k END) OVER (PARTITION BY request) END AS next_cursor
+        FROM met QUALIFY place <= lim""",
     "kv_checks": """
         SELECT CASE WHEN source = 'src3' OR starts_with(source, 'src3')
                       THEN CASE WHEN strlen(source || ':' || doc_id) * 60 > 256 THEN 'key_too_large' END

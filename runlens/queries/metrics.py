@@ -100,6 +100,12 @@ def latency_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     return nearest_rank(events, ["event_type"], "value", QUANTILES)
 
 
+def latency_quantiles_hot(spark: SparkSession, sf: str) -> DataFrame:
+    """Quantiles of all prices as one hot key, in rounds of narrowing down to small windows."""
+    lines = tables.load(spark, sf, "lineitem")
+    return nearest_rank(lines, [], "l_extendedprice", QUANTILES, bound=500)
+
+
 def span_rollup(spark: SparkSession, sf: str) -> DataFrame:
     """Supplier deliveries as spans: name = ship status, outcome = return flag."""
     spans = tables.load(spark, sf, "lineitem").select(
@@ -203,6 +209,17 @@ def storage_health(spark: SparkSession, sf: str) -> DataFrame:
     ).drop("driver")
 
 
+def storage_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Health of the documents' own files, their sizes taken from the scan."""
+    return M.storage_health(
+        M.table_files(tables.load(spark, sf, "documents")),
+        J.total_bytes(tables.journal(spark, sf)),
+        max_bytes=2_600_000,
+        journal_max_bytes=100_000,
+        schema_version=3,
+    )
+
+
 def exposition_text(spark: SparkSession, sf: str) -> DataFrame:
     """Counter and histogram text of the access log and event values."""
     hits = route_counts(spark, sf)
@@ -253,7 +270,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         event_counters, eviction_counters, value_histogram, histogram_totals, container_histogram,
-        gauge_clamped, latency_quantiles, span_rollup, route_counts, access_audit, storage_health,
+        gauge_clamped, latency_quantiles, latency_quantiles_hot, span_rollup, route_counts,
+        access_audit, storage_health, storage_files,
         exposition_text, runner_counters,
     )
 }
@@ -325,6 +343,11 @@ SQL = {
                       ELSE quantile_disc(value, 0.99) END AS value
         FROM events, (SELECT CAST(unnest([0.5, 0.95, 0.99]) AS DOUBLE) AS q)
         GROUP BY event_type, q""",
+    "latency_quantiles_hot": """
+        SELECT q, count(l_extendedprice) AS n,
+               CASE q WHEN 0.5 THEN quantile_disc(l_extendedprice, 0.5) WHEN 0.95 THEN quantile_disc(l_extendedprice, 0.95)
+                      ELSE quantile_disc(l_extendedprice, 0.99) END AS value
+        FROM lineitem, (SELECT CAST(unnest([0.5, 0.95, 0.99]) AS DOUBLE) AS q) GROUP BY q""",
     "span_rollup": """
         SELECT 'ship.' || lower(l_linestatus) AS span,
                CASE WHEN l_returnflag = 'R' THEN 'error' ELSE 'ok' END AS outcome,

@@ -2,32 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from runlens.operators.journal import BUFFER_EVENTS, BUFFER_SECONDS, append_outcome, assign_seq
+from runlens.operators.journal import BUFFER_EVENTS, BUFFER_SECONDS, resume_classes, resume_rows
 from runlens.operators.keyed import NAMESPACE_MAX_BYTES, change_check, entry_bytes
 from runlens.operators.requests import TTL_MS
 from runlens.operators.runs import status_fold
-from runlens.session import ROCKSDB_PROVIDER, scratch_path
+from runlens.session import ROCKSDB_PROVIDER, scratch_path, setting, written
 from runlens.streaming import processors as P
+from runlens.streaming.commits import ZONE_ROWS, Sink, commit
 
-Sink = Callable[[DataFrame, int], None]
+# How late a request may arrive behind the newest one seen, with stored responses still in place.
+LATENESS = "10 minutes"
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """Keyed state machines keep their state in RocksDB."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
-
-
-def _below(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """Earlier batches of a table partitioned by ``batch``; null when there is none."""
-    if batch_id == 0:
-        return None
-    return spark.read.parquet(path).filter(F.col("batch") < batch_id)
+STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def _replace_batch(df: DataFrame, path: str, batch_id: int) -> None:
@@ -36,32 +30,20 @@ def _replace_batch(df: DataFrame, path: str, batch_id: int) -> None:
 
 
 def journal_sink(
-    path: str, *, arrival: str, max_bytes: int, downstream: Sequence[Sink | None] = ()
+    path: str,
+    *,
+    arrival: str,
+    max_bytes: int,
+    downstream: Sequence[Sink | None] = (),
+    zone_rows: int = ZONE_ROWS,
 ) -> Sink:
-    """``foreachBatch`` writer: journal first, then every downstream sink.
-
-    Sequences continue from the high mark of the batches before, so a replayed batch gets the
-    same numbers. Downstream sinks read what the journal holds, with its sequence, and only run
-    once the journal write has succeeded. Missing sinks are skipped.
-    """
-    events, marks, refused = f"{path}/events", f"{path}/marks", f"{path}/refused"
+    """``foreachBatch`` writer into the journal store below ``path``: a commit per batch, then
+    every downstream sink. Missing sinks are skipped."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        checked = batch.withColumn("outcome", append_outcome(max_bytes))
-        good = checked.filter(F.col("outcome") == "ok").drop("outcome")
-        earlier = _below(spark, marks, batch_id)
-        high = earlier.agg(F.max("high")).first()[0] if earlier is not None else 0
-        stamped = assign_seq(good, arrival, high_mark=int(high or 0))
-        _replace_batch(stamped.withColumn("ts", F.date_trunc("MILLISECOND", "ts")), events, batch_id)
-        _replace_batch(checked.filter(F.col("outcome") != "ok"), refused, batch_id)
-        written = spark.read.schema(stamped.schema).parquet(f"{events}/batch={batch_id}")
-        _replace_batch(
-            written.agg(F.coalesce(F.max("seq"), F.lit(int(high or 0))).alias("high")), marks, batch_id
+        commit(
+            batch, path, arrival=arrival, max_bytes=max_bytes, downstream=downstream, zone_rows=zone_rows
         )
-        for sink in downstream:
-            if sink is not None:
-                sink(written, batch_id)
 
     return write
 
@@ -80,20 +62,20 @@ def start(
 ) -> StreamingQuery:
     """Run everything available now through ``sink``."""
     place = checkpoint or scratch_path(stream.sparkSession, "stream")
-    return (
-        stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", place)
-        .foreachBatch(sink)
-        .trigger(availableNow=True)
-        .start()
-    )
+    with setting(stream.sparkSession, STATE_PROVIDER, ROCKSDB_PROVIDER):
+        return (
+            stream.writeStream.outputMode(mode)
+            .option("checkpointLocation", place)
+            .foreachBatch(sink)
+            .trigger(availableNow=True)
+            .start()
+        )
 
 
-def drain(stream: DataFrame, name: str, *, mode: str = "append") -> str:
+def drain(stream: DataFrame, name: str, *, mode: str = "append", checkpoint: str | None = None) -> str:
     """Run a stream to its end into a batch-partitioned table and return the table's path."""
     path = scratch_path(stream.sparkSession, name)
-    query = start(stream, table_sink(path), mode=mode)
-    query.awaitTermination()
+    start(stream, table_sink(path), mode=mode, checkpoint=checkpoint).awaitTermination()
     return path
 
 
@@ -118,22 +100,76 @@ def newest_per_key(spark: SparkSession, path: str, keys: list[str]) -> DataFrame
     )
 
 
-def deliver(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """Tail per (subscriber, run): stream of events against static ``after_seq`` cursors."""
-    fanned = events.join(subscriptions, "run_id").select(
-        "subscriber", "run_id", "arrival", "seq", "after_seq"
+def deliver(events: DataFrame, subscriptions: DataFrame, sent: DataFrame | None = None) -> DataFrame:
+    """Tail per (subscriber, run): stream of events against static ``after_seq`` cursors.
+
+    ``sent`` (subscriber, run_id, after_seq) is the highest sequence a subscriber already has when
+    the stream starts; it becomes the initial state.
+    """
+    keys = ["subscriber", "run_id"]
+    fanned = events.join(subscriptions.select(*keys, "after_seq"), "run_id").select(
+        *keys, "arrival", "seq", "after_seq"
     )
-    return fanned.groupBy("subscriber", "run_id").transformWithStateInPandas(
-        P.Delivery(), P.DELIVERY_SCHEMA, "append", "none"
+    start_of = None if sent is None else sent.select(*keys, "after_seq").groupBy(*keys)
+    return fanned.groupBy(*keys).transformWithStateInPandas(
+        P.Delivery(), P.DELIVERY_SCHEMA, "append", "none", start_of
     )
 
 
-def admit_requests(requests: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
-    rows = requests.select(
-        "key", "endpoint", "seq", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "hash", "valid"
+def resume_and_tail(
+    stored: DataFrame, live: DataFrame, cursors: DataFrame, path: str, *, checkpoint: str | None = None
+) -> DataFrame:
+    """Journal replay, then the live stream, per subscriber, each sequence once.
+
+    ``cursors`` is (subscriber, run_id, cursor text), ``stored`` the journal as it is now, ``live``
+    a stream of (run_id, arrival, seq) that may repeat stored events. Expired and invalid cursors get nothing, as
+    their subscription is refused. Stored rows after the cursor are written first; the highest
+    stored sequence of the run, or the cursor if that is higher, is the state in which the stream
+    finds each subscriber, so both sides meet there. Started again from its checkpoint
+    the stream goes on where it ended; the replay is written once.
+
+    Returns (subscriber, run_id, seq, origin) below ``path``.
+    """
+    spark = stored.sparkSession
+    followed = (
+        resume_classes(cursors, stored)
+        .filter("outcome = 'ok'")
+        .select("subscriber", "run_id", "after_seq", F.greatest("after_seq", "latest").alias("sent"))
     )
+    followed = written(followed, "followed")
+    columns = ["subscriber", "run_id", "seq"]
+    replay = resume_rows(cursors, stored).select(*columns, F.lit("replay").alias("origin"))
+    if not _exists(spark, f"{path}/batch=-1"):
+        _replace_batch(replay, path, -1)
+    sent = followed.select("subscriber", "run_id", F.col("sent").alias("after_seq"))
+    tail = deliver(live, followed, sent).select(*columns, F.lit("live").alias("origin"))
+    start(tail, table_sink(path), checkpoint=checkpoint).awaitTermination()
+    return spark.read.parquet(path).drop("batch")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a whole table stands at ``path``."""
+    try:
+        spark.read.parquet(path)
+        return True
+    except AnalysisException:
+        return False
+
+
+def admit_requests(requests: DataFrame, ttl_ms: int = TTL_MS, *, lateness: str = LATENESS) -> DataFrame:
+    """Idempotent admission of a stream of (key, endpoint, seq, ts, hash, valid).
+
+    A stored response is dropped from the state by an event-time timer, once the watermark has passed its
+    expiry: state holds the keys in use within ``ttl_ms`` and ``lateness``, not all keys ever seen.
+    Rows further behind the newest ``ts`` than ``lateness`` are late and dropped, as no
+    stored response is left to decide them by.
+    """
+    ts = F.col("ts").cast("timestamp")
+    rows = requests.select(
+        "key", "endpoint", "seq", ts.alias("ts"), F.unix_millis(ts).alias("ms"), "hash", "valid"
+    ).withWatermark("ts", lateness)
     return rows.groupBy("key", "endpoint").transformWithStateInPandas(
-        P.RequestAdmission(ttl_ms), P.REQUEST_SCHEMA, "append", "none"
+        P.RequestAdmission(ttl_ms), P.REQUEST_SCHEMA, "append", "EventTime"
     )
 
 

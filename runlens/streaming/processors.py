@@ -16,19 +16,28 @@ def _batch(rows: Iterator[pd.DataFrame], order: str) -> pd.DataFrame:
     return pd.concat(list(rows)).sort_values(order, kind="stable")
 
 
+def _some(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """The rows, if there are any: an empty frame with text columns cannot be handed back."""
+    if len(rows):
+        yield rows
+
+
 class Delivery(StatefulProcessor):
     """Send only sequences above the highest already sent to a (subscriber, run)."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "seq long")
 
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.last.update((int(initialState["after_seq"].max()),))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _batch(rows, "arrival")
         top = int(self.last.get()[0]) if self.last.exists() else int(batch["after_seq"].iloc[0])
         before = batch["seq"].cummax().shift(fill_value=top).clip(lower=top)
         sent = batch[batch["seq"] > before]
         self.last.update((max(top, int(batch["seq"].max())),))
-        yield sent[["subscriber", "run_id", "arrival", "seq"]]
+        yield from _some(sent[["subscriber", "run_id", "arrival", "seq"]])
 
     def close(self) -> None:
         pass
@@ -38,18 +47,23 @@ DELIVERY_SCHEMA = "subscriber long, run_id string, arrival long, seq long"
 
 
 class RequestAdmission(StatefulProcessor):
-    """Idempotent admission per (key, endpoint) with an expiry anchored at acceptance."""
+    """Idempotent admission per (key, endpoint) with an expiry anchored at acceptance.
+
+    Every batch that moves the anchor sets a timer behind its expiry; the timer that fires for the
+    anchor held drops the state.
+    """
 
     def __init__(self, ttl_ms: int) -> None:
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.anchor = handle.getValueState("anchor", "ms long, seq long, hash string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _batch(rows, "seq")
         held = self.anchor.get() if self.anchor.exists() else None
-        held = (int(held[0]), int(held[1]), held[2]) if held else None
+        held = before = (int(held[0]), int(held[1]), held[2]) if held else None
         decisions, anchors = [], []
         for seq, ms, digest, valid in zip(batch["seq"], batch["ms"], batch["hash"], batch["valid"]):
             live = held is not None and ms <= held[0] + self.ttl_ms
@@ -61,11 +75,18 @@ class RequestAdmission(StatefulProcessor):
             else:
                 decisions.append("rejected")
             anchors.append(held[1] if live or valid else None)
-        if held:
+        if held != before:
             self.anchor.update(held)
+            self.handle.registerTimer(held[0] + self.ttl_ms + 1)
         out = pd.DataFrame({"key": key[0], "seq": batch["seq"].to_numpy(), "decision": decisions})
         yield out.assign(anchor_seq=pd.array(anchors, dtype="Int64"))
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        expired = expiredTimerInfo.getExpiryTimeInMs()
+        if self.anchor.exists() and int(self.anchor.get()[0]) + self.ttl_ms < expired:
+            self.anchor.clear()
+        yield from ()
+
     def close(self) -> None:
         pass
 
@@ -106,9 +127,8 @@ class KvQuota(StatefulProcessor):
             elif self.sizes.containsKey((k,)):
                 self.sizes.removeKey((k,))
         self.used.update((used,))
-        yield pd.DataFrame(
-            {"namespace": key[0], "ord": batch["ord"].to_numpy(), "decision": decisions}
-        )
+        out = pd.DataFrame({"namespace": key[0], "ord": batch["ord"].to_numpy(), "decision": decisions})
+        yield from _some(out)
 
     def close(self) -> None:
         pass
@@ -135,10 +155,8 @@ class LineAssembly(StatefulProcessor):
             pieces.append(carry)
             carry = ""
         self.open.update((int(number) + len(pieces), carry))
-        yield pd.DataFrame(
-            {"run_id": key[0], "channel": key[1],
-             "line_no": range(int(number), int(number) + len(pieces)), "line": pieces}
-        )
+        numbers = range(int(number), int(number) + len(pieces))
+        yield from _some(pd.DataFrame({"run_id": key[0], "channel": key[1], "line_no": numbers, "line": pieces}))
 
     def close(self) -> None:
         pass
@@ -166,9 +184,8 @@ class RecentEvents(StatefulProcessor):
         start = next(i for i, (_, ms) in enumerate(events) if ms >= cutoff)
         events = [(int(s), int(m)) for s, m in events[start:][-self.max_events:]]
         self.held.put(events)
-        yield pd.DataFrame(
-            {"run_id": key[0], "newest": events[-1][0], "seq": [s for s, _ in events]}
-        )
+        out = pd.DataFrame({"run_id": key[0], "newest": events[-1][0], "seq": [s for s, _ in events]})
+        yield from _some(out)
 
     def close(self) -> None:
         pass

@@ -22,7 +22,6 @@ def batches(spark):
     """Write rows as several files and read them as a stream, one file per batch, in order."""
 
     def make(rows, schema, parts=3):
-        S.use_rocksdb(spark)
         path = scratch_path(spark, "input")
         size = -(-len(rows) // parts)
         for i in range(parts):
@@ -103,6 +102,7 @@ def test_lines(spark, batches):
     rnd = random.Random(4)
     rows = [(rnd.randrange(2), "stdout", i, "".join(rnd.choice(["x", "\n", "yz"]) for _ in range(3)), False) for i in range(30)]
     rows += [(r, "stdout", 30 + r, "end", True) for r in (0, 1)]
+    rows = [(7, "stderr", 0, "no line yet, ", False), *rows, (7, "stderr", 1, "now\n", True)]
     table, stream = batches(rows, "run_id long, channel string, seq long, chunk string, last boolean")
     got = spark.read.parquet(S.drain(S.lines(stream), "lines"))
     columns = ("run_id", "channel", "line_no", "line")
