@@ -185,7 +185,103 @@ def _license_sql() -> str:
     """
 
 
+# Lists of the CRC-32 table's 256 values, of a text's bytes, and the checksum of these bytes.
+_CRC_TABLE = """(SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k:
+                  CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS crc
+             FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS n))"""
+
+
+def _crc_sql(text: str) -> str:
+    digit = "(strpos('0123456789ABCDEF', substr(hex({0}), {1}, 1)) - 1)"
+    byte = digit.format(text, "2 * i + 1") + " * 16 + " + digit.format(text, "2 * i + 2")
+    taken = f"list_transform(range(strlen({text})), lambda i: CAST({byte} AS BIGINT))"
+    step = "lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {taken}), {step}), 4294967295)"
+
+
+_SPELLING_SQL = f"""
+        WITH RECURSIVE t AS (FROM {_CRC_TABLE}),
+             found AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')),
+                              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+             runs AS (SELECT doc_id, w, count(*) AS c, doc_id || ':' || w AS line FROM found GROUP BY ALL),
+             hashed AS (SELECT w, c, {_crc_sql("line")} AS h FROM runs, t),
+             words AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2)
+                              ELSE w END AS word, c FROM hashed),
+             v AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM words WHERE length(word) >= 5
+                   GROUP BY word HAVING sum(c) >= 3),
+             d AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+                   FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+             near AS (SELECT a.word, b.word AS other FROM d a JOIN d b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+                      UNION SELECT v.word, d.word FROM v JOIN d ON v.word = d.rest
+                      UNION SELECT d.word, v.word FROM v JOIN d ON v.word = d.rest),
+             best AS (SELECT near.word, other, v.n, count(*) OVER (PARTITION BY near.word) AS n_near,
+                             row_number() OVER (PARTITION BY near.word ORDER BY v.n DESC, other) AS r
+                      FROM near JOIN v ON v.word = other),
+             forms AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near,
+                              CASE WHEN best.n >= 2 * v.n THEN other END AS form,
+                              CASE WHEN best.n >= 2 * v.n THEN best.n END AS form_n
+                       FROM v LEFT JOIN best ON best.word = v.word AND r = 1),
+             chain AS (SELECT word, word AS here, 0 AS steps FROM forms
+                       UNION ALL SELECT c.word, f.form, steps + 1 FROM chain c JOIN forms f ON f.word = c.here
+                       WHERE f.form IS NOT NULL)
+        SELECT word, form, max_by(here, steps) AS root, n, n_near, form_n
+        FROM forms JOIN chain USING (word) GROUP BY word, form, n, n_near, form_n
+    """
+
+_PERIODIC_SQL = rf"""
+        WITH t AS (FROM {_CRC_TABLE}),
+             base AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS id_text,
+                             list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda x: x <> '') AS w
+                      FROM documents),
+             hashed AS (SELECT doc_id, w, len(w) AS n, {_crc_sql("id_text")} AS h FROM base, t),
+             cut AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a,
+                            CASE WHEN h % 10 = 0 AND n > 0 THEN 1 + (n - (h // 10) % n) // (3 + (h // 10) % 8) END AS p
+                     FROM hashed),
+             docs AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i:
+                             w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS w FROM cut),
+             words AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM docs),
+             grams AS (SELECT doc_id, n, i, lead(word, 4) OVER o AS last,
+                              hash(word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o) AS g
+                       FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+             met AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM grams x JOIN grams y
+                     ON x.doc_id = y.doc_id AND x.g = y.g AND x.i < y.i AND 4 * (y.i - x.i) <= x.n
+                     WHERE x.last IS NOT NULL AND y.last IS NOT NULL),
+             placed AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM met),
+             wide AS (SELECT doc_id, q, min(i) AS s, max(i) - min(i) + 5 + q AS length FROM placed
+                      GROUP BY doc_id, q, island HAVING max(i) - min(i) + 5 + q >= greatest(6, 4 * q)),
+             runs AS (SELECT * FROM wide a WHERE NOT EXISTS (SELECT 1 FROM wide b WHERE b.doc_id = a.doc_id AND b.q < a.q
+                             AND b.s <= a.s AND b.s + b.length >= a.s + a.length)),
+             facts AS (SELECT doc_id, count(*) AS n_runs,
+                              min({{'k': -length, 's': s, 'q': q}}) AS best,
+                              string_agg(s || ',' || length || ',' || q || chr(10), '' ORDER BY s, q) AS listed
+                       FROM runs GROUP BY doc_id),
+             gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + length)) AS i FROM runs),
+             kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, -best.k AS length, best.q AS period,
+               1000 * -best.k // best.q AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256,
+               sha256(coalesce(text, '')) AS collapsed_sha256
+        FROM docs LEFT JOIN facts USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """
+
 SQL = {
+    "op11_embedding_dedup": """
+        WITH RECURSIVE v AS (
+               SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+               WHERE label IS NOT NULL AND len(embedding) > 0
+                 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+             links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b
+                       ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+                       WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+             reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+             low AS (SELECT x AS vec_id, min(y) AS low FROM reach GROUP BY x),
+             degree AS (SELECT x AS vec_id, count(*) AS n FROM links GROUP BY x)
+        SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id,
+               vec_id <= coalesce(low, vec_id) AS kept
+        FROM embeddings LEFT JOIN low USING (vec_id) LEFT JOIN degree USING (vec_id)
+    """,
+    "op12_spelling_groups": _SPELLING_SQL,
+    "op13_periodic_runs": _PERIODIC_SQL,
     "op5_license_scan": _license_sql(),
     "op3_line_dedup": r"""
         WITH l AS (SELECT doc_id, i, line, lower_key AS key FROM (
