@@ -18,10 +18,12 @@ import json
 import os
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
@@ -33,6 +35,7 @@ CUT_BITS = 10
 # Bounds of the tables that a Python worker keeps; a full one is emptied.
 MAX_WORD_TABLE_BYTES = 96 << 20
 MAX_CHUNK_TABLE_BYTES = 24 << 20
+MAX_PIECE_TABLE_BYTES = 128 << 20
 
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -57,7 +60,8 @@ def chunks(raw: bytes) -> list[bytes]:
 
 # Words made of these letters with a run of ASCII symbols behind them are two pieces at most.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
-_SIMPLE = re.compile(f"([{_LETTERS}]+)([!-/:-@\\[-`{{-~]*)")
+_SYMBOLS = "[!-/:-@\\[-`{-~]"
+_SIMPLE = re.compile(f"([{_LETTERS}]+)({_SYMBOLS}*)")
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -194,6 +198,90 @@ class Encoder:
         return b"".join(out)
 
 
+class WordCoder:
+    """Encodes whole columns of texts by their distinct words.
+
+    The words of a batch are split, numbered and cut into letters and the symbols behind them in
+    Arrow; only distinct pieces come to Python, where a bounded table keeps what the tokenizer
+    made of them (ids, or their number alone). Ids of texts are put together by taking pieces in order.
+    """
+
+    def __init__(self, path: str, ids: bool):
+        self.encoder = Encoder(path)
+        self.ids = ids
+        self.table: dict[str, bytes | int] = {}
+        self.table_bytes = 0
+
+    def _encoded(self, pieces: pa.StringArray, plain: np.ndarray) -> list:
+        """What stands in the table for each piece; ``plain`` marks those of simple letters."""
+        if self.table_bytes > MAX_PIECE_TABLE_BYTES:
+            self.table.clear()
+            self.table_bytes = 0
+        texts, table = pieces.to_pylist(), self.table
+        for kind in (True, False):
+            new = [t for t, p in zip(texts, plain.tolist(), strict=True) if p == kind and t not in table]
+            tokenizer = self.encoder.plain if kind else self.encoder.tokenizer
+            if not new:
+                continue
+            found = tokenizer.encode_batch_fast(new, add_special_tokens=False)
+            if self.ids:
+                table.update(zip(new, [array("I", e.ids).tobytes() for e in found], strict=True))
+            else:
+                table.update(zip(new, map(len, found), strict=True))
+            self.table_bytes += (220 if self.ids else 150) * len(new) + sum(map(len, new))
+        return [table[t] for t in texts]
+
+    def _pieces(self, texts: pa.StringArray):
+        """Offsets of the texts in the words, the words' two pieces, and the pieces' encodings."""
+        lists = pc.ascii_split_whitespace(texts)
+        words = lists.flatten().dictionary_encode()
+        at = words.indices.to_numpy(zero_copy_only=False)
+        whole, tail = words.dictionary, pa.array([""] * len(words.dictionary), pa.string())
+        if self.encoder.plain:
+            cut = pc.extract_regex(whole, f"^(?P<core>[{_LETTERS}]+)(?P<tail>{_SYMBOLS}*)$")
+            whole = pc.if_else(cut.is_valid(), pc.utf8_lower(pc.struct_field(cut, "core")), whole)
+            tail = pc.struct_field(cut, "tail").fill_null("")
+        first, second = whole.dictionary_encode(), tail.dictionary_encode()
+        simple = np.zeros(len(first.dictionary), bool)
+        if self.encoder.plain and len(simple):
+            simple = pc.match_substring_regex(first.dictionary, f"^[{_LETTERS}]+$").to_numpy(zero_copy_only=False)
+        one = self._encoded(first.dictionary, simple)
+        two = self._encoded(second.dictionary, np.zeros(len(second.dictionary), bool))
+        a = first.indices.to_numpy(zero_copy_only=False)[at]
+        b = second.indices.to_numpy(zero_copy_only=False)[at]
+        return lists.offsets.to_numpy(), a, b, one, two
+
+    def counts(self, texts: pa.StringArray) -> np.ndarray:
+        """Number of ids of each text."""
+        offsets, a, b, one, two = self._pieces(texts)
+        size = (lambda x: len(x) // 4) if self.ids else (lambda x: x)
+        one, two = (np.array([size(x) for x in y], np.int64) for y in (one, two))
+        ends = np.concatenate([[0], np.cumsum(one[a] + two[b])])
+        return ends[offsets[1:]] - ends[offsets[:-1]]
+
+    def lists(self, texts: pa.StringArray, end: int | None = None) -> pa.ListArray:
+        """The ids of each text as a list<int> array, with the id ``end`` behind each."""
+        offsets, a, b, one, two = self._pieces(texts)
+        last = len(one) + len(two)
+        held = [*one, *two, b"" if end is None else np.array([end], "<u4").tobytes()]
+        sizes = np.array([len(x) // 4 for x in held], np.int64)
+        stops = np.concatenate([[0], np.cumsum(sizes)])
+        values = pa.array(np.frombuffer(b"".join(held), "<i4"))
+        pieces = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), values)
+        # two pieces a word, and a last one behind each text
+        order = np.stack([a, b + len(one)], axis=1).ravel()
+        order = np.insert(order, 2 * offsets[1:], last)
+        ends = np.concatenate([[0], np.cumsum(sizes[order])])
+        stop = 2 * offsets.astype(np.int64) + np.arange(len(offsets))
+        flat = pieces.take(pa.array(order)).flatten()
+        return pa.ListArray.from_arrays(pa.array(ends[stop], pa.int32()), flat)
+
+
+def word_coder(path: str, ids: bool) -> WordCoder:
+    """The process's coder of columns; tasks that run in one Python worker share its table."""
+    return per_process(("words", path, ids), lambda: WordCoder(path, ids))
+
+
 def encoder(path: str) -> Encoder:
     """The process's encoder: tasks that run in one Python worker share its bounded tables."""
     return per_process(("encoder", path), lambda: Encoder(path))

@@ -21,6 +21,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Text rows handed to Python at a time; long texts make batches of a few MB either way.
 BATCH_ROWS = 2000
 BATCH_BYTES = 2 << 20
+# Text whose words are numbered together.
+WORD_BYTES = 8 << 20
 # Rows of a few longs that may be broadcast: some ten MB.
 BROADCAST_ROWS = 1 << 18
 
@@ -62,15 +64,25 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in batches whose ``column`` holds about ``BATCH_BYTES`` at most."""
+def slices(
+    batches: Iterable[pa.RecordBatch], column: str = "text", most: int = BATCH_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose ``column`` holds about ``most`` bytes at most."""
     for batch in batches:
         size = batch.column(batch.schema.get_field_index(column)).nbytes
-        step = max(1, batch.num_rows * BATCH_BYTES // max(size, 1))
+        step = max(1, batch.num_rows * most // max(size, 1))
         for start in range(0, batch.num_rows, step):
             yield batch.slice(start, step)
 
 
+def as_texts(column: pa.Array) -> pa.StringArray:
+    """A binary column as texts: null is empty, bytes that are no UTF-8 become U+FFFD."""
+    try:
+        return column.cast(pa.string()).fill_null("")
+    except pa.ArrowInvalid:
+        return pa.array([(v or b"").decode("utf-8", "replace") for v in column.to_pylist()], pa.string())
+
+
 def per_process(key: Hashable, make: Callable[[], Any]) -> Any:
     """What ``make`` gave when this Python worker first asked for ``key``.
 

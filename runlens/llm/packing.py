@@ -17,8 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.llm.bpe import encoder
-from runlens.llm.common import read_columns, slices
+from runlens.llm.bpe import word_coder
+from runlens.llm.common import WORD_BYTES, as_texts, read_columns, slices
 from runlens.session import written
 
 MAX_TOKENS = 4096
@@ -30,14 +30,10 @@ END_TOKENS = 1
 
 def _counted(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = encoder(path)
-        for batch in slices(batches):
-            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-            codec.learn(texts)
-            counts = [len(codec.text(t)) // 4 + END_TOKENS for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(counts, pa.int64())], ["id", "tokens"]
-            )
+        codec = word_coder(path, ids=False)
+        for batch in slices(batches, most=WORD_BYTES):
+            counts = codec.counts(as_texts(batch.column("text"))) + END_TOKENS
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts)], ["id", "tokens"])
 
     return run
 
@@ -45,9 +41,13 @@ def _counted(path: str):
 def lengths(
     docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """id and tokens of each text, end token included; a null text has that alone."""
+    """id and tokens of each text, end token included; a null text has that alone.
+
+    A text is counted whole, in the task that reads it; bytes that are no UTF-8 count as U+FFFD.
+    Repeated rows are counted each, an empty table gives no rows, other columns are ignored.
+    """
     rows = read_columns(docs, id_col, text_col).toDF("id", "text")
-    rows = rows.withColumn("id", F.col("id").cast("long"))
+    rows = rows.withColumns({"id": F.col("id").cast("long"), "text": F.col("text").cast("binary")})
     return rows.mapInArrow(_counted(tokenizer), "id long, tokens long").withColumnRenamed("id", id_col)
 
 

@@ -17,8 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from runlens.llm.bpe import encoder, ids_column, lists
-from runlens.llm.common import read_columns, slices
+from runlens.llm.bpe import lists, word_coder
+from runlens.llm.common import WORD_BYTES, as_texts, read_columns, slices
 
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
@@ -41,12 +41,9 @@ SCHEMA = "doc_id long, file_no int, file_start long, n_tokens long, ids array<in
 
 def _encode(path: str, end_id: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, file_no, start = encoder(path), TaskContext.get().partitionId(), 0
-        for batch in slices(batches):
-            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-            codec.learn(texts)
-            found = [codec.text(t) for t in texts]
-            ids = ids_column(found, end_id)
+        codec, file_no, start = word_coder(path, ids=True), TaskContext.get().partitionId(), 0
+        for batch in slices(batches, most=WORD_BYTES):
+            ids = codec.lists(as_texts(batch.column("text")), end_id)
             counts = np.diff(ids.offsets.to_numpy()).astype(np.int64)
             ends = start + np.cumsum(counts)
             yield pa.record_batch(
@@ -76,12 +73,14 @@ def write(
 
     Files hold documents in ascending order of their long id, null ids first; rows with the same
     id stand in the order of a hash of their texts. A null text is an empty one and has the end
-    id only. An empty table gives an empty file set; other columns are ignored.
+    id only; bytes that are no UTF-8 are encoded as U+FFFD. A text is encoded whole, however long,
+    and is one row. An empty table gives an empty file set; other columns are ignored.
     """
     rows = read_columns(docs, id_col, text_col).toDF("doc_id", "text")
     rows = rows.withColumns({"doc_id": F.col("doc_id").cast("long"), "tie": F.xxhash64("text")})
     ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    ids = ordered.select("doc_id", "text").mapInArrow(_encode(tokenizer, end_id), SCHEMA)
+    texts = ordered.select("doc_id", F.col("text").cast("binary").alias("text"))
+    ids = texts.mapInArrow(_encode(tokenizer, end_id), SCHEMA)
     ids.write.options(**WRITER).parquet(path)
 
 

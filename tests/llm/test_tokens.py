@@ -1,14 +1,16 @@
 import hashlib
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest import ODD
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from runlens.llm import bpe, queries, token_files
+from runlens.llm import bpe, packing, queries, token_files
 from runlens.session import scratch_path
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -119,3 +121,26 @@ def test_files_take_odd_rows_and_read_selectively(spark, make, library):
     plan = token_files.read(spark, path).filter("doc_id = 5").select("n_tokens")
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "ids" not in text.split("ReadSchema")[1] and "EqualTo(doc_id,5)" in text
+
+
+def test_word_coder_equals_the_library(library):
+    """Columns of odd texts: ids and counts of each text as the library gives them."""
+    rng = random.Random(8)
+    pool = ["abc", "ABC!", "don't", "x9", "\u0130x", "\u0149a", "\u017f\u00c9", "e\u0301", "<|endoftext|>", "a.b", "!!", "\u4e2d\u6587", "\x1c", "\u00a0y", "z"]
+    texts = ["", " ", "\t a", *(" ".join(rng.choices(pool, k=rng.randint(0, 30))) + rng.choice(["", "\n"]) for _ in range(300))]
+    column = pa.array(texts).slice(1)
+    ids, counts = bpe.WordCoder(queries.TOKENIZER, ids=True), bpe.WordCoder(queries.TOKENIZER, ids=False)
+    want = [ids_of(library, t) for t in texts[1:]]
+    assert ids.lists(column).to_pylist() == want
+    assert ids.lists(column, 2).to_pylist() == [[*w, 2] for w in want]
+    assert counts.counts(column).tolist() == ids.counts(column).tolist() == [len(w) for w in want]
+    assert counts.counts(column.slice(0, 0)).tolist() == []
+
+
+def test_bytes_that_are_no_text(spark, library, tmp_path):
+    """Such bytes are encoded as U+FFFD."""
+    docs = spark.range(3).selectExpr("id AS doc_id", "cast(unhex('61ff62') AS string) AS text")
+    n = len(ids_of(library, "a\ufffdb"))
+    assert [tuple(r) for r in packing.lengths(docs, queries.TOKENIZER).orderBy("doc_id").collect()] == [(i, n + 1) for i in range(3)]
+    token_files.write(docs, f"{tmp_path}/t", queries.TOKENIZER)
+    assert [len(r["ids"]) for r in token_files.read(spark, f"{tmp_path}/t").collect()] == [n + 1] * 3
