@@ -8,15 +8,19 @@ base rules on words and repetition, is rejected.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.functions.text import compute_once
+from runlens.functions.text import bind, compute_once
 from runlens.llm.common import SPACE, SPACE_CLASS, fresh, read_columns
 
 WINDOW = 5
 
-# Fixed phrases of page furniture; a short line that holds one is boilerplate.
+# Phrases of page furniture in English; a short line that holds one is boilerplate.
 BOILERPLATE = (
     "all rights reserved",
     "accept cookies",
@@ -34,9 +38,17 @@ BOILERPLATE_WORDS = 20
 # A line of so many words without any punctuation fails.
 UNPUNCTUATED_WORDS = 8
 
+OUTPUTS = (
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_failed_lines",
+    "n_lost_words", "clean_text", "base_failed", "kept",
+)
+
 SYMBOLS = "[#*$%&|<>]"
 _MARKS = "[.!?:;,\\u2026\\u3002\\uFF01\\uFF1F\\u0964]"
+_SEPARATOR = "[|/>\\-\\u2022\\u00B7\\u00BB\\u203A]"
 _SEPARATORS = "(?<![^\\x20\\x09-\\x0D])[|/>\\-\\u2022\\u00B7\\u00BB\\u203A]+(?![^\\x20\\x09-\\x0D])"
+# a separator at a word's start; the class comes first, as it fails fastest
+_LONE = f"{_SEPARATOR}(?<=(?<![^\\x20\\x09-\\x0D]){_SEPARATOR})"
 _WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -51,18 +63,31 @@ def line_words(line: Column) -> Column:
     return F.regexp_count(line, F.lit(_WORD))
 
 
-def line_fails(line: Column) -> Column:
-    """Whether one line with words breaks a line rule."""
-    n = line_words(line)
-    navigation = F.regexp_count(line, F.lit(_SEPARATORS)) * 4 >= n
-    noise = (F.regexp_count(line, F.lit(SYMBOLS)) * 3 >= n) | (
-        F.regexp_count(line, F.lit("!!+")) * 3 >= n
-    )
-    punctuation = (n >= UNPUNCTUATED_WORDS) & ~line.rlike(_MARKS)
-    furniture = (n <= BOILERPLATE_WORDS) & F.lower(line).rlike("|".join(BOILERPLATE))
-    return (n > 0) & (navigation | noise | punctuation | furniture)
+def may_fail(text: Column, boilerplate: Sequence[str] = BOILERPLATE) -> Column:
+    """Whether a text holds anything for which one of its lines can fail, but for a line without
+    punctuation. One look at the whole text spares most lines all rules but that."""
+    return text.contains("!!") | text.rlike(SYMBOLS) | text.rlike(_LONE) | bind(F.lower(text), _phrase(boilerplate))
+
+
+def _phrase(boilerplate: Sequence[str]):
+    return lambda low: reduce(or_, [low.contains(p) for p in boilerplate], F.lit(False))
+
+
+def line_fails(line: Column, boilerplate: Sequence[str] = BOILERPLATE, odd: Column | None = None) -> Column:
+    """Whether one line with words breaks a line rule; ``odd`` is what ``may_fail`` gives for the
+    text that holds it."""
+    odd = F.lit(True) if odd is None else odd
 
+    def breaks(n: Column) -> Column:
+        navigation = line.rlike(_SEPARATOR) & (F.regexp_count(line, F.lit(_SEPARATORS)) * 4 >= n)
+        noise = (line.rlike(SYMBOLS) & (F.regexp_count(line, F.lit(SYMBOLS)) * 3 >= n)) | (
+            line.contains("!!") & (F.regexp_count(line, F.lit("!!+")) * 3 >= n)
+        )
+        punctuation = (n >= UNPUNCTUATED_WORDS) & ~line.rlike(_MARKS)
+        furniture = (n <= BOILERPLATE_WORDS) & bind(F.lower(line), _phrase(boilerplate))
+        return (n > 0) & (punctuation | (odd & (navigation | noise | furniture)))
 
+    return (odd | ~line.rlike(_MARKS)) & bind(line_words(line), breaks)
 
 
 def judged(
@@ -72,6 +97,7 @@ def judged(
     min_words: int = 10,
     max_repeat_pct: int = 20,
     max_lost_pct: int = 50,
+    boilerplate: Sequence[str] = BOILERPLATE,
     prefix: str = "",
 ) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_failed_lines,
@@ -81,12 +107,18 @@ def judged(
     empty. ``n_repeat_words`` counts the words covered by 5-word windows found twice or more;
     windows are compared by 64-bit hashes within the document. A document is kept when the base
     rules pass and at most ``max_lost_pct`` percent of its words stand in failing lines;
-    clean_text is the text without those lines. Repeated rows get the same verdict, an empty
-    table gives no rows, and input columns stay as they are (``prefix`` avoids clashes).
+    clean_text is the text without those lines. ``boilerplate`` are lower-case phrases that make
+    a short line fail. A text is judged whole, however long, within its row. Repeated rows get the
+    same verdict, an empty table gives no rows. Input columns stay as they are: where one has an
+    output's name the call fails, and ``prefix`` avoids the clash.
     """
+    names = [f"{prefix}{name}".lower() for name in OUTPUTS]
+    clash = sorted({c.lower() for c in docs.columns}.intersection(names))
+    if clash:
+        raise ValueError(f"columns {clash} are outputs too; choose a prefix")
     t = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    n = {k: fresh(docs, f"q_{k}") for k in ("words", "hashes", "lines", "fine", "sorted", "at")}
-    words = compute_once(docs, {n["words"]: words_of(t), n["lines"]: F.split(t, "\n")})
+    n = {k: fresh(docs, f"q_{k}") for k in ("words", "hashes", "lines", "fine", "sorted", "at", "odd")}
+    words = compute_once(docs, {n["words"]: words_of(t), n["lines"]: F.split(t, "\n"), n["odd"]: may_fail(t, boilerplate)})
     size = F.size(n["words"])
 
     def window_hash(i: Column) -> Column:
@@ -98,7 +130,7 @@ def judged(
         words,
         {
             n["hashes"]: F.when(size >= WINDOW, F.transform(starts, window_hash)).otherwise(no_longs),
-            n["fine"]: F.filter(n["lines"], lambda line: ~line_fails(line)),
+            n["fine"]: F.filter(n["lines"], lambda line: ~line_fails(line, boilerplate, F.col(n["odd"]))),
         },
     )
     # only documents with a window found twice sort their windows
