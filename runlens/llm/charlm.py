@@ -19,10 +19,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import per_process, slices
+from runlens.llm.common import as_texts, per_process, slices
 from runlens.session import written
 
 BITS = 9
@@ -120,7 +120,7 @@ def count_grams(texts: DataFrame, order: int, codes_of=letter_codes, lower: bool
 
         for batch in slices(batches):
             labels = np.array(batch.column("label").to_pylist(), object)
-            rows = np.array(batch.column("text").to_pylist(), object)
+            rows = np.array(as_texts(batch.column("text").cast(pa.binary())).to_pylist(), object)
             for label in set(labels):
                 mine = [t.lower() if lower else t for t in rows[labels == label]]
                 key, _ = grams(mine, order, codes_of)
@@ -143,21 +143,6 @@ def suffix(gram: Column, order: int) -> Column:
     return gram.bitwiseAND(F.lit((1 << (BITS * (order - 1))) - 1))
 
 
-def bounded(levels: DataFrame, most: int, dims: list[str]) -> DataFrame:
-    """The rows of each ``dims`` group with the highest counts, ``most`` at the most.
-
-    A histogram of the counts by powers of two gives a cut-off per group: all n-grams with at
-    least that count stay. With fewer than ``most`` rows that is all of them. The broadcast has
-    one row per group.
-    """
-    power = F.floor(F.log2("n")).cast("int")
-    sizes = levels.groupBy(*dims, power.alias("power")).agg(F.count(F.lit(1)).alias("size"))
-    above = Window.partitionBy(*dims).orderBy(F.desc("power")).rowsBetween(Window.unboundedPreceding, 0)
-    fits = sizes.withColumn("total", F.sum("size").over(above)).filter(F.col("total") <= most)
-    cut = fits.groupBy(*dims).agg(F.min("power").alias("cut"))
-    return levels.join(F.broadcast(cut), dims).filter(power >= F.col("cut")).drop("cut")
-
-
 def all_orders(top: DataFrame, order: int, counted: Column) -> DataFrame:
     """(label, gram, n, level) of every order; ``counted`` makes each out of the one above."""
     levels, lower = top.withColumn("level", F.lit(order)), top
@@ -214,7 +199,7 @@ def joined_scores(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows = [clean(t) for t in batch.column("text").to_pylist()]
+            rows = [clean(t) for t in as_texts(batch.column("text").cast(pa.binary())).to_pylist()]
             key, counts = grams(rows, order, codes_of)
             found = [np.unique(k, return_counts=True) for k in np.split(key, np.cumsum(counts)[:-1])]
             number = np.repeat(np.arange(len(rows)), [len(k) for k, _ in found])

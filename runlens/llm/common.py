@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 import types
 from collections.abc import Callable, Hashable, Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +66,15 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def share(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """A function that gives ``value`` in any worker, which needs no copy of this package.
+
+    A broadcast refers to classes by their module's name; here they travel with their code.
+    """
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(held.value)
+
+
 def slices(
     batches: Iterable[pa.RecordBatch], column: str = "text", most: int = BATCH_BYTES
 ) -> Iterator[pa.RecordBatch]:

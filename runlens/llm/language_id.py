@@ -27,7 +27,7 @@ from pyspark.sql.types import StructType
 from runlens.llm.charlm import (
     Model, _logs, all_orders, build, count_grams, joined_logs, joined_scores, letter_codes, text_key,
 )
-from runlens.llm.common import broadcast_if_small, fresh, slices
+from runlens.llm.common import as_texts, broadcast_if_small, fresh, share, slices
 from runlens.session import written
 
 ORDER = 5
@@ -225,20 +225,27 @@ def identify(
     language with the lowest cross-entropy per character wins (ties: the first by name), and the
     row is rejected when that exceeds the expected one by ``margin`` nats and ``deviations``
     standard deviations for its length. Repeated rows get the same answer; an empty table gives
-    no rows; input columns stay as they are. A model of more than ``cells`` numbers is not broadcast
+    no rows. Input columns stay as they are: where one has an output's name the call fails, and
+    ``prefix`` avoids the clash. A text is scored whole, however long; in the array form, bytes that
+    are no UTF-8 count as U+FFFD, no letter. A model of more than ``cells`` numbers is not broadcast
     but joined, with the same answers.
     """
     label, text = F.col(f"`{lang_col}`").cast("string"), F.col(f"`{text_col}`")
-    model = learn(docs.filter(learn_from).select(label.alias("label"), text.alias("text")), cells=cells)
     new = [f"{prefix}lang_pred", f"{prefix}score", f"{prefix}rejected"]
+    clash = sorted({c.lower() for c in docs.columns}.intersection(n.lower() for n in new))
+    if clash:
+        raise ValueError(f"columns {clash} are outputs too; choose a prefix")
+    model = learn(docs.filter(learn_from).select(label.alias("label"), text.alias("text")), cells=cells)
     if isinstance(model, Tables):
         return _joined(docs, model, text, margin, deviations, new)
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared()
         for batch in slices(batches, text_col):
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            names, scores, rejected = predictions(texts, held.value, margin, deviations)
+            column = batch.column(batch.schema.get_field_index(text_col))
+            texts = as_texts(column.cast(pa.binary())).to_pylist()
+            names, scores, rejected = predictions(texts, held, margin, deviations)
             added = [pa.array(names), pa.array(scores), pa.array(rejected)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *added], [*batch.schema.names, *new]

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.llm.charlm import Model, all_orders, any_codes, build, count_grams, joined_scores, text_key
-from runlens.llm.common import ascii_lower, broadcast_if_small, read_columns, slices
+from runlens.llm.common import as_texts, ascii_lower, broadcast_if_small, read_columns, share, slices
 from runlens.session import written
 
 ORDER = 5
@@ -115,14 +115,15 @@ def _scored(urls: DataFrame, model: Model | DataFrame | None, order: int) -> Dat
     """Adds ``score``: log-likelihood, allowed less blocked, per character; null without any."""
     if isinstance(model, DataFrame):
         return _joined(urls, model, order)
-    held = urls.sparkSession.sparkContext.broadcast(model)
+    shared = share(urls.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared()
         for batch in slices(batches, "url"):
-            texts = [t or "" for t in batch.column("url").to_pylist()]
+            texts = as_texts(batch.column("url").cast(pa.binary())).to_pylist()
             scores = [None] * len(texts)
-            if held.value is not None:
-                logs, chars = held.value.logs_of(texts, any_codes)
+            if held is not None:
+                logs, chars = held.logs_of(texts, any_codes)
                 sign = logs[:, 0] - logs[:, 1]  # labels in order: allow, block
                 scores = [float(s / n) if n else None for s, n in zip(sign, chars, strict=True)]
             yield pa.RecordBatch.from_arrays(

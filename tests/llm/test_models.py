@@ -1,5 +1,9 @@
+import os
 import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -7,7 +11,7 @@ import pytest
 from conftest import ODD
 from pyspark.sql import functions as F
 
-from runlens.llm import charlm, language_id, queries, url_filter
+from runlens.llm import charlm, language_id, quality, queries, url_filter
 
 SF = "/root/testdata/sf0.01"
 EN = "the quick brown fox jumps over the lazy dog and then it runs through the thick green wood"
@@ -57,14 +61,6 @@ def test_kneser_ney_by_hand():
     assert np.exp(got[0, 0]) == pytest.approx(want, rel=1e-5)
 
 
-def test_counts_are_bounded_by_their_size(spark):
-    rows = [("a", g, n) for g, n in enumerate([1] * 50 + [2] * 20 + [9] * 5)]
-    levels = spark.createDataFrame(rows, "label string, gram long, n long")
-    assert charlm.bounded(levels, 1000, ["label"]).count() == 75
-    assert charlm.bounded(levels, 30, ["label"]).count() == 25
-    assert charlm.bounded(levels, 4, ["label"]).count() == 0
-
-
 def test_language_of_odd_rows(make):
     learn = [(100 + i, EN, "en") for i in range(5)] + [(200 + i, DE, "de") for i in range(5)]
     odd = [(i, t, None) for i, t in ODD] + [(10, "12 34 !?", "en"), (11, None, "de")]
@@ -205,3 +201,45 @@ def test_url_query_separates_what_rules_taught(spark):
             assert r["verdict"] == verdict
             scores[verdict].append(r["score"])
     assert np.mean(scores["allow"]) > 0 > np.mean(scores["block"])
+
+
+ELSEWHERE = """
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession, functions as F
+from runlens.llm import language_id, url_filter
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+docs = spark.createDataFrame([(i, "der Hund und die Katze" if i % 2 else "the dog and the cat", "de" if i % 2 else "en")
+                              for i in range(40)], "doc_id long, text string, lang string")
+found = language_id.identify(docs, F.lit(True)).filter("lang = lang_pred").count()
+pages = spark.createDataFrame([(i, f"http://a{{i}}.com/x" if i % 2 else f"http://b{{i}}.org/y") for i in range(40)], "page_id long, url string")
+rules = [url_filter.rule("allow", "com/"), url_filter.rule("block", "org/")]
+judged = url_filter.judge(pages, rules).count()
+print("FOUND", found, judged)
+"""
+
+
+def test_models_reach_workers_without_the_package(tmp_path):
+    """Started from another folder, workers can't import the package."""
+    root = str(Path(__file__).resolve().parents[2])
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    code = ELSEWHERE.format(root=root)
+    run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "FOUND 40 40" in run.stdout, run.stderr[-2000:]
+
+
+def test_clashing_columns_are_refused(make):
+    docs = make([(1, "the dog", "en")]).withColumn("score", F.lit(1))
+    with pytest.raises(ValueError):
+        language_id.identify(docs, F.lit(True))
+    assert language_id.kept(docs).columns == docs.columns
+    with pytest.raises(ValueError):
+        quality.judged(docs.withColumn("Kept", F.lit(1)))
+
+
+def test_bytes_that_are_no_text(spark):
+    docs = spark.range(6).selectExpr(
+        "id AS doc_id", "if(id = 5, cast(unhex('ff20ff') AS string), 'the dog and the cat') AS text", "'en' AS lang"
+    )
+    found = language_id.identify(docs, F.lit(True))
+    assert {r["doc_id"]: r["lang_pred"] for r in found.select("doc_id", "lang_pred").collect()}[5] == "und"
