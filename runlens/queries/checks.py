@@ -501,8 +501,8 @@ def addon_plans(spark: SparkSession, sf: str) -> DataFrame:
     brand = _part(spark, sf).select(F.col("p_partkey").alias("key"), "p_brand")
     requests = (
         tables.load(spark, sf, "orders")
-        .crossJoin(brand.agg((F.max("key") + 1).alias("parts")))  # one row
-        .join(brand, F.col("o_orderkey") % F.col("parts") == F.col("key"))
+        .withColumn("key", F.col("o_orderkey") % tables.key_space(spark, sf, "part", "p_partkey"))
+        .join(brand, "key")
         .select(
             F.col("o_orderkey").alias("request"),
             F.concat("p_brand", F.lit("/build-"), F.col("key").cast("string")).alias("name"),

@@ -209,17 +209,6 @@ def storage_health(spark: SparkSession, sf: str) -> DataFrame:
     ).drop("driver")
 
 
-def storage_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Health of the documents' own files, their sizes taken from the scan."""
-    return M.storage_health(
-        M.table_files(tables.load(spark, sf, "documents")),
-        J.total_bytes(tables.journal(spark, sf)),
-        max_bytes=2_600_000,
-        journal_max_bytes=100_000,
-        schema_version=3,
-    )
-
-
 def exposition_text(spark: SparkSession, sf: str) -> DataFrame:
     """Counter and histogram text of the access log and event values."""
     hits = route_counts(spark, sf)
@@ -271,7 +260,7 @@ QUERIES = {
     for f in (
         event_counters, eviction_counters, value_histogram, histogram_totals, container_histogram,
         gauge_clamped, latency_quantiles, latency_quantiles_hot, span_rollup, route_counts,
-        access_audit, storage_health, storage_files,
+        access_audit, storage_health,
         exposition_text, runner_counters,
     )
 }
