@@ -8,11 +8,16 @@ no table can match on them.
 
 Buckets with the same members are kept once, with their number.
 
+A node carries the parities of its shingles in 1,024 classes. Two sets differ in at least as many
+shingles as their parities differ in classes, which rules out nearly all pairs below the
+similarity without their sets, and none above it. It gets weak where sets may differ in more than
+some 500 shingles, that is beyond 2,000 of them.
+
 Links are found without forming all pairs of a bucket. In a few rounds each node is verified on
 full sets against one root of its buckets, the one it shares most tables with; what is linked is
 contracted. Afterwards the pairs of different components that still share a bucket are verified,
-but for those that their numbers of rare shingles rule out, so no candidate link is lost: inside
-a component a further link changes nothing.
+but for those that parities or numbers of rare shingles rule out, so no candidate link is lost:
+inside a component a further link changes nothing.
 
 At a similarity of 0.8 a pair misses both a first and a second sub-key with probability
 2 * (1 - 0.8 ** 3) ** 16 = 2e-5; at 0.85 it is 5e-7.
@@ -29,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import broadcast_if_small, fresh, slices
+from runlens.llm.common import fresh, slices
 from runlens.session import written
 
 # Sub-keys in each of the two collections, and minhashes in a sub-key.
@@ -37,7 +42,10 @@ SIDE = 16
 ROWS = 3
 # The lowest bits of a sub-key tell which one it is.
 SLOTS = 32
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
+# Classes of shingles whose parities a node carries, 64 to a column.
+CLASSES = 1024
+PARITIES = [f"p{i}" for i in range(CLASSES // 64)]
 # Shingles of so many nodes or fewer are looked up one by one.
 RARE = 16
 WORDS = 5
@@ -65,19 +73,28 @@ def shingles(raw: bytes, words: int) -> np.ndarray:
     return np.unique(out)
 
 
+def _parities(x: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Per set (of ``n``) whether the number of its shingles in a class is odd, as 64-bit words."""
+    at = owner * CLASSES + (x & np.uint64(CLASSES - 1)).astype(np.int64)
+    odd = (np.bincount(at, minlength=n * CLASSES) & 1).astype(np.uint8).reshape(n, CLASSES)
+    return np.packbits(odd, axis=1).view(np.int64)
+
+
 def _sketch(words: int, side: int, rows: int):
-    """Adds the set's size, its 128-bit hash and all sub-keys; the text goes."""
+    """Adds the set's size, its 128-bit hash, all sub-keys and the parities; the text goes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [shingles((t or "").encode(), words) for t in batch.column("text").to_pylist()]
+            sets = [shingles(t or b"", words) for t in batch.column("text").to_pylist()]
             sizes = np.array([len(s) for s in sets], np.int64)
             nodes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             keys = np.zeros((2 * side, len(sets)), np.uint64)
+            parities = np.zeros((len(sets), len(PARITIES)), np.int64)
             some = np.flatnonzero(sizes)
             if len(some):
                 x = np.concatenate([sets[i] for i in some])
                 starts = np.cumsum(sizes[some]) - sizes[some]
+                parities = _parities(x, np.repeat(some, sizes[some]), len(sets))
                 for k in range(2 * side):
                     key = np.full(len(some), k, np.uint64)
                     for r in range(rows):
@@ -91,8 +108,9 @@ def _sketch(words: int, side: int, rows: int):
                     pa.array(sizes),
                     pa.array(nodes, pa.binary()),
                     *(pa.array(k.view(np.int64)) for k in keys),
+                    *(pa.array(np.ascontiguousarray(p)) for p in parities.T),
                 ],
-                ["id", "rid", "tx", "n", "node", *(f"k{i}" for i in range(2 * side))],
+                ["id", "rid", "tx", "n", "node", *(f"k{i}" for i in range(2 * side)), *PARITIES],
             )
 
     return run
@@ -110,7 +128,7 @@ def _sets(words: int):
             nids, sets = [], []
             columns = (batch.column(c).to_pylist() for c in ("nid", "node", "text"))
             for nid, node, text in zip(*columns, strict=True):
-                found = shingles((text or "").encode(), words)
+                found = shingles(text or b"", words)
                 digest = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
                 if digest == node and nid not in seen:
                     seen.add(nid)
@@ -126,25 +144,23 @@ def _sets(words: int):
 
 def _once(sets: DataFrame, again: DataFrame) -> DataFrame:
     """One row per nid; only the sets of ``again``, which occur more than once, are shuffled."""
-    again = broadcast_if_small(again)
     single = sets.join(again, "nid", "left_anti")
     several = sets.join(again, "nid", "left_semi").dropDuplicates(["nid"])
     return single.unionByName(written(several, "sets"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
-    """The pairs (x, y) whose full sets are similar enough."""
+    """The pairs (x, y, and what else they carry) whose full sets are similar enough."""
     left = sets.select(F.col("nid").alias("x"), F.col("set").alias("sx"))
     right = sets.select(F.col("nid").alias("y"), F.col("set").alias("sy"))
-    roots = broadcast_if_small(pairs.select("y").distinct())
-    right = right.join(roots, "y", "left_semi")
+    right = right.join(pairs.select("y").distinct(), "y", "left_semi")
     common = F.size(F.array_intersect("sx", "sy"))
     return (
-        left.join(broadcast_if_small(pairs), "x")
+        left.join(pairs, "x")
         .join(right, "y")
-        .select("x", "y", common.alias("common"), (F.size("sx") + F.size("sy")).alias("both"))
+        .select(*pairs.columns, common.alias("common"), (F.size("sx") + F.size("sy")).alias("both"))
         .filter(F.col("common") * 100 >= (F.col("both") - F.col("common")) * pct)
-        .select("x", "y")
+        .select(*pairs.columns)
     )
 
 
@@ -157,7 +173,7 @@ def connected(edges: DataFrame) -> DataFrame:
     """
     high, low = F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")
     now = written(edges.filter("x <> y").select(high, low).distinct(), "edges")
-    before = None
+    before = (0, None)
     while True:
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
@@ -178,36 +194,66 @@ def connected(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots)
 
 
-def _labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _hooked(labels: DataFrame, links: DataFrame, number: int) -> DataFrame:
+    """Labels (nid, comp) after each component is hung on one that it is linked with.
+
+    Of its neighbours a component takes the first in an order that changes with ``number``, if that
+    comes before itself; so there are no circles. Chains are followed three steps, which needs no
+    loop: equal labels are connected, connected ones may still differ.
+    """
+    rank = [F.xxhash64(c, F.lit(number)) for c in ("u", "v")]
+    edges = links.select(F.col("comp").alias("u"), F.col("ycomp").alias("v"))
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    first = both.filter(rank[1] < rank[0]).groupBy("u").agg(F.min(rank[1]).alias("r"))
+    at = both.withColumn("r", rank[1]).join(first, ["u", "r"]).groupBy("u").agg(F.min("v").alias("v"))
+    hooks = written(at, "hooks")
+    step = hooks.select(F.col("u").alias("v"), F.col("v").alias("next"))
+    for _ in range(2):
+        hooks = hooks.join(step, "v", "left").select("u", F.coalesce("next", "v").alias("v"))
+    found = labels.join(hooks, labels["comp"] == hooks["u"], "left")
+    return written(found.select("nid", F.coalesce("v", "comp").alias("comp")), "labels")
+
+
+def _relabelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Labels (nid, comp) with the components that ``edges`` connect made one."""
+    joined = connected(edges).withColumnRenamed("comp", "whole")
+    found = labels.join(joined, labels["comp"] == joined["node"], "left")
+    return written(found.select("nid", F.coalesce("whole", "comp").alias("comp")), "labels")
+
+
+def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """Bucket rows with their component, of buckets that hold more than one."""
-    if labels is None:
-        return buckets.withColumn("comp", F.col("nid"))
-    named = labels.select(F.col("node").alias("nid"), "comp")
-    rows = buckets.join(named, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
+    rows = buckets.join(labels, "nid")
     mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     return rows.join(mixed.filter("lo < hi").select("key"), "key", "left_semi")
 
 
-def _near_size(pct: int) -> Column:
-    """Sets of these sizes can be similar enough."""
-    return F.least("n", "yn") * 100 >= F.greatest("n", "yn") * pct
+def _as_y(*columns: str) -> list[Column]:
+    """Columns of the second node of a pair, and its parities."""
+    return [F.col(c).alias("y" if c == "nid" else f"y{c}") for c in (*columns, *PARITIES)]
+
+
+def _near(pct: int) -> Column:
+    """Sets of these sizes and parities can be similar enough."""
+    both = F.col("n") + F.col("yn")
+    apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"y{p}"))) for p in PARITIES), F.lit(0))
+    sizes = F.least("n", "yn") * 100 >= F.greatest("n", "yn") * pct
+    return sizes & ((both - apart) * (100 + pct) >= both * (2 * pct))
 
 
 def _star(rows: DataFrame, number: int, pct: int) -> DataFrame:
     """One pair per node: with the root that it shares most buckets with."""
     rows = rows.withColumn("rank", F.xxhash64("nid", F.lit(number)))
     least = rows.groupBy("key").agg(F.min("rank").alias("rank"))
-    roots = rows.join(least, ["key", "rank"]).select(
-        "key", F.col("nid").alias("y"), F.col("n").alias("yn"), F.col("comp").alias("ycomp")
-    )
+    roots = rows.join(least, ["key", "rank"]).select("key", *_as_y("nid", "n", "comp"))
     shared = (
         rows.join(roots, "key")
-        .filter((F.col("comp") != F.col("ycomp")) & _near_size(pct))
-        .groupBy(F.col("nid").alias("x"), "y")
+        .filter((F.col("comp") != F.col("ycomp")) & _near(pct))
+        .groupBy(F.col("nid").alias("x"), "comp", "y", "ycomp")
         .agg(F.sum("tables").alias("tables"))
     )
-    best = shared.groupBy("x").agg(F.max(F.struct("tables", "y")).alias("best"))
-    return best.select("x", F.col("best.y").alias("y"))
+    best = shared.groupBy("x", "comp").agg(F.max(F.struct("tables", "y", "ycomp")).alias("best"))
+    return best.select("x", "comp", F.col("best.y").alias("y"), F.col("best.ycomp").alias("ycomp"))
 
 
 def _can_match(common: Column, pct: int) -> Column:
@@ -220,8 +266,8 @@ def _across(rows: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
 
     Shingles that at most ``RARE`` of the nodes concerned have are rare. A pair with a rare
     shingle in common is found by that shingle, in groups of at most ``RARE`` nodes. A pair without
-    has no more in common than either node has shingles that aren't rare; that bound drops nearly
-    all of what the buckets hold, before any pair is formed. Per bucket, the rows outside its
+    has no more in common than either node has shingles that aren't rare. That bound and the parities
+    drop nearly all of what the buckets hold, before any pair is formed. Per bucket, the rows outside its
     largest component meet all its rows, so a large component is never paired with itself.
     """
     sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
@@ -230,18 +276,19 @@ def _across(rows: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     minor = split.filter("comp <> major")
     nodes = written(
         split.groupBy("nid").agg(
-            F.min("n").alias("n"), F.min("comp").alias("comp"), F.max(F.col("comp") != F.col("major")).alias("outside")
+            F.max(F.col("comp") != F.col("major")).alias("outside"),
+            *[F.min(c).alias(c) for c in ("n", "comp", *PARITIES)],
         ),
         "unlinked",
     )
-    concerned = sets.join(broadcast_if_small(nodes.select("nid")), "nid", "left_semi")
+    concerned = sets.join(nodes.select("nid"), "nid", "left_semi")
     shingles_of = concerned.select("nid", F.explode("set").alias("s"))
     few = shingles_of.groupBy("s").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") <= RARE)
     rare = written(shingles_of.join(few, "s"), "rare-shingles")
     held = rare.groupBy("nid").agg(F.count(F.lit(1)).alias("rare"), F.count_if(F.col("c") == 1).alias("alone"))
     known = written(
         nodes.join(held, "nid", "left").select(
-            "nid", "n", "comp", "outside",
+            "nid", "n", "comp", "outside", *PARITIES,
             (F.col("n") - F.coalesce("rare", F.lit(0))).alias("frequent"),
             (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"),
         ),
@@ -249,12 +296,9 @@ def _across(rows: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     )
     # a node with too many shingles of its own is linked with nothing
     open_ = known.filter(F.col("shared") * 100 >= F.col("n") * pct)
-    left = open_.select("nid", "n", "comp", "outside", "shared", "frequent")
-    right = open_.select(
-        F.col("nid").alias("y"), F.col("n").alias("yn"), F.col("comp").alias("ycomp"),
-        F.col("shared").alias("yshared"), F.col("frequent").alias("yfrequent"),
-    )
-    apart = F.col("comp") != F.col("ycomp")
+    left = open_.select("nid", "n", "comp", "outside", "shared", "frequent", *PARITIES)
+    right = open_.select(*_as_y("nid", "n", "comp", "shared", "frequent"))
+    apart = (F.col("comp") != F.col("ycomp")) & _near(pct)
     seen = rare.filter("c > 1").select("s", "nid")
     x = seen.join(left.filter("outside"), "nid")
     y = seen.select("s", F.col("nid").alias("y")).join(right, "y")
@@ -262,7 +306,11 @@ def _across(rows: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     outer = minor.select("key", "nid").join(left, "nid")
     inner = split.select("key", F.col("nid").alias("y")).join(right, "y")
     by_bucket = outer.join(inner, "key").filter(apart & _can_match(F.least("frequent", "yfrequent"), pct))
-    pair = [F.least("nid", "y").alias("x"), F.greatest("nid", "y").alias("y")]
+    first = F.col("nid") < F.col("y")
+    pair = [
+        F.least("nid", "y").alias("x"), F.when(first, F.col("comp")).otherwise(F.col("ycomp")).alias("comp"),
+        F.greatest("nid", "y").alias("y"), F.when(first, F.col("ycomp")).otherwise(F.col("comp")).alias("ycomp"),
+    ]
     return by_shingle.select(*pair).unionByName(by_bucket.select(*pair)).distinct()
 
 
@@ -281,24 +329,26 @@ def members(
     linked with nothing. Sets are linked when common * 100 >= union * ``similar_pct``; equal sets
     are always linked. ``component_id`` is the smallest id reachable, null ids left aside; rows
     with that id are kept, as are rows of groups without any id. Repeated rows have the same set
-    and get the same answer. An empty table gives no rows; other columns are ignored.
+    and get the same answer. An empty table gives no rows; other columns are ignored. Words are
+    compared as bytes, so texts need not be valid UTF-8; a long text is held whole, with its set.
     """
     text, doc_id = F.col(f"`{text_col}`"), F.col(f"`{id_col}`").cast("long")
     tx = F.xxhash64(text)
     rows = docs.select(
-        doc_id.alias("id"), F.coalesce(doc_id, tx).alias("rid"), tx.alias("tx"), text.alias("text")
+        doc_id.alias("id"), F.coalesce(doc_id, tx).alias("rid"), tx.alias("tx"),
+        text.cast("binary").alias("text"),
     )
     slots = [f"k{i}" for i in range(2 * SIDE)]
     schema = "id long, rid long, tx long, n long, node binary"
     sketched = rows.mapInArrow(
-        _sketch(words, SIDE, ROWS), schema + "".join(f", {k} long" for k in slots)
+        _sketch(words, SIDE, ROWS), schema + "".join(f", {c} long" for c in (*slots, *PARITIES))
     )
     sketches = written(sketched, "sketches")
     # min() of equal values: fixed-width buffers, combined per task
     nodes = written(
         sketches.filter("n > 0")
         .groupBy("node")
-        .agg(*[F.min(c).alias(c) for c in ("id", "rid", "n", *slots)])
+        .agg(*[F.min(c).alias(c) for c in ("id", "rid", "n", *slots, *PARITIES)])
         .withColumn("nid", F.monotonically_increasing_id()),
         "nodes",
     )
@@ -330,32 +380,33 @@ def members(
         .agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("tables"))
         .select("key", "tables")
     )
-    held = tables.join(full, "key").join(nodes.select("nid", "n"), "nid")
-    buckets = written(held.select("key", "nid", "n", "tables"), "buckets")
+    held = tables.join(full, "key").join(nodes.select("nid", "n", *PARITIES), "nid")
+    buckets = written(held.select("key", "nid", "n", "tables", *PARITIES), "buckets")
     wanted = written(
         nodes.select("rid", "nid", "node").join(buckets.select("nid").distinct(), "nid", "left_semi"),
         "wanted",
     )
-    texts = rows.select("rid", "text").join(broadcast_if_small(wanted), "rid")
+    texts = rows.select("rid", "text").join(wanted, "rid")
     found = written(texts.mapInArrow(_sets(words), "nid long, set array<long>"), "found-sets")
     again = found.groupBy("nid").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("nid")
     sets = _once(found, written(again, "repeated"))
 
-    links, labels = None, None
-    for number in range(STAR_ROUNDS + 1):
-        left = _labelled(buckets, labels)
-        found = _star(left, number, similar_pct) if number < STAR_ROUNDS else _across(left, sets, similar_pct)
-        pairs = written(found, "pairs")
+    links, labels = None, wanted.select("nid", F.col("nid").alias("comp"))
+    for number in range(STAR_ROUNDS):
+        pairs = written(_star(_labelled(buckets, labels), number, similar_pct), "pairs")
         more = written(_verified(pairs, sets, similar_pct), "links")
         links = more if links is None else links.unionByName(more)
-        labels = connected(links)
+        if number + 1 < STAR_ROUNDS:
+            labels = _hooked(labels, more, number)
+    if links is not None:
+        labels = _relabelled(wanted.select("nid", F.col("nid").alias("comp")), links.select("x", "y"))
+    pairs = written(_across(_labelled(buckets, labels), sets, similar_pct), "pairs")
+    more = _verified(pairs, sets, similar_pct)
+    labels = _relabelled(labels, more.select(F.col("comp").alias("x"), F.col("ycomp").alias("y")))
     smallest = (
-        labels.select(F.col("node").alias("nid"), "comp")
-        .join(nodes.select("nid", "id"), "nid")
-        .groupBy("comp")
-        .agg(F.min("id").alias("component"))
+        labels.join(nodes.select("nid", "id"), "nid").groupBy("comp").agg(F.min("id").alias("component"))
     )
-    found = labels.select(F.col("node").alias("nid"), "comp").join(smallest, "comp")
+    found = labels.join(smallest, "comp")
     of_node = nodes.select("nid", "node", F.col("id").alias("first")).join(
         found.select("nid", "component"), "nid", "left"
     )

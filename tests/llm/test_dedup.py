@@ -195,6 +195,48 @@ def test_near_without_broadcasts(make, rows, monkeypatch):
     assert got == near_brute(data, 2, 80)
 
 
+def test_parities_never_exceed_the_difference():
+    rng = random.Random(5)
+    for size in (1, 40, 400, 4000):
+        for changed in (0, 1, size // 10, size):
+            x = [rng.getrandbits(64) for _ in range(size)]
+            y = x[changed:] + [rng.getrandbits(64) for _ in range(rng.randint(0, changed))]
+            at = np.repeat([0, 2], [len(x), len(y)])
+            bits = near_dedup._parities(np.array(x + y, np.uint64), at, 3)
+            assert bits.shape == (3, len(near_dedup.PARITIES)) and not bits[1].any()
+            apart = sum(int(v).bit_count() for v in (bits[0] ^ bits[2]).view(np.uint64))
+            assert apart <= len(set(x) ^ set(y))
+            if size == 400 and changed == 40:
+                assert apart >= 30
+
+
+def test_near_any_bytes(spark):
+    """Texts that are no valid UTF-8 are compared as bytes."""
+    docs = spark.range(6).selectExpr(
+        "id AS doc_id",
+        "cast(concat(X'FF', cast(' one two THREE four five six ' AS BINARY), "
+        "cast(if(id < 3, 'x', 'y') AS BINARY), if(id < 3, X'FE', X'FD')) AS STRING) AS text",
+    )
+    got = near_dedup.members(docs).orderBy("doc_id").collect()
+    assert [(r["component_id"], r["n_shingles"]) for r in got] == [(0, 4)] * 3 + [(3, 4)] * 3
+
+
+def test_hooked_labels_are_connected(spark):
+    """Only what is linked gets equal labels, in any order of the links."""
+    rng = random.Random(2)
+    edges = [(i, i + 1) for i in range(0, 30)] + [(40, 41), (42, 41), (50, 51)]
+    rng.shuffle(edges)
+    links = spark.createDataFrame(edges, "comp long, ycomp long")
+    labels = spark.range(60).selectExpr("id AS nid", "id AS comp")
+    groups = [set(range(31)), {40, 41, 42}, {50, 51}]
+    for number in range(3):
+        found = {r["nid"]: r["comp"] for r in near_dedup._hooked(labels, links, number).collect()}
+        assert len(found) == 60
+        for nid, comp in found.items():
+            assert comp in next((g for g in groups if nid in g), {nid})
+        assert found[50] == found[51] and len({found[i] for i in range(31)}) <= 20
+
+
 def test_near_kept_and_empty(make):
     data = variants(4, groups=5)
     docs = make(data).withColumns({"kept": F.lit(1), "__tx": F.lit(2), "component_id": F.lit(3)})
