@@ -14,8 +14,9 @@ similarity without their sets, and none above it. It gets weak where sets may di
 some 500 shingles, that is beyond 2,000 of them.
 
 Links are found without forming all pairs of a bucket. In a few rounds each node is verified on
-full sets against one root of its buckets, the one it shares most tables with; what is linked is
-contracted. Afterwards the pairs of different components that still share a bucket are verified,
+full sets against one root of its buckets, the one it shares most of them with; what is linked is
+contracted. Buckets of the rounds are those of a few sub-keys, which is enough for most links of a
+large group and makes few rows. Afterwards the pairs of different components that still share a bucket are verified,
 but for those that parities or numbers of rare shingles rule out, so no candidate link is lost:
 inside a component a further link changes nothing.
 
@@ -42,10 +43,15 @@ SIDE = 16
 ROWS = 3
 # The lowest bits of a sub-key tell which one it is.
 SLOTS = 32
-STAR_ROUNDS = 3
+# Star rounds share the sub-keys out among them.
+STAR_ROUNDS = 2
 # Classes of shingles whose parities a node carries, 64 to a column.
 CLASSES = 1024
 PARITIES = [f"p{i}" for i in range(CLASSES // 64)]
+# 32 bits of each sub-key, by which a pair knows the tables it shares.
+SHORT = [f"q{i}" for i in range(2 * SIDE)]
+# A table's key starts with its number, first sub-key * SIDE + second one, so the least is first.
+NUMBER_SHIFT = 55
 # Shingles of so many nodes or fewer are looked up one by one.
 RARE = 16
 WORDS = 5
@@ -229,29 +235,54 @@ def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _as_y(*columns: str) -> list[Column]:
-    """Columns of the second node of a pair, and its parities."""
-    return [F.col(c).alias("y" if c == "nid" else f"y{c}") for c in (*columns, *PARITIES)]
+    """Columns of the second node of a pair, with its parities and short sub-keys."""
+    return [F.col(c).alias("y" if c == "nid" else f"y{c}") for c in (*columns, *PARITIES, *SHORT)]
+
+
+def _first_shared() -> Column:
+    """Whether a pair that met by the first sub-key ``key`` shares a table, and has no earlier one.
+
+    A pair shares the tables of all its common first and second sub-keys, so it counts once, where
+    its first common sub-key is. Of tables with the same members the first is kept: a pair's first
+    one is among them.
+    """
+    slot = F.col("key").bitwiseAND(F.lit(SLOTS - 1))
+    same = [F.col(q) == F.col(f"y{q}") for q in SHORT]
+    second = F.lit(False)
+    for s in same[SIDE:]:
+        second = second | s
+    for i, s in enumerate(same[:SIDE]):
+        second = second & ((slot <= i) | ~s)
+    return second
+
+
+def _near_size(pct: int) -> Column:
+    """Sets of these sizes can be similar enough."""
+    return F.least("n", "yn") * 100 >= F.greatest("n", "yn") * pct
 
 
 def _near(pct: int) -> Column:
     """Sets of these sizes and parities can be similar enough."""
     both = F.col("n") + F.col("yn")
     apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"y{p}"))) for p in PARITIES), F.lit(0))
-    sizes = F.least("n", "yn") * 100 >= F.greatest("n", "yn") * pct
-    return sizes & ((both - apart) * (100 + pct) >= both * (2 * pct))
+    return _near_size(pct) & ((both - apart) * (100 + pct) >= both * (2 * pct))
 
 
-def _star(rows: DataFrame, number: int, pct: int) -> DataFrame:
-    """One pair per node: with the root that it shares most buckets with."""
+def _star(rows: DataFrame, parities: DataFrame, number: int, pct: int) -> DataFrame:
+    """One pair per node: of the roots it can match, the one that it shares most buckets with."""
     rows = rows.withColumn("rank", F.xxhash64("nid", F.lit(number)))
     least = rows.groupBy("key").agg(F.min("rank").alias("rank"))
-    roots = rows.join(least, ["key", "rank"]).select("key", *_as_y("nid", "n", "comp"))
-    shared = (
+    roots = rows.join(least, ["key", "rank"]).select(
+        "key", F.col("nid").alias("y"), F.col("n").alias("yn"), F.col("comp").alias("ycomp")
+    )
+    met = (
         rows.join(roots, "key")
-        .filter((F.col("comp") != F.col("ycomp")) & _near(pct))
-        .groupBy(F.col("nid").alias("x"), "comp", "y", "ycomp")
-        .agg(F.sum("tables").alias("tables"))
+        .filter((F.col("comp") != F.col("ycomp")) & _near_size(pct))
+        .groupBy("nid", "comp", "y", "ycomp")
+        .agg(F.sum("tables").alias("tables"), F.min("n").alias("n"), F.min("yn").alias("yn"))
     )
+    of_root = parities.select(F.col("nid").alias("y"), *[F.col(p).alias(f"y{p}") for p in PARITIES])
+    shared = met.join(parities, "nid").join(of_root, "y").filter(_near(pct)).withColumnRenamed("nid", "x")
     best = shared.groupBy("x", "comp").agg(F.max(F.struct("tables", "y", "ycomp")).alias("best"))
     return best.select("x", "comp", F.col("best.y").alias("y"), F.col("best.ycomp").alias("ycomp"))
 
@@ -261,23 +292,24 @@ def _can_match(common: Column, pct: int) -> Column:
     return common * 100 >= (F.col("n") + F.col("yn") - common) * pct
 
 
-def _across(rows: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+def _across(rows: DataFrame, keys: DataFrame, profiles: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     """The pairs of different components that share a bucket and can be similar enough.
 
     Shingles that at most ``RARE`` of the nodes concerned have are rare. A pair with a rare
     shingle in common is found by that shingle, in groups of at most ``RARE`` nodes. A pair without
     has no more in common than either node has shingles that aren't rare. That bound and the parities
-    drop nearly all of what the buckets hold, before any pair is formed. Per bucket, the rows outside its
+    drop nearly all of what the buckets hold, before any pair is formed; what stays is formed in the
+    first table that a pair shares only. Per bucket, the rows outside its
     largest component meet all its rows, so a large component is never paired with itself.
     """
     sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
     major = sizes.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("top"))
     split = rows.join(major.select("key", F.col("top.comp").alias("major")), "key")
-    minor = split.filter("comp <> major")
     nodes = written(
         split.groupBy("nid").agg(
             F.max(F.col("comp") != F.col("major")).alias("outside"),
-            *[F.min(c).alias(c) for c in ("n", "comp", *PARITIES)],
+            F.min("n").alias("n"),
+            F.min("comp").alias("comp"),
         ),
         "unlinked",
     )
@@ -288,24 +320,31 @@ def _across(rows: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     held = rare.groupBy("nid").agg(F.count(F.lit(1)).alias("rare"), F.count_if(F.col("c") == 1).alias("alone"))
     known = written(
         nodes.join(held, "nid", "left").select(
-            "nid", "n", "comp", "outside", *PARITIES,
+            "nid", "n", "comp", "outside",
             (F.col("n") - F.coalesce("rare", F.lit(0))).alias("frequent"),
             (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"),
         ),
         "bounds",
     )
     # a node with too many shingles of its own is linked with nothing
-    open_ = known.filter(F.col("shared") * 100 >= F.col("n") * pct)
-    left = open_.select("nid", "n", "comp", "outside", "shared", "frequent", *PARITIES)
+    open_ = known.filter(F.col("shared") * 100 >= F.col("n") * pct).join(profiles, "nid")
+    left = open_.select("nid", "n", "comp", "outside", "shared", "frequent", *PARITIES, *SHORT)
     right = open_.select(*_as_y("nid", "n", "comp", "shared", "frequent"))
     apart = (F.col("comp") != F.col("ycomp")) & _near(pct)
     seen = rare.filter("c > 1").select("s", "nid")
     x = seen.join(left.filter("outside"), "nid")
     y = seen.select("s", F.col("nid").alias("y")).join(right, "y")
     by_shingle = x.join(y, "s").filter(apart & _can_match(F.least("shared", "yshared"), pct))
-    outer = minor.select("key", "nid").join(left, "nid")
-    inner = split.select("key", F.col("nid").alias("y")).join(right, "y")
-    by_bucket = outer.join(inner, "key").filter(apart & _can_match(F.least("frequent", "yfrequent"), pct))
+    # tables of the same first sub-key are met together: a pair of nodes has fewer rows that way
+    slot = F.floor(F.shiftrightunsigned("key", NUMBER_SHIFT) / SIDE)
+    used = split.groupBy("nid", slot.alias("slot")).agg(F.max(F.col("comp") != F.col("major")).alias("out"))
+    subs = keys.select("nid", "key", F.col("key").bitwiseAND(F.lit(SLOTS - 1)).alias("slot"))
+    met = written(used.join(subs, ["nid", "slot"]).select("key", "nid", "out"), "met")
+    outer = met.filter("out").select("key", "nid").join(left, "nid")
+    inner = met.select("key", F.col("nid").alias("y")).join(right, "y")
+    by_bucket = outer.join(inner, "key").filter(
+        apart & _can_match(F.least("frequent", "yfrequent"), pct) & _first_shared()
+    )
     first = F.col("nid") < F.col("y")
     pair = [
         F.least("nid", "y").alias("x"), F.when(first, F.col("comp")).otherwise(F.col("ycomp")).alias("comp"),
@@ -366,7 +405,11 @@ def members(
     paired = both.select("nid", "b", F.explode("a").alias("ka")).select(
         "nid", "ka", F.explode("b").alias("kb")
     )
-    tables = written(paired.select("nid", F.xxhash64("ka", "kb").alias("key")), "tables")
+    # the sub-keys of the second side are numbered from SIDE
+    number = (F.col("ka").bitwiseAND(F.lit(SLOTS - 1)) - 1) * SIDE + F.col("kb").bitwiseAND(F.lit(SLOTS - 1))
+    hashed = F.shiftrightunsigned(F.xxhash64("ka", "kb"), 64 - NUMBER_SHIFT)
+    key = F.shiftleft(number, NUMBER_SHIFT).bitwiseOR(hashed)
+    tables = written(paired.select("nid", key.alias("key")), "tables")
     # the same members in several buckets: one of them, found by count and two hashes of the nodes
     full = (
         tables.groupBy("key")
@@ -380,12 +423,16 @@ def members(
         .agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("tables"))
         .select("key", "tables")
     )
-    held = tables.join(full, "key").join(nodes.select("nid", "n", *PARITIES), "nid")
-    buckets = written(held.select("key", "nid", "n", "tables", *PARITIES), "buckets")
+    held = tables.join(full, "key").join(nodes.select("nid", "n"), "nid")
+    buckets = written(held.select("key", "nid", "n", "tables"), "buckets")
     wanted = written(
         nodes.select("rid", "nid", "node").join(buckets.select("nid").distinct(), "nid", "left_semi"),
         "wanted",
     )
+    concerned = nodes.join(wanted.select("nid"), "nid", "left_semi")
+    short = [F.shiftright(k, 32).cast("int").alias(q) for k, q in zip(slots, SHORT, strict=True)]
+    profiles = written(concerned.select("nid", *PARITIES, *short), "profiles")
+    keys = written(concerned.select("nid", "n", F.explode(F.array(*slots)).alias("key")), "keys")
     texts = rows.select("rid", "text").join(wanted, "rid")
     found = written(texts.mapInArrow(_sets(words), "nid long, set array<long>"), "found-sets")
     again = found.groupBy("nid").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("nid")
@@ -393,14 +440,16 @@ def members(
 
     links, labels = None, wanted.select("nid", F.col("nid").alias("comp"))
     for number in range(STAR_ROUNDS):
-        pairs = written(_star(_labelled(buckets, labels), number, similar_pct), "pairs")
+        slot = F.col("key").bitwiseAND(F.lit(SLOTS - 1))
+        among = keys.filter(slot % STAR_ROUNDS == number).withColumn("tables", F.lit(1))
+        pairs = written(_star(_labelled(among, labels), profiles.select("nid", *PARITIES), number, similar_pct), "pairs")
         more = written(_verified(pairs, sets, similar_pct), "links")
         links = more if links is None else links.unionByName(more)
         if number + 1 < STAR_ROUNDS:
             labels = _hooked(labels, more, number)
     if links is not None:
         labels = _relabelled(wanted.select("nid", F.col("nid").alias("comp")), links.select("x", "y"))
-    pairs = written(_across(_labelled(buckets, labels), sets, similar_pct), "pairs")
+    pairs = written(_across(_labelled(buckets, labels), keys, profiles, sets, similar_pct), "pairs")
     more = _verified(pairs, sets, similar_pct)
     labels = _relabelled(labels, more.select(F.col("comp").alias("x"), F.col("ycomp").alias("y")))
     smallest = (
