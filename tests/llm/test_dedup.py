@@ -8,6 +8,7 @@ from conftest import LOWER, ODD, WORD
 from pyspark.sql import functions as F
 
 from runlens.llm import exact_dedup, line_dedup, near_dedup, queries
+from runlens.session import setting
 
 SF = "/root/testdata/sf0.001"
 
@@ -186,12 +187,10 @@ def test_near_repeated_rows_of_a_large_group(spark, rows, monkeypatch):
     assert {r[2] for r in got} == {0}
 
 
-def test_near_without_broadcasts(make, rows, monkeypatch):
-    from runlens.llm import common
-
-    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
+def test_near_without_broadcasts(spark, make, rows):
     data = variants(6)
-    got = rows(near_dedup.members(make(data), words=2), "doc_id", "n_shingles", "component_id", "kept")
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        got = rows(near_dedup.members(make(data), words=2), "doc_id", "n_shingles", "component_id", "kept")
     assert got == near_brute(data, 2, 80)
 
 
