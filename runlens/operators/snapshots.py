@@ -155,7 +155,9 @@ def prefix_pages(live: DataFrame, requests: DataFrame, *, max_limit: int = SCAN_
     start); a limit outside 1 to ``max_limit`` counts as ``max_limit``. ``live`` has one row per
     (namespace, k), text or binary, and more columns. Every request becomes a range of key ranks:
     its bounds are sorted in among the keys, so no key is compared with requests one by one; the
-    ranks of a page, ``limit + 1`` at most, are met by an equi-join. Returns the request, place (from 1), the
+    ranks of a page, ``limit + 1`` at most, are met by an equi-join. No side of a join is sent whole through
+    the driver: Spark sees the files of the requests, not how many ranks come of them, so the joins are
+    told to sort and merge. Returns the request, place (from 1), the
     rows, and next_cursor (on every row the page's last key when more follow, else null);
     a request without keys has no row.
     """
@@ -183,17 +185,18 @@ def prefix_pages(live: DataFrame, requests: DataFrame, *, max_limit: int = SCAN_
         F.max(F.when(F.col("bound") == 0, F.col("rank"))).alias("low"),
         F.max(F.when(F.col("bound") == 1, F.col("rank"))).alias("high"),
     )
-    pages = asked.select("request", "limit").join(ranges, "request").filter("high > low")
+    pages = asked.select("request", "limit").join(ranges.hint("merge"), "request").filter("high > low")
     stop = F.least(F.col("high"), F.col("low") + F.col("limit") + 1)
     wanted = pages.select(
         "request", "limit", "low", F.explode(F.sequence(F.col("low") + 1, stop)).alias("rank")
     )
-    met = wanted.join(keys, "rank").withColumn("place", F.col("rank") - F.col("low"))
+    met = wanted.hint("merge").join(keys, "rank").withColumn("place", F.col("rank") - F.col("low"))
     # limit + 1 rows of a request at most
     whole = Window.partitionBy("request")
     more = F.max("place").over(whole) > F.col("limit")
     last = F.max(F.when(F.col("place") == F.col("limit"), F.col("k"))).over(whole)
     page = met.withColumn("next_cursor", F.when(more, last)).filter(F.col("place") <= F.col("limit"))
     kind = live.schema["k"].dataType
-    found = page.select("request", "place", "namespace", "k", "next_cursor").join(binary, ["namespace", "k"])
+    page = page.select("request", "place", "namespace", "k", "next_cursor")
+    found = page.hint("merge").join(binary, ["namespace", "k"])
     return found.withColumns({"k": F.col("k").cast(kind), "next_cursor": F.col("next_cursor").cast(kind)})

@@ -278,6 +278,15 @@ def test_prefix_pages(spark):
     assert SN.prefix_pages(live, requests.limit(0)).count() == 0
 
 
+def test_prefix_pages_broadcast_no_ranks(spark):
+    """The files of the requests say nothing of the ranks that come of them."""
+    live = spark.range(40).selectExpr("'n' AS namespace", "concat('k', id) AS k", "id AS size")
+    requests = spark.range(9).selectExpr("id AS request", "'n' AS namespace", "'k' AS prefix", "'' AS cursor", "5 AS limit")
+    got = SN.prefix_pages(live, requests)
+    assert got.count() == 45
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_storage_health_from_files(spark):
     sf = "/root/testdata/sf0.001"
     files = M.table_files(tables.load(spark, sf, "documents"))
