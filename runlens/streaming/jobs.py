@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,6 +20,8 @@ from runlens.streaming.commits import ZONE_ROWS, Sink, commit
 # How late a request may arrive behind the newest one seen, with stored responses still in place.
 LATENESS = "10 minutes"
 
+# Groups of keys that a processor takes in one call each; a stream keeps the number it started with.
+SLOTS = 1024
 
 STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
@@ -100,20 +102,35 @@ def newest_per_key(spark: SparkSession, path: str, keys: list[str]) -> DataFrame
     )
 
 
-def deliver(events: DataFrame, subscriptions: DataFrame, sent: DataFrame | None = None) -> DataFrame:
+def _slot(slots: int, *keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(slots)).alias("slot")
+
+
+def deliver(
+    events: DataFrame, subscriptions: DataFrame, sent: DataFrame | None = None, *, slots: int = SLOTS
+) -> DataFrame:
     """Tail per (subscriber, run): stream of events against static ``after_seq`` cursors.
 
     ``sent`` (subscriber, run_id, after_seq) is the highest sequence a subscriber already has when
-    the stream starts; it becomes the initial state.
+    the stream starts; it takes the place of the cursor.
+
+    A subscriber gets the events above its start and above all that came before them in the run. The
+    latter does not depend on the subscriber: the state is one number per run, kept in ``slots`` groups
+    of runs, and only events that rise above it are joined with the subscriptions.
     """
     keys = ["subscriber", "run_id"]
-    fanned = events.join(subscriptions.select(*keys, "after_seq"), "run_id").select(
-        *keys, "arrival", "seq", "after_seq"
-    )
-    start_of = None if sent is None else sent.select(*keys, "after_seq").groupBy(*keys)
-    return fanned.groupBy(*keys).transformWithStateInPandas(
-        P.Delivery(), P.DELIVERY_SCHEMA, "append", "none", start_of
+    starts = subscriptions.groupBy(*keys).agg(F.min("after_seq").alias("__after"))
+    if sent is not None:
+        had = sent.groupBy(*keys).agg(F.max("after_seq").alias("__sent"))
+        starts = starts.join(had, keys, "left").withColumn("__after", F.coalesce("__sent", "__after"))
+    followed = events.join(subscriptions.select("run_id").distinct(), "run_id", "left_semi")
+    rising = (
+        followed.select(_slot(slots, "run_id"), "run_id", "arrival", "seq")
+        .groupBy("slot")
+        .transformWithStateInPandas(P.Delivery(), P.DELIVERY_SCHEMA, "append", "none")
     )
+    met = rising.join(starts.select(*keys, "__after"), "run_id").filter(F.col("seq") > F.col("__after"))
+    return met.select(*keys, "arrival", "seq")
 
 
 def resume_and_tail(
@@ -124,8 +141,8 @@ def resume_and_tail(
     ``cursors`` is (subscriber, run_id, cursor text), ``stored`` the journal as it is now, ``live``
     a stream of (run_id, arrival, seq) that may repeat stored events. Expired and invalid cursors get nothing, as
     their subscription is refused. Stored rows after the cursor are written first; the highest
-    stored sequence of the run, or the cursor if that is higher, is the state in which the stream
-    finds each subscriber, so both sides meet there. Started again from its checkpoint
+    stored sequence of the run, or the cursor if that is higher, is where the stream starts for
+    each subscriber, so both sides meet there. Started again from its checkpoint
     the stream goes on where it ended; the replay is written once.
 
     Returns (subscriber, run_id, seq, origin) below ``path``.
@@ -156,19 +173,22 @@ def _exists(spark: SparkSession, path: str) -> bool:
         return False
 
 
-def admit_requests(requests: DataFrame, ttl_ms: int = TTL_MS, *, lateness: str = LATENESS) -> DataFrame:
+def admit_requests(
+    requests: DataFrame, ttl_ms: int = TTL_MS, *, lateness: str = LATENESS, slots: int = SLOTS
+) -> DataFrame:
     """Idempotent admission of a stream of (key, endpoint, seq, ts, hash, valid).
 
     A stored response is dropped from the state by an event-time timer, once the watermark has passed its
     expiry: state holds the keys in use within ``ttl_ms`` and ``lateness``, not all keys ever seen.
     Rows further behind the newest ``ts`` than ``lateness`` are late and dropped, as no
-    stored response is left to decide them by.
+    stored response is left to decide them by. State and calls are by ``slots`` groups of keys.
     """
     ts = F.col("ts").cast("timestamp")
     rows = requests.select(
-        "key", "endpoint", "seq", ts.alias("ts"), F.unix_millis(ts).alias("ms"), "hash", "valid"
+        _slot(slots, "key", "endpoint"),
+        "key", "endpoint", "seq", ts.alias("ts"), F.unix_millis(ts).alias("ms"), "hash", "valid",
     ).withWatermark("ts", lateness)
-    return rows.groupBy("key", "endpoint").transformWithStateInPandas(
+    return rows.groupBy("slot").transformWithStateInPandas(
         P.RequestAdmission(ttl_ms), P.REQUEST_SCHEMA, "append", "EventTime"
     )
 
@@ -182,8 +202,10 @@ def admit_changes(changes: DataFrame, limit: int = NAMESPACE_MAX_BYTES) -> DataF
     )
 
 
-def lines(chunks: DataFrame) -> DataFrame:
-    return chunks.groupBy("run_id", "channel").transformWithStateInPandas(
+def lines(chunks: DataFrame, *, slots: int = SLOTS) -> DataFrame:
+    """Lines of a stream of (run_id, channel, seq, chunk, last); open ones are held by ``slots`` groups."""
+    rows = chunks.select(_slot(slots, "run_id", "channel"), "run_id", "channel", "seq", "chunk", "last")
+    return rows.groupBy("slot").transformWithStateInPandas(
         P.LineAssembly(), P.LINE_SCHEMA, "append", "none"
     )
 

@@ -2,12 +2,17 @@
 
 Rows of a key arrive unordered inside a micro-batch, so each processor sorts what the batch
 brought (its size is set by the trigger) and then folds it into its state.
+
+A call for a key costs far more than the rows of a small key, so where keys are many and small, rows
+are grouped by ``slot``, a hash of the key, and a call folds all keys of its slot; a slot's state is read
+and written once per micro-batch that brings it rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -23,34 +28,41 @@ def _some(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
 
 
 class Delivery(StatefulProcessor):
-    """Send only sequences above the highest already sent to a (subscriber, run)."""
+    """Rows above every earlier sequence of their run, for the runs of a slot.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "seq long")
+    What a subscriber has been sent depends on the run alone, so the highest sequence of each run is
+    the whole state, however many subscribers follow it. A call takes all runs of a slot.
+    """
 
-    def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.last.update((int(initialState["after_seq"].max()),))
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", "runs array<string>, tops array<long>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _batch(rows, "arrival")
-        top = int(self.last.get()[0]) if self.last.exists() else int(batch["after_seq"].iloc[0])
-        before = batch["seq"].cummax().shift(fill_value=top).clip(lower=top)
-        sent = batch[batch["seq"] > before]
-        self.last.update((max(top, int(batch["seq"].max())),))
-        yield from _some(sent[["subscriber", "run_id", "arrival", "seq"]])
+        batch = _batch(rows, "arrival").reset_index(drop=True)
+        held = dict(zip(*self.held.get())) if self.held.exists() else {}
+        codes, runs = pd.factorize(batch["run_id"])
+        lowest = np.iinfo("int64").min
+        known = np.array([held.get(r, lowest) for r in runs], dtype="int64")
+        before = batch["seq"].groupby(codes).cummax().groupby(codes).shift(fill_value=lowest)
+        sent = batch[batch["seq"] > before.clip(lower=pd.Series(known[codes]))]
+        tops = batch["seq"].groupby(codes).max().dropna()
+        for code, top in tops.items():
+            held[runs[code]] = max(int(known[code]), int(top))
+        self.held.update((list(held), [int(t) for t in held.values()]))
+        yield from _some(sent[["run_id", "arrival", "seq"]])
 
     def close(self) -> None:
         pass
 
 
-DELIVERY_SCHEMA = "subscriber long, run_id string, arrival long, seq long"
+DELIVERY_SCHEMA = "run_id string, arrival long, seq long"
 
 
 class RequestAdmission(StatefulProcessor):
     """Idempotent admission per (key, endpoint) with an expiry anchored at acceptance.
 
-    Every batch that moves the anchor sets a timer behind its expiry; the timer that fires for the
-    anchor held drops the state.
+    A call takes all keys of a slot. Expired anchors leave the state with the next rows of the
+    slot, or by its timer, which is set behind the first expiry among those held.
     """
 
     def __init__(self, ttl_ms: int) -> None:
@@ -58,33 +70,48 @@ class RequestAdmission(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.anchor = handle.getValueState("anchor", "ms long, seq long, hash string")
+        self.anchors = handle.getValueState(
+            "anchors",
+            "keys array<string>, endpoints array<string>, ms array<long>, seqs array<long>, hashes array<string>",
+        )
+
+    def _load(self) -> dict:
+        if not self.anchors.exists():
+            return {}
+        keys, endpoints, *values = self.anchors.get()
+        return dict(zip(zip(keys, endpoints), zip(*values)))
+
+    def _store(self, held: dict, watermark: int) -> None:
+        held = {k: a for k, a in held.items() if a[0] + self.ttl_ms >= watermark}
+        if held:
+            columns = [*zip(*held), *zip(*held.values())]
+            self.anchors.update(tuple(list(c) for c in columns))
+            self.handle.registerTimer(min(a[0] for a in held.values()) + self.ttl_ms + 1)
+        elif self.anchors.exists():
+            self.anchors.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _batch(rows, "seq")
-        held = self.anchor.get() if self.anchor.exists() else None
-        held = before = (int(held[0]), int(held[1]), held[2]) if held else None
+        anchored = self._load()
         decisions, anchors = [], []
-        for seq, ms, digest, valid in zip(batch["seq"], batch["ms"], batch["hash"], batch["valid"]):
+        columns = ("key", "endpoint", "seq", "ms", "hash", "valid")
+        for name, endpoint, seq, ms, digest, valid in zip(*(batch[c] for c in columns)):
+            held = anchored.get((name, endpoint))
             live = held is not None and ms <= held[0] + self.ttl_ms
             if live:
                 decisions.append("replay" if digest == held[2] else "conflict")
             elif valid:
-                held = (int(ms), int(seq), digest)
+                held = anchored[name, endpoint] = (int(ms), int(seq), digest)
                 decisions.append("accepted")
             else:
                 decisions.append("rejected")
             anchors.append(held[1] if live or valid else None)
-        if held != before:
-            self.anchor.update(held)
-            self.handle.registerTimer(held[0] + self.ttl_ms + 1)
-        out = pd.DataFrame({"key": key[0], "seq": batch["seq"].to_numpy(), "decision": decisions})
+        self._store(anchored, timerValues.getCurrentWatermarkInMs())
+        out = pd.DataFrame({"key": batch["key"].to_numpy(), "seq": batch["seq"].to_numpy(), "decision": decisions})
         yield out.assign(anchor_seq=pd.array(anchors, dtype="Int64"))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        expired = expiredTimerInfo.getExpiryTimeInMs()
-        if self.anchor.exists() and int(self.anchor.get()[0]) + self.ttl_ms < expired:
-            self.anchor.clear()
+        self._store(self._load(), timerValues.getCurrentWatermarkInMs())
         yield from ()
 
     def close(self) -> None:
@@ -138,25 +165,43 @@ KV_SCHEMA = "namespace string, ord long, decision string"
 
 
 class LineAssembly(StatefulProcessor):
-    """Complete lines of a (run, channel) stream; the open remainder stays in state.
+    """Complete lines of the (run, channel) streams of a slot; open remainders stay in state.
 
     A chunk flagged ``last`` flushes the remainder.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", "line_no long, text string")
+        self.open = handle.getValueState(
+            "open", "runs array<long>, channels array<string>, numbers array<long>, texts array<string>"
+        )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _batch(rows, "seq")
-        number, carry = self.open.get() if self.open.exists() else (0, "")
-        pieces = (carry + "".join(batch["chunk"])).split("\n")
-        carry = pieces.pop()
-        if bool(batch["last"].any()) and carry:
-            pieces.append(carry)
-            carry = ""
-        self.open.update((int(number) + len(pieces), carry))
-        numbers = range(int(number), int(number) + len(pieces))
-        yield from _some(pd.DataFrame({"run_id": key[0], "channel": key[1], "line_no": numbers, "line": pieces}))
+        held = {}
+        if self.open.exists():
+            runs, channels, *values = self.open.get()
+            held = dict(zip(zip(runs, channels), zip(*values)))
+        arrived: dict[tuple, list[str]] = {}
+        ended = set()
+        ids = [None if pd.isna(r) else int(r) for r in batch["run_id"]]
+        for run, channel, chunk, last in zip(ids, batch["channel"], batch["chunk"], batch["last"]):
+            arrived.setdefault((run, channel), []).append(chunk)
+            if last:
+                ended.add((run, channel))
+        out = []
+        for stream, chunks in arrived.items():
+            number, carry = held.get(stream, (0, ""))
+            pieces = (carry + "".join(chunks)).split("\n")
+            carry = pieces.pop()
+            if stream in ended and carry:
+                pieces.append(carry)
+                carry = ""
+            held[stream] = (int(number) + len(pieces), carry)
+            out += [(*stream, int(number) + i, line) for i, line in enumerate(pieces)]
+        columns = [*zip(*held), *zip(*held.values())]
+        self.open.update(tuple(list(c) for c in columns))
+        found = pd.DataFrame(out, columns=["run_id", "channel", "line_no", "line"])
+        yield from _some(found.astype({"run_id": "Int64"}))
 
     def close(self) -> None:
         pass

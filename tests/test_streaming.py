@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from runlens.operators import journal as J
 from runlens.operators import keyed as K
@@ -129,3 +130,56 @@ def test_recent_events(spark, batches):
     got = out.join(newest, ["run_id", "newest"], "left_semi")
     want = J.replay_buffer(table, max_events=8, retention_seconds=300, bucket_rows=5)
     assert _set(got, "run_id", "seq") == _set(want, "run_id", "seq")
+
+
+def test_many_small_keys_share_calls(spark, batches, monkeypatch, tmp_path):
+    """Calls are by slots of keys, not by keys or subscribers; few slots change no row."""
+
+    class Calls(StatefulProcessor):  # here, so that it travels with its code
+
+        def __init__(self, processor, log):
+            self.processor, self.log = processor, log
+
+        def init(self, handle):
+            self.processor.init(handle)
+
+        def handleInputRows(self, key, rows, timerValues):
+            with open(self.log, "a") as log:
+                log.write("x")
+            yield from self.processor.handleInputRows(key, rows, timerValues)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            yield from self.processor.handleExpiredTimer(key, timerValues, expiredTimerInfo)
+
+        def close(self):
+            pass
+
+    rnd = random.Random(8)
+    for name in ("Delivery", "RequestAdmission", "LineAssembly"):
+        made = getattr(S.P, name)
+        monkeypatch.setattr(S.P, name, lambda *a, made=made, name=name: Calls(made(*a), str(tmp_path / name)))
+
+    rows = [(f"r{rnd.randrange(60)}", i, rnd.randrange(400)) for i in range(300)]
+    table, stream = batches(rows, "run_id string, arrival long, seq long")
+    cursors = spark.range(180).selectExpr("id AS subscriber", "concat('r', id % 60) AS run_id", "id AS after_seq")
+    got = spark.read.parquet(S.drain(S.deliver(stream, cursors, slots=2), "sent"))
+    fanned = table.join(cursors, "run_id").select("subscriber", "run_id", "arrival", "seq")
+    want = J.monotone_delivery(fanned, cursors, keys=("subscriber", "run_id"), bucket_rows=50)
+    columns = ("subscriber", "run_id", "arrival", "seq")
+    assert _set(got, *columns) == _set(want, *columns)
+
+    rows = [(f"k{rnd.randrange(60)}", "e", i, T0 + timedelta(milliseconds=i), rnd.choice("xy"), rnd.random() > 0.2) for i in range(300)]
+    table, stream = batches(rows, "key string, endpoint string, seq long, ts timestamp, hash string, valid boolean")
+    got = spark.read.parquet(S.drain(S.admit_requests(stream, 100, lateness="10 milliseconds", slots=2), "req"))
+    columns = ("key", "seq", "decision", "anchor_seq")
+    assert _set(got, *columns) == _set(Q.admission(table, 100, slice_ttls=2), *columns)
+
+    rows = [(rnd.randrange(60), "out", i, rnd.choice(["x", "y\n", "\nz"]), False) for i in range(240)]
+    rows += [(r, "out", 240 + r, ".", True) for r in range(60)]
+    table, stream = batches(rows, "run_id long, channel string, seq long, chunk string, last boolean")
+    got = spark.read.parquet(S.drain(S.lines(stream, slots=2), "lines"))
+    columns = ("run_id", "channel", "line_no", "line")
+    assert _set(got, *columns) == _set(L.assemble_lines(table, ["run_id", "channel"]), *columns)
+
+    for name in ("Delivery", "RequestAdmission", "LineAssembly"):
+        assert 0 < len((tmp_path / name).read_text()) <= 3 * 2
