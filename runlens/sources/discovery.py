@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 
 from runlens.functions.text import is_blank, job_id_from_path, quoted, trim_ws
 from runlens.operators import catalog as C
+from runlens.session import written
 
 # Where configs live and how step scripts are named.
 CONFIG_GLOB = "[cC][oO][nN][fF][iI][gG].[yY][aA][mM][lL]"
@@ -142,7 +143,10 @@ def parse_documents(files: DataFrame, schema: str = DOCUMENT) -> DataFrame:
     """``(path, content BINARY)`` to ``(path, doc JSON, error)``; the scan never stops.
 
     ``schema`` is the struct that the document is to be read as; what does not fit is an error row.
+    Reading costs far more than the files' bytes tell, so files are spread over tasks by number, and the
+    result is written: each document is read once, however many tables are made of it.
     """
+    spread = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     typed = StructType.fromDDL(f"doc {schema}").jsonValue()["fields"][0]["type"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,7 +157,8 @@ def parse_documents(files: DataFrame, schema: str = DOCUMENT) -> DataFrame:
                 {"path": batch["path"], "doc": [p[0] for p in parsed], "error": [p[1] for p in parsed]}
             )
 
-    return files.select("path", "content").mapInPandas(run, "path string, doc string, error string")
+    rows = files.select("path", "content").repartition(spread)
+    return written(rows.mapInPandas(run, "path string, doc string, error string"), "documents")
 
 
 def read_tree(spark: SparkSession, root: str, glob: str) -> DataFrame:

@@ -138,3 +138,11 @@ def test_value_hints(spark):
 def test_step_report(spark, tmp_path):
     write_step_report(spark.createDataFrame([("s", 0)], "name string, exit_code long"), str(tmp_path / "r"))
     assert spark.read.json(str(tmp_path / "r")).first().asDict() == {"exit_code": 0, "name": "s"}
+
+
+def test_documents_are_spread_and_read_once(spark):
+    files = spark.range(40).coalesce(1).selectExpr("concat('/f', id) AS path", "encode('aliases: []', 'UTF-8') AS content")
+    documents = D.parse_documents(files, D.ALIASES)
+    assert documents.count() == 40
+    assert documents.select("_metadata.file_path").distinct().count() > 1
+    assert "MapInPandas" not in documents._jdf.queryExecution().executedPlan().toString()
