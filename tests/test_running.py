@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from runlens.operators import quantiles
 from runlens.operators.quantiles import nearest_rank
 from runlens.operators.running import clamped_gauge, numbered, running
 
@@ -74,3 +75,12 @@ def test_nearest_rank_without_keys(spark):
     df = spark.createDataFrame([(float(i),) for i in range(1, 1201)], "v double")
     got = {r.q: r.value for r in nearest_rank(df, [], "v", [0.5, 0.95, 0.99]).collect()}
     assert got == {0.5: 600.0, 0.95: 1140.0, 0.99: 1188.0}
+
+
+def test_nearest_rank_narrows_in_one_round(spark, monkeypatch):
+    rounds, parts = [], quantiles._parts
+    monkeypatch.setattr(quantiles, "_parts", lambda *a: rounds.append(a) or parts(*a))
+    df = spark.range(200_000).selectExpr("id * 7919 % 200000 AS v")
+    got = {r.q: r.value for r in nearest_rank(df, [], "v", [0.5, 0.95, 0.99], bound=500).collect()}
+    assert got == {0.5: 99_999, 0.95: 189_999, 0.99: 197_999}
+    assert len(rounds) == 1
