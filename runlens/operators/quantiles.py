@@ -40,7 +40,8 @@ def _parts(inside: DataFrame, by: list[str], accuracy: int, points: list[float]
     A proposed value is a part of its own, so a value with many rows is settled by one round; the parts
     between hold the window's rows between two ``points``, a share of 0 to 1 each.
     """
-    cuts = inside.groupBy(*by).agg(F.percentile_approx("__v", points, accuracy).alias("__s"))
+    # a row per large window; written, Spark knows that it is few and need not shuffle the rows to them
+    cuts = written(inside.groupBy(*by).agg(F.percentile_approx("__v", points, accuracy).alias("__s")), "cuts")
     value = F.col("__v")
     if len(points) <= WRITTEN_OUT:
         at = [F.get("__s", F.lit(i)) for i in range(len(points))]
