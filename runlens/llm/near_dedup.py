@@ -48,8 +48,8 @@ STAR_ROUNDS = 2
 # Classes of shingles whose parities a node carries, 64 to a column.
 CLASSES = 1024
 PARITIES = [f"p{i}" for i in range(CLASSES // 64)]
-# 32 bits of each sub-key, by which a pair knows the tables it shares.
-SHORT = [f"q{i}" for i in range(2 * SIDE)]
+# Bits that mark which texts' sets are wanted: 64 to a row, so 2^17 rows at most.
+MARKS = 1 << 23
 # A table's key starts with its number, first sub-key * SIDE + second one, so the least is first.
 NUMBER_SHIFT = 55
 # Shingles of so many nodes or fewer are looked up one by one.
@@ -148,6 +148,18 @@ def _sets(words: int):
     return run
 
 
+def _marked(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``rows`` without most of those whose ``key`` isn't among the keys of ``wanted``; loses none that is.
+
+    The keys' hashes are bits of a table of bounded size, so it can be broadcast however many there are.
+    """
+    slot = F.pmod(F.xxhash64(key), F.lit(MARKS))
+    word, bit = F.shiftright(slot, 6), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({key}), 64) as int))")
+    marks = wanted.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    met = rows.withColumn("word", word).join(F.broadcast(marks), "word")
+    return met.filter(F.col("bits").bitwiseAND(bit) != 0).select(*rows.columns)
+
+
 def _once(sets: DataFrame, again: DataFrame) -> DataFrame:
     """One row per nid; only the sets of ``again``, which occur more than once, are shuffled."""
     single = sets.join(again, "nid", "left_anti")
@@ -236,7 +248,7 @@ def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _as_y(*columns: str) -> list[Column]:
     """Columns of the second node of a pair, with its parities and short sub-keys."""
-    return [F.col(c).alias("y" if c == "nid" else f"y{c}") for c in (*columns, *PARITIES, *SHORT)]
+    return [F.col(c).alias("y" if c == "nid" else f"y{c}") for c in (*columns, "parities", "short")]
 
 
 def _first_shared() -> Column:
@@ -247,7 +259,7 @@ def _first_shared() -> Column:
     one is among them.
     """
     slot = F.col("key").bitwiseAND(F.lit(SLOTS - 1))
-    same = [F.col(q) == F.col(f"y{q}") for q in SHORT]
+    same = [F.get("short", F.lit(i)) == F.get("yshort", F.lit(i)) for i in range(2 * SIDE)]
     second = F.lit(False)
     for s in same[SIDE:]:
         second = second | s
@@ -264,7 +276,8 @@ def _near_size(pct: int) -> Column:
 def _near(pct: int) -> Column:
     """Sets of these sizes and parities can be similar enough."""
     both = F.col("n") + F.col("yn")
-    apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"y{p}"))) for p in PARITIES), F.lit(0))
+    odd = [F.get("parities", F.lit(i)).bitwiseXOR(F.get("yparities", F.lit(i))) for i in range(len(PARITIES))]
+    apart = sum((F.bit_count(x) for x in odd), F.lit(0))
     return _near_size(pct) & ((both - apart) * (100 + pct) >= both * (2 * pct))
 
 
@@ -281,7 +294,7 @@ def _star(rows: DataFrame, parities: DataFrame, number: int, pct: int) -> DataFr
         .groupBy("nid", "comp", "y", "ycomp")
         .agg(F.sum("tables").alias("tables"), F.min("n").alias("n"), F.min("yn").alias("yn"))
     )
-    of_root = parities.select(F.col("nid").alias("y"), *[F.col(p).alias(f"y{p}") for p in PARITIES])
+    of_root = parities.select(F.col("nid").alias("y"), F.col("parities").alias("yparities"))
     shared = met.join(parities, "nid").join(of_root, "y").filter(_near(pct)).withColumnRenamed("nid", "x")
     best = shared.groupBy("x", "comp").agg(F.max(F.struct("tables", "y", "ycomp")).alias("best"))
     return best.select("x", "comp", F.col("best.y").alias("y"), F.col("best.ycomp").alias("ycomp"))
@@ -328,7 +341,7 @@ def _across(rows: DataFrame, keys: DataFrame, profiles: DataFrame, sets: DataFra
     )
     # a node with too many shingles of its own is linked with nothing
     open_ = known.filter(F.col("shared") * 100 >= F.col("n") * pct).join(profiles, "nid")
-    left = open_.select("nid", "n", "comp", "outside", "shared", "frequent", *PARITIES, *SHORT)
+    left = open_.select("nid", "n", "comp", "outside", "shared", "frequent", "parities", "short")
     right = open_.select(*_as_y("nid", "n", "comp", "shared", "frequent"))
     apart = (F.col("comp") != F.col("ycomp")) & _near(pct)
     seen = rare.filter("c > 1").select("s", "nid")
@@ -384,14 +397,20 @@ def members(
     )
     sketches = written(sketched, "sketches")
     # min() of equal values: fixed-width buffers, combined per task
-    nodes = written(
+    single = (
         sketches.filter("n > 0")
         .groupBy("node")
         .agg(*[F.min(c).alias(c) for c in ("id", "rid", "n", *slots, *PARITIES)])
-        .withColumn("nid", F.monotonically_increasing_id()),
+    )
+    # from here on arrays: plans and code of wide rows take much of the driver's memory
+    nodes = written(
+        single.select(
+            "node", "id", "rid", "n", F.array(*slots).alias("subs"), F.array(*PARITIES).alias("parities"),
+            F.monotonically_increasing_id().alias("nid"),
+        ),
         "nodes",
     )
-    keyed = nodes.select("nid", F.explode(F.array(*slots)).alias("key"))
+    keyed = nodes.select("nid", F.explode("subs").alias("key"))
     common = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
     first_side = F.col("key").bitwiseAND(F.lit(SLOTS - 1)) < SIDE
     both = (
@@ -430,10 +449,11 @@ def members(
         "wanted",
     )
     concerned = nodes.join(wanted.select("nid"), "nid", "left_semi")
-    short = [F.shiftright(k, 32).cast("int").alias(q) for k, q in zip(slots, SHORT, strict=True)]
-    profiles = written(concerned.select("nid", *PARITIES, *short), "profiles")
-    keys = written(concerned.select("nid", "n", F.explode(F.array(*slots)).alias("key")), "keys")
-    texts = rows.select("rid", "text").join(wanted, "rid")
+    # 32 bits of each sub-key, by which a pair knows the tables it shares
+    short = F.transform("subs", lambda k: F.shiftright(k, 32).cast("int")).alias("short")
+    profiles = written(concerned.select("nid", "parities", short), "profiles")
+    keys = written(concerned.select("nid", "n", F.explode("subs").alias("key")), "keys")
+    texts = _marked(rows.select("rid", "text"), wanted, "rid").join(wanted, "rid")
     found = written(texts.mapInArrow(_sets(words), "nid long, set array<long>"), "found-sets")
     again = found.groupBy("nid").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("nid")
     sets = _once(found, written(again, "repeated"))
@@ -442,7 +462,7 @@ def members(
     for number in range(STAR_ROUNDS):
         slot = F.col("key").bitwiseAND(F.lit(SLOTS - 1))
         among = keys.filter(slot % STAR_ROUNDS == number).withColumn("tables", F.lit(1))
-        pairs = written(_star(_labelled(among, labels), profiles.select("nid", *PARITIES), number, similar_pct), "pairs")
+        pairs = written(_star(_labelled(among, labels), profiles.select("nid", "parities"), number, similar_pct), "pairs")
         more = written(_verified(pairs, sets, similar_pct), "links")
         links = more if links is None else links.unionByName(more)
         if number + 1 < STAR_ROUNDS:

@@ -209,6 +209,36 @@ def test_parities_never_exceed_the_difference():
                 assert apart >= 30
 
 
+def test_marked_rows_are_all_wanted_and_few_others(spark):
+    rows = spark.range(-20000, 20000).select(F.col("id").alias("rid"), F.lit("t").alias("text"))
+    wanted = spark.range(-20000, 20000, 40).select(F.col("id").alias("rid"))
+    got = {r["rid"] for r in near_dedup._marked(rows, wanted, "rid").collect()}
+    assert set(range(-20000, 20000, 40)) <= got and len(got) < 1200
+    assert near_dedup._marked(rows, wanted.limit(0), "rid").count() == 0
+
+
+def test_near_reads_wanted_texts_only_and_narrow_nodes(make, rows, monkeypatch):
+    data = variants(5)
+    seen, marked = {}, []
+
+    def written(df, name):
+        seen[name] = len(df.columns)
+        return session_written(df, name)
+
+    def noted(*args):
+        marked.append(real(*args))
+        return marked[-1]
+
+    session_written, real = near_dedup.written, near_dedup._marked
+    monkeypatch.setattr(near_dedup, "written", written)
+    monkeypatch.setattr(near_dedup, "_marked", noted)
+    alone = [(9000000 + i, f"q{i} x{i} y{i} z{i}") for i in range(300)]
+    got = near_dedup.members(make([*data, *alone]), words=2)
+    assert rows(got, "doc_id", "n_shingles", "component_id", "kept") == near_brute([*data, *alone], 2, 80)
+    assert all(n <= 10 for name, n in seen.items() if name != "sketches")
+    assert marked[0].filter("text like 'q%'").count() < 10
+
+
 def test_near_any_bytes(spark):
     """Texts that are no valid UTF-8 are compared as bytes."""
     docs = spark.range(6).selectExpr(
