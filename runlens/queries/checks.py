@@ -436,7 +436,9 @@ def _manifests(spark: SparkSession, sf: str) -> DataFrame:
     """Parts as add-on manifests, one of eight shapes, with the part's own key and name."""
     text = _pick(F.col("p_partkey") % 8, *[_manifest(i) for i in range(8)])
     filled = F.replace(F.replace(text, F.lit("@KEY@"), F.col("p_partkey").cast("string")), F.lit("@NAME@"), F.col("p_name"))
-    documents = _part(spark, sf).select("p_partkey", "p_brand", filled.alias("doc"))
+    # checking costs far more than the rows' bytes tell, so they are spread over all cores by number
+    parts = _part(spark, sf).repartition(2 * spark.sparkContext.defaultParallelism)
+    documents = parts.select("p_partkey", "p_brand", filled.alias("doc"))
     return N.lint(documents, api_version=API_VERSION, schema_ref=SCHEMA_REF)
 
 

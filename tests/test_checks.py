@@ -103,10 +103,13 @@ def test_manifest_that_is_no_object(spark):
     assert "jobs must be an array per manifest schema" in linted[2].errors
 
 
-def test_manifests_of_one_file_are_checked_by_many_tasks(spark):
-    docs = spark.range(400).coalesce(1).select("id", F.lit("{}").alias("doc"))
-    used = N.lint(docs, api_version="v1").select("errors", F.spark_partition_id().alias("p")).distinct()
-    assert used.select("p").distinct().count() > 1 and used.select("errors").distinct().count() == 1
+def test_manifests_of_one_file_are_checked_by_many_tasks(spark, tmp_path):
+    from runlens.queries import checks
+
+    parts = spark.range(400).coalesce(1).selectExpr("id p_partkey", "'n' p_name", "'b' p_brand", "1 p_size")
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    linted = checks._manifests(spark, str(tmp_path)).select("p_partkey", F.spark_partition_id().alias("p"))
+    assert linted.select("p").distinct().count() > 1 and linted.count() == 400
 
 
 def test_plans_look_in_the_named_source_first(spark):
