@@ -162,6 +162,8 @@ def _marked(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
 
 def _once(sets: DataFrame, again: DataFrame) -> DataFrame:
     """One row per nid; only the sets of ``again``, which occur more than once, are shuffled."""
+    if again.isEmpty():
+        return sets
     single = sets.join(again, "nid", "left_anti")
     several = sets.join(again, "nid", "left_semi").dropDuplicates(["nid"])
     return single.unionByName(written(several, "sets"))
@@ -171,7 +173,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     """The pairs (x, y, and what else they carry) whose full sets are similar enough."""
     left = sets.select(F.col("nid").alias("x"), F.col("set").alias("sx"))
     right = sets.select(F.col("nid").alias("y"), F.col("set").alias("sy"))
-    right = right.join(pairs.select("y").distinct(), "y", "left_semi")
+    right = right.join(pairs.select("y"), "y", "left_semi")
     common = F.size(F.array_intersect("sx", "sy"))
     return (
         left.join(pairs, "x")
@@ -194,7 +196,7 @@ def connected(edges: DataFrame) -> DataFrame:
     before = (0, None)
     while True:
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == before:
+        if not state[0] or tuple(state) == before:
             break
         before = tuple(state)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -239,16 +241,9 @@ def _relabelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return written(found.select("nid", F.coalesce("whole", "comp").alias("comp")), "labels")
 
 
-def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Bucket rows with their component, of buckets that hold more than one."""
-    rows = buckets.join(labels, "nid")
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    return rows.join(mixed.filter("lo < hi").select("key"), "key", "left_semi")
-
-
 def _as_y(*columns: str) -> list[Column]:
-    """Columns of the second node of a pair, with its parities and short sub-keys."""
-    return [F.col(c).alias("y" if c == "nid" else f"y{c}") for c in (*columns, "parities", "short")]
+    """Columns of the second node of a pair."""
+    return [F.col(c).alias("y" if c == "nid" else f"y{c}") for c in columns]
 
 
 def _first_shared() -> Column:
@@ -282,17 +277,25 @@ def _near(pct: int) -> Column:
 
 
 def _star(rows: DataFrame, parities: DataFrame, number: int, pct: int) -> DataFrame:
-    """One pair per node: of the roots it can match, the one that it shares most buckets with."""
-    rows = rows.withColumn("rank", F.xxhash64("nid", F.lit(number)))
-    least = rows.groupBy("key").agg(F.min("rank").alias("rank"))
-    roots = rows.join(least, ["key", "rank"]).select(
-        "key", F.col("nid").alias("y"), F.col("n").alias("yn"), F.col("comp").alias("ycomp")
+    """One pair per node: of the roots it can match, the one that it shares most buckets with.
+
+    ``rows`` are (key, nid, n, comp); only buckets of several components have a root. Everything
+    meets by the bucket's key, so the rows are shuffled once.
+    """
+    rank = F.xxhash64("nid", F.lit(number))
+    least = (
+        rows.groupBy("key")
+        .agg(F.min(rank).alias("least"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        .filter("lo < hi")
+        .select("key", "least")
     )
+    # no rank is below the least: an equality would be a second key, and the rows shuffled by both
+    roots = rows.join(least, "key").filter(rank <= F.col("least")).select("key", *_as_y("nid", "n", "comp"))
     met = (
         rows.join(roots, "key")
         .filter((F.col("comp") != F.col("ycomp")) & _near_size(pct))
         .groupBy("nid", "comp", "y", "ycomp")
-        .agg(F.sum("tables").alias("tables"), F.min("n").alias("n"), F.min("yn").alias("yn"))
+        .agg(F.count(F.lit(1)).alias("tables"), F.min("n").alias("n"), F.min("yn").alias("yn"))
     )
     of_root = parities.select(F.col("nid").alias("y"), F.col("parities").alias("yparities"))
     shared = met.join(parities, "nid").join(of_root, "y").filter(_near(pct)).withColumnRenamed("nid", "x")
@@ -316,12 +319,19 @@ def _across(rows: DataFrame, keys: DataFrame, profiles: DataFrame, sets: DataFra
     largest component meet all its rows, so a large component is never paired with itself.
     """
     sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
-    major = sizes.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("top"))
-    split = rows.join(major.select("key", F.col("top.comp").alias("major")), "key")
+    major = (
+        sizes.groupBy("key")
+        .agg(F.max(F.struct("size", "comp")).alias("top"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        .filter("lo < hi")
+        .select("key", F.col("top.comp").alias("major"))
+    )
+    # a bit for each first sub-key of whose tables the node is in one, and in one as an outer node:
+    # tables of the same first sub-key are met together, as a pair of nodes has fewer rows that way
+    bit = F.expr(f"shiftleft(1, cast(shiftrightunsigned(key, {NUMBER_SHIFT}) div {SIDE} as int))")
     nodes = written(
-        split.groupBy("nid").agg(
-            F.max(F.col("comp") != F.col("major")).alias("outside"),
-            F.min("n").alias("n"),
+        rows.join(major, "key").groupBy("nid").agg(
+            F.bit_or(bit).alias("used"),
+            F.bit_or(F.when(F.col("comp") != F.col("major"), bit).otherwise(0)).alias("out"),
             F.min("comp").alias("comp"),
         ),
         "unlinked",
@@ -333,37 +343,38 @@ def _across(rows: DataFrame, keys: DataFrame, profiles: DataFrame, sets: DataFra
     held = rare.groupBy("nid").agg(F.count(F.lit(1)).alias("rare"), F.count_if(F.col("c") == 1).alias("alone"))
     known = written(
         nodes.join(held, "nid", "left").select(
-            "nid", "n", "comp", "outside",
-            (F.col("n") - F.coalesce("rare", F.lit(0))).alias("frequent"),
-            (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"),
+            "nid", "comp", (F.col("out") != 0).alias("outside"),
+            F.coalesce("rare", F.lit(0)).alias("rare"), F.coalesce("alone", F.lit(0)).alias("alone"),
         ),
         "bounds",
     )
+    bounded = known.join(profiles, "nid").withColumns(
+        {"frequent": F.col("n") - F.col("rare"), "shared": F.col("n") - F.col("alone")}
+    )
     # a node with too many shingles of its own is linked with nothing
-    open_ = known.filter(F.col("shared") * 100 >= F.col("n") * pct).join(profiles, "nid")
-    left = open_.select("nid", "n", "comp", "outside", "shared", "frequent", "parities", "short")
-    right = open_.select(*_as_y("nid", "n", "comp", "shared", "frequent"))
-    apart = (F.col("comp") != F.col("ycomp")) & _near(pct)
-    seen = rare.filter("c > 1").select("s", "nid")
-    x = seen.join(left.filter("outside"), "nid")
-    y = seen.select("s", F.col("nid").alias("y")).join(right, "y")
-    by_shingle = x.join(y, "s").filter(apart & _can_match(F.least("shared", "yshared"), pct))
-    # tables of the same first sub-key are met together: a pair of nodes has fewer rows that way
-    slot = F.floor(F.shiftrightunsigned("key", NUMBER_SHIFT) / SIDE)
-    used = split.groupBy("nid", slot.alias("slot")).agg(F.max(F.col("comp") != F.col("major")).alias("out"))
-    subs = keys.select("nid", "key", F.col("key").bitwiseAND(F.lit(SLOTS - 1)).alias("slot"))
-    met = written(used.join(subs, ["nid", "slot"]).select("key", "nid", "out"), "met")
-    outer = met.filter("out").select("key", "nid").join(left, "nid")
-    inner = met.select("key", F.col("nid").alias("y")).join(right, "y")
-    by_bucket = outer.join(inner, "key").filter(
-        apart & _can_match(F.least("frequent", "yfrequent"), pct) & _first_shared()
+    open_ = bounded.filter(F.col("shared") * 100 >= F.col("n") * pct)
+    slot_bit = F.expr(f"shiftleft(1, cast(key & {SLOTS - 1} as int))")
+    subs = keys.filter(F.col("key").bitwiseAND(F.lit(SLOTS - 1)) < SIDE)
+    met = nodes.join(subs, "nid").filter(F.col("used").bitwiseAND(slot_bit) != 0)
+    met = written(met.select("key", "nid", (F.col("out").bitwiseAND(slot_bit) != 0).alias("out")), "met")
+    # rare shingles and buckets are met in one join
+    by_shingle = rare.filter("c > 1").select(
+        F.lit(True).alias("rarely"), F.col("s").alias("key"), "nid", F.lit(True).alias("out")
     )
+    both = by_shingle.unionByName(met.withColumn("rarely", F.lit(False)))
+    short = F.when(~F.col("rarely"), F.col("short"))
+    sides = ["nid", "n", "comp", "shared", "frequent", "parities"]
+    x = both.filter("out").join(open_.filter("outside"), "nid").select("rarely", "key", *sides, short.alias("short"))
+    y = both.join(open_, "nid").select("rarely", "key", *_as_y(*sides), short.alias("yshort"))
+    few_apart = F.when(F.col("rarely"), _can_match(F.least("shared", "yshared"), pct)).otherwise(
+        _can_match(F.least("frequent", "yfrequent"), pct) & _first_shared()
+    )
+    found = x.join(y, ["rarely", "key"]).filter((F.col("comp") != F.col("ycomp")) & _near(pct) & few_apart)
     first = F.col("nid") < F.col("y")
-    pair = [
+    return found.select(
         F.least("nid", "y").alias("x"), F.when(first, F.col("comp")).otherwise(F.col("ycomp")).alias("comp"),
         F.greatest("nid", "y").alias("y"), F.when(first, F.col("ycomp")).otherwise(F.col("comp")).alias("ycomp"),
-    ]
-    return by_shingle.select(*pair).unionByName(by_bucket.select(*pair)).distinct()
+    ).distinct()
 
 
 def members(
@@ -439,21 +450,17 @@ def members(
         )
         .filter("c > 1")
         .groupBy("c", "h1", "h2")
-        .agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("tables"))
-        .select("key", "tables")
-    )
-    held = tables.join(full, "key").join(nodes.select("nid", "n"), "nid")
-    buckets = written(held.select("key", "nid", "n", "tables"), "buckets")
-    wanted = written(
-        nodes.select("rid", "nid", "node").join(buckets.select("nid").distinct(), "nid", "left_semi"),
-        "wanted",
+        .agg(F.min("key").alias("key"))
+        .select("key")
     )
-    concerned = nodes.join(wanted.select("nid"), "nid", "left_semi")
+    buckets = written(tables.join(full, "key").select("key", "nid"), "buckets")
+    wanted = written(nodes.join(buckets.select("nid").distinct(), "nid", "left_semi"), "wanted")
     # 32 bits of each sub-key, by which a pair knows the tables it shares
     short = F.transform("subs", lambda k: F.shiftright(k, 32).cast("int")).alias("short")
-    profiles = written(concerned.select("nid", "parities", short), "profiles")
-    keys = written(concerned.select("nid", "n", F.explode("subs").alias("key")), "keys")
-    texts = _marked(rows.select("rid", "text"), wanted, "rid").join(wanted, "rid")
+    profiles = wanted.select("nid", "n", "parities", short)
+    keys = wanted.select("nid", "n", F.explode("subs").alias("key"))
+    of_text = wanted.select("rid", "nid", "node")
+    texts = _marked(rows.select("rid", "text"), of_text, "rid").join(of_text, "rid")
     found = written(texts.mapInArrow(_sets(words), "nid long, set array<long>"), "found-sets")
     again = found.groupBy("nid").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("nid")
     sets = _once(found, written(again, "repeated"))
@@ -461,19 +468,19 @@ def members(
     links, labels = None, wanted.select("nid", F.col("nid").alias("comp"))
     for number in range(STAR_ROUNDS):
         slot = F.col("key").bitwiseAND(F.lit(SLOTS - 1))
-        among = keys.filter(slot % STAR_ROUNDS == number).withColumn("tables", F.lit(1))
-        pairs = written(_star(_labelled(among, labels), profiles.select("nid", "parities"), number, similar_pct), "pairs")
+        among = keys.filter(slot % STAR_ROUNDS == number).join(labels, "nid")
+        pairs = written(_star(among, profiles.select("nid", "parities"), number, similar_pct), "pairs")
         more = written(_verified(pairs, sets, similar_pct), "links")
         links = more if links is None else links.unionByName(more)
         if number + 1 < STAR_ROUNDS:
             labels = _hooked(labels, more, number)
     if links is not None:
         labels = _relabelled(wanted.select("nid", F.col("nid").alias("comp")), links.select("x", "y"))
-    pairs = written(_across(_labelled(buckets, labels), keys, profiles, sets, similar_pct), "pairs")
+    pairs = written(_across(buckets.join(labels, "nid"), keys, profiles, sets, similar_pct), "pairs")
     more = _verified(pairs, sets, similar_pct)
     labels = _relabelled(labels, more.select(F.col("comp").alias("x"), F.col("ycomp").alias("y")))
     smallest = (
-        labels.join(nodes.select("nid", "id"), "nid").groupBy("comp").agg(F.min("id").alias("component"))
+        labels.join(wanted.select("nid", "id"), "nid").groupBy("comp").agg(F.min("id").alias("component"))
     )
     found = labels.join(smallest, "comp")
     of_node = nodes.select("nid", "node", F.col("id").alias("first")).join(

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -239,6 +240,23 @@ def test_near_reads_wanted_texts_only_and_narrow_nodes(make, rows, monkeypatch):
     assert marked[0].filter("text like 'q%'").count() < 10
 
 
+def test_near_plans_are_small(make, rows, monkeypatch):
+    """The driver plans and follows each exchange; 166 of them, 20 in one plan, were too many for it."""
+    seen = []
+
+    def written(df, name):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        seen.append(len(re.findall(r"(?<!Reused)Exchange ", plan)))
+        return session_written(df, name)
+
+    session_written = near_dedup.written
+    monkeypatch.setattr(near_dedup, "written", written)
+    data = variants(5)
+    got = rows(near_dedup.members(make(data)), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == near_brute(data, 5, 80)
+    assert max(seen) <= 12 and sum(seen) <= 115
+
+
 def test_near_any_bytes(spark):
     """Texts that are no valid UTF-8 are compared as bytes."""
     docs = spark.range(6).selectExpr(
