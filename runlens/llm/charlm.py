@@ -29,6 +29,8 @@ BITS = 9
 CODES = 1 << BITS
 # A task hands on its counts when it holds so many n-grams.
 HELD_GRAMS = 2_000_000
+# Text whose n-grams are formed together: some hundred bytes are held for each of its characters.
+GRAM_BYTES = 1 << 19
 
 
 def _letter_codes() -> np.ndarray:
@@ -118,7 +120,7 @@ def count_grams(texts: DataFrame, order: int, codes_of=letter_codes, lower: bool
                     )
             held.clear()
 
-        for batch in slices(batches):
+        for batch in slices(batches, most=GRAM_BYTES):
             labels = np.array(batch.column("label").to_pylist(), object)
             rows = np.array(as_texts(batch.column("text").cast(pa.binary())).to_pylist(), object)
             for label in set(labels):
@@ -198,7 +200,7 @@ def joined_scores(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=GRAM_BYTES):
             rows = [clean(t) for t in as_texts(batch.column("text").cast(pa.binary())).to_pylist()]
             key, counts = grams(rows, order, codes_of)
             found = [np.unique(k, return_counts=True) for k in np.split(key, np.cumsum(counts)[:-1])]

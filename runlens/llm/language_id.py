@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from runlens.llm.charlm import (
-    Model, _logs, all_orders, build, count_grams, joined_logs, joined_scores, letter_codes, text_key,
+    GRAM_BYTES, Model, _logs, all_orders, build, count_grams, joined_logs, joined_scores, letter_codes,
+    text_key,
 )
 from runlens.llm.common import as_texts, broadcast_if_small, fresh, share, slices
 from runlens.session import written
@@ -242,7 +243,7 @@ def identify(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared()
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, GRAM_BYTES):
             column = batch.column(batch.schema.get_field_index(text_col))
             texts = as_texts(column.cast(pa.binary())).to_pylist()
             names, scores, rejected = predictions(texts, held, margin, deviations)

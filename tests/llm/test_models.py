@@ -2,11 +2,13 @@ import os
 import re
 import subprocess
 import sys
+import tracemalloc
 import zlib
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from conftest import ODD
 from pyspark.sql import functions as F
@@ -205,6 +207,7 @@ def test_url_query_separates_what_rules_taught(spark):
 
 ELSEWHERE = """
 import sys
+import tracemalloc
 sys.path.insert(0, {root!r})
 from pyspark.sql import SparkSession, functions as F
 from runlens.llm import language_id, url_filter
@@ -243,3 +246,29 @@ def test_bytes_that_are_no_text(spark):
     )
     found = language_id.identify(docs, F.lit(True))
     assert {r["doc_id"]: r["lang_pred"] for r in found.select("doc_id", "lang_pred").collect()}[5] == "und"
+
+
+def test_counting_holds_little_beside_the_text(spark):
+    """A worker's arrays follow a slice of the text, not the whole batch."""
+    captured = []
+
+    class Texts:
+        def mapInArrow(self, run, schema):
+            captured.append(run)
+            return self
+
+        def select(self, *_):
+            return self
+
+        groupBy = agg = select
+
+    charlm.count_grams(Texts(), 5)
+    text = "some words of a plain text, again and again " * 50
+    batch = pa.record_batch({"label": ["en"] * 1800, "text": [text] * 1800})
+    list(captured[0]([batch.slice(0, 10)]))
+    tracemalloc.start()
+    out = list(captured[0]([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sum(b.column("n").to_pylist()) for b in out) > 3_000_000
+    assert peak < 80 << 20
